@@ -1,0 +1,25 @@
+"""Joins against small per-key tables that stay balanced under a hot key."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+SALTS = 16
+
+
+def join_dimension(big: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "left",
+                   salts: int = SALTS) -> DataFrame:
+    """Join rows to a table that is unique on ``on``.
+
+    The rows of one key are spread over ``salts`` reducers and the (one row per
+    key) dimension is repeated as often, so a key that holds a third of all
+    rows is shared out. Spark still broadcasts the dimension when its measured
+    size is below the session threshold.
+    """
+    on = list(on)
+    spread = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
+    repeated = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return spread.join(repeated, on + ["_salt"], how).drop("_salt")
