@@ -7,6 +7,8 @@ Nested documents are built only by the JSON sink.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from linklens.operators.joins import join_dimension
 from linklens.operators.ordered import previous_valid, running_sum, time_chunk
 from linklens.operators.quality import source_overlap
 from linklens.operators.quantiles import exact_medians
+from linklens.session import stage
 
 BUCKETS_PER_CHUNK = 4096
 
@@ -174,10 +177,13 @@ def confidence(count: Column, buckets: Column) -> Column:
             .when((count >= 3) | lasting, "MEDIA").otherwise("BAJA"))
 
 
-def sessions(timeline: DataFrame, th: EventThresholds = EventThresholds()) -> DataFrame:
+def candidate_buckets(timeline: DataFrame) -> DataFrame:
+    return timeline.where("event_candidate").select("run_id", "timestamp", "metrics_changed", "metrics_changed_count")
+
+
+def sessions(candidates: DataFrame, th: EventThresholds = EventThresholds()) -> DataFrame:
     """Candidate buckets with their event number and id."""
-    rows = timeline.where("event_candidate").select("run_id", "timestamp", "metrics_changed", "metrics_changed_count")
-    return sessionize(rows, th).withColumn("event_id", numbered("EVENT", F.col("event_no")))
+    return sessionize(candidates, th).withColumn("event_id", numbered("EVENT", F.col("event_no")))
 
 
 def events_rollup(buckets: DataFrame, th: EventThresholds = EventThresholds()) -> DataFrame:
@@ -218,21 +224,79 @@ def event_metadata(timeline: DataFrame, buckets: DataFrame, overlap: DataFrame)
 
 
 class EventStages:
-    """The lazy stages of one analysis, shared by the queries and the run audit."""
+    """The stages of one analysis over many runs.
+
+    Tables that several later stages read are written once to the shared
+    folder: recomputing them per consumer would multiply the scan of the
+    samples, and a written table survives executor loss. Stages are built on
+    first use.
+    """
 
     def __init__(self, interface: DataFrame, probes: DataFrame, th: EventThresholds = EventThresholds()):
-        th.validate()
-        self.overlap = source_overlap(interface, probes, strict=True)
-        iface, probe = clip(interface, self.overlap), clip(probes, self.overlap)
-        self.iface_buckets, self.probe_buckets = iface_buckets(iface, th), probe_buckets(probe, th)
-        self.iface_base, self.probe_base = iface_baselines(iface), probe_baselines(probe)
-        self.signals = iface_signals(self.iface_buckets, self.iface_base, th).unionByName(
-            probe_signals(self.probe_buckets, self.probe_base, th))
-        self.timeline = event_timeline(self.iface_buckets, self.probe_buckets, self.signals, th)
-        self.buckets = sessions(self.timeline, th)
-        self.events = events_rollup(self.buckets, th)
-        self.evidence = event_evidence(self.buckets, self.signals)
-        self.targets = event_targets(self.evidence)
+        self.th = th.validate()
+        self._interface, self._probes = interface, probes
+
+    @cached_property
+    def interface(self) -> DataFrame:
+        return stage(self._interface, "interface")
+
+    @cached_property
+    def probes(self) -> DataFrame:
+        return stage(self._probes, "probes")
+
+    @cached_property
+    def overlap(self) -> DataFrame:
+        return stage(source_overlap(self.interface, self.probes, strict=True), "overlap")
+
+    @cached_property
+    def iface_clipped(self) -> DataFrame:
+        return clip(self.interface, self.overlap)
+
+    @cached_property
+    def probe_clipped(self) -> DataFrame:
+        return clip(self.probes, self.overlap)
+
+    @cached_property
+    def iface_buckets(self) -> DataFrame:
+        return stage(iface_buckets(self.iface_clipped, self.th), "iface_buckets")
+
+    @cached_property
+    def probe_buckets(self) -> DataFrame:
+        return stage(probe_buckets(self.probe_clipped, self.th), "probe_buckets")
+
+    @cached_property
+    def iface_base(self) -> DataFrame:
+        return stage(iface_baselines(self.iface_clipped), "iface_base")
+
+    @cached_property
+    def probe_base(self) -> DataFrame:
+        return stage(probe_baselines(self.probe_clipped), "probe_base")
+
+    @cached_property
+    def signals(self) -> DataFrame:
+        return stage(iface_signals(self.iface_buckets, self.iface_base, self.th).unionByName(
+            probe_signals(self.probe_buckets, self.probe_base, self.th)), "signals")
+
+    @cached_property
+    def timeline(self) -> DataFrame:
+        return event_timeline(self.iface_buckets, self.probe_buckets, self.signals, self.th)
+
+    @cached_property
+    def buckets(self) -> DataFrame:
+        candidates = stage(candidate_buckets(self.timeline), "candidates")
+        return stage(sessions(candidates, self.th), "sessions")
+
+    @cached_property
+    def events(self) -> DataFrame:
+        return stage(events_rollup(self.buckets, self.th), "events")
+
+    @cached_property
+    def evidence(self) -> DataFrame:
+        return event_evidence(self.buckets, self.signals)
+
+    @cached_property
+    def targets(self) -> DataFrame:
+        return event_targets(self.evidence)
 
 
 def analyze_events(interface: DataFrame, probes: DataFrame, th: EventThresholds = EventThresholds()) -> DataFrame:

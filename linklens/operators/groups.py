@@ -1,0 +1,24 @@
+"""Telling hot groups from ordinary ones by their measured size."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A group up to this many rows fits one task with room to spare.
+GROUP_LIMIT = 250_000
+
+
+def split_by_size(df: DataFrame, keys: Sequence[str], limit: int = GROUP_LIMIT) -> tuple[DataFrame, DataFrame]:
+    """``(ordinary, hot)`` rows: groups of at most ``limit`` rows, and the larger ones.
+
+    The broadcast list holds only keys with more than ``limit`` rows, so its
+    length is at most rows / limit whatever the number of groups. Without hot
+    groups the list is empty and adaptive execution drops the hot branch.
+    """
+    keys = list(keys)
+    hot = F.broadcast(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+                      .where(F.col("_rows") > limit).select(*keys))
+    return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")

@@ -12,6 +12,7 @@ from linklens.operators.joins import join_dimension
 from linklens.operators.ordered import row_numbers, time_chunk
 from linklens.operators.quantiles import exact_quantiles
 from linklens.operators.ranks import spearman
+from linklens.session import stage
 
 # Status and severity scales, worst first.
 STATUS_ORDER = ("CRÍTICO", "ALTO", "MEDIO", "NORMAL")
@@ -120,7 +121,7 @@ def load_delta(df: DataFrame, cfg: HistoryConfig = HistoryConfig(), ranked: Data
 def load_association(df: DataFrame, cfg: HistoryConfig = HistoryConfig()) -> DataFrame:
     """Both quality metrics side by side, one row per link."""
     keys = ["link_id", "metric"]
-    ranked = load_spearman(df)
+    ranked = stage(load_spearman(df), "load_spearman")
     both = ranked.select(*keys, "rho").join(load_delta(df, cfg, ranked), keys, "left")
 
     def pick(metric: str, column: str) -> Column:
@@ -162,8 +163,12 @@ def action_label() -> Column:
 
 
 def link_core(df: DataFrame, cfg: HistoryConfig = HistoryConfig()) -> DataFrame:
-    """Everything known per link, utilization as ratios. Every input is one row per link."""
-    daily = daily_link(df)
+    """Everything known per link, utilization as ratios.
+
+    The daily, hourly and association tables are written once: several later
+    steps read them, and all are smaller than the samples by orders of magnitude.
+    """
+    daily = stage(daily_link(df), "daily")
     counts = df.groupBy("link_id").agg(
         F.count(F.lit(1)).alias("samples"), F.countDistinct("date").alias("days_observed"),
         F.min("timestamp").alias("first_timestamp"), F.max("timestamp").alias("last_timestamp"),
@@ -175,8 +180,10 @@ def link_core(df: DataFrame, cfg: HistoryConfig = HistoryConfig()) -> DataFrame:
         "tx_p95_utilization": ("tx_utilization", 0.95), "p95_utilization": ("utilization", 0.95),
         "p99_utilization": ("utilization", 0.99), "_rx_p95": ("rx_mbps", 0.95), "_tx_p95": ("tx_mbps", 0.95),
         "latency_p95_ms": ("latency_ms", 0.95), "packet_loss_p95_pct": ("packet_loss_pct", 0.95)})
+    peaks = stage(peak_hour(hourly_link(df)), "peaks")
+    association = stage(load_association(df, cfg), "association")
     core = (counts.join(shape, "link_id").join(link_trend(daily, cfg), "link_id")
-            .join(peak_hour(hourly_link(df)), "link_id").join(load_association(df, cfg), "link_id", "left"))
+            .join(peaks, "link_id").join(association, "link_id", "left"))
     receiving = F.col("rx_p95_utilization") >= F.col("tx_p95_utilization")
     return (core
             .withColumn("dominant_direction", F.when(receiving, "RX").otherwise("TX"))

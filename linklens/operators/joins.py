@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 16
+# Columns that tell the rows of one key apart; the first ones present are hashed.
+SPREAD_BY = ("row_no", "timestamp", "bucket", "date")
 
 
 def join_dimension(big: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "left",
@@ -20,6 +22,7 @@ def join_dimension(big: DataFrame, dim: DataFrame, on: Sequence[str], how: str =
     size is below the session threshold.
     """
     on = list(on)
-    spread = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
+    apart = [c for c in SPREAD_BY if c in big.columns] or [c for c in big.columns if c not in on]
+    spread = big.withColumn("_salt", F.pmod(F.xxhash64(*apart), F.lit(salts)).cast("int"))
     repeated = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(repeated, on + ["_salt"], how).drop("_salt")

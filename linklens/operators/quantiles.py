@@ -1,9 +1,10 @@
 """Exact, linearly interpolated quantiles that survive hot groups.
 
-``percentile`` keeps every distinct value of a group in one buffer. Here the
-group is cut into value bins by a pure, monotone function of the value; bin
-counts locate the bin that holds each wanted rank, and only that bin is
-ordered. No task ever sees more than one bin of one group.
+``percentile`` keeps every distinct value of a group in one buffer, which is
+right for groups of a bounded size. Larger groups are cut into value bins by a
+pure, monotone function of the value; bin counts locate the bin that holds each
+wanted rank, and only that bin is ordered. No task then sees more than one bin
+of one group.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from linklens.operators.groups import GROUP_LIMIT, split_by_size
+
 # Bins per unit of log1p(|value|).
 BIN_DENSITY = 1024
 
@@ -51,14 +54,34 @@ def bin_offsets(freq: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str],
-                    specs: Mapping[str, tuple[str, float]]) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], specs: Mapping[str, tuple[str, float]],
+                    limit: int = GROUP_LIMIT) -> DataFrame:
     """``keys`` plus one column per spec ``name -> (value column, q)``.
 
-    Keys must not be null. Groups without any non-null value are absent.
+    Keys must not be null. A group without any value has nulls or no row.
     """
     keys = list(keys)
     columns = list(dict.fromkeys(column for column, _ in specs.values()))
+    slim = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
+    ordinary, hot = split_by_size(slim, keys, limit)
+    return buffered_quantiles(ordinary, keys, specs).unionByName(binned_quantiles(hot, keys, specs))
+
+
+def buffered_quantiles(df: DataFrame, keys: Sequence[str], specs: Mapping[str, tuple[str, float]]) -> DataFrame:
+    """One buffer per group and column; for groups of bounded size."""
+    wanted: dict[str, list[float]] = {}
+    for column, q in specs.values():
+        wanted.setdefault(column, []).append(float(q))
+    found = df.groupBy(*keys).agg(*[F.percentile(c, F.array(*[F.lit(q) for q in qs])).alias(f"_q_{c}")
+                                    for c, qs in wanted.items()])
+    return found.select(*keys, *[F.get(f"_q_{column}", F.lit(wanted[column].index(float(q)))).alias(name)
+                                 for name, (column, q) in specs.items()])
+
+
+def binned_quantiles(df: DataFrame, keys: Sequence[str], specs: Mapping[str, tuple[str, float]]) -> DataFrame:
+    """Rank selection through value bins; for groups of any size."""
+    keys = list(keys)
+    columns = list(dict.fromkeys(column for column, _ in specs.values()))
     names = list(specs)
     freq = frequencies(unpivot(df, keys, columns), keys + ["_m"])
     bins = bin_offsets(freq, keys + ["_m"])
@@ -97,5 +120,6 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str],
     return picked.groupBy(*keys).agg(*aggregates)
 
 
-def exact_medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    return exact_quantiles(df, keys, {c: (c, 0.5) for c in columns})
+def exact_medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
+                  limit: int = GROUP_LIMIT) -> DataFrame:
+    return exact_quantiles(df, keys, {c: (c, 0.5) for c in columns}, limit)

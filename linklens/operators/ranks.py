@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from linklens.operators.groups import GROUP_LIMIT, split_by_size
 from linklens.operators.quantiles import bin_offsets, frequencies
 
 
@@ -30,35 +31,64 @@ def average_ranks(values: DataFrame, keys: Sequence[str], value: str = "_v",
                     F.col("_distinct").alias("distinct_values")))
 
 
-def spearman(pairs: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
-    """``keys, pair_count, x_distinct, y_distinct, rho`` over complete pairs.
+def _clamped(xy, xx, yy):
+    rho = F.when((xx > 0) & (yy > 0), xy / F.sqrt(xx) / F.sqrt(yy))
+    return F.when(rho.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), rho)))
+
+
+def window_spearman(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Ranks by window; for groups of bounded size. One shuffle on the keys."""
+    group = W.partitionBy(*keys)
+    ranked = pairs
+    for c in ("x", "y"):
+        ordered = group.orderBy(c)
+        ranked = ranked.withColumns({
+            f"_r{c}": F.rank().over(ordered) + (F.count(F.lit(1)).over(W.partitionBy(*keys, c)) - 1) / 2.0,
+            f"_d{c}": F.dense_rank().over(ordered)})
+    stats = ranked.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("pair_count"), F.max("_dx").cast("long").alias("x_distinct"),
+        F.max("_dy").cast("long").alias("y_distinct"), F.covar_pop("_rx", "_ry").alias("_xy"),
+        F.var_pop("_rx").alias("_xx"), F.var_pop("_ry").alias("_yy"))
+    return stats.select(*keys, "pair_count", "x_distinct", "y_distinct",
+                        _clamped(F.col("_xy"), F.col("_xx"), F.col("_yy")).alias("rho"))
+
+
+def binned_spearman(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Ranks through value bins; for groups of any size.
 
     Copies of a pair collapse first. The centred ranks of ``x`` are summed per
     ``y`` value before the ranks of ``y`` are joined, so ties in ``y`` move as
-    one row. ``rho`` is null when a side is constant.
+    one row.
     """
     keys = list(keys)
-    complete = (pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-                .groupBy(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_w")))
-    rank_x = average_ranks(complete, keys, "_x", "_w").select(
-        *keys, "_x", (F.col("avg_rank") - (F.col("n") + 1) / 2.0).alias("_rx"),
-        F.col("tie_count").alias("_cx"), F.col("distinct_values").alias("_dx"))
-    rank_y = average_ranks(complete, keys, "_y", "_w").select(
-        *keys, "_y", (F.col("avg_rank") - (F.col("n") + 1) / 2.0).alias("_ry"),
-        F.col("tie_count").alias("_cy"), F.col("n").alias("_n"), F.col("distinct_values").alias("_dy"))
-    by_y = (complete.join(rank_x, keys + ["_x"])
-            .groupBy(*keys, "_y").agg(F.sum(F.col("_w") * F.col("_rx")).alias("_srx"),
-                                      F.max("_dx").alias("_dx")))
-    cross = (by_y.join(rank_y, keys + ["_y"]).groupBy(*keys)
-             .agg(F.max("_n").alias("pair_count"), F.max("_dx").alias("x_distinct"),
-                  F.max("_dy").alias("y_distinct"),
-                  F.sum(F.col("_srx") * F.col("_ry")).alias("_sxy"),
-                  F.sum(F.col("_cy") * F.col("_ry") * F.col("_ry")).alias("_syy")))
-    spread_x = rank_x.groupBy(*keys).agg(F.sum(F.col("_cx") * F.col("_rx") * F.col("_rx")).alias("_sxx"))
-    rho = F.when((F.col("_sxx") > 0) & (F.col("_syy") > 0),
-                 F.col("_sxy") / F.sqrt(F.col("_sxx")) / F.sqrt(F.col("_syy")))
+    copies = pairs.groupBy(*keys, "x", "y").agg(F.count(F.lit(1)).alias("_w"))
+
+    def centred(c: str) -> DataFrame:
+        return average_ranks(copies, keys, c, "_w").select(
+            *keys, c, (F.col("avg_rank") - (F.col("n") + 1) / 2.0).alias(f"_r{c}"),
+            F.col("tie_count").alias(f"_c{c}"), F.col("n").alias(f"_n{c}"), F.col("distinct_values").alias(f"_d{c}"))
+
+    rank_x, rank_y = centred("x"), centred("y")
+    by_y = (copies.join(rank_x, keys + ["x"]).groupBy(*keys, "y")
+            .agg(F.sum(F.col("_w") * F.col("_rx")).alias("_srx"), F.max("_dx").alias("_dx")))
+    cross = (by_y.join(rank_y, keys + ["y"]).groupBy(*keys)
+             .agg(F.max("_ny").alias("pair_count"), F.max("_dx").alias("x_distinct"), F.max("_dy").alias("y_distinct"),
+                  F.sum(F.col("_srx") * F.col("_ry")).alias("_xy"),
+                  F.sum(F.col("_cy") * F.col("_ry") * F.col("_ry")).alias("_yy")))
+    spread_x = rank_x.groupBy(*keys).agg(F.sum(F.col("_cx") * F.col("_rx") * F.col("_rx")).alias("_xx"))
     return cross.join(spread_x, keys).select(
         *keys, "pair_count", "x_distinct", "y_distinct",
-        F.least(F.lit(1.0), F.greatest(F.lit(-1.0), rho)).alias("rho_raw"), rho.alias("_rho")).select(
-        *keys, "pair_count", "x_distinct", "y_distinct",
-        F.when(F.col("_rho").isNotNull(), F.col("rho_raw")).alias("rho"))
+        _clamped(F.col("_xy"), F.col("_xx"), F.col("_yy")).alias("rho"))
+
+
+def spearman(pairs: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y",
+             limit: int = GROUP_LIMIT) -> DataFrame:
+    """``keys, pair_count, x_distinct, y_distinct, rho`` over complete pairs.
+
+    ``rho`` is null when a side is constant.
+    """
+    keys = list(keys)
+    complete = pairs.select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where(
+        F.col("x").isNotNull() & F.col("y").isNotNull())
+    ordinary, hot = split_by_size(complete, keys, limit)
+    return window_spearman(ordinary, keys).unionByName(binned_spearman(hot, keys))

@@ -7,11 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linklens.functions.scalars import rounded
+from linklens.config import CorrelationConfig, EventThresholds
+from linklens.functions.scalars import loss_pct, rounded
+from linklens.operators import correlation as K
+from linklens.operators import counters as C
+from linklens.operators import events as E
+from linklens.operators import evidence as V
+from linklens.operators import fingerprint as P
 from linklens.operators import history as H
 from linklens.operators import ingest as I
+from linklens.operators import quality as Q
 from linklens.operators import ranks
 from linklens.plans import fixtures as fx
+from linklens.session import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -78,3 +86,179 @@ def _(spark, sf):
 def _(spark, sf):
     daily = H.daily_link(links(spark, sf))
     return H.trend_line(daily, H.link_trend(daily))
+
+
+# --- run audit: quality and events -------------------------------------------
+
+THRESHOLDS = EventThresholds(bucket_seconds=fx.BUCKET_SECONDS, merge_gap_seconds=fx.MERGE_GAP_SECONDS)
+
+
+def interface(spark, sf):
+    return Q.processed_interface(fx.iface(spark, sf), fx.runs(spark, sf), fx.COUNTER_MAX)
+
+
+def probes(spark, sf):
+    return Q.processed_probes(fx.probes(spark, sf))
+
+
+def stages(spark, sf):
+    return E.EventStages(interface(spark, sf), probes(spark, sf), THRESHOLDS)
+
+
+def joined(df, *columns):
+    """Arrays as ``|``-joined text."""
+    return df.withColumns({c: F.array_join(c, "|") for c in columns or ("metrics_changed",)})
+
+
+@query("counter_delta")
+def _(spark, sf):
+    return C.counter_delta(fx.iface(spark, sf), fx.COUNTER_MAX).select(
+        "row_no", "run_id", "interface", "timestamp", "rx_bytes_delta", "tx_bytes_delta", "rx_drops_delta",
+        "rx_errors_delta", "counter_event", "elapsed_seconds")
+
+
+query("elapsed_valid")(lambda s, d: C.elapsed_valid(fx.iface(s, d)).select("row_no", "run_id", "timestamp", "elapsed_seconds"))
+query("delay_variation")(lambda s, d: C.delay_variation(fx.probes(s, d)).select("row_no", "run_id", "target", "delay_variation_ms"))
+query("reachability_transitions")(lambda s, d: C.reachability_transitions(fx.probes(s, d)))
+query("error_transitions")(lambda s, d: C.error_transitions(fx.iface(s, d), ["run_id", "interface"]))
+query("interface_summary")(lambda s, d: Q.interface_summary(interface(s, d)))
+query("probe_summary")(lambda s, d: Q.probe_summary(probes(s, d)))
+query("source_overlap")(lambda s, d: Q.source_overlap(fx.iface(s, d), fx.probes(s, d)))
+
+
+@query("parse_probe_logs")
+def _(spark, sf):
+    return C.parse_probe_logs(fx.probe_logs(spark, sf)).select(
+        "row_no", "run_id", "target", "packets_sent", "packets_received", "rtt_ms", "rtt_min_ms", "rtt_max_ms",
+        "packet_loss_pct", "reachability", "estimated_outbound_payload_bytes")
+
+
+@query("processed_interface")
+def _(spark, sf):
+    return interface(spark, sf).select(
+        "row_no", "run_id", "interface", "timestamp", "sample_ok", "rx_bytes_delta", "tx_bytes_delta",
+        "rx_drops_delta", "rx_errors_delta", "counter_event", "elapsed_seconds", "rx_rate_mbps", "tx_rate_mbps",
+        "rx_utilization_pct", "tx_utilization_pct", "utilization_pct", "capacity_mbps")
+
+
+@query("processed_probes")
+def _(spark, sf):
+    return probes(spark, sf).select("row_no", "run_id", "target", "timestamp", "packets_sent", "packets_received",
+                                    "reachability_bool", "rtt_ms", "delay_variation_ms")
+
+
+@query("overlap_filter")
+def _(spark, sf):
+    iface, probe = fx.iface(spark, sf), fx.probes(spark, sf)
+    overlap = Q.source_overlap(iface, probe, strict=True)
+    keep = ["run_id", "row_no", "timestamp"]
+    return (E.clip(iface, overlap).select(F.lit("interface").alias("source"), *keep)
+            .unionByName(E.clip(probe, overlap).select(F.lit("probes").alias("source"), *keep)))
+
+
+@query("sample_loss_pct")
+def _(spark, sf):
+    iface, probe = fx.iface(spark, sf), fx.probes(spark, sf)
+    return E.clip(probe, Q.source_overlap(iface, probe, strict=True)).select(
+        "run_id", "row_no", "target", loss_pct(F.col("packets_sent"), F.col("packets_received")).alias("sample_loss_pct"))
+
+
+query("event_iface_buckets")(lambda s, d: stages(s, d).iface_buckets)
+query("event_probe_buckets")(lambda s, d: stages(s, d).probe_buckets)
+query("metric_flags")(lambda s, d: joined(E.metric_flags(stages(s, d).signals)))
+query("event_timeline")(lambda s, d: joined(stages(s, d).timeline))
+query("sessionize_events")(lambda s, d: stages(s, d).buckets.select("run_id", "timestamp", "event_no", "event_id"))
+query("events_rollup")(lambda s, d: joined(stages(s, d).events).drop("event_no", "bucket_seconds"))
+query("event_evidence")(lambda s, d: stages(s, d).evidence.drop("event_no", "reachability"))
+query("event_targets")(lambda s, d: stages(s, d).targets)
+
+
+@query("baselines")
+def _(spark, sf):
+    st = stages(spark, sf)
+    return E.baselines(st.iface_base, st.probe_base)
+
+
+@query("event_metadata")
+def _(spark, sf):
+    st = stages(spark, sf)
+    return E.event_metadata(st.timeline, st.buckets, st.overlap)
+
+
+# --- run audit: correlations, evidence, fingerprints --------------------------
+
+CORRELATION = CorrelationConfig(bucket_seconds=fx.BUCKET_SECONDS)
+
+
+def relations(spark, sf, st=None):
+    st = st or stages(spark, sf)
+    return K.CorrelationStages(st.interface, st.probes, fx.host(spark, sf), CORRELATION)
+
+
+def references(spark, sf):
+    st = stages(spark, sf)
+    refs = V.event_correlations(st.events, st.targets, relations(spark, sf, st).correlations)
+    return st, stage(V.top_correlations(refs), "references")
+
+
+def trace(spark, sf):
+    st = stages(spark, sf)
+    return st, stage(P.fingerprint_trace(P.loss_baseline(st.evidence, st.probe_base)), "trace")
+
+
+query("corr_iface_buckets")(lambda s, d: relations(s, d).iface_buckets)
+query("corr_probe_buckets")(lambda s, d: relations(s, d).probe_buckets)
+query("corr_host_buckets")(lambda s, d: relations(s, d).host_buckets)
+query("align_network")(lambda s, d: relations(s, d).network)
+query("align_host")(lambda s, d: relations(s, d).host_aligned)
+query("aligned_pairs")(lambda s, d: relations(s, d).aligned)
+query("correlations")(lambda s, d: relations(s, d).correlations)
+
+
+@query("event_correlations")
+def _(spark, sf):
+    st = stages(spark, sf)
+    return V.event_correlations(st.events, st.targets, relations(spark, sf, st).correlations).select(
+        "run_id", "event_id", "supports", "relation_id", "kind", "target", "spearman_rho")
+
+
+query("top_correlations")(lambda s, d: references(s, d)[1].select(
+    "run_id", "event_id", "supports", "relation_id", "kind", "target", "spearman_rho", "ref_no"))
+
+
+@query("findings")
+def _(spark, sf):
+    st, refs = references(spark, sf)
+    return joined(V.findings(st.events, st.targets, refs), "metrics_changed", "targets", "limitations").drop("bucket_seconds")
+
+
+@query("core_metric_overlap")
+def _(spark, sf):
+    events = stages(spark, sf).events
+    metrics = F.col("metrics_changed")
+    return events.select("run_id", "event_id", V.has_any(metrics, *V.QUALITY_METRICS).alias("quality"),
+                         V.has_any(metrics, "drops", "errors").alias("interface"),
+                         V.has_any(metrics, "rtt", "packet_loss").alias("sensor"))
+
+
+@query("evidence_trace")
+def _(spark, sf):
+    st, refs = references(spark, sf)
+    return V.evidence_trace(V.findings(st.events, st.targets, refs), refs)
+
+
+query("fingerprint_trace")(lambda s, d: trace(s, d)[1])
+query("fingerprint_extremes", digits=3)(lambda s, d: P.fingerprint_extremes(trace(s, d)[1]))
+
+
+@query("fingerprints", digits=3)
+def _(spark, sf):
+    st, rows = trace(spark, sf)
+    return joined(P.fingerprints(st.events, st.targets, rows), "metrics_changed", "targets", "limitations").drop(
+        "fingerprint_sha256")
+
+
+@query("fingerprint_hash")
+def _(spark, sf):
+    st, rows = trace(spark, sf)
+    return P.fingerprints(st.events, st.targets, rows).select("run_id", "fingerprint_id", "fingerprint_sha256")
