@@ -16,6 +16,7 @@ from linklens.operators import evidence as V
 from linklens.operators import fingerprint as P
 from linklens.operators import history as H
 from linklens.operators import ingest as I
+from linklens.operators import profile as N
 from linklens.operators import quality as Q
 from linklens.operators import ranks
 from linklens.plans import fixtures as fx
@@ -206,9 +207,9 @@ def trace(spark, sf):
     return st, stage(P.fingerprint_trace(P.loss_baseline(st.evidence, st.probe_base)), "trace")
 
 
-query("corr_iface_buckets")(lambda s, d: relations(s, d).iface_buckets)
-query("corr_probe_buckets")(lambda s, d: relations(s, d).probe_buckets)
-query("corr_host_buckets")(lambda s, d: relations(s, d).host_buckets)
+query("corr_iface_buckets")(lambda s, d: K.corr_iface_buckets(interface(s, d), CORRELATION))
+query("corr_probe_buckets")(lambda s, d: K.corr_probe_buckets(probes(s, d), CORRELATION))
+query("corr_host_buckets")(lambda s, d: K.corr_host_buckets(fx.host(s, d), CORRELATION))
 query("align_network")(lambda s, d: relations(s, d).network)
 query("align_host")(lambda s, d: relations(s, d).host_aligned)
 query("aligned_pairs")(lambda s, d: relations(s, d).aligned)
@@ -262,3 +263,33 @@ def _(spark, sf):
 def _(spark, sf):
     st, rows = trace(spark, sf)
     return P.fingerprints(st.events, st.targets, rows).select("run_id", "fingerprint_id", "fingerprint_sha256")
+
+
+# --- data quality gate ---------------------------------------------------------
+
+def raw_samples(spark, sf):
+    return N.samples_long(fx.damaged(fx.iface(spark, sf)), fx.damaged(fx.host(spark, sf)), fx.damaged(fx.probes(spark, sf)))
+
+
+def counted(spark, sf):
+    return C.counter_delta(fx.iface(spark, sf), fx.COUNTER_MAX)
+
+
+def gate(spark, sf):
+    return N.QualityStages(stage(counted(spark, sf), "counted"), fx.host(spark, sf), fx.probes(spark, sf), fx.runs(spark, sf))
+
+
+query("expected_samples")(lambda s, d: N.expected_samples(fx.runs(s, d)))
+query("experiment_estimate")(lambda s, d: N.experiment_estimate(fx.runs(s, d)))
+query("scan_raw_samples")(lambda s, d: raw_samples(s, d))
+query("out_of_order")(lambda s, d: N.out_of_order(raw_samples(s, d)))
+query("gaps")(lambda s, d: N.gaps(raw_samples(s, d), fx.runs(s, d)))
+query("duplicate_samples")(lambda s, d: N.duplicate_samples(raw_samples(s, d)))
+query("timestamp_profile")(lambda s, d: N.timestamp_profile(stage(raw_samples(s, d)), fx.runs(s, d)))
+query("source_profile")(lambda s, d: N.source_profile(stage(raw_samples(s, d)), fx.runs(s, d)))
+query("impossible_values")(lambda s, d: N.impossible_values(counted(s, d), fx.host(s, d), fx.probes(s, d)))
+query("counter_events")(lambda s, d: N.counter_events(counted(s, d)))
+query("interface_match")(lambda s, d: N.interface_match(fx.iface(s, d), fx.runs(s, d)))
+query("collector_health")(lambda s, d: N.collector_health(raw_samples(s, d)))
+query("quality_checks")(lambda s, d: gate(s, d).checks)
+query("quality_gate")(lambda s, d: gate(s, d).gate)

@@ -140,3 +140,9 @@ def probe_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
             .otherwise(reply))
     return base.select("row_no", "run_id", "target", "timestamp", F.lit(10).alias("count_per_target"),
                        F.lit(32).alias("payload_bytes"), text.alias("output"))
+
+
+def damaged(df: DataFrame) -> DataFrame:
+    """Text timestamps, some unreadable, and repeated rows appended at the end of the file."""
+    text = df.withColumn("timestamp", F.when(F.col("row_no") % 101 == 0, "bad").otherwise(F.col("timestamp").cast("string")))
+    return text.unionByName(text.where(F.col("row_no") % 50 == 0).withColumn("row_no", F.col("row_no") + 10000000))
