@@ -71,6 +71,15 @@ def micros(c: Column, ntz: bool) -> Column:
     return F.timestamp_diff("MICROSECOND", epoch(ntz), c)
 
 
+def as_instant(c: Column) -> Column:
+    """A wall-clock timestamp read as UTC; watermarks need an instant."""
+    return F.timestamp_micros(micros(c, True))
+
+
+def as_wall_clock(c: Column) -> Column:
+    return F.timestamp_add("MICROSECOND", F.unix_micros(c), epoch(True))
+
+
 def time_floor(c: Column, seconds: int, ntz: bool) -> Column:
     """Floor to an epoch-aligned bucket of ``seconds``."""
     us = micros(c, ntz)

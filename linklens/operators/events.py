@@ -99,34 +99,52 @@ def _unfold(df: DataFrame, signals: list[Column]) -> DataFrame:
                      F.explode(F.array_compact(F.array(*signals))).alias("s")).select("run_id", "timestamp", "s.*")
 
 
+def limits(th: EventThresholds) -> dict[str, Column]:
+    """Dynamic thresholds from the baseline columns."""
+    rate = {side: baseline_threshold(F.col(f"base_{side}_rate_mbps"), ratio=th.rate_ratio, delta=th.rate_delta_mbps,
+                                     floor=th.rate_delta_mbps) for side in ("rx", "tx")}
+    return {**rate,
+            "rtt": baseline_threshold(F.col("base_rtt_ms"), ratio=th.rtt_ratio, delta=th.rtt_delta_ms),
+            "delay_variation": baseline_threshold(F.col("base_delay_variation_ms"), ratio=th.delay_variation_ratio,
+                                                  delta=0.0, floor=th.delay_variation_ms)}
+
+
+def conditions(th: EventThresholds) -> dict[str, Column]:
+    """When each signal fires, over bucket and baseline columns."""
+    limit, util, loss = limits(th), F.col("utilization_pct"), F.col("packet_loss_pct")
+    jump = F.coalesce(util - F.col("base_utilization_pct") >= th.utilization_delta_pp, F.lit(False))
+    return {
+        "utilization": (util >= th.utilization_high_pct) | jump,
+        "rx": util.isNull() & (F.col("rx_rate_mbps") >= limit["rx"]),
+        "tx": util.isNull() & (F.col("tx_rate_mbps") >= limit["tx"]),
+        "drops": F.col("drops_delta") >= th.drops_delta, "errors": F.col("errors_delta") >= th.errors_delta,
+        "rtt": F.col("rtt_ms") >= limit["rtt"],
+        "delay_variation": F.col("delay_variation_ms") >= limit["delay_variation"],
+        "packet_loss": loss.isNotNull() & ((loss >= th.packet_loss_pct) | ~F.col("reachability"))}
+
+
 def iface_signals(buckets: DataFrame, base: DataFrame, th: EventThresholds = EventThresholds()) -> DataFrame:
     """Fired interface signals in long form."""
-    rows = join_dimension(buckets, base, ["run_id"])
-    util, util_base, none = F.col("utilization_pct"), F.col("base_utilization_pct"), F.lit(None)
-    high = (util >= th.utilization_high_pct) | F.coalesce(util - util_base >= th.utilization_delta_pp, F.lit(False))
-    signals = [_signal(high, "utilization", none, util, util_base, F.lit(th.utilization_high_pct))]
+    rows, fired, limit, none = join_dimension(buckets, base, ["run_id"]), conditions(th), limits(th), F.lit(None)
+    signals = [_signal(fired["utilization"], "utilization", none, F.col("utilization_pct"), F.col("base_utilization_pct"),
+                       F.lit(th.utilization_high_pct))]
     for side in ("rx", "tx"):
-        rate, rate_base = F.col(f"{side}_rate_mbps"), F.col(f"base_{side}_rate_mbps")
-        limit = baseline_threshold(rate_base, ratio=th.rate_ratio, delta=th.rate_delta_mbps, floor=th.rate_delta_mbps)
-        signals.append(_signal(util.isNull() & (rate >= limit), "traffic_rate", F.lit(side.upper()), rate, rate_base, limit))
-    for name, limit in (("drops", th.drops_delta), ("errors", th.errors_delta)):
-        signals.append(_signal(F.col(f"{name}_delta") >= limit, name, none, F.col(f"{name}_delta"), none, F.lit(limit)))
+        signals.append(_signal(fired[side], "traffic_rate", F.lit(side.upper()), F.col(f"{side}_rate_mbps"),
+                               F.col(f"base_{side}_rate_mbps"), limit[side]))
+    for name, least in (("drops", th.drops_delta), ("errors", th.errors_delta)):
+        signals.append(_signal(fired[name], name, none, F.col(f"{name}_delta"), none, F.lit(least)))
     return _unfold(rows, signals)
 
 
 def probe_signals(buckets: DataFrame, base: DataFrame, th: EventThresholds = EventThresholds()) -> DataFrame:
     """Fired probe signals in long form."""
-    rows = join_dimension(buckets, base, ["run_id", "target"])
-    target, loss = F.col("target"), F.col("packet_loss_pct")
-    rtt_limit = baseline_threshold(F.col("base_rtt_ms"), ratio=th.rtt_ratio, delta=th.rtt_delta_ms)
-    delay_limit = baseline_threshold(F.col("base_delay_variation_ms"), ratio=th.delay_variation_ratio, delta=0.0,
-                                     floor=th.delay_variation_ms)
-    return _unfold(rows, [
-        _signal(F.col("rtt_ms") >= rtt_limit, "rtt", target, F.col("rtt_ms"), F.col("base_rtt_ms"), rtt_limit),
-        _signal(F.col("delay_variation_ms") >= delay_limit, "delay_variation", target, F.col("delay_variation_ms"),
-                F.col("base_delay_variation_ms"), delay_limit),
-        _signal(loss.isNotNull() & ((loss >= th.packet_loss_pct) | ~F.col("reachability")), "packet_loss", target, loss,
-                F.col("base_loss_pct"), F.lit(th.packet_loss_pct), F.col("reachability"))])
+    rows, fired, limit = join_dimension(buckets, base, ["run_id", "target"]), conditions(th), limits(th)
+    target = F.col("target")
+    signals = [_signal(fired[m], m, target, F.col(f"{m}_ms"), F.col(f"base_{m}_ms"), limit[m])
+               for m in ("rtt", "delay_variation")]
+    signals.append(_signal(fired["packet_loss"], "packet_loss", target, F.col("packet_loss_pct"), F.col("base_loss_pct"),
+                           F.lit(th.packet_loss_pct), F.col("reachability")))
+    return _unfold(rows, signals)
 
 
 # Metric names of the detector, sorted.

@@ -16,11 +16,17 @@ from linklens.operators import evidence as V
 from linklens.operators import fingerprint as P
 from linklens.operators import history as H
 from linklens.operators import ingest as I
+from linklens.operators import integrity as G
 from linklens.operators import profile as N
 from linklens.operators import quality as Q
 from linklens.operators import ranks
+from linklens.operators import report as R
 from linklens.plans import fixtures as fx
-from linklens.session import stage
+from linklens.session import scratch_dir, stage
+from linklens.sources import readers as S
+from linklens.sources import sinks as W
+from linklens.streaming import pipelines as T
+from linklens.streaming import stateful as U
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -293,3 +299,302 @@ query("interface_match")(lambda s, d: N.interface_match(fx.iface(s, d), fx.runs(
 query("collector_health")(lambda s, d: N.collector_health(raw_samples(s, d)))
 query("quality_checks")(lambda s, d: gate(s, d).checks)
 query("quality_gate")(lambda s, d: gate(s, d).gate)
+
+
+# --- integrity -----------------------------------------------------------------
+
+def entries(spark, sf):
+    return G.parse_manifest(fx.manifests(spark, sf))
+
+
+query("file_hashes")(lambda s, d: G.file_hashes(fx.files(s, d)))
+query("scan_checksum_manifest")(lambda s, d: entries(s, d))
+query("untracked_files")(lambda s, d: G.untracked_files(entries(s, d), G.file_hashes(fx.files(s, d))))
+query("verify_manifest")(lambda s, d: G.verify_manifest(entries(s, d), G.file_hashes(fx.files(s, d))))
+query("integrity_summary")(lambda s, d: G.integrity_summary(G.verify_manifest(entries(s, d), G.file_hashes(fx.files(s, d))), True))
+
+
+def difference(spark, sf):
+    return G.table_diff(*fx.order_tables(spark, sf), ["o_orderkey"], "orders").drop("left", "right")
+
+
+query("table_diff")(difference)
+query("diff_limit")(lambda s, d: G.diff_limit(difference(s, d), ["o_orderkey", "column"]))
+
+
+@query("cell_type")
+def _(spark, sf):
+    cells = fx.ev(spark, sf).select("event_id", F.when(F.col("k") % 5 == 0, F.lit(" ")).when(F.col("k") % 5 == 1, F.lit("TRUE"))
+                                    .when(F.col("k") % 5 == 2, F.col("k").cast("string")).when(F.col("k") % 5 == 3, F.lit("1.5e3"))
+                                    .otherwise(F.col("event_type")).alias("cell"))
+    return cells.select("event_id", G.cell_type(F.col("cell")).alias("cell_type"))
+
+
+@query("reproducibility")
+def _(spark, sf):
+    left, right = Q.probe_summary(probes(spark, sf)), Q.probe_summary(probes(spark, sf))
+    return G.check_reproducibility({"probe_summary": left}, {"probe_summary": right}, {"probe_summary": ["run_id", "target"]})
+
+
+def sample_files(spark, sf):
+    parts = [fx.iface(spark, sf).withColumn("file", F.lit("interface_samples")),
+             fx.host(spark, sf).withColumn("file", F.lit("host_samples")).drop("sample_status"),
+             fx.probes(spark, sf).withColumn("file", F.lit("probe_samples"))]
+    profiles = [G.file_profile(p) for p in parts]
+    return profiles[0].unionByName(profiles[1]).unionByName(profiles[2])
+
+
+query("file_profile")(lambda s, d: joined(sample_files(s, d), "interfaces", "targets"))
+
+
+def configured(spark, sf):
+    return fx.runs(spark, sf).select("run_id", F.array(F.lit(" t1"), F.lit("ref "), F.lit("")).alias("configured_targets"))
+
+
+query("run_metadata")(lambda s, d: joined(G.run_metadata(sample_files(s, d), configured(s, d)), "discovered_interfaces", "targets"))
+query("known_targets")(lambda s, d: joined(G.run_metadata(sample_files(s, d), configured(s, d)).select("run_id", "targets"), "targets"))
+
+
+# --- report --------------------------------------------------------------------
+
+class Audit:
+    """All stages of the run audit over one set of landed tables."""
+
+    def __init__(self, spark, sf):
+        self.runs, self.stages = stage(fx.runs(spark, sf), "runs"), stages(spark, sf)
+        self.host, self.gate_stages = fx.host(spark, sf), gate(spark, sf)
+
+    def headline(self):
+        st = self.stages
+        return R.headline_metrics(self.runs, Q.interface_summary(st.interface), Q.probe_summary(st.probes), st.events)
+
+    def references(self):
+        st = self.stages
+        found = K.CorrelationStages(st.interface, st.probes, self.host, CORRELATION).correlations
+        return stage(V.top_correlations(V.event_correlations(st.events, st.targets, found)), "references")
+
+    def findings(self):
+        st = self.stages
+        return stage(V.findings(st.events, st.targets, self.references()), "findings")
+
+    def fingerprints(self):
+        st = self.stages
+        return stage(P.analyze_fingerprints(st.events, st.targets, st.evidence, st.probe_base), "fingerprints")
+
+    def report(self):
+        headline, findings = stage(self.headline(), "headline"), self.findings()
+        g = self.gate_stages
+        summary = R.executive_summary(self.runs, g.gate, headline, R.safe_only(findings, g.gate))
+        return R.run_report(self.runs, g.gate, g.checks, g.profile, headline, summary, self.stages.events, findings,
+                            self.fingerprints())
+
+
+query("headline_metrics")(lambda s, d: Audit(s, d).headline())
+query("dedupe_limitations")(lambda s, d: joined(R.dedupe_limitations(gate(s, d).gate), "limitations"))
+query("chart_series")(lambda s, d: R.chart_series(interface(s, d), probes(s, d), fx.host(s, d)))
+query("run_report")(lambda s, d: Audit(s, d).report())
+query("analysis_manifest")(lambda s, d: R.analysis_manifest(stage(Audit(s, d).report(), "report")).drop("report_sha256"))
+
+
+@query("findings_events")
+def _(spark, sf):
+    audit = Audit(spark, sf)
+    return R.findings_events(audit.findings(), audit.stages.events)
+
+
+@query("findings_fingerprints", digits=3)
+def _(spark, sf):
+    audit = Audit(spark, sf)
+    return R.findings_fingerprints(audit.findings(), audit.fingerprints())
+
+
+@query("executive_summary")
+def _(spark, sf):
+    audit = Audit(spark, sf)
+    verdict = audit.gate_stages.gate
+    return R.executive_summary(audit.runs, verdict, audit.headline(), R.safe_only(audit.findings(), verdict))
+
+
+@query("pseudonymize_hosts")
+def _(spark, sf):
+    return S.pseudonymize_hosts(fx.probes(spark, sf).select("run_id", "row_no", F.col("target").alias("hostname"), "address"),
+                                address="address")
+
+
+# --- sources and sinks: written to the shared folder and read back ----------------
+
+@query("scan_history")
+def _(spark, sf):
+    path = scratch_dir(spark, "history")
+    W.write_table(fx.history(spark, sf).withColumnsRenamed(SPANISH), path, "csv")
+    return I.typed(S.read_history(spark, path, MANUAL))
+
+
+@query("scan_samples")
+def _(spark, sf):
+    path = scratch_dir(spark, "probes")
+    W.write_table(fx.probes(spark, sf), path, "csv")
+    rows = S.read_samples(spark.read.csv(path, header=True), ("timestamp", "target", "packets_sent", "packets_received", "rtt_ms"))
+    return rows.select(F.col("row_no").cast("long").alias("row_no"), "run_id", "target", "timestamp",
+                       F.col("packets_sent").cast("long").alias("packets_sent"),
+                       F.col("packets_received").cast("long").alias("packets_received"),
+                       F.col("rtt_ms").cast("double").alias("rtt_ms"))
+
+
+def config_path(spark, sf):
+    return W.write_table(fx.run_configs(spark, sf), scratch_dir(spark, "configs"), "json")
+
+
+query("runs_dim")(lambda s, d: joined(S.read_run_configs(s, config_path(s, d)), "configured_targets"))
+query("run_targets")(lambda s, d: S.run_targets(s, config_path(s, d)))
+
+
+@query("scan_events_json")
+def _(spark, sf):
+    st = stages(spark, sf)
+    path = W.write_table(W.event_documents(st.events, st.evidence), scratch_dir(spark, "events"), "json")
+    return S.read_events(spark, path)[1].drop("reachability")
+
+
+@query("scan_correlations_json")
+def _(spark, sf):
+    path = W.write_table(relations(spark, sf).correlations, scratch_dir(spark, "correlations"), "json")
+    return S.read_correlations(spark, path)
+
+
+@query("scan_files_sha256")
+def _(spark, sf):
+    root = scratch_dir(spark, "files")
+    fx.files(spark, sf).select("run_id", F.col("content").alias("value")).write.partitionBy("run_id").text(root)
+    return G.file_hashes(S.read_run_files(spark, root)).select("run_id", F.length("sha256").alias("digest_length"))
+
+
+def sizes(spark, paths):
+    """Row count of every written table, read back from disk."""
+    rows = None
+    for name, path in paths.items():
+        fmt = "json" if name in JSON_TABLES else "text" if name == "checksums" else "parquet"
+        part = spark.read.format(fmt).load(path).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows")
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+JSON_TABLES = {"diagnosis", "manifest", "windows", "events", "correlations", "findings", "fingerprints", "gate", "metadata", "report"}
+
+
+@query("write_history")
+def _(spark, sf):
+    df = links(spark, sf)
+    core = stage(H.link_core(df), "core")
+    return sizes(spark, W.write_history(scratch_dir(spark, "out"), H.summarize(core), H.link_alerts(core), H.daily_link(df),
+                                        H.hourly_link(df), df, I.rejected_rows(checked(spark, sf))))
+
+
+@query("write_link_audit")
+def _(spark, sf):
+    df = links(spark, sf)
+    return sizes(spark, W.write_link_audit(scratch_dir(spark, "out"), H.link_audit(df), df, H.link_audit_meta(df)))
+
+
+@query("write_quality")
+def _(spark, sf):
+    st = stages(spark, sf)
+    return sizes(spark, W.write_quality(scratch_dir(spark, "out"), Q.interface_summary(st.interface), Q.probe_summary(st.probes),
+                                        st.interface, st.probes, Q.source_overlap(st.interface, st.probes)))
+
+
+@query("write_events")
+def _(spark, sf):
+    st = stages(spark, sf)
+    return sizes(spark, W.write_events(scratch_dir(spark, "out"), st.events, st.evidence, st.timeline))
+
+
+@query("write_correlations")
+def _(spark, sf):
+    found = relations(spark, sf)
+    return sizes(spark, W.write_correlations(scratch_dir(spark, "out"), found.correlations, found.aligned))
+
+
+@query("write_evidence")
+def _(spark, sf):
+    st, refs = references(spark, sf)
+    found = stage(V.findings(st.events, st.targets, refs), "findings")
+    return sizes(spark, W.write_evidence(scratch_dir(spark, "out"), found, V.evidence_trace(found, refs)))
+
+
+@query("write_fingerprints")
+def _(spark, sf):
+    st, rows = trace(spark, sf)
+    return sizes(spark, W.write_fingerprints(scratch_dir(spark, "out"), P.fingerprints(st.events, st.targets, rows), rows))
+
+
+@query("write_dataset_quality")
+def _(spark, sf):
+    g = gate(spark, sf)
+    return sizes(spark, W.write_dataset_quality(scratch_dir(spark, "out"), g.gate, g.profile, g.checks))
+
+
+@query("write_checksums")
+def _(spark, sf):
+    lines = G.manifest_lines(G.file_hashes(fx.files(spark, sf)))
+    return sizes(spark, W.write_checksums(scratch_dir(spark, "out"), G.run_metadata(sample_files(spark, sf)), lines))
+
+
+@query("write_report_tables")
+def _(spark, sf):
+    report = stage(Audit(spark, sf).report(), "report")
+    return sizes(spark, W.write_report_tables(scratch_dir(spark, "out"), report, R.analysis_manifest(report)))
+
+
+# --- streams: the whole table lands in two parts, the second run resumes the first --
+
+def opened(df):
+    return df.where(F.col("run_id") != fx.CLOSING["run_id"])
+
+
+@query("stream_ingest")
+def _(spark, sf):
+    return T.land_and_run(fx.in_slices(fx.probes(spark, sf)), lambda s: Q.processed_probes(
+        s.withColumn("delay_variation_ms", F.lit(None).cast("double")))).select(
+        "run_id", "target", "row_no", "timestamp", "packets_sent", "packets_received", "reachability_bool", "rtt_ms")
+
+
+query("stream_counter_delta")(lambda s, d: T.land_and_run(
+    fx.in_slices(fx.iface(s, d)), lambda x: U.stream_counter_delta(x, fx.COUNTER_MAX)))
+query("stream_delay_variation")(lambda s, d: T.land_and_run(fx.in_slices(fx.probes(s, d)), U.stream_delay_variation).select(
+    "row_no", "run_id", "target", "delay_variation_ms"))
+query("stream_transitions")(lambda s, d: T.land_and_run(fx.in_slices(fx.probes(s, d)), U.stream_transitions))
+
+
+@query("stream_buckets")
+def _(spark, sf):
+    slices = fx.in_slices(stage(interface(spark, sf), "interface"), fx.CLOSING)
+    return opened(T.land_and_run(slices, lambda s: T.stream_iface_buckets(s, THRESHOLDS)))
+
+
+@query("stream_probe_buckets")
+def _(spark, sf):
+    slices = fx.in_slices(stage(probes(spark, sf), "probes"), fx.CLOSING)
+    return opened(T.land_and_run(slices, lambda s: T.stream_probe_buckets(s, THRESHOLDS)))
+
+
+@query("stream_events")
+def _(spark, sf):
+    st = stages(spark, sf)
+    slices = fx.in_slices(T.combined_samples(st.interface, st.probes), fx.CLOSING)
+    window = st.overlap.unionByName(st.overlap.limit(1).withColumns({
+        "run_id": F.lit(fx.CLOSING["run_id"]), "overlap_end": F.lit("2024-04-01 00:00:00").cast("timestamp_ntz")}))
+    return opened(T.land_and_run(slices, lambda s: T.stream_events(s, st.iface_base, st.probe_base, window, THRESHOLDS)))
+
+
+@query("stream_dedup")
+def _(spark, sf):
+    typed = I.typed(fx.history_raw(spark, sf)).where(F.col("timestamp").isNotNull()).select("timestamp", "link_id")
+    return T.land_and_run(fx.in_slices(typed), lambda s: T.stream_dedup(s))
+
+
+@query("stream_late_rows")
+def _(spark, sf):
+    runs = fx.runs(spark, sf).withColumn("started", F.lit("2024-01-03 00:00:00").cast("timestamp_ntz"))
+    return T.land_and_run(fx.in_slices(fx.host(spark, sf)), lambda s: T.stream_late_rows(s, runs)).select(
+        "run_id", "row_no", "timestamp")

@@ -146,3 +146,63 @@ def damaged(df: DataFrame) -> DataFrame:
     """Text timestamps, some unreadable, and repeated rows appended at the end of the file."""
     text = df.withColumn("timestamp", F.when(F.col("row_no") % 101 == 0, "bad").otherwise(F.col("timestamp").cast("string")))
     return text.unionByName(text.where(F.col("row_no") % 50 == 0).withColumn("row_no", F.col("row_no") + 10000000))
+
+
+def in_slices(df: DataFrame, closing: dict | None = None) -> list[DataFrame]:
+    """The whole table in two landings, split in time; ``closing`` adds one far row that moves the watermark on."""
+    border = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
+    first, second = df.where(F.col("timestamp") < border), df.where(F.col("timestamp") >= border)
+    if closing is None:
+        return [first, second]
+    last = df.sparkSession.range(1).select(*[
+        F.lit(closing.get(f.name)).cast(f.dataType).alias(f.name) for f in df.schema.fields])
+    return [first, second.unionByName(last)]
+
+
+CLOSING = {"run_id": "closing", "link_id": "closing", "target": "", "timestamp": "2024-03-01 00:00:00", "sample_ok": True,
+           "sample_status": "ok"}
+
+
+def run_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run configuration documents (nested) of every run."""
+    target = lambda n: F.struct(F.lit(f"t{n}").alias("name"), F.lit(f"10.0.0.{n}").alias("address"),
+                                F.lit("" if n else "internal").alias("role"))
+    return runs(spark, sf_dir).select(
+        F.struct("run_id", "duration_seconds").alias("run"),
+        F.struct(F.col("expected_interface").alias("name"), F.col("interface_interval").alias("interval_seconds"),
+                 "capacity_mbps").alias("interface"),
+        F.struct(F.col("host_interval").alias("interval_seconds")).alias("host"),
+        F.struct(F.col("probe_interval").alias("interval_seconds"), F.lit(1000).alias("timeout_ms"),
+                 F.lit(32).alias("payload_bytes"), F.lit(10).alias("count_per_target")).alias("probes"),
+        F.array(target(1), target(0), target(2)).alias("targets"))
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as run files: one run per language, the text is the content."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        F.concat(F.lit("run-"), F.col("lang")).alias("run_id"),
+        F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
+        F.col("text").alias("content"), "doc_id")
+
+
+def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest lines of the files, some broken in each way the check knows."""
+    digest = F.sha2("content", 256)
+    n = F.col("doc_id")
+    path = (F.when(n % 83 == 0, F.concat(F.lit("../"), F.col("path"))).when(n % 71 == 0, F.concat(F.lit("docs/x/../../"), F.col("path")))
+            .when(n % 67 == 0, F.concat(F.lit("gone/"), F.col("path"))).otherwise(F.col("path")))
+    line = (F.when(n % 97 == 0, F.concat(F.lit("zz  "), path)).when(n % 89 == 0, F.concat(F.sha2(F.lit("other"), 256), F.lit("  "), path))
+            .otherwise(F.concat(F.upper(digest), F.lit("  "), path)))
+    rows = files(spark, sf_dir).where(n % 61 != 0).select("run_id", n.alias("line_no"), line.alias("line"))
+    return rows.unionByName(rows.where("line_no % 79 = 0").withColumn("line_no", F.col("line_no") + 10000000))
+
+
+def order_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders and a replay of them: tiny drift everywhere, real changes and lost rows in some."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", F.col("o_totalprice").cast("double").alias("o_totalprice"), "o_orderpriority")
+    k = F.col("o_orderkey")
+    replay = orders.where(k % 211 != 0).withColumns({
+        "o_totalprice": F.col("o_totalprice") * F.when(k % 100 == 0, 1.001).otherwise(1.0000000005),
+        "o_orderstatus": F.when(k % 150 == 0, "X").otherwise(F.col("o_orderstatus"))})
+    return orders, replay

@@ -1,6 +1,6 @@
 """DuckDB statements that state each query a second time, independently of the Spark plans."""
 
-from linklens.plans.oracle import history, telemetry, quality  # noqa: F401
+from linklens.plans.oracle import history, telemetry, quality, report  # noqa: F401
 from linklens.plans.oracle.base import STATEMENTS
 
 
