@@ -13,7 +13,7 @@ from linklens.operators.events import _both
 from linklens.operators.quality import source_overlap
 from linklens.operators.quantiles import exact_medians
 from linklens.operators.ranks import spearman
-from linklens.session import stage
+from linklens.session import stage, together
 
 # Relations per target as (id prefix, x metric, y metric, aligned source).
 RELATIONS = (
@@ -188,12 +188,18 @@ class CorrelationStages:
         return stage(state.fillna(False, ["utilization_available", "network_overlap", "host_overlap", "host_supplied"]),
                      "run_state")
 
+    def summarize(self) -> None:
+        together(lambda: self.iface_buckets, lambda: self.probe_buckets, lambda: self.host_buckets)
+
     @cached_property
     def pairs(self) -> DataFrame:
+        self.summarize()
         return stage(relation_pairs(self.network, self.host_aligned, self.iface_buckets), "pairs")
 
     @cached_property
     def correlations(self) -> DataFrame:
+        self.summarize()
+        together(lambda: self.pairs, lambda: self.run_state)
         return stage(correlations(relation_grid(self.probe_buckets, self.run_state), self.pairs, self.cfg), "correlations")
 
 

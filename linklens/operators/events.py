@@ -20,7 +20,7 @@ from linklens.operators.joins import join_dimension
 from linklens.operators.ordered import previous_valid, running_sum, time_chunk
 from linklens.operators.quality import source_overlap
 from linklens.operators.quantiles import exact_medians
-from linklens.session import stage
+from linklens.session import stage, together
 
 BUCKETS_PER_CHUNK = 4096
 
@@ -262,8 +262,12 @@ class EventStages:
     def probes(self) -> DataFrame:
         return stage(self._probes, "probes")
 
+    def load(self) -> None:
+        together(lambda: self.interface, lambda: self.probes)
+
     @cached_property
     def overlap(self) -> DataFrame:
+        self.load()
         return stage(source_overlap(self.interface, self.probes, strict=True), "overlap")
 
     @cached_property
@@ -290,8 +294,14 @@ class EventStages:
     def probe_base(self) -> DataFrame:
         return stage(probe_baselines(self.probe_clipped), "probe_base")
 
+    def summarize(self) -> None:
+        """Buckets and baselines of both sources; each reads only samples and overlap."""
+        _ = self.overlap
+        together(lambda: self.iface_buckets, lambda: self.probe_buckets, lambda: self.iface_base, lambda: self.probe_base)
+
     @cached_property
     def signals(self) -> DataFrame:
+        self.summarize()
         return stage(iface_signals(self.iface_buckets, self.iface_base, self.th).unionByName(
             probe_signals(self.probe_buckets, self.probe_base, self.th)), "signals")
 

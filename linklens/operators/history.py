@@ -12,7 +12,7 @@ from linklens.operators.joins import join_dimension
 from linklens.operators.ordered import row_numbers, time_chunk
 from linklens.operators.quantiles import exact_quantiles
 from linklens.operators.ranks import spearman
-from linklens.session import stage
+from linklens.session import stage, together
 
 # Status and severity scales, worst first.
 STATUS_ORDER = ("CRÍTICO", "ALTO", "MEDIO", "NORMAL")
@@ -110,7 +110,7 @@ def load_delta(df: DataFrame, cfg: HistoryConfig = HistoryConfig(), ranked: Data
     keys = ["link_id", "metric"]
     pairs = _load_pairs(df)
     cuts = exact_quantiles(pairs, keys, {"_high": ("x", cfg.high_load_quantile), "_low": ("x", 1 - cfg.high_load_quantile)})
-    means = join_dimension(pairs, cuts, keys, "inner").groupBy(*keys).agg(
+    means = join_dimension(pairs, stage(cuts, "cuts"), keys, "inner").groupBy(*keys).agg(
         (F.avg(F.when(F.col("x") >= F.col("_high"), F.col("y")))
          - F.avg(F.when(F.col("x") <= F.col("_low"), F.col("y")))).alias("delta"))
     size = (load_spearman(df) if ranked is None else ranked).select(*keys, "pair_count", "y_distinct")
@@ -168,7 +168,9 @@ def link_core(df: DataFrame, cfg: HistoryConfig = HistoryConfig()) -> DataFrame:
     The daily, hourly and association tables are written once: several later
     steps read them, and all are smaller than the samples by orders of magnitude.
     """
-    daily = stage(daily_link(df), "daily")
+    daily, peaks, association = together(
+        lambda: stage(daily_link(df), "daily"), lambda: stage(peak_hour(hourly_link(df)), "peaks"),
+        lambda: stage(load_association(df, cfg), "association"))
     counts = df.groupBy("link_id").agg(
         F.count(F.lit(1)).alias("samples"), F.countDistinct("date").alias("days_observed"),
         F.min("timestamp").alias("first_timestamp"), F.max("timestamp").alias("last_timestamp"),
@@ -180,8 +182,6 @@ def link_core(df: DataFrame, cfg: HistoryConfig = HistoryConfig()) -> DataFrame:
         "tx_p95_utilization": ("tx_utilization", 0.95), "p95_utilization": ("utilization", 0.95),
         "p99_utilization": ("utilization", 0.99), "_rx_p95": ("rx_mbps", 0.95), "_tx_p95": ("tx_mbps", 0.95),
         "latency_p95_ms": ("latency_ms", 0.95), "packet_loss_p95_pct": ("packet_loss_pct", 0.95)})
-    peaks = stage(peak_hour(hourly_link(df)), "peaks")
-    association = stage(load_association(df, cfg), "association")
     core = (counts.join(shape, "link_id").join(link_trend(daily, cfg), "link_id")
             .join(peaks, "link_id").join(association, "link_id", "left"))
     receiving = F.col("rx_p95_utilization") >= F.col("tx_p95_utilization")

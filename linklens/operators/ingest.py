@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linklens.functions.scalars import number_of, to_timestamp
+from linklens.operators.joins import join_dimension
+from linklens.session import stage
 
 # Canonical columns and the header names read as each of them.
 REQUIRED = ("timestamp", "link_id", "rx_mbps", "tx_mbps", "capacity_mbps")
@@ -92,15 +94,17 @@ def validate_rows(df: DataFrame) -> DataFrame:
     """Adds ``rejection_reason`` (null for accepted rows); the first failing rule names it.
 
     ``row_no`` carries the file order and must be unique. The duplicate rule
-    looks at all rows, rejected ones too. The first row of each pair comes from
-    a map-side minimum and is matched on the pair *and* the row number, so a
-    huge group of copies never meets in one task.
+    looks at all rows, rejected ones too. Only pairs that occur more than once
+    matter: they are found by a map-side minimum and count over three narrow
+    columns and written as a table, which Spark broadcasts when its size allows;
+    otherwise the salted join keeps a huge group of copies apart.
     """
     rows = typed(df)
     pair = ["timestamp", "link_id"]
-    first = (rows.where(F.col("timestamp").isNotNull() & F.col("link_id").isNotNull())
-             .groupBy(*pair).agg(F.min("row_no").alias("row_no")).withColumn("_first", F.lit(True)))
-    rows = rows.join(first, pair + ["row_no"], "left")
+    repeated = (rows.where(F.col("timestamp").isNotNull() & F.col("link_id").isNotNull())
+                .groupBy(*pair).agg(F.min("row_no").alias("_first"), F.count(F.lit(1)).alias("_copies"))
+                .where(F.col("_copies") > 1).drop("_copies"))
+    rows = join_dimension(rows, stage(repeated, "repeated"), pair)
 
     def negative(name):
         return F.col(name).isNull() | (F.col(name) < 0)
@@ -118,7 +122,7 @@ def validate_rows(df: DataFrame) -> DataFrame:
     rules += [(name, outside(name)) for name in ("packet_loss_pct", "availability_pct") if name in df.columns]
     if "latency_ms" in df.columns:
         rules.append(("latency_ms", F.col("latency_ms") < 0))
-    rules.append(("duplicate", F.col("timestamp").isNotNull() & F.col("link_id").isNotNull() & F.col("_first").isNull()))
+    rules.append(("duplicate", F.col("row_no") != F.col("_first")))
     reason = F.coalesce(*[F.when(failed, F.lit(REASONS[name])) for name, failed in rules])
     return rows.withColumn("rejection_reason", reason).drop("_first")
 

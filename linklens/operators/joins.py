@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
+SALTS = 32
 # Columns that tell the rows of one key apart; the first ones present are hashed.
 SPREAD_BY = ("row_no", "timestamp", "bucket", "date")
 
@@ -18,8 +18,9 @@ def join_dimension(big: DataFrame, dim: DataFrame, on: Sequence[str], how: str =
 
     The rows of one key are spread over ``salts`` reducers and the (one row per
     key) dimension is repeated as often, so a key that holds a third of all
-    rows is shared out. Spark still broadcasts the dimension when its measured
-    size is below the session threshold.
+    rows is shared out. A dimension that was written as a table has a known
+    size: Spark then broadcasts it below the session threshold and leaves the
+    rows where they are.
     """
     on = list(on)
     apart = [c for c in SPREAD_BY if c in big.columns] or [c for c in big.columns if c not in on]

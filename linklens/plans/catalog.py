@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from linklens.operators import quality as Q
 from linklens.operators import ranks
 from linklens.operators import report as R
 from linklens.plans import fixtures as fx
-from linklens.session import scratch_dir, stage
+from linklens.session import scratch_dir, stage, together
 from linklens.sources import readers as S
 from linklens.sources import sinks as W
 from linklens.streaming import pipelines as T
@@ -101,7 +102,7 @@ THRESHOLDS = EventThresholds(bucket_seconds=fx.BUCKET_SECONDS, merge_gap_seconds
 
 
 def interface(spark, sf):
-    return Q.processed_interface(fx.iface(spark, sf), fx.runs(spark, sf), fx.COUNTER_MAX)
+    return Q.processed_interface(fx.iface(spark, sf), stage(fx.runs(spark, sf), "runs"), fx.COUNTER_MAX)
 
 
 def probes(spark, sf):
@@ -199,12 +200,15 @@ CORRELATION = CorrelationConfig(bucket_seconds=fx.BUCKET_SECONDS)
 
 def relations(spark, sf, st=None):
     st = st or stages(spark, sf)
+    st.load()
     return K.CorrelationStages(st.interface, st.probes, fx.host(spark, sf), CORRELATION)
 
 
 def references(spark, sf):
     st = stages(spark, sf)
-    refs = V.event_correlations(st.events, st.targets, relations(spark, sf, st).correlations)
+    linked = relations(spark, sf, st)
+    _, found = together(lambda: st.events, lambda: linked.correlations)
+    refs = V.event_correlations(st.events, st.targets, found)
     return st, stage(V.top_correlations(refs), "references")
 
 
@@ -358,38 +362,47 @@ query("known_targets")(lambda s, d: joined(G.run_metadata(sample_files(s, d), co
 # --- report --------------------------------------------------------------------
 
 class Audit:
-    """All stages of the run audit over one set of landed tables."""
+    """All stages of the run audit over one set of landed tables; independent ones run together."""
 
     def __init__(self, spark, sf):
         self.runs, self.stages = stage(fx.runs(spark, sf), "runs"), stages(spark, sf)
-        self.host, self.gate_stages = fx.host(spark, sf), gate(spark, sf)
+        self.gate_stages = gate(spark, sf)
+        self.stages.load()
+        self.related = K.CorrelationStages(self.stages.interface, self.stages.probes, fx.host(spark, sf), CORRELATION)
 
+    @cached_property
     def headline(self):
         st = self.stages
-        return R.headline_metrics(self.runs, Q.interface_summary(st.interface), Q.probe_summary(st.probes), st.events)
-
-    def references(self):
-        st = self.stages
-        found = K.CorrelationStages(st.interface, st.probes, self.host, CORRELATION).correlations
-        return stage(V.top_correlations(V.event_correlations(st.events, st.targets, found)), "references")
+        interfaces, targets, _ = together(lambda: stage(Q.interface_summary(st.interface)),
+                                          lambda: stage(Q.probe_summary(st.probes)), lambda: st.events)
+        return stage(R.headline_metrics(self.runs, interfaces, targets, st.events), "headline")
 
+    @cached_property
     def findings(self):
         st = self.stages
-        return stage(V.findings(st.events, st.targets, self.references()), "findings")
+        _, found = together(lambda: st.events, lambda: self.related.correlations)
+        refs = stage(V.top_correlations(V.event_correlations(st.events, st.targets, found)), "references")
+        return stage(V.findings(st.events, st.targets, refs), "findings")
 
+    @cached_property
     def fingerprints(self):
         st = self.stages
         return stage(P.analyze_fingerprints(st.events, st.targets, st.evidence, st.probe_base), "fingerprints")
 
+    @cached_property
+    def summary(self):
+        verdict = self.gate_stages.gate
+        return R.executive_summary(self.runs, verdict, self.headline, R.safe_only(self.findings, verdict))
+
     def report(self):
-        headline, findings = stage(self.headline(), "headline"), self.findings()
-        g = self.gate_stages
-        summary = R.executive_summary(self.runs, g.gate, headline, R.safe_only(findings, g.gate))
-        return R.run_report(self.runs, g.gate, g.checks, g.profile, headline, summary, self.stages.events, findings,
-                            self.fingerprints())
+        g, st = self.gate_stages, self.stages
+        together(lambda: st.events, lambda: self.related.correlations, lambda: g.gate)
+        together(lambda: self.headline, lambda: self.findings, lambda: self.fingerprints)
+        return R.run_report(self.runs, g.gate, g.checks, g.profile, self.headline, self.summary, st.events, self.findings,
+                            self.fingerprints)
 
 
-query("headline_metrics")(lambda s, d: Audit(s, d).headline())
+query("headline_metrics")(lambda s, d: Audit(s, d).headline)
 query("dedupe_limitations")(lambda s, d: joined(R.dedupe_limitations(gate(s, d).gate), "limitations"))
 query("chart_series")(lambda s, d: R.chart_series(interface(s, d), probes(s, d), fx.host(s, d)))
 query("run_report")(lambda s, d: Audit(s, d).report())
@@ -399,20 +412,16 @@ query("analysis_manifest")(lambda s, d: R.analysis_manifest(stage(Audit(s, d).re
 @query("findings_events")
 def _(spark, sf):
     audit = Audit(spark, sf)
-    return R.findings_events(audit.findings(), audit.stages.events)
+    return R.findings_events(audit.findings, audit.stages.events)
 
 
 @query("findings_fingerprints", digits=3)
 def _(spark, sf):
     audit = Audit(spark, sf)
-    return R.findings_fingerprints(audit.findings(), audit.fingerprints())
+    return R.findings_fingerprints(audit.findings, audit.fingerprints)
 
 
-@query("executive_summary")
-def _(spark, sf):
-    audit = Audit(spark, sf)
-    verdict = audit.gate_stages.gate
-    return R.executive_summary(audit.runs, verdict, audit.headline(), R.safe_only(audit.findings(), verdict))
+query("executive_summary")(lambda s, d: Audit(s, d).summary)
 
 
 @query("pseudonymize_hosts")

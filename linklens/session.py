@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import SparkSession
 
@@ -23,6 +25,7 @@ LOCAL_DEFAULTS = {
     "spark.ui.enabled": "false",
     "spark.driver.memory": "16g",
     "spark.sql.autoBroadcastJoinThreshold": "32m",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -59,3 +62,9 @@ def stage(df, label: str = "stage"):
     path = scratch_dir(spark, label)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def together(*steps: Callable[[], object]) -> list:
+    """Submit independent jobs at the same time, so small ones do not leave the cluster idle."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        return [future.result() for future in [pool.submit(step) for step in steps]]
