@@ -17,14 +17,18 @@ from linklens.session import stage
 REQUIRED = ("timestamp", "link_id", "rx_mbps", "tx_mbps", "capacity_mbps")
 OPTIONAL = ("latency_ms", "packet_loss_pct", "availability_pct")
 ALIASES = {
-    "timestamp": "timestamp fecha fecha_hora datetime date_time time hora_fecha",
-    "link_id": "link_id enlace enlace_id link interface interfaz device dispositivo",
-    "rx_mbps": "rx_mbps rx download_mbps down_mbps in_mbps trafico_rx_mbps traffic_in_mbps entrada_mbps",
-    "tx_mbps": "tx_mbps tx upload_mbps up_mbps out_mbps trafico_tx_mbps traffic_out_mbps salida_mbps",
-    "capacity_mbps": "capacity_mbps capacity capacidad_mbps capacidad bandwidth_mbps ancho_banda_mbps",
-    "latency_ms": "latency_ms latency latencia_ms latencia rtt_ms ping_ms",
-    "packet_loss_pct": "packet_loss_pct packet_loss loss_pct perdida_pct perdida_paquetes_pct",
-    "availability_pct": "availability_pct availability disponibilidad_pct disponibilidad uptime_pct",
+    "timestamp": ("timestamp", "fecha", "fecha_hora", "datetime", "date_time", "time", "hora_fecha"),
+    "link_id": ("link_id", "enlace", "enlace_id", "link", "interface", "interfaz", "device", "dispositivo"),
+    "rx_mbps": ("rx_mbps", "rx", "download_mbps", "down_mbps", "in_mbps", "trafico_rx_mbps", "traffic_in_mbps",
+        "entrada_mbps"),
+    "tx_mbps": ("tx_mbps", "tx", "upload_mbps", "up_mbps", "out_mbps", "trafico_tx_mbps", "traffic_out_mbps",
+        "salida_mbps"),
+    "capacity_mbps": ("capacity_mbps", "capacity", "capacidad_mbps", "capacidad", "bandwidth_mbps",
+        "ancho_banda_mbps"),
+    "latency_ms": ("latency_ms", "latency", "latencia_ms", "latencia", "rtt_ms", "ping_ms"),
+    "packet_loss_pct": ("packet_loss_pct", "packet_loss", "loss_pct", "perdida_pct", "perdida_paquetes_pct"),
+    "availability_pct": ("availability_pct", "availability", "disponibilidad_pct", "disponibilidad",
+        "uptime_pct"),
 }
 # Rejection reasons, in rule order.
 REASONS = {
@@ -53,7 +57,7 @@ def normalize_name(name: str) -> str:
 
 def resolve_columns(columns: Iterable[str], mapping: Mapping[str, str] | None = None) -> dict[str, str]:
     """Source header -> canonical name. A manual mapping wins over the aliases."""
-    by_alias = {alias: target for target, names in ALIASES.items() for alias in names.split()}
+    by_alias = {alias: target for target, names in ALIASES.items() for alias in names}
     manual = {}
     for source, target in (mapping or {}).items():
         canonical = normalize_name(target)

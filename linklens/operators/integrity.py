@@ -16,6 +16,7 @@ HEX64 = "^[0-9a-f]{64}$"
 INT_TEXT = r"^[+-]?\d+$"
 FLOAT_TEXT = r"^[+-]?(?:\d+\.\d*|\d*\.\d+|\d+)(?:[eE][+-]?\d+)?$"
 DIFF_LIMIT = 100
+DIFF_SLICES = 256
 
 
 def file_hashes(files: DataFrame) -> DataFrame:
@@ -180,9 +181,17 @@ def table_diff(left: DataFrame, right: DataFrame, keys: Sequence[str], artifact:
 
 
 def diff_limit(differences: DataFrame, order: Iterable[str], limit: int = DIFF_LIMIT) -> DataFrame:
-    """The first ``limit`` differences per artifact; Spark trims each partition before the shuffle."""
-    ordered = W.partitionBy("artifact").orderBy(*order)
-    return differences.withColumn("diff_no", F.row_number().over(ordered)).where(F.col("diff_no") <= limit)
+    """The first ``limit`` differences per artifact.
+
+    Each of many slices of an artifact keeps its own first rows, so the final
+    numbering sees at most ``limit`` rows per slice.
+    """
+    order = list(order)
+    sliced = differences.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(DIFF_SLICES)))
+    local = W.partitionBy("artifact", "_slice").orderBy(*order)
+    kept = sliced.withColumn("_local", F.row_number().over(local)).where(F.col("_local") <= limit).drop("_local", "_slice")
+    return kept.withColumn("diff_no", F.row_number().over(W.partitionBy("artifact").orderBy(*order))).where(
+        F.col("diff_no") <= limit)
 
 
 def check_reproducibility(first: Mapping[str, DataFrame], second: Mapping[str, DataFrame],

@@ -18,6 +18,8 @@ MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()) -> str:
+    if partition_by:  # whole partitions per task, large ones split, small ones merged
+        df = df.hint("rebalance", *partition_by)
     writer = df.write.mode("overwrite").format(fmt)
     if fmt in ("csv", "json"):  # keep microseconds
         writer = writer.option("timestampNTZFormat", MICROS).option("timestampFormat", f"{MICROS}XXX")
