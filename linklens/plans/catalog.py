@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +22,7 @@ from linklens.operators import quality as Q
 from linklens.operators import ranks
 from linklens.operators import report as R
 from linklens.plans import fixtures as fx
+from linklens.plans.audit import RunAudit
 from linklens.session import scratch_dir, stage, together
 from linklens.sources import readers as S
 from linklens.sources import sinks as W
@@ -361,67 +361,31 @@ query("known_targets")(lambda s, d: joined(G.run_metadata(sample_files(s, d), co
 
 # --- report --------------------------------------------------------------------
 
-class Audit:
-    """All stages of the run audit over one set of landed tables; independent ones run together."""
-
-    def __init__(self, spark, sf):
-        self.runs, self.stages = stage(fx.runs(spark, sf), "runs"), stages(spark, sf)
-        self.gate_stages = gate(spark, sf)
-        self.stages.load()
-        self.related = K.CorrelationStages(self.stages.interface, self.stages.probes, fx.host(spark, sf), CORRELATION)
-
-    @cached_property
-    def headline(self):
-        st = self.stages
-        interfaces, targets, _ = together(lambda: stage(Q.interface_summary(st.interface)),
-                                          lambda: stage(Q.probe_summary(st.probes)), lambda: st.events)
-        return stage(R.headline_metrics(self.runs, interfaces, targets, st.events), "headline")
-
-    @cached_property
-    def findings(self):
-        st = self.stages
-        _, found = together(lambda: st.events, lambda: self.related.correlations)
-        refs = stage(V.top_correlations(V.event_correlations(st.events, st.targets, found)), "references")
-        return stage(V.findings(st.events, st.targets, refs), "findings")
-
-    @cached_property
-    def fingerprints(self):
-        st = self.stages
-        return stage(P.analyze_fingerprints(st.events, st.targets, st.evidence, st.probe_base), "fingerprints")
-
-    @cached_property
-    def summary(self):
-        verdict = self.gate_stages.gate
-        return R.executive_summary(self.runs, verdict, self.headline, R.safe_only(self.findings, verdict))
-
-    def report(self):
-        g, st = self.gate_stages, self.stages
-        together(lambda: st.events, lambda: self.related.correlations, lambda: g.gate)
-        together(lambda: self.headline, lambda: self.findings, lambda: self.fingerprints)
-        return R.run_report(self.runs, g.gate, g.checks, g.profile, self.headline, self.summary, st.events, self.findings,
-                            self.fingerprints)
-
-
-query("headline_metrics")(lambda s, d: Audit(s, d).headline)
+def audit(spark, sf):
+    return RunAudit(fx.iface(spark, sf), fx.probes(spark, sf), fx.host(spark, sf), fx.runs(spark, sf),
+                    counter_maxima=fx.COUNTER_MAX, thresholds=THRESHOLDS, correlation=CORRELATION)
+
+
+query("headline_metrics")(lambda s, d: audit(s, d).headline)
 query("dedupe_limitations")(lambda s, d: joined(R.dedupe_limitations(gate(s, d).gate), "limitations"))
 query("chart_series")(lambda s, d: R.chart_series(interface(s, d), probes(s, d), fx.host(s, d)))
-query("run_report")(lambda s, d: Audit(s, d).report())
-query("analysis_manifest")(lambda s, d: R.analysis_manifest(stage(Audit(s, d).report(), "report")).drop("report_sha256"))
+query("run_report")(lambda s, d: audit(s, d).report)
+query("analysis_manifest")(lambda s, d: R.analysis_manifest(stage(audit(s, d).report, "report")).drop("report_sha256"))
 
 
 @query("findings_events")
 def _(spark, sf):
-    audit = Audit(spark, sf)
-    return R.findings_events(audit.findings, audit.stages.events)
+    done = audit(spark, sf)
+    return R.findings_events(done.findings, done.stages.events)
 
 
 @query("findings_fingerprints", digits=3)
 def _(spark, sf):
-    audit = Audit(spark, sf)
-    return R.findings_fingerprints(audit.findings, audit.fingerprints)
+    done = audit(spark, sf)
+    return R.findings_fingerprints(done.findings, done.fingerprints)
 
 
-query("executive_summary")(lambda s, d: Audit(s, d).summary)
+query("executive_summary")(lambda s, d: audit(s, d).summary)
 
 
 @query("pseudonymize_hosts")
@@ -551,7 +515,7 @@ def _(spark, sf):
 
 @query("write_report_tables")
 def _(spark, sf):
-    report = stage(Audit(spark, sf).report(), "report")
+    report = stage(audit(spark, sf).report, "report")
     return sizes(spark, W.write_report_tables(scratch_dir(spark, "out"), report, R.analysis_manifest(report)))
 
 
