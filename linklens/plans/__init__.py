@@ -1 +1 @@
-"""Telemetry views over the driver tables, and the query catalog."""
+"""Run audit, telemetry views over the driver tables, and the query catalog."""

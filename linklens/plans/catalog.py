@@ -369,7 +369,9 @@ def audit(spark, sf):
 query("headline_metrics")(lambda s, d: audit(s, d).headline)
 query("dedupe_limitations")(lambda s, d: joined(R.dedupe_limitations(gate(s, d).gate), "limitations"))
 query("chart_series")(lambda s, d: R.chart_series(interface(s, d), probes(s, d), fx.host(s, d)))
-query("run_report")(lambda s, d: audit(s, d).report)
+query("run_report")(lambda s, d: audit(s, d).report.select(
+    "run_id", "section", "item_no", (F.get_json_object("payload", "$").isNotNull()).alias("valid_payload"),
+    F.length("payload_sha256").alias("digest_length")))
 query("analysis_manifest")(lambda s, d: R.analysis_manifest(stage(audit(s, d).report, "report")).drop("report_sha256"))
 
 

@@ -104,6 +104,15 @@ statement("chart_series", 'SELECT run_id, chart, series, "timestamp", round(valu
 statement("analysis_manifest", """SELECT run_id, CASE WHEN safe_for_conclusions THEN event_count ELSE 0 END AS event_count,
   CASE WHEN safe_for_conclusions THEN event_count ELSE 0 END AS finding_count, CASE WHEN safe_for_conclusions THEN event_count ELSE 0 END AS fingerprint_count,
   18 AS check_count, safe_for_conclusions AS analysis_executed, FALSE AS causal_inference_performed FROM gate_t JOIN head_t USING (run_id)""")
+cte("safe_t", "SELECT run_id FROM gate_t WHERE safe_for_conclusions")
+cte("sections_t", """
+SELECT run_id, section, '' AS item_no FROM runs_t, (VALUES ('run'), ('dataset_quality'), ('executive_summary'), ('limitations')) v(section)
+UNION ALL SELECT run_id, 'source', source FROM clean_prof UNION ALL SELECT run_id, 'check', check_id FROM checks_t
+UNION ALL SELECT run_id, 'headline_metrics', '' FROM safe_t
+UNION ALL SELECT run_id, 'event', event_id FROM events_t JOIN safe_t USING (run_id)
+UNION ALL SELECT run_id, 'finding', replace(event_id, 'EVENT', 'FINDING') FROM events_t JOIN safe_t USING (run_id)
+UNION ALL SELECT run_id, 'fingerprint', 'FP-' || event_id FROM events_t JOIN safe_t USING (run_id)""")
+statement("run_report", "SELECT run_id, section, item_no, TRUE AS valid_payload, 64 AS digest_length FROM sections_t")
 statement("pseudonymize_hosts", """SELECT run_id, row_no, sha256(run_id || chr(0) || target) AS hostname_sha256, sha256(address) AS address_sha256 FROM probe_t""")
 
 # --- sources and sinks ------------------------------------------------------------
@@ -132,6 +141,7 @@ _sizes("write_evidence", summary="find_t", findings="find_t",
        trace="(SELECT run_id FROM find_t UNION ALL SELECT run_id FROM refs_t)")
 _sizes("write_fingerprints", summary="fp_t", trace="tr_t", fingerprints="fp_t")
 _sizes("write_dataset_quality", sources="clean_prof", checks="checks_t", gate="gate_t")
+_sizes("write_report_tables", report="sections_t", manifest="runs_t")
 _sizes("write_checksums", checksums="files_t", metadata="rmeta_t")
 
 # --- streams ------------------------------------------------------------------------

@@ -24,7 +24,7 @@ def test_query_equals_its_statement(spark, con, key):
 
 def test_every_statement_has_a_query():
     assert set(oracle_sql()) <= set(queries())
-    assert set(queries()) - set(oracle_sql()) <= {"fingerprint_hash", "run_report", "scan_files_sha256", "write_report_tables"}
+    assert set(queries()) - set(oracle_sql()) <= {"fingerprint_hash", "scan_files_sha256"}
 
 
 def test_entry_runs(spark):
