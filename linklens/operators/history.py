@@ -105,12 +105,18 @@ def load_spearman(df: DataFrame) -> DataFrame:
     return spearman(_load_pairs(df), ["link_id", "metric"]).withColumn("rho", F.when(enough, F.col("rho")))
 
 
-def load_delta(df: DataFrame, cfg: HistoryConfig = HistoryConfig(), ranked: DataFrame | None = None) -> DataFrame:
+def load_cuts(df: DataFrame, cfg: HistoryConfig = HistoryConfig()) -> DataFrame:
+    """Utilization borders of high and low load per link and metric."""
+    return exact_quantiles(_load_pairs(df), ["link_id", "metric"], {
+        "_high": ("x", cfg.high_load_quantile), "_low": ("x", 1 - cfg.high_load_quantile)})
+
+
+def load_delta(df: DataFrame, cfg: HistoryConfig = HistoryConfig(), ranked: DataFrame | None = None,
+               cuts: DataFrame | None = None) -> DataFrame:
     """``link_id, metric, delta``: mean metric under high load minus under low load."""
     keys = ["link_id", "metric"]
-    pairs = _load_pairs(df)
-    cuts = exact_quantiles(pairs, keys, {"_high": ("x", cfg.high_load_quantile), "_low": ("x", 1 - cfg.high_load_quantile)})
-    means = join_dimension(pairs, stage(cuts, "cuts"), keys, "inner").groupBy(*keys).agg(
+    cuts = stage(load_cuts(df, cfg), "cuts") if cuts is None else cuts
+    means = join_dimension(_load_pairs(df), cuts, keys, "inner").groupBy(*keys).agg(
         (F.avg(F.when(F.col("x") >= F.col("_high"), F.col("y")))
          - F.avg(F.when(F.col("x") <= F.col("_low"), F.col("y")))).alias("delta"))
     size = (load_spearman(df) if ranked is None else ranked).select(*keys, "pair_count", "y_distinct")
@@ -121,8 +127,8 @@ def load_delta(df: DataFrame, cfg: HistoryConfig = HistoryConfig(), ranked: Data
 def load_association(df: DataFrame, cfg: HistoryConfig = HistoryConfig()) -> DataFrame:
     """Both quality metrics side by side, one row per link."""
     keys = ["link_id", "metric"]
-    ranked = stage(load_spearman(df), "load_spearman")
-    both = ranked.select(*keys, "rho").join(load_delta(df, cfg, ranked), keys, "left")
+    ranked, cuts = together(lambda: stage(load_spearman(df), "load_spearman"), lambda: stage(load_cuts(df, cfg), "cuts"))
+    both = ranked.select(*keys, "rho").join(load_delta(df, cfg, ranked, cuts), keys, "left")
 
     def pick(metric: str, column: str) -> Column:
         return F.max(F.when(F.col("metric") == metric, F.col(column)))
@@ -168,20 +174,20 @@ def link_core(df: DataFrame, cfg: HistoryConfig = HistoryConfig()) -> DataFrame:
     The daily, hourly and association tables are written once: several later
     steps read them, and all are smaller than the samples by orders of magnitude.
     """
-    daily, peaks, association = together(
+    shape = exact_quantiles(df, ["link_id"], {
+        "capacity_mbps": ("capacity_mbps", 0.5), "rx_p95_utilization": ("rx_utilization", 0.95),
+        "tx_p95_utilization": ("tx_utilization", 0.95), "p95_utilization": ("utilization", 0.95),
+        "p99_utilization": ("utilization", 0.99), "_rx_p95": ("rx_mbps", 0.95), "_tx_p95": ("tx_mbps", 0.95),
+        "latency_p95_ms": ("latency_ms", 0.95), "packet_loss_p95_pct": ("packet_loss_pct", 0.95)})
+    daily, peaks, association, shape = together(
         lambda: stage(daily_link(df), "daily"), lambda: stage(peak_hour(hourly_link(df)), "peaks"),
-        lambda: stage(load_association(df, cfg), "association"))
+        lambda: stage(load_association(df, cfg), "association"), lambda: stage(shape, "shape"))
     counts = df.groupBy("link_id").agg(
         F.count(F.lit(1)).alias("samples"), F.countDistinct("date").alias("days_observed"),
         F.min("timestamp").alias("first_timestamp"), F.max("timestamp").alias("last_timestamp"),
         F.avg("utilization").alias("avg_utilization"), F.max("utilization").alias("max_utilization"),
         F.count_if("over_capacity").alias("over_capacity_samples"),
         F.min("availability_pct").alias("availability_min_pct"))
-    shape = exact_quantiles(df, ["link_id"], {
-        "capacity_mbps": ("capacity_mbps", 0.5), "rx_p95_utilization": ("rx_utilization", 0.95),
-        "tx_p95_utilization": ("tx_utilization", 0.95), "p95_utilization": ("utilization", 0.95),
-        "p99_utilization": ("utilization", 0.99), "_rx_p95": ("rx_mbps", 0.95), "_tx_p95": ("tx_mbps", 0.95),
-        "latency_p95_ms": ("latency_ms", 0.95), "packet_loss_p95_pct": ("packet_loss_pct", 0.95)})
     core = (counts.join(shape, "link_id").join(link_trend(daily, cfg), "link_id")
             .join(peaks, "link_id").join(association, "link_id", "left"))
     receiving = F.col("rx_p95_utilization") >= F.col("tx_p95_utilization")

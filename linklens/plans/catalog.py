@@ -204,11 +204,17 @@ def relations(spark, sf, st=None):
     return K.CorrelationStages(st.interface, st.probes, fx.host(spark, sf), CORRELATION)
 
 
-def references(spark, sf):
+def linked_stages(spark, sf):
+    """Events and correlations of the same samples, computed side by side."""
     st = stages(spark, sf)
     linked = relations(spark, sf, st)
-    _, found = together(lambda: st.events, lambda: linked.correlations)
-    refs = V.event_correlations(st.events, st.targets, found)
+    together(lambda: st.events, lambda: linked.correlations)
+    return st, linked
+
+
+def references(spark, sf):
+    st, linked = linked_stages(spark, sf)
+    refs = V.event_correlations(st.events, st.targets, linked.correlations)
     return st, stage(V.top_correlations(refs), "references")
 
 
@@ -228,8 +234,8 @@ query("correlations")(lambda s, d: relations(s, d).correlations)
 
 @query("event_correlations")
 def _(spark, sf):
-    st = stages(spark, sf)
-    return V.event_correlations(st.events, st.targets, relations(spark, sf, st).correlations).select(
+    st, linked = linked_stages(spark, sf)
+    return V.event_correlations(st.events, st.targets, linked.correlations).select(
         "run_id", "event_id", "supports", "relation_id", "kind", "target", "spearman_rho")
 
 
