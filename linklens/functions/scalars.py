@@ -155,18 +155,18 @@ def flag_list(pairs: list[tuple[Column, str]]) -> Column:
     return F.array_sort(F.array_compact(F.array(*[F.when(cond, F.lit(name)) for cond, name in pairs])))
 
 
-# Measured decimals often sit exactly on a rounding border; a fixed nudge far
-# below the shown digits makes the last digit independent of summation order.
-NUDGE = 2e-10
-
-
 def shown(c: Column, digits: int) -> Column:
     """A number as text with fixed digits, half up."""
-    return F.round(c + F.lit(NUDGE), digits).cast(f"decimal(20,{digits})").cast("string")
+    return F.round(c, digits).cast(f"decimal(20,{digits})").cast("string")
+
+
+# For comparisons only: measured decimals often sit exactly on a rounding border; a fixed nudge far
+# below the compared digits makes the last one independent of summation order.
+NUDGE = 2e-10
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Rounded doubles and text dates, for comparison and display."""
+    """Rounded doubles and text dates, for the comparison of whole tables."""
     def plain(f):
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             return F.round(F.col(f.name) + F.lit(NUDGE if digits == 6 else 0.0), digits).alias(f.name)

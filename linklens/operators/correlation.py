@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import cached_property
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,9 +9,9 @@ from linklens.config import CorrelationConfig
 from linklens.functions.scalars import bucket_of, loss_pct, status_ok
 from linklens.operators.events import _both
 from linklens.operators.quality import source_overlap
-from linklens.operators.quantiles import exact_medians
-from linklens.operators.ranks import spearman
-from linklens.session import stage, together
+from linklens.operators.quantiles import bounded_quantiles, quantile_of
+from linklens.operators.ranks import bounded_spearman
+from linklens.session import once, stage, together
 
 # Relations per target as (id prefix, x metric, y metric, aligned source).
 RELATIONS = (
@@ -29,23 +27,24 @@ DROPS = ("utilization__drops", "utilization_pct", "drops_delta", "interface")
 def corr_iface_buckets(df: DataFrame, cfg: CorrelationConfig = CorrelationConfig()) -> DataFrame:
     rows = df.where(status_ok(df)).withColumn("bucket", bucket_of(df, cfg.bucket_seconds))
     keys = ["run_id", "bucket"]
-    sums = rows.groupBy(*keys).agg(F.sum(_both("rx_drops_delta", "tx_drops_delta")).cast("double").alias("drops_delta"),
-                                   F.sum(_both("rx_errors_delta", "tx_errors_delta")).cast("double").alias("errors_delta"))
-    return sums.join(exact_medians(rows, keys, ["utilization_pct", "rx_rate_mbps", "tx_rate_mbps"]), keys, "left")
+    return rows.groupBy(*keys).agg(
+        F.sum(_both("rx_drops_delta", "tx_drops_delta")).cast("double").alias("drops_delta"),
+        F.sum(_both("rx_errors_delta", "tx_errors_delta")).cast("double").alias("errors_delta"),
+        *[quantile_of(c, 0.5).alias(c) for c in ("utilization_pct", "rx_rate_mbps", "tx_rate_mbps")])
 
 
 def corr_probe_buckets(df: DataFrame, cfg: CorrelationConfig = CorrelationConfig()) -> DataFrame:
     rows = df.where(status_ok(df)).withColumn("bucket", bucket_of(df, cfg.bucket_seconds))
     keys = ["run_id", "bucket", "target"]
     sums = rows.groupBy(*keys).agg(F.sum(F.coalesce("packets_sent", F.lit(0))).cast("double").alias("_sent"),
-                                   F.sum(F.coalesce("packets_received", F.lit(0))).cast("double").alias("_got"))
-    loss = sums.select(*keys, loss_pct(F.col("_sent"), F.col("_got")).alias("packet_loss_pct"))
-    return loss.join(exact_medians(rows, keys, ["rtt_ms", "delay_variation_ms"]), keys, "left")
+                                   F.sum(F.coalesce("packets_received", F.lit(0))).cast("double").alias("_got"),
+                                   *[quantile_of(c, 0.5).alias(c) for c in ("rtt_ms", "delay_variation_ms")])
+    return sums.select(*keys, loss_pct(F.col("_sent"), F.col("_got")).alias("packet_loss_pct"), "rtt_ms", "delay_variation_ms")
 
 
 def corr_host_buckets(df: DataFrame, cfg: CorrelationConfig = CorrelationConfig()) -> DataFrame:
     rows = df.where(status_ok(df)).withColumn("bucket", bucket_of(df, cfg.bucket_seconds))
-    return exact_medians(rows, ["run_id", "bucket"], ["cpu_percent"])
+    return bounded_quantiles(rows, ["run_id", "bucket"], {"cpu_percent": ("cpu_percent", 0.5)})
 
 
 def align(probes: DataFrame, other: DataFrame) -> DataFrame:
@@ -109,7 +108,7 @@ def correlations(grid: DataFrame, pairs: DataFrame, cfg: CorrelationConfig = Cor
     """One row per run and relation; unavailable relations keep a row with no pairs."""
     keys = ["run_id", "relation_id"]
     span = pairs.groupBy(*keys).agg(F.min("bucket").alias("first_timestamp"), F.max("bucket").alias("last_timestamp"))
-    rows = grid.join(spearman(pairs, keys).join(span, keys), keys, "left")
+    rows = grid.join(bounded_spearman(pairs, keys).join(span, keys), keys, "left")
     off = F.col("unavailable_reason").isNotNull()
     count = F.when(off, 0).otherwise(F.coalesce("pair_count", F.lit(0))).cast("long")
     rows = rows.withColumns({
@@ -144,33 +143,33 @@ class CorrelationStages:
                  cfg: CorrelationConfig = CorrelationConfig()):
         self.interface, self.probes, self.host, self.cfg = interface, probes, host, cfg.validate()
 
-    @cached_property
+    @once
     def iface_buckets(self) -> DataFrame:
         return stage(corr_iface_buckets(self.interface, self.cfg), "corr_iface")
 
-    @cached_property
+    @once
     def probe_buckets(self) -> DataFrame:
         return stage(corr_probe_buckets(self.probes, self.cfg), "corr_probe")
 
-    @cached_property
+    @once
     def host_buckets(self) -> DataFrame:
         if self.host is None:
             return self.iface_buckets.select("run_id", "bucket", F.lit(None).cast("double").alias("cpu_percent")).where("false")
         return stage(corr_host_buckets(self.host, self.cfg), "corr_host")
 
-    @cached_property
+    @once
     def network(self) -> DataFrame:
         return align(self.probe_buckets, self.iface_buckets)
 
-    @cached_property
+    @once
     def host_aligned(self) -> DataFrame:
         return align(self.probe_buckets, self.host_buckets)
 
-    @cached_property
+    @once
     def aligned(self) -> DataFrame:
         return aligned_pairs(self.network, self.host_aligned)
 
-    @cached_property
+    @once
     def run_state(self) -> DataFrame:
         """Per run: what is available and which sources overlap."""
         state = self.interface.groupBy("run_id").agg(F.count_distinct("interface").alias("interfaces"))
@@ -191,12 +190,12 @@ class CorrelationStages:
     def summarize(self) -> None:
         together(lambda: self.iface_buckets, lambda: self.probe_buckets, lambda: self.host_buckets)
 
-    @cached_property
+    @once
     def pairs(self) -> DataFrame:
         self.summarize()
         return stage(relation_pairs(self.network, self.host_aligned, self.iface_buckets), "pairs")
 
-    @cached_property
+    @once
     def correlations(self) -> DataFrame:
         self.summarize()
         together(lambda: self.pairs, lambda: self.run_state)

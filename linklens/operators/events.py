@@ -7,8 +7,6 @@ Nested documents are built only by the JSON sink.
 
 from __future__ import annotations
 
-from functools import cached_property
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,11 +14,10 @@ from linklens.config import EventThresholds
 from linklens.functions.scalars import (
     add_seconds, baseline_threshold, bucket_of, flag_list, loss_pct, numbered, seconds_between, status_ok,
 )
-from linklens.operators.joins import join_dimension
 from linklens.operators.ordered import previous_valid, running_sum, time_chunk
 from linklens.operators.quality import source_overlap
-from linklens.operators.quantiles import exact_medians
-from linklens.session import stage, together
+from linklens.operators.quantiles import exact_quantiles, quantile_of
+from linklens.session import once, stage, together
 
 BUCKETS_PER_CHUNK = 4096
 
@@ -33,8 +30,7 @@ def clip(df: DataFrame, overlap: DataFrame) -> DataFrame:
     """Valid samples inside the closed overlap window of their run."""
     window = overlap.where("overlap_exists").select("run_id", "overlap_start", "overlap_end")
     inside = F.col("timestamp").between(F.col("overlap_start"), F.col("overlap_end"))
-    return (join_dimension(df.where(status_ok(df)), window, ["run_id"], "inner")
-            .where(inside).drop("overlap_start", "overlap_end"))
+    return (df.where(status_ok(df)).join(window, "run_id").where(inside).drop("overlap_start", "overlap_end"))
 
 
 def iface_buckets(clipped: DataFrame, th: EventThresholds = EventThresholds()) -> DataFrame:
@@ -50,27 +46,25 @@ def probe_buckets(clipped: DataFrame, th: EventThresholds = EventThresholds()) -
     """Loss, reachability, median RTT and highest delay variation per run, bucket and target."""
     keys = ["run_id", "bucket", "target"]
     rows = clipped.withColumn("bucket", bucket_of(clipped, th.bucket_seconds))
-    sums = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("probe_samples"),
+    sums = rows.groupBy(*keys).agg(  # a bucket of one target is bounded
+        F.count(F.lit(1)).alias("probe_samples"), quantile_of("rtt_ms", 0.5).alias("rtt_ms"),
         F.sum(F.coalesce("packets_sent", F.lit(0))).cast("double").alias("packets_sent"),
         F.sum(F.coalesce("packets_received", F.lit(0))).cast("double").alias("packets_received"),
         F.bool_and("reachability_bool").alias("reachability"),
         F.max("delay_variation_ms").alias("delay_variation_ms"))
-    return (sums.withColumn("packet_loss_pct", loss_pct(F.col("packets_sent"), F.col("packets_received")))
-            .join(exact_medians(rows, keys, ["rtt_ms"]), keys, "left"))
+    return sums.withColumn("packet_loss_pct", loss_pct(F.col("packets_sent"), F.col("packets_received")))
 
 
 def iface_baselines(clipped: DataFrame) -> DataFrame:
     """Per run medians over the raw samples of the overlap."""
-    medians = exact_medians(clipped, ["run_id"], ["utilization_pct", "rx_rate_mbps", "tx_rate_mbps"])
-    return medians.withColumnsRenamed({c: f"base_{c}" for c in ("utilization_pct", "rx_rate_mbps", "tx_rate_mbps")})
+    return exact_quantiles(clipped, ["run_id"], {f"base_{c}": (c, 0.5) for c in ("utilization_pct", "rx_rate_mbps", "tx_rate_mbps")})
 
 
 def probe_baselines(clipped: DataFrame) -> DataFrame:
     """Per run and target medians of RTT, delay variation and per-sample loss."""
     rows = clipped.withColumn("sample_loss_pct", loss_pct(F.col("packets_sent"), F.col("packets_received")))
-    return exact_medians(rows, ["run_id", "target"], ["rtt_ms", "delay_variation_ms", "sample_loss_pct"]).withColumnsRenamed(
-        {"rtt_ms": "base_rtt_ms", "delay_variation_ms": "base_delay_variation_ms", "sample_loss_pct": "base_loss_pct"})
+    return exact_quantiles(rows, ["run_id", "target"], {
+        "base_rtt_ms": ("rtt_ms", 0.5), "base_delay_variation_ms": ("delay_variation_ms", 0.5), "base_loss_pct": ("sample_loss_pct", 0.5)})
 
 
 def baselines(iface_base: DataFrame, probe_base: DataFrame) -> DataFrame:
@@ -125,7 +119,7 @@ def conditions(th: EventThresholds) -> dict[str, Column]:
 
 def iface_signals(buckets: DataFrame, base: DataFrame, th: EventThresholds = EventThresholds()) -> DataFrame:
     """Fired interface signals in long form."""
-    rows, fired, limit, none = join_dimension(buckets, base, ["run_id"]), conditions(th), limits(th), F.lit(None)
+    rows, fired, limit, none = buckets.join(base, "run_id", "left"), conditions(th), limits(th), F.lit(None)
     signals = [_signal(fired["utilization"], "utilization", none, F.col("utilization_pct"), F.col("base_utilization_pct"),
                        F.lit(th.utilization_high_pct))]
     for side in ("rx", "tx"):
@@ -138,7 +132,7 @@ def iface_signals(buckets: DataFrame, base: DataFrame, th: EventThresholds = Eve
 
 def probe_signals(buckets: DataFrame, base: DataFrame, th: EventThresholds = EventThresholds()) -> DataFrame:
     """Fired probe signals in long form."""
-    rows, fired, limit = join_dimension(buckets, base, ["run_id", "target"]), conditions(th), limits(th)
+    rows, fired, limit = buckets.join(base, ["run_id", "target"], "left"), conditions(th), limits(th)
     target = F.col("target")
     signals = [_signal(fired[m], m, target, F.col(f"{m}_ms"), F.col(f"base_{m}_ms"), limit[m])
                for m in ("rtt", "delay_variation")]
@@ -254,43 +248,43 @@ class EventStages:
         self.th = th.validate()
         self._interface, self._probes = interface, probes
 
-    @cached_property
+    @once
     def interface(self) -> DataFrame:
         return stage(self._interface, "interface")
 
-    @cached_property
+    @once
     def probes(self) -> DataFrame:
         return stage(self._probes, "probes")
 
     def load(self) -> None:
         together(lambda: self.interface, lambda: self.probes)
 
-    @cached_property
+    @once
     def overlap(self) -> DataFrame:
         self.load()
         return stage(source_overlap(self.interface, self.probes, strict=True), "overlap")
 
-    @cached_property
+    @once
     def iface_clipped(self) -> DataFrame:
         return clip(self.interface, self.overlap)
 
-    @cached_property
+    @once
     def probe_clipped(self) -> DataFrame:
         return clip(self.probes, self.overlap)
 
-    @cached_property
+    @once
     def iface_buckets(self) -> DataFrame:
         return stage(iface_buckets(self.iface_clipped, self.th), "iface_buckets")
 
-    @cached_property
+    @once
     def probe_buckets(self) -> DataFrame:
         return stage(probe_buckets(self.probe_clipped, self.th), "probe_buckets")
 
-    @cached_property
+    @once
     def iface_base(self) -> DataFrame:
         return stage(iface_baselines(self.iface_clipped), "iface_base")
 
-    @cached_property
+    @once
     def probe_base(self) -> DataFrame:
         return stage(probe_baselines(self.probe_clipped), "probe_base")
 
@@ -299,30 +293,30 @@ class EventStages:
         _ = self.overlap
         together(lambda: self.iface_buckets, lambda: self.probe_buckets, lambda: self.iface_base, lambda: self.probe_base)
 
-    @cached_property
+    @once
     def signals(self) -> DataFrame:
         self.summarize()
         return stage(iface_signals(self.iface_buckets, self.iface_base, self.th).unionByName(
             probe_signals(self.probe_buckets, self.probe_base, self.th)), "signals")
 
-    @cached_property
+    @once
     def timeline(self) -> DataFrame:
         return event_timeline(self.iface_buckets, self.probe_buckets, self.signals, self.th)
 
-    @cached_property
+    @once
     def buckets(self) -> DataFrame:
         candidates = stage(candidate_buckets(self.timeline), "candidates")
         return stage(sessions(candidates, self.th), "sessions")
 
-    @cached_property
+    @once
     def events(self) -> DataFrame:
         return stage(events_rollup(self.buckets, self.th), "events")
 
-    @cached_property
+    @once
     def evidence(self) -> DataFrame:
         return event_evidence(self.buckets, self.signals)
 
-    @cached_property
+    @once
     def targets(self) -> DataFrame:
         return event_targets(self.evidence)
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from linklens.config import EvidenceConfig
 from linklens.functions.scalars import numbered, shown
-from linklens.operators.joins import join_dimension
 
 # Correlated metric -> event metric.
 EVENT_METRIC = {"rtt_ms": "rtt", "delay_variation_ms": "delay_variation", "packet_loss_pct": "packet_loss",
@@ -26,10 +25,10 @@ def event_correlations(events: DataFrame, targets: DataFrame, correlations: Data
                        cfg: EvidenceConfig = EvidenceConfig()) -> DataFrame:
     """Correlations relevant to each event.
 
-    The run and the metric are equality keys, so only correlations of a metric
-    the event shows are paired with it; the rest are predicates: closed time
-    overlap, load or host kind, and the target rule (skipped where the
-    correlation or the event names no target).
+    Run, metric and target are equality keys: an event that names targets meets
+    the correlations of these targets, and those that name none. An event without
+    targets meets all correlations of its metric. What is left are predicates:
+    closed time overlap and load or host kind.
     """
     named = targets.groupBy("run_id", "event_id").agg(F.count(F.lit(1)).alias("_targets"))
     by_metric = (events.select("run_id", "event_id", "start", "end",
@@ -41,16 +40,17 @@ def event_correlations(events: DataFrame, targets: DataFrame, correlations: Data
         F.col("event_metric").isNotNull() & F.col("first_timestamp").isNotNull() & F.col("last_timestamp").isNotNull())
     kind = F.when((F.col("x_metric") == "utilization_pct") & F.col("_loaded"), "load_support").when(
         F.col("x_metric") == "cpu_percent", "host_context")
-    pairs = (join_dimension(by_metric, known, ["run_id", "event_metric"], "inner")
+    keys = ["run_id", "event_metric"]
+    named_known, free_known = known.where("target <> ''"), known.where("target IS NULL OR target = ''")
+    by_target = by_metric.where("_targets IS NOT NULL").join(targets.select("run_id", "event_id", "target"), ["run_id", "event_id"])
+    pairs = (by_target.join(named_known, keys + ["target"])
+             .unionByName(by_metric.where("_targets IS NOT NULL").join(free_known, keys))
+             .unionByName(by_metric.where("_targets IS NULL").join(known, keys))
              .where((F.col("last_timestamp") >= F.col("start")) & (F.col("first_timestamp") <= F.col("end")))
              .withColumn("kind", kind).where(F.col("kind").isNotNull()))
-    listed = targets.select("run_id", "event_id", "target", F.lit(True).alias("_listed"))
-    free = F.col("target").isNull() | (F.col("target") == "") | F.col("_targets").isNull()
     supports = ((F.col("evidence_status") == "descriptive_association") & F.col("sufficient_samples")
                 & (F.abs("spearman_rho") >= cfg.min_support_abs_rho))
-    return (pairs.join(listed, ["run_id", "event_id", "target"], "left")
-            .where(free | F.col("_listed"))
-            .withColumn("supports", F.coalesce(supports, F.lit(False)))
+    return (pairs.withColumn("supports", F.coalesce(supports, F.lit(False)))
             .select("run_id", "event_id", "supports", *REFERENCE))
 
 

@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 
 from linklens.config import HistoryConfig
 from linklens.functions.scalars import capacity_step, rank_in, seconds_between, shown
-from linklens.operators.joins import join_dimension
 from linklens.operators.ordered import row_numbers, time_chunk
-from linklens.operators.quantiles import exact_quantiles
+from linklens.operators.quantiles import exact_quantiles, quantile_of
 from linklens.operators.ranks import spearman
 from linklens.session import stage, together
 
@@ -24,15 +23,13 @@ TAIL_DAYS = 3
 
 
 def daily_link(df: DataFrame) -> DataFrame:
-    keys = ["link_id", "date"]
-    shape = exact_quantiles(df, keys, {
-        "daily_p95_utilization": ("utilization", 0.95),
-        "daily_p95_rx_utilization": ("rx_utilization", 0.95),
-        "daily_p95_tx_utilization": ("tx_utilization", 0.95),
-        "capacity_mbps": ("capacity_mbps", 0.5)})
-    load = df.groupBy(*keys).agg(F.avg("utilization").alias("daily_mean_utilization"),
-                                 F.max("traffic_mbps").alias("daily_peak_traffic_mbps"))
-    return load.join(shape, keys, "left")
+    """Per link and day; a day of one link is bounded, so its quantiles sit in the same aggregate."""
+    return df.groupBy("link_id", "date").agg(
+        F.avg("utilization").alias("daily_mean_utilization"), F.max("traffic_mbps").alias("daily_peak_traffic_mbps"),
+        quantile_of("utilization", 0.95).alias("daily_p95_utilization"),
+        quantile_of("rx_utilization", 0.95).alias("daily_p95_rx_utilization"),
+        quantile_of("tx_utilization", 0.95).alias("daily_p95_tx_utilization"),
+        quantile_of("capacity_mbps", 0.5).alias("capacity_mbps"))
 
 
 def hourly_link(df: DataFrame) -> DataFrame:
@@ -116,7 +113,7 @@ def load_delta(df: DataFrame, cfg: HistoryConfig = HistoryConfig(), ranked: Data
     """``link_id, metric, delta``: mean metric under high load minus under low load."""
     keys = ["link_id", "metric"]
     cuts = stage(load_cuts(df, cfg), "cuts") if cuts is None else cuts
-    means = join_dimension(_load_pairs(df), cuts, keys, "inner").groupBy(*keys).agg(
+    means = _load_pairs(df).join(cuts, keys).groupBy(*keys).agg(
         (F.avg(F.when(F.col("x") >= F.col("_high"), F.col("y")))
          - F.avg(F.when(F.col("x") <= F.col("_low"), F.col("y")))).alias("delta"))
     size = (load_spearman(df) if ranked is None else ranked).select(*keys, "pair_count", "y_distinct")
@@ -289,7 +286,7 @@ def trend_line(daily: DataFrame, trend: DataFrame) -> DataFrame:
     line = reliable.join(span, "link_id")
     day = F.datediff("date", "_start")
     mean_x = F.col("_mean_d") - F.datediff("_start", F.lit("1970-01-01").cast("date"))
-    return join_dimension(daily, line, ["link_id"], "inner").select(
+    return daily.join(line, "link_id").select(
         "link_id", "date", y.alias("observed_pct"),
         (F.col("_mean_y") - F.col("_slope") * mean_x + F.col("_slope") * day).alias("fitted_pct"))
 

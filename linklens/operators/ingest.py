@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linklens.functions.scalars import number_of, to_timestamp
-from linklens.operators.joins import join_dimension
 from linklens.session import stage
 
 # Canonical columns and the header names read as each of them.
@@ -98,17 +97,17 @@ def validate_rows(df: DataFrame) -> DataFrame:
     """Adds ``rejection_reason`` (null for accepted rows); the first failing rule names it.
 
     ``row_no`` carries the file order and must be unique. The duplicate rule
-    looks at all rows, rejected ones too. Only pairs that occur more than once
-    matter: they are found by a map-side minimum and count over three narrow
-    columns and written as a table, which Spark broadcasts when its size allows;
-    otherwise the salted join keeps a huge group of copies apart.
+    looks at all rows, rejected ones too: a map-side minimum over three narrow
+    columns finds the first row of each repeated pair, and the rows are joined to
+    it on the pair. The rows are the left side of that join, so adaptive execution
+    splits a pair with many copies.
     """
     rows = typed(df)
     pair = ["timestamp", "link_id"]
     repeated = (rows.where(F.col("timestamp").isNotNull() & F.col("link_id").isNotNull())
                 .groupBy(*pair).agg(F.min("row_no").alias("_first"), F.count(F.lit(1)).alias("_copies"))
                 .where(F.col("_copies") > 1).drop("_copies"))
-    rows = join_dimension(rows, stage(repeated, "repeated"), pair)
+    rows = rows.join(repeated, pair, "left")
 
     def negative(name):
         return F.col(name).isNull() | (F.col(name) < 0)

@@ -81,14 +81,15 @@ def verify_manifest(entries: DataFrame, hashes: DataFrame) -> DataFrame:
 
 
 def integrity_summary(verified: DataFrame, strict_untracked: bool = False) -> DataFrame:
-    """Per run the verdict and a count of each state."""
+    """Per run the verdict and a count of each state. A run without any manifest line is invalid."""
     counts = verified.groupBy("run_id").agg(*[F.count_if(F.col("status") == s).alias(f"{s}_files") for s in (
         "ok", "missing", "mismatched", "malformed", "unsafe", "untracked")])
     bad = F.col("missing_files") + F.col("mismatched_files") + F.col("malformed_files") + F.col("unsafe_files")
     if strict_untracked:
         bad = bad + F.col("untracked_files")
+    listed = bad + F.col("ok_files") + (F.lit(0) if not strict_untracked else -F.col("untracked_files"))
     return counts.withColumns({"checked_files": F.col("ok_files") + F.col("mismatched_files"),
-                               "strict_untracked": F.lit(strict_untracked), "integrity_valid": bad == 0})
+                               "strict_untracked": F.lit(strict_untracked), "integrity_valid": (bad == 0) & (listed > 0)})
 
 
 # --- sample file profiles ------------------------------------------------------
@@ -152,19 +153,40 @@ def cell_type(text: Column) -> Column:
             .otherwise("text"))
 
 
-def _cells(df: DataFrame, keys: Sequence[str], side: str) -> DataFrame:
-    values = [c for c in df.columns if c not in keys]
-    entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias(side)) for c in values])
-    return df.select(*keys, F.explode(entries).alias("c")).select(*keys, "c.*", F.lit(True).alias(f"_in_{side}"))
+def _numbered(df: DataFrame, keys: Sequence[str], side: str) -> DataFrame:
+    """Keys, the occurrence of each key (in order of its values) and the values as text."""
+    values = sorted(c for c in df.columns if c not in keys)
+    copies = W.partitionBy(*keys).orderBy(*[F.col(c).cast("string") for c in values] or [F.lit(1)])
+    return df.select(*[F.col(k).alias(f"_{side}_{k}") for k in keys], *[F.col(c).cast("string").alias(f"_{side}_v_{c}") for c in values],
+                     F.row_number().over(copies).alias(f"_{side}_no"))
 
 
 def table_diff(left: DataFrame, right: DataFrame, keys: Sequence[str], artifact: str = "table",
                rel_tol: float = 1e-9, abs_tol: float = 1e-9) -> DataFrame:
-    """Cells that differ: ``artifact, keys, column, kind, left, right``."""
+    """Cells that differ: ``artifact, keys, column, kind, left, right``.
+
+    Rows meet once, on their keys (null equals null) and the key's occurrence; only differing cells are unfolded.
+    """
     keys = list(keys)
-    both = _cells(left, keys, "left").join(_cells(right, keys, "right"), keys + ["column"], "full_outer")
-    lt, rt = cell_type(F.col("left")), cell_type(F.col("right"))
-    a, b = F.trim("left"), F.trim("right")
+    first, second = _numbered(left, keys, "l"), _numbered(right, keys, "r")
+    same_row = first["_l_no"] == second["_r_no"]
+    for k in keys:
+        same_row = same_row & first[f"_l_{k}"].eqNullSafe(second[f"_r_{k}"])
+    both = first.join(second, same_row, "full_outer")
+    cells = []
+    for c in [c for c in dict.fromkeys([*left.columns, *right.columns]) if c not in keys]:
+        value = [F.col(f"_{s}_v_{c}") if c in df.columns else F.lit(None).cast("string") for s, df in (("l", left), ("r", right))]
+        there = [F.col(f"_{s}_no").isNotNull() if c in df.columns else F.lit(False) for s, df in (("l", left), ("r", right))]
+        kind = _difference(*value, *there, rel_tol, abs_tol)
+        cells.append(F.when(kind.isNotNull(), F.struct(F.lit(c).alias("column"), kind.alias("kind"), value[0].alias("left"), value[1].alias("right"))))
+    named = [F.coalesce(f"_l_{k}", f"_r_{k}").alias(k) for k in keys]
+    return both.select(*named, F.explode(F.array_compact(F.array(*cells))).alias("c")).select(F.lit(artifact).alias("artifact"), *keys, "c.*")
+
+
+def _difference(left: Column, right: Column, in_left: Column, in_right: Column, rel_tol: float, abs_tol: float) -> Column:
+    """``only_left``, ``only_right``, ``changed`` or null."""
+    lt, rt = cell_type(left), cell_type(right)
+    a, b = F.trim(left), F.trim(right)
 
     def number(text: Column, kind: Column) -> Column:
         return (F.when(kind == "bool", F.when(F.lower(text) == "true", 1.0).otherwise(0.0))
@@ -174,10 +196,7 @@ def table_diff(left: DataFrame, right: DataFrame, keys: Sequence[str], artifact:
     boolean = (lt == "bool") | (rt == "bool")
     same = (F.when((lt == "null") | (rt == "null"), lt == rt).when(boolean, F.coalesce(x == y, F.lit(False)))
             .when(x.isNotNull() & y.isNotNull(), is_close(x, y, rel_tol, abs_tol)).otherwise(a == b))
-    kind = (F.when(F.col("_in_left").isNull(), "only_right").when(F.col("_in_right").isNull(), "only_left")
-            .when(~same, "changed"))
-    return both.withColumn("kind", kind).where(F.col("kind").isNotNull()).select(
-        F.lit(artifact).alias("artifact"), *keys, "column", "kind", "left", "right")
+    return F.when(in_left & ~in_right, "only_left").when(in_right & ~in_left, "only_right").when(in_left & in_right & ~same, "changed")
 
 
 def diff_limit(differences: DataFrame, order: Iterable[str], limit: int = DIFF_LIMIT) -> DataFrame:

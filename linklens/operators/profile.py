@@ -7,17 +7,14 @@ target, empty for the host), so each step is one pass.
 
 from __future__ import annotations
 
-from functools import cached_property
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linklens.config import DatasetQualityConfig
 from linklens.functions.scalars import not_available, number_of, seconds_between, shown, to_bool, to_timestamp
-from linklens.operators.joins import join_dimension
 from linklens.operators.ordered import previous_valid, row_chunk, time_chunk
-from linklens.session import stage
+from linklens.session import once, stage
 
 SOURCES = ("interface", "host", "probes")
 GROUP = ["run_id", "source", "grp"]
@@ -85,7 +82,7 @@ def gap_rows(samples: DataFrame) -> DataFrame:
 
 def gaps(samples: DataFrame, runs: DataFrame, cfg: DatasetQualityConfig = DatasetQualityConfig()) -> DataFrame:
     """Per run and source: gaps over ``interval * gap_factor`` and the longest one."""
-    spans = join_dimension(gap_rows(samples), expected_samples(runs).select(*KEYS, "interval_seconds"), KEYS, "inner")
+    spans = gap_rows(samples).join(expected_samples(runs).select(*KEYS, "interval_seconds"), KEYS)
     timed = F.col("interval_seconds") > 0
     return spans.groupBy(*KEYS).agg(
         F.count_if(timed & (F.col("gap_seconds") > F.col("interval_seconds") * cfg.gap_factor)).alias("gaps"),
@@ -107,7 +104,7 @@ def outside_window(runs: DataFrame, cfg: DatasetQualityConfig = DatasetQualityCo
 
 def timestamp_profile(samples: DataFrame, runs: DataFrame,
                       cfg: DatasetQualityConfig = DatasetQualityConfig()) -> DataFrame:
-    window = join_dimension(samples, runs.select("run_id", "started", "ended"), ["run_id"])
+    window = samples.join(runs.select("run_id", "started", "ended"), "run_id", "left")
     facts = window.groupBy(*KEYS).agg(
         F.count_if(F.col("timestamp").isNull()).alias("invalid_timestamps"),
         F.count_if(outside_window(runs, cfg)).alias("outside_run_window"),
@@ -278,23 +275,23 @@ class QualityStages:
                  cfg: DatasetQualityConfig = DatasetQualityConfig()):
         self.interface, self.host, self.probes, self.runs, self.cfg = interface, host, probes, runs, cfg.validate()
 
-    @cached_property
+    @once
     def samples(self) -> DataFrame:
         return stage(samples_long(self.interface, self.host, self.probes), "samples")
 
-    @cached_property
+    @once
     def profile(self) -> DataFrame:
         return stage(source_profile(self.samples, self.runs, self.cfg), "profile")
 
-    @cached_property
+    @once
     def facts(self) -> DataFrame:
         return stage(run_facts(self.profile, self.interface, self.host, self.probes, self.runs), "facts")
 
-    @cached_property
+    @once
     def checks(self) -> DataFrame:
         return quality_checks(self.profile, self.facts, self.cfg)
 
-    @cached_property
+    @once
     def gate(self) -> DataFrame:
         return stage(quality_gate(self.checks, self.facts), "gate")
 

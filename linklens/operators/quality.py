@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from linklens.functions.scalars import number_of, seconds_between, to_bool
 from linklens.operators.counters import counter_delta, delay_variation, elapsed_valid
-from linklens.operators.joins import join_dimension
 from linklens.operators.quantiles import exact_quantiles
 
 DELTAS = ("rx_bytes_delta", "tx_bytes_delta", "rx_errors_delta", "tx_errors_delta", "rx_drops_delta", "tx_drops_delta")
@@ -33,7 +32,7 @@ def processed_interface(df: DataFrame, runs: DataFrame | None = None,
     if runs is None:
         rows = rows.withColumn("capacity_mbps", F.lit(None).cast("double"))
     else:
-        rows = join_dimension(rows, runs.select("run_id", "capacity_mbps"), ["run_id"])
+        rows = rows.join(runs.select("run_id", "capacity_mbps"), "run_id", "left")
     capacity = F.when(F.col("capacity_mbps") > 0, F.col("capacity_mbps"))
 
     def rate(name):

@@ -1,10 +1,14 @@
-"""Exact, linearly interpolated quantiles that survive hot groups.
+"""Exact, linearly interpolated quantiles.
 
-``percentile`` keeps every distinct value of a group in one buffer, which is
-right for groups of a bounded size. Larger groups are cut into value bins by a
-pure, monotone function of the value; bin counts locate the bin that holds each
-wanted rank, and only that bin is ordered. No task then sees more than one bin
-of one group.
+Which way is taken depends on what a key means, never on how many rows it has:
+
+* ``bounded_quantiles`` is for keys with a bounded number of rows by nature (a time bucket, a day of one link): one
+  ``percentile`` buffer per group, inside one aggregate.
+* ``exact_quantiles`` is for keys that grow with history (a link, a run, a target). A mergeable sketch brackets the values
+  around each wanted rank; copies of values collapse, everything below a bracket collapses to one row, and only the values inside
+  the bracket are ordered.
+
+Both ignore nulls and NaN, keep a row for a group without values, and interpolate by the same formula.
 """
 
 from __future__ import annotations
@@ -15,111 +19,78 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from linklens.operators.groups import GROUP_LIMIT, split_by_size
-
-# Bins per unit of log1p(|value|).
-BIN_DENSITY = 1024
+# Rank error of the sketch is at most rows / ACCURACY; brackets reach MARGIN times as far on either side.
+ACCURACY, MARGIN = 4000, 8
+LOWEST = float("-inf")
 
 
-def value_bin(v: Column) -> Column:
-    """A monotone bin number: equal values share a bin, larger values never get a smaller one."""
-    return (F.signum(v) * F.floor(F.log1p(F.abs(v)) * BIN_DENSITY)).cast("long")
+def number(column: str) -> Column:
+    """A double; NaN counts as missing."""
+    value = F.col(column).cast("double")
+    return F.when(~F.isnan(value), value)
 
 
-def unpivot(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """``keys, _m, _v``: one row per non-null value, ``_m`` the position in ``columns``."""
-    items = ", ".join(f"{i}, cast(`{c}` as double)" for i, c in enumerate(columns))
-    return df.selectExpr(*[f"`{k}`" for k in keys], f"stack({len(columns)}, {items}) as (_m, _v)").where(
-        F.col("_v").isNotNull())
+def quantile_of(column: str, q: float) -> Column:
+    """Exact quantile as an aggregate; for groups that are bounded by what their key means."""
+    return F.percentile(number(column), F.lit(float(q)))
 
 
-def frequencies(values: DataFrame, keys: Sequence[str], value: str = "_v",
-                weight: str | None = None) -> DataFrame:
-    """Copies of a value collapse before they move: ``keys, value, _c, _b``."""
-    counted = F.sum(weight) if weight else F.count(F.lit(1))
-    return (values.groupBy(*keys, value).agg(counted.alias("_c"))
-            .withColumn("_b", value_bin(F.col(value))))
+def bounded_quantiles(df: DataFrame, keys: Sequence[str], specs: Mapping[str, tuple[str, float]]) -> DataFrame:
+    """``keys`` plus one column per spec ``name -> (value column, q)``."""
+    return df.groupBy(*keys).agg(*[quantile_of(c, q).alias(name) for name, (c, q) in specs.items()])
 
 
-def bin_offsets(freq: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows below each bin and per group: ``keys, _b, _below, _bin_rows, _n, _distinct``."""
-    bins = freq.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bin_rows"), F.count(F.lit(1)).alias("_bin_distinct"))
-    group = W.partitionBy(*keys)
-    upto = group.orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return bins.select(
-        *keys, "_b", "_bin_rows",
-        (F.sum("_bin_rows").over(upto) - F.col("_bin_rows")).alias("_below"),
-        F.sum("_bin_rows").over(group).alias("_n"),
-        F.sum("_bin_distinct").over(group).alias("_distinct"),
-    )
+def _interpolated(low: Column, high: Column, position: Column) -> Column:
+    below, above = F.floor(position), F.ceil(position)
+    return F.when(below == above, low).otherwise((above - position) * low + (position - below) * high)
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], specs: Mapping[str, tuple[str, float]],
-                    limit: int = GROUP_LIMIT) -> DataFrame:
-    """``keys`` plus one column per spec ``name -> (value column, q)``.
+def exact_quantiles(df: DataFrame, keys: Sequence[str], specs: Mapping[str, tuple[str, float]]) -> DataFrame:
+    """``keys`` plus one column per spec ``name -> (value column, q)``; keys must not be null.
 
-    Keys must not be null. A group without any value has nulls or no row.
+    Two reads of the rows and two aggregates with map-side combining. What is ordered per group and spec is the bracket: at
+    most ``2 * MARGIN / ACCURACY`` of the group's rows, or ``4 * ACCURACY / MARGIN`` rows.
     """
-    keys = list(keys)
-    columns = list(dict.fromkeys(column for column, _ in specs.values()))
-    slim = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
-    ordinary, hot = split_by_size(slim, keys, limit)
-    return buffered_quantiles(ordinary, keys, specs).unionByName(binned_quantiles(hot, keys, specs))
-
-
-def buffered_quantiles(df: DataFrame, keys: Sequence[str], specs: Mapping[str, tuple[str, float]]) -> DataFrame:
-    """One buffer per group and column; for groups of bounded size."""
-    wanted: dict[str, list[float]] = {}
-    for column, q in specs.values():
-        wanted.setdefault(column, []).append(float(q))
-    found = df.groupBy(*keys).agg(*[F.percentile(c, F.array(*[F.lit(q) for q in qs])).alias(f"_q_{c}")
-                                    for c, qs in wanted.items()])
-    return found.select(*keys, *[F.get(f"_q_{column}", F.lit(wanted[column].index(float(q)))).alias(name)
-                                 for name, (column, q) in specs.items()])
-
-
-def binned_quantiles(df: DataFrame, keys: Sequence[str], specs: Mapping[str, tuple[str, float]]) -> DataFrame:
-    """Rank selection through value bins; for groups of any size."""
-    keys = list(keys)
-    columns = list(dict.fromkeys(column for column, _ in specs.values()))
-    names = list(specs)
-    freq = frequencies(unpivot(df, keys, columns), keys + ["_m"])
-    bins = bin_offsets(freq, keys + ["_m"])
-
-    # Wanted zero-based ranks of each metric: lower and upper neighbour per spec.
-    wanted = F.lit(None)
-    for m, column in enumerate(columns):
-        ranks = []
-        for s, name in enumerate(names):
-            if specs[name][0] != column:
-                continue
-            position = (F.col("_n") - 1) * F.lit(float(specs[name][1]))
-            for side, rank in ((0, F.floor(position)), (1, F.ceil(position))):
-                ranks.append(F.struct(F.lit(s).alias("s"), F.lit(side).alias("side"),
-                                      rank.cast("long").alias("rank"), position.alias("pos")))
-        block = F.array(*ranks)
-        wanted = F.when(F.col("_m") == m, block) if m == 0 else wanted.when(F.col("_m") == m, block)
-    hits = (bins.withColumn("_w", wanted)
-            .withColumn("_w", F.filter("_w", lambda r: (r["rank"] >= F.col("_below"))
-                                       & (r["rank"] < F.col("_below") + F.col("_bin_rows"))))
-            .where(F.size("_w") > 0)
-            .select(*keys, "_m", "_b", "_below", "_w"))
-
-    in_bin = W.partitionBy(*keys, "_m", "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    picked = (freq.join(hits, keys + ["_m", "_b"])
-              .withColumn("_end", F.col("_below") + F.sum("_c").over(in_bin))
-              .withColumn("_r", F.explode(F.filter("_w", lambda r: (r["rank"] < F.col("_end"))
-                                                   & (r["rank"] >= F.col("_end") - F.col("_c"))))))
+    keys, names = list(keys), list(specs)
+    columns = list(dict.fromkeys(c for c, _ in specs.values()))
+    slim = df.select(*keys, *[number(c).alias(f"_v{i}") for i, c in enumerate(columns)])
+    reach = MARGIN / ACCURACY
+
+    def levels(column: str) -> list[float]:
+        return [level for c, q in specs.values() if c == column for level in (max(0.0, q - reach), min(1.0, q + reach))]
+
+    sketch = slim.groupBy(*keys).agg(*[a for i, c in enumerate(columns) for a in (
+        F.count(f"_v{i}").alias(f"_n{i}"),
+        F.percentile_approx(f"_v{i}", F.array(*map(F.lit, levels(c))), F.lit(ACCURACY)).alias(f"_cut{i}"))])
+    place: dict[str, int] = {}
+    brackets = []
+    for name, (c, q) in specs.items():
+        i, j = columns.index(c), place.get(c, 0)
+        place[c] = j + 1
+        # A bracket spans whole ranks: it is open at the ends and where its reach is not yet a few rows.
+        wide = F.col(f"_n{i}") * reach >= 4
+        low = F.lit(LOWEST) if q - reach <= 0 else F.when(wide, F.get(f"_cut{i}", F.lit(2 * j))).otherwise(F.lit(LOWEST))
+        high = F.lit(float("inf")) if q + reach >= 1 else F.when(wide, F.get(f"_cut{i}", F.lit(2 * j + 1))).otherwise(F.lit(float("inf")))
+        brackets.append(F.struct(low.alias("low"), high.alias("high"), ((F.col(f"_n{i}") - 1) * F.lit(float(q))).alias("position")))
+    borders = sketch.select(*keys, F.array(*brackets).alias("_b"))
+
+    def entry(s: int, name: str) -> Column:
+        value, b = F.col(f"_v{columns.index(specs[name][0])}"), F.get("_b", F.lit(s))
+        return F.when(value <= b["high"], F.struct(F.lit(s).alias("s"), F.when(value >= b["low"], value).otherwise(F.lit(LOWEST)).alias("v")))
+
+    near = (slim.join(borders, keys)
+            .select(*keys, F.explode(F.array_compact(F.array(*[entry(s, n) for s, n in enumerate(names)]))).alias("e"))
+            .groupBy(*keys, F.col("e.s").alias("_s"), F.col("e.v").alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
+    upto = W.partitionBy(*keys, "_s").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ordered = near.withColumn("_end", F.sum("_c").over(upto)).join(borders, keys)
+    position = F.get("_b", F.col("_s"))["position"]
+
+    def at(rank: Column) -> Column:
+        return (rank < F.col("_end")) & (rank >= F.col("_end") - F.col("_c"))
+
+    found = ordered.withColumn("_p", position).where(at(F.floor("_p")) | at(F.ceil("_p")))
     aggregates = []
     for s, name in enumerate(names):
-        low, high, pos = (
-            F.max(F.when((F.col("_r.s") == s) & (F.col("_r.side") == side), F.col(column)))
-            for side, column in ((0, "_v"), (1, "_v"), (0, "_r.pos"))
-        )
-        aggregates.append((low + (high - low) * (pos - F.floor(pos))).alias(name))
-    return picked.groupBy(*keys).agg(*aggregates)
-
-
-def exact_medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
-                  limit: int = GROUP_LIMIT) -> DataFrame:
-    return exact_quantiles(df, keys, {c: (c, 0.5) for c in columns}, limit)
+        low, high = (F.max(F.when((F.col("_s") == s) & at(side("_p")), F.col("_v"))) for side in (F.floor, F.ceil))
+        aggregates.append(_interpolated(low, high, F.max(F.when(F.col("_s") == s, F.col("_p")))).alias(name))
+    return sketch.select(*keys).join(found.groupBy(*keys).agg(*aggregates), keys, "left")

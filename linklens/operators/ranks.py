@@ -1,34 +1,62 @@
-"""Average ranks and rank correlation over groups of any size."""
+"""Average ranks and rank correlation.
+
+As with quantiles the way depends on what a key means: ``bounded_spearman`` ranks by windows over whole groups (series
+of buckets of one run), ``spearman`` cuts the values of a group into bins at the quantiles of its own values.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from linklens.operators.groups import GROUP_LIMIT, split_by_size
-from linklens.operators.quantiles import bin_offsets, frequencies
+from linklens.operators.quantiles import number
+
+# A group's distinct values are dealt into COARSE * FINE bins at their own quantiles, so a bin holds about one thousandth of
+# them wherever they lie. One comparison with each coarse cut and each fine cut of one stretch finds the bin.
+COARSE, FINE = 32, 32
+
+
+def _bin(value: Column, cuts: Column) -> Column:
+    coarse = F.size(F.filter(F.transform(F.sequence(F.lit(1), F.lit(COARSE - 1)), lambda i: F.get(cuts, i * FINE - 1)), lambda c: c < value))
+    fine = F.size(F.filter(F.slice(cuts, coarse * FINE + 1, F.lit(FINE)), lambda c: c < value))
+    return coarse * FINE + fine
+
+
+def frequencies(values: DataFrame, keys: Sequence[str], value: str = "_v", weight: str | None = None) -> DataFrame:
+    """Copies of a value collapse before they move: ``keys, value, _c`` and the bin ``_b``."""
+    keys = list(keys)
+    counted = F.sum(weight) if weight else F.count(F.lit(1))
+    freq = values.groupBy(*keys, value).agg(counted.alias("_c"))
+    steps = COARSE * FINE
+    levels = F.array(*[F.lit(i / steps) for i in range(1, steps)])
+    cuts = freq.groupBy(*keys).agg(F.percentile_approx(value, levels, F.lit(4 * steps)).alias("_cuts"))
+    return freq.join(cuts, keys).withColumn("_b", _bin(F.col(value), F.col("_cuts"))).drop("_cuts")
+
+
+def bin_offsets(freq: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows below each bin and per group: ``keys, _b, _below, _n, _distinct``; at most COARSE * FINE rows a group."""
+    bins = freq.groupBy(*keys, "_b").agg(F.sum("_c").alias("_rows"), F.count(F.lit(1)).alias("_values"))
+    group = W.partitionBy(*keys)
+    upto = group.orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return bins.select(*keys, "_b", (F.sum("_rows").over(upto) - F.col("_rows")).alias("_below"),
+                       F.sum("_rows").over(group).alias("_n"), F.sum("_values").over(group).alias("_distinct"))
 
 
-def average_ranks(values: DataFrame, keys: Sequence[str], value: str = "_v",
-                  weight: str | None = None) -> DataFrame:
+def average_ranks(values: DataFrame, keys: Sequence[str], value: str = "_v", weight: str | None = None) -> DataFrame:
     """One row per distinct value: ``keys, value, avg_rank, tie_count, n, distinct_values``.
 
-    Ties share the mean of the ranks they cover. Each value bin is ordered on
-    its own and shifted by the rows below it.
+    Ties share the mean of the ranks they cover. Each bin is ordered on its own and shifted by the rows below it.
     """
     keys = list(keys)
     freq = frequencies(values.where(F.col(value).isNotNull()), keys, value, weight)
-    bins = bin_offsets(freq, keys)
     upto = W.partitionBy(*keys, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return (freq.join(bins, keys + ["_b"])
+    return (freq.join(bin_offsets(freq, keys), keys + ["_b"])
             .withColumn("_end", F.col("_below") + F.sum("_c").over(upto))
-            .select(*keys, value,
-                    (F.col("_end") - (F.col("_c") - 1) / 2.0).alias("avg_rank"),
-                    F.col("_c").alias("tie_count"), F.col("_n").alias("n"),
-                    F.col("_distinct").alias("distinct_values")))
+            .select(*keys, value, (F.col("_end") - (F.col("_c") - 1) / 2.0).alias("avg_rank"),
+                    F.col("_c").alias("tie_count"), F.col("_n").alias("n"), F.col("_distinct").alias("distinct_values")))
 
 
 def _clamped(xy, xx, yy):
@@ -36,10 +64,14 @@ def _clamped(xy, xx, yy):
     return F.when(rho.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), rho)))
 
 
-def window_spearman(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Ranks by window; for groups of bounded size. One shuffle on the keys."""
-    group = W.partitionBy(*keys)
-    ranked = pairs
+def complete_pairs(pairs: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
+    return pairs.select(*keys, number(x).alias("x"), number(y).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+
+
+def bounded_spearman(pairs: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
+    """As ``spearman``, by windows over whole groups: for keys whose groups are bounded. One shuffle on the keys."""
+    keys, group = list(keys), W.partitionBy(*keys)
+    ranked = complete_pairs(pairs, keys, x, y)
     for c in ("x", "y"):
         ordered = group.orderBy(c)
         ranked = ranked.withColumns({
@@ -49,19 +81,17 @@ def window_spearman(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.count(F.lit(1)).alias("pair_count"), F.max("_dx").cast("long").alias("x_distinct"),
         F.max("_dy").cast("long").alias("y_distinct"), F.covar_pop("_rx", "_ry").alias("_xy"),
         F.var_pop("_rx").alias("_xx"), F.var_pop("_ry").alias("_yy"))
-    return stats.select(*keys, "pair_count", "x_distinct", "y_distinct",
-                        _clamped(F.col("_xy"), F.col("_xx"), F.col("_yy")).alias("rho"))
+    return stats.select(*keys, "pair_count", "x_distinct", "y_distinct", _clamped(F.col("_xy"), F.col("_xx"), F.col("_yy")).alias("rho"))
 
 
-def binned_spearman(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Ranks through value bins; for groups of any size.
+def spearman(pairs: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
+    """``keys, pair_count, x_distinct, y_distinct, rho`` over complete pairs; ``rho`` is null when a side is constant.
 
-    Copies of a pair collapse first. The centred ranks of ``x`` are summed per
-    ``y`` value before the ranks of ``y`` are joined, so ties in ``y`` move as
-    one row.
+    For groups of any size. Copies of a pair collapse first. The centred ranks of ``x`` are summed per ``y`` value before
+    the ranks of ``y`` are joined, so ties in ``y`` move as one row.
     """
     keys = list(keys)
-    copies = pairs.groupBy(*keys, "x", "y").agg(F.count(F.lit(1)).alias("_w"))
+    copies = complete_pairs(pairs, keys, x, y).groupBy(*keys, "x", "y").agg(F.count(F.lit(1)).alias("_w"))
 
     def centred(c: str) -> DataFrame:
         return average_ranks(copies, keys, c, "_w").select(
@@ -77,18 +107,4 @@ def binned_spearman(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
                   F.sum(F.col("_cy") * F.col("_ry") * F.col("_ry")).alias("_yy")))
     spread_x = rank_x.groupBy(*keys).agg(F.sum(F.col("_cx") * F.col("_rx") * F.col("_rx")).alias("_xx"))
     return cross.join(spread_x, keys).select(
-        *keys, "pair_count", "x_distinct", "y_distinct",
-        _clamped(F.col("_xy"), F.col("_xx"), F.col("_yy")).alias("rho"))
-
-
-def spearman(pairs: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y",
-             limit: int = GROUP_LIMIT) -> DataFrame:
-    """``keys, pair_count, x_distinct, y_distinct, rho`` over complete pairs.
-
-    ``rho`` is null when a side is constant.
-    """
-    keys = list(keys)
-    complete = pairs.select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where(
-        F.col("x").isNotNull() & F.col("y").isNotNull())
-    ordinary, hot = split_by_size(complete, keys, limit)
-    return window_spearman(ordinary, keys).unionByName(binned_spearman(hot, keys))
+        *keys, "pair_count", "x_distinct", "y_distinct", _clamped(F.col("_xy"), F.col("_xx"), F.col("_yy")).alias("rho"))

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import cached_property
-
 from pyspark.sql import DataFrame
 
 from linklens.config import (
@@ -18,7 +16,7 @@ from linklens.operators.fingerprint import analyze_fingerprints, fingerprint_tra
 from linklens.operators.profile import QualityStages
 from linklens.operators.quality import interface_summary, probe_summary, processed_interface, processed_probes
 from linklens.operators.report import executive_summary, headline_metrics, run_report, safe_only
-from linklens.session import stage, together
+from linklens.session import once, stage, together
 
 
 class RunAudit:
@@ -41,16 +39,16 @@ class RunAudit:
         self.stages = EventStages(processed_interface(interface, self.runs, counter_maxima), processed_probes(probes), thresholds)
         self._correlation = correlation
 
-    @cached_property
+    @once
     def gate(self) -> DataFrame:
         return self.gate_stages.gate
 
-    @cached_property
+    @once
     def related(self) -> CorrelationStages:
         self.stages.load()
         return CorrelationStages(self.stages.interface, self.stages.probes, self.host, self._correlation)
 
-    @cached_property
+    @once
     def headline(self) -> DataFrame:
         st = self.stages
         st.load()
@@ -58,35 +56,35 @@ class RunAudit:
                                           lambda: stage(probe_summary(st.probes)), lambda: st.events)
         return stage(headline_metrics(self.runs, interfaces, targets, st.events), "headline")
 
-    @cached_property
+    @once
     def references(self) -> DataFrame:
         related = self.related
         _, found = together(lambda: self.stages.events, lambda: related.correlations)
         linked = event_correlations(self.stages.events, self.stages.targets, found, self.evidence_config)
         return stage(top_correlations(linked, self.evidence_config), "references")
 
-    @cached_property
+    @once
     def findings(self) -> DataFrame:
         return stage(findings(self.stages.events, self.stages.targets, self.references), "findings")
 
-    @cached_property
+    @once
     def evidence_trace(self) -> DataFrame:
         return evidence_trace(self.findings, self.references)
 
-    @cached_property
+    @once
     def fingerprint_trace(self) -> DataFrame:
         return stage(fingerprint_trace(loss_baseline(self.stages.evidence, self.stages.probe_base)), "trace")
 
-    @cached_property
+    @once
     def fingerprints(self) -> DataFrame:
         st = self.stages
         return stage(analyze_fingerprints(st.events, st.targets, st.evidence, st.probe_base, self.fingerprint_config), "fingerprints")
 
-    @cached_property
+    @once
     def summary(self) -> DataFrame:
         return executive_summary(self.runs, self.gate, self.headline, safe_only(self.findings, self.gate), self.report_config)
 
-    @cached_property
+    @once
     def report(self) -> DataFrame:
         g, st, related = self.gate_stages, self.stages, self.related
         together(lambda: st.events, lambda: related.correlations, lambda: g.gate)

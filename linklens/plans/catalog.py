@@ -563,8 +563,8 @@ def _(spark, sf):
 def _(spark, sf):
     st = stages(spark, sf)
     slices = fx.in_slices(T.combined_samples(st.interface, st.probes), fx.CLOSING)
-    window = st.overlap.unionByName(st.overlap.limit(1).withColumns({
-        "run_id": F.lit(fx.CLOSING["run_id"]), "overlap_end": F.lit("2024-04-01 00:00:00").cast("timestamp_ntz")}))
+    closing = {"run_id": fx.CLOSING["run_id"], "overlap_exists": True, "overlap_start": "2024-01-01 00:00:00", "overlap_end": "2024-04-01 00:00:00"}
+    window = st.overlap.unionByName(spark.range(1).select(*[F.lit(closing.get(f.name)).cast(f.dataType).alias(f.name) for f in st.overlap.schema]))
     return opened(T.land_and_run(slices, lambda s: T.stream_events(s, st.iface_base, st.probe_base, window, THRESHOLDS)))
 
 

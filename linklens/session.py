@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -23,7 +26,6 @@ DEFAULTS = {
 LOCAL_DEFAULTS = {
     "spark.sql.shuffle.partitions": "8",
     "spark.ui.enabled": "false",
-    "spark.driver.memory": "16g",
     "spark.sql.autoBroadcastJoinThreshold": "32m",
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
@@ -42,16 +44,29 @@ def local_session(app: str = "linklens", cores: int | str = 8, **extra: str) ->
 def scratch_dir(spark: SparkSession, label: str = "stage") -> str:
     """A fresh path below the cluster's shared checkpoint folder.
 
-    ``spark.checkpoint.dir`` names the shared folder. Where it is unset (local
-    tests) a new temporary folder stands in for it.
+    ``spark.checkpoint.dir`` names the shared folder. Where it is unset, a local
+    master gets one temporary folder, removed at exit; on a cluster, where a local
+    folder would not be shared, that is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="linklens-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    root = spark.conf.get("spark.checkpoint.dir", None) or _local_root(spark)
     return f"{root.rstrip('/')}/linklens/{label}-{uuid.uuid4().hex}"
 
 
+_ROOT: list[str] = []
+_ROOT_LOCK = threading.Lock()
+
+
+def _local_root(spark: SparkSession) -> str:
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    with _ROOT_LOCK:
+        if not _ROOT:
+            _ROOT.append(tempfile.mkdtemp(prefix="linklens-"))
+            atexit.register(shutil.rmtree, _ROOT[0], ignore_errors=True)
+    return _ROOT[0]
+
+
 def stage(df, label: str = "stage"):
     """Write ``df`` once to the shared folder and read it back.
 
@@ -64,6 +79,23 @@ def stage(df, label: str = "stage"):
     return spark.read.schema(df.schema).parquet(path)
 
 
+class once:
+    """A property that is built once per object, also when several threads ask for it."""
+
+    def __init__(self, build: Callable):
+        self.build, self.name = build, build.__name__
+
+    def __get__(self, owner, kind=None):
+        if owner is None:
+            return self
+        known = owner.__dict__
+        lock = known.setdefault(f"_lock_{self.name}", threading.RLock())
+        with lock:
+            if self.name not in known:
+                known[self.name] = self.build(owner)
+        return known[self.name]
+
+
 def together(*steps: Callable[[], object]) -> list:
     """Submit independent jobs at the same time, so small ones do not leave the cluster idle."""
     with ThreadPoolExecutor(len(steps)) as pool:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,16 +42,24 @@ def sniff_delimiter(spark: SparkSession, path: str) -> str:
 
 
 def read_history(spark: SparkSession, path: str, mapping: Mapping[str, str] | None = None,
-                 delimiter: str | None = None) -> DataFrame:
-    """Link-history CSV (all text, byte-order mark tolerated) or parquet with canonical column names.
+                 delimiter: str | None = None, file_format: str | None = None) -> DataFrame:
+    """Link history as text CSV (byte-order mark tolerated) or parquet, with canonical column names.
+
+    ``file_format`` is ``csv`` or ``parquet``; without it the path's ending decides. CSV headers are checked per file, so files
+    of one folder may not order their columns differently without an error.
 
     ``row_no`` is the file order. Landed files should carry it; without it the
     scan position stands in, which is only meaningful for one file.
     """
-    if path.rstrip("/").endswith(".parquet"):
+    kind = file_format or ("parquet" if path.rstrip("/").endswith(".parquet") else "csv")
+    if kind == "parquet":
         raw = spark.read.parquet(path)
+    elif kind == "csv":
+        sep = delimiter or sniff_delimiter(spark, path)
+        columns = spark.read.csv(path, header=True, inferSchema=False, sep=sep).schema
+        raw = spark.read.schema(columns).csv(path, header=True, sep=sep, enforceSchema=False)
     else:
-        raw = spark.read.csv(path, header=True, inferSchema=False, sep=delimiter or sniff_delimiter(spark, path))
+        raise ValueError(f"unknown format {kind}")
     df = map_columns(raw, mapping)
     if "row_no" in df.columns:
         return df.withColumn("row_no", F.col("row_no").cast("long"))
@@ -63,8 +71,9 @@ def read_samples(df: DataFrame, required: Iterable[str]) -> DataFrame:
     rows = require_columns(df, required)
     if isinstance(rows.schema["timestamp"].dataType, T.StringType):
         rows = rows.withColumn("timestamp", to_timestamp(F.col("timestamp")))
-    failure = F.raise_error(F.lit("invalid timestamp in sample table")).cast(rows.schema["timestamp"].dataType)
-    return rows.withColumn("timestamp", F.coalesce("timestamp", failure))
+    # a filter on every row: it runs whichever columns are read later, also for a bare count
+    failure = F.raise_error(F.lit("invalid timestamp in sample table")).cast("boolean")
+    return rows.where(F.when(F.col("timestamp").isNull(), failure).otherwise(F.lit(True)))
 
 
 def read_events(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -116,22 +125,59 @@ def run_targets(spark: SparkSession, path: str) -> DataFrame:
         F.coalesce(F.when(F.trim("t.role") != "", F.trim("t.role")), F.lit("unspecified")).alias("role"))
 
 
+def run_of(path: Column) -> Column:
+    """The run id in a file's plain (not URL-encoded) path; folder names are escaped with ``%xx`` when they are written."""
+    return url_decoded(F.regexp_extract(path, r"/run_id=([^/]+)/", 1))
+
+
+def url_decoded(text: Column) -> Column:
+    """``%xx`` decoded; a plus sign stays, a percent sign without two digits too."""
+    kept = F.regexp_replace(F.replace(text, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.url_decode(kept)
+
+
+def odd_files(spark: SparkSession, root: str) -> tuple[list[str], list[str]]:
+    """``(hidden, empty)`` files below ``root``, by the store's own listing: those that Spark's readers pass over.
+
+    Hidden names begin with a dot or an underscore. Markers and checksums that the file system's writers leave are no content.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    top = hadoop.Path(root)
+    files = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(top, True)
+    base, hidden, empty = top.toUri().getPath().rstrip("/"), [], []
+    while files.hasNext():
+        status = files.next()
+        path, name = status.getPath().toUri().getPath(), status.getPath().getName()
+        below = path[path.index(base) + len(base):].lstrip("/")
+        if name == "_SUCCESS" or (name.startswith(".") and name.endswith(".crc")):
+            continue
+        if any(part[:1] in "._" for part in below.split("/")):
+            hidden.append(below)
+        elif status.getLen() == 0:
+            empty.append("/" + below)
+    return sorted(hidden), sorted(empty)
+
+
 def read_run_files(spark: SparkSession, root: str) -> DataFrame:
-    """``run_id, path, content`` of every file below ``root/run_id=<id>/``.
+    """``run_id, path, content`` of every file below ``root/run_id=<id>/``, empty ones too.
 
-    A file arrives whole, so one file must stay below two gigabytes.
+    Spark's readers can't see hidden files. Since a check that skips files would pass over planted ones, such files are an
+    error. A file arrives whole, so one file must stay below two gigabytes.
     """
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .load(root).where(F.col("length") > 0))
-    return files.select(F.regexp_extract("path", r"/run_id=([^/]+)/", 1).alias("run_id"),
-                        F.regexp_extract("path", r"/run_id=[^/]+/(.+)$", 1).alias("path"), "content")
+    hidden, empty = odd_files(spark, root)
+    if hidden:
+        raise ValueError(f"hidden files can't be hashed: {', '.join(hidden[:10])}")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content")
+    if empty:
+        files = files.unionByName(spark.createDataFrame([(p, bytearray()) for p in empty], "path string, content binary"))
+    return files.select(run_of(F.col("path")).alias("run_id"), F.regexp_extract("path", r"/run_id=[^/]+/(.+)$", 1).alias("path"), "content")
 
 
 def read_manifests(spark: SparkSession, root: str) -> DataFrame:
     """Manifest lines with their run; ``line_no`` grows along each file."""
     lines = spark.read.text(root, recursiveFileLookup=True)
     return lines.where(F.col("value") != "").select(
-        F.regexp_extract("_metadata.file_path", r"/run_id=([^/]+)/", 1).alias("run_id"),
+        run_of(url_decoded(F.col("_metadata.file_path"))).alias("run_id"),
         (F.monotonically_increasing_id() + 1).alias("line_no"), F.col("value").alias("line"))
 
 

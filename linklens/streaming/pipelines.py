@@ -15,15 +15,17 @@ from linklens.operators.events import METRICS, _both, conditions, confidence, se
 from linklens.operators.profile import outside_window
 from linklens.session import scratch_dir
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def read_landed(spark: SparkSession, path: str, like: DataFrame, max_files: int | None = None) -> DataFrame:
+# Files of one micro-batch: bounds what a key can bring to its task at once, also when a backlog is worked off.
+MAX_FILES = 64
+
+
+def read_landed(spark: SparkSession, path: str, like: DataFrame, max_files: int = MAX_FILES) -> DataFrame:
     """A stream over landed parquet files with a fixed schema."""
-    reader = spark.readStream.schema(like.schema)
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(path)
+    return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
 def run_available(stream: DataFrame, sink: str, checkpoint: str) -> None:
@@ -39,7 +41,18 @@ def land_and_run(slices: Sequence[DataFrame], build: Callable[[DataFrame], DataF
     and sink commits are carried across restarts.
     """
     spark = slices[0].sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    provider = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)  # keyed state needs it; the session's own choice comes back afterwards
+    try:
+        return _land_and_run(spark, slices, build)
+    finally:
+        if provider is None:
+            spark.conf.unset(PROVIDER)
+        else:
+            spark.conf.set(PROVIDER, provider)
+
+
+def _land_and_run(spark: SparkSession, slices: Sequence[DataFrame], build: Callable[[DataFrame], DataFrame]) -> DataFrame:
     landing, sink, checkpoint = (scratch_dir(spark, part) for part in ("landing", "sink", "offsets"))
     out = None
     for piece in slices:

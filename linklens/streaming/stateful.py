@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from linklens.operators.counters import COUNTERS, OVERFLOW_SHARE
 
@@ -63,12 +64,16 @@ def stream_counter_delta(stream: DataFrame, maxima: Mapping[str, int] | None = N
             if late:
                 rows.append(base + [None] * len(names) + ["late"])
                 continue
-            now = [int(getattr(row, n)) for n in names]
+            # counters arrive as text: pandas would turn a column with nulls into doubles
+            now = [None if (text := getattr(row, n)) is None else int(text) for n in names]
             if record is None:
                 rows.append(base + [None] * len(names) + ["initial"])
             else:
                 deltas, kinds = [], set()
                 for n, value, before in zip(names, now, record[2:]):
+                    if value is None or before is None:
+                        deltas.append(None)
+                        continue
                     wraps = n in limits and before > int(limits[n] * share)
                     if value < before:
                         kinds.add("overflow" if wraps else "reset")
@@ -77,12 +82,15 @@ def stream_counter_delta(stream: DataFrame, maxima: Mapping[str, int] | None = N
             record = (row.timestamp, row.row_no, *now)
         import pandas as pd
         out = pd.DataFrame(rows, columns=["run_id", "interface", "timestamp", "row_no", *[f"{n}_delta" for n in names], "counter_event"])
-        return out.astype({f"{n}_delta": "Int64" for n in names}), record
+        for n in names:
+            out[f"{n}_delta"] = pd.array(out[f"{n}_delta"].tolist(), dtype="Int64")
+        return out, record
 
     state = ", ".join([STATE_ORDER, *[f"{n} bigint" for n in names]])
     output = ", ".join(["run_id string, interface string, timestamp timestamp_ntz, row_no bigint",
                         *[f"{n}_delta bigint" for n in names], "counter_event string"])
-    return _apply(stream.select("run_id", "interface", "timestamp", "row_no", "sample_status", *names),
+    texts = [F.col(n).cast("bigint").cast("string").alias(n) for n in names]
+    return _apply(stream.select("run_id", "interface", "timestamp", "row_no", "sample_status", *texts),
                   ["run_id", "interface"], _processor(state, step), output)
 
 
@@ -109,11 +117,13 @@ def stream_delay_variation(stream: DataFrame) -> DataFrame:
 
 
 def stream_transitions(stream: DataFrame) -> DataFrame:
-    """Changes of reachability per target."""
+    """Changes of reachability per target; rows older than the state come out as ``late``, so they can be counted."""
     def step(batch, record):
+        import pandas as pd
+        late = batch.iloc[:0]
         if record is not None:
             newer = (batch["timestamp"] > record[0]) | ((batch["timestamp"] == record[0]) & (batch["row_no"] > record[1]))
-            batch = batch[newer]
+            batch, late = batch[newer], batch[~newer]
         up = batch["reachability"].astype(bool)
         before = up.astype("boolean").shift()
         if record is not None and len(batch):
@@ -124,6 +134,8 @@ def stream_transitions(stream: DataFrame) -> DataFrame:
         if len(batch):
             last = batch.iloc[-1]
             record = (last["timestamp"], int(last["row_no"]), bool(last["reachability"]))
+        if len(late):
+            out = pd.concat([out, late[["run_id", "target", "timestamp", "row_no"]].assign(transition="late")])
         return out, record
 
     return _apply(stream.select("run_id", "target", "timestamp", "row_no", "reachability"), ["run_id", "target"],

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linklens import api
-from linklens.config import ConfigError, HistoryConfig, ReportConfig, load_config
+from linklens.config import ConfigError, HistoryConfig, ReportConfig
 from linklens.sources import readers
 from tests.helpers import debug_run
 
@@ -50,14 +50,12 @@ def test_integrity_verdict_reaches_the_gate(spark, tmp_path):
     assert api.assess_dataset_quality(iface, host, probe, bad).collect()[0].safe_for_conclusions is False
 
 
-def test_configuration_files(tmp_path):
-    path = tmp_path / "c.json"
-    path.write_text('{"critical_threshold": 0.9}')
-    assert load_config(path).critical_threshold == 0.9 and load_config(None) == HistoryConfig()
-    for text in ('{"nope": 1}', "[]", "{", '{"warning_threshold": 0.99}'):
-        path.write_text(text)
-        with pytest.raises(ConfigError):
-            load_config(path)
+def test_parameters_are_checked():
+    assert HistoryConfig(**{"critical_threshold": 0.9}).validate().critical_threshold == 0.9
+    with pytest.raises(ConfigError):
+        HistoryConfig(warning_threshold=0.99).validate()
+    with pytest.raises(TypeError):
+        HistoryConfig(**{"nope": 1})
 
 
 def test_run_configuration_documents(spark, tmp_path):
@@ -76,3 +74,17 @@ def test_a_bad_timestamp_fails_the_strict_load(spark):
     df = spark.createDataFrame([("2026-01-01T00:00:00Z",), ("bad",)], "timestamp string")
     with pytest.raises(Exception, match="invalid timestamp"):
         readers.read_samples(df, ["timestamp"]).collect()
+
+
+def test_the_strict_load_fails_whatever_is_read(spark, tmp_path):
+    spark.createDataFrame([("2026-01-01T00:00:00Z", 1.0), ("bad", 2.0)], "timestamp string, v double").write.parquet(str(tmp_path / "t"))
+    rows = readers.read_samples(spark.read.parquet(str(tmp_path / "t")), ["timestamp"])
+    for read in (lambda: rows.count(), lambda: rows.agg(F.sum("v")).collect(), lambda: rows.select("v").collect()):
+        with pytest.raises(Exception, match="invalid timestamp"):
+            read()
+
+
+def test_history_format_is_not_guessed_when_it_is_given(spark, tmp_path):
+    columns = "fecha string, enlace string, rx string, tx string, capacidad string"
+    spark.createDataFrame([("2026-01-01 00:00:00", "A", "1", "2", "10")], columns).write.parquet(str(tmp_path / "table"))
+    assert readers.read_history(spark, str(tmp_path / "table"), file_format="parquet").first().link_id == "A"

@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from linklens.operators import integrity as G
@@ -41,6 +42,50 @@ def test_manifest_round_trip_on_disk(spark, tmp_path):
     assert {r.integrity_valid for r in G.integrity_summary(G.verify_manifest(entries, hashes), True).collect()} == {True}
 
 
+def test_run_ids_keep_their_characters_on_both_sides(spark, tmp_path):
+    names = ["r 2", "a%41", "b+c", "año"]
+    hashes = spark.createDataFrame([(n, "x.csv", sha(n)) for n in names], "run_id string, path string, sha256 string")
+    paths = W.write_checksums(str(tmp_path / "out"), hashes.select("run_id").distinct(), G.manifest_lines(hashes))
+    assert {r.run_id for r in S.read_manifests(spark, paths["checksums"]).collect()} == set(names)
+    for name in ("r 2", "b+c", "año"):
+        folder = tmp_path / "runs" / f"run_id={name}"
+        folder.mkdir(parents=True)
+        (folder / "x.csv").write_text("x")
+    assert {r.run_id for r in S.read_run_files(spark, str(tmp_path / "runs")).collect()} == {"r 2", "b+c", "año"}
+
+
+def test_empty_files_count_and_hidden_files_are_an_error(spark, tmp_path):
+    folder = tmp_path / "runs" / "run_id=R1"
+    folder.mkdir(parents=True)
+    (folder / "empty.csv").write_text("")
+    (folder / "a.csv").write_text("a")
+    hashes = G.file_hashes(S.read_run_files(spark, str(tmp_path / "runs")))
+    assert {(r.path, r.sha256) for r in hashes.collect()} == {("empty.csv", sha("")), ("a.csv", sha("a"))}
+    for name in (".hid", "_planted"):
+        (folder / name).write_text("x")
+        assert S.odd_files(spark, str(tmp_path / "runs")) == ([f"run_id=R1/{name}"], ["/run_id=R1/empty.csv"])
+        with pytest.raises(ValueError, match="hidden"):
+            S.read_run_files(spark, str(tmp_path / "runs"))
+        (folder / name).unlink()
+
+
+def test_a_run_without_a_manifest_is_invalid(spark):
+    files = spark.createDataFrame([("R1", "a.csv", "A"), ("R2", "a.csv", "A")], FILES)
+    entries = G.parse_manifest(spark.createDataFrame([("R1", 1, f"{sha('A')}  a.csv")], LINES))
+    for strict in (False, True):
+        got = {r.run_id: r.integrity_valid for r in G.integrity_summary(G.verify_manifest(entries, G.file_hashes(files)), strict).collect()}
+        assert got == {"R1": True, "R2": False}
+
+
+def test_null_and_repeated_keys_are_no_differences(spark):
+    rows = [(None, "a"), (1, "x"), (1, "y"), (1, "y"), (2, None)]
+    left = spark.createDataFrame(rows, "k int, v string")
+    right = spark.createDataFrame(rows[::-1], "k int, v string")
+    assert G.table_diff(left, right, ["k"]).count() == 0
+    more = right.unionByName(spark.createDataFrame([(None, "z")], "k int, v string"))
+    assert [(r.k, r.kind, r.right) for r in G.table_diff(left, more, ["k"]).collect()] == [(None, "only_right", "z")]
+
+
 def test_cell_types(spark):
     cells = ["", None, " TRUE ", "42", "-7", "1.5", ".5", "1e3", "1e999", "abc", "2026-01-01"]
     df = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c string").select("i", G.cell_type(F.col("c")).alias("t"))

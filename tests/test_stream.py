@@ -65,3 +65,28 @@ def test_dedup_keeps_one_row_per_link_and_instant(spark, copies):
     for _ in range(copies - 1):
         many = many.unionByName(df)
     same(T.land_and_run([many], T.stream_dedup), df)
+
+
+def test_counters_are_exact_and_null_counters_give_null(spark):
+    schema = "run_id string, interface string, timestamp timestamp_ntz, row_no long, rx_bytes long, tx_bytes long, sample_status string"
+    big = 1 << 60
+    rows = [("R", "e", at(0), 1, big + 1, 5, "ok"), ("R", "e", at(5), 2, None, None, "error"), ("R", "e", at(10), 3, big + 4, None, "ok"),
+            ("R", "e", at(15), 4, big + 9, 7, "ok")]
+    df = spark.createDataFrame(rows, schema)
+    got = T.land_and_run([df.where("row_no < 3"), df.where("row_no >= 3")], U.stream_counter_delta)
+    assert {r.row_no: (r.rx_bytes_delta, r.tx_bytes_delta) for r in got.collect()} == {1: (None, None), 2: (None, None), 3: (3, None), 4: (5, None)}
+    same(got, C.counter_delta(df).select(got.columns))
+
+
+def test_late_transitions_are_labelled(spark):
+    schema = "run_id string, target string, timestamp timestamp_ntz, row_no long, reachability boolean"
+    slices = [spark.createDataFrame([("R", "t", at(10), 2, True)], schema),
+              spark.createDataFrame([("R", "t", at(5), 1, False), ("R", "t", at(15), 3, False)], schema)]
+    got = {r.row_no: r.transition for r in T.land_and_run(slices, U.stream_transitions).collect()}
+    assert got == {1: "late", 3: "became_unreachable"}
+
+
+def test_the_session_keeps_its_state_store(spark):
+    before = spark.conf.get(T.PROVIDER, None)
+    T.land_and_run([fx.probes(spark, SF)], U.stream_delay_variation)
+    assert spark.conf.get(T.PROVIDER, None) == before
