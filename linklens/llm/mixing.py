@@ -5,12 +5,14 @@ weight. The level is found in closed form on the table of sources: in order of c
 level that the sources from i on would share lies above its own. Whole repetitions of a document are the whole part of
 target / size; the rest is a seeded sample: documents in the order of a hash until the fraction of the source's words is reached.
 
-The sample needs running sums in hash order: words per (source, hash bucket) are added up, buckets below the border are taken whole, and only
-the border bucket of each source is ordered row by row. No task sees a whole source.
+The sample is cut twice per source, so that one long document at the border does not leave the source far from its target: first the documents above
+the mean size, by their share, then the others, by what is still missing. A cut is a place in hash order. To find it, words per (source, hash
+prefix) are added up, prefixes below the border count whole, and only the border prefix of each source is ordered row by row. No task
+sees a whole source, and what is joined to the documents is one row per source.
 
 Defined cases: null texts have size 0; a null source is the last source; rows of size 0 are taken 0 words; sources of size 0 have target 0 and take
-nothing; null ids and repeated rows are rows of their own; an empty table gives no row. Reruns give the same rows: repeated rows are equal, so it does not
-matter which of them is taken.
+nothing; null ids and repeated rows are rows of their own; rows with equal id, text and source are taken equally often; an empty table gives no
+row. Reruns give the same rows.
 """
 
 from __future__ import annotations
@@ -18,24 +20,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from linklens.session import stage
+
 # The contract's weights, by rank of the source's name.
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
 SEED = 13
-BUCKETS = 4096
+# Hexadecimal digits of a hash prefix: each holds one of 65,536 parts of a source.
+PREFIX = 4
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """``doc_id, source, size, draw`` of every row; ``draw`` is a seeded hash."""
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.col("doc_id").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")).withColumn(
-        "draw", drawn(F.col("doc_id")))
+def size_of() -> F.col:
+    return F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+
 
+def drawn() -> F.col:
+    """A seeded hash of id and text, as hexadecimal digits."""
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    return F.md5(F.concat(F.lit(f"{SEED}:"), part("doc_id"), F.lit(":"), F.md5(part("text").cast("binary"))).cast("binary"))
 
-def drawn(doc_id) -> F.col:
-    """A seeded hash of the id as eight hexadecimal digits, then the rest to break ties."""
-    return F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary"))
+
+def sizes(docs: DataFrame) -> DataFrame:
+    """``doc_id, source, size, draw`` of every row, staged: the texts are read once."""
+    return stage(docs.select(F.col("doc_id").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of().alias("size"),
+                             drawn().alias("draw")), "mixture-sizes")
 
 
 def targets(per_source: DataFrame, weights=WEIGHTS, epochs: float = EPOCHS) -> DataFrame:
@@ -54,42 +63,67 @@ def targets(per_source: DataFrame, weights=WEIGHTS, epochs: float = EPOCHS) -> D
     return rows.withColumn("shared", level).select("source", "source_size", F.least("cap", F.col("weight") * F.coalesce("shared", F.lit(0.0))).alias("target"))
 
 
-def _mixed(rows: DataFrame, weights, epochs) -> DataFrame:
-    """``rows`` (with ``source, size, draw``) and their source's size and target and ``copies``."""
-    bucket = F.floor(F.conv(F.substring("draw", 1, 8), 16, 10).cast("long") / ((1 << 32) // BUCKETS)).cast("int")
-    rows = rows.withColumn("bucket", bucket)
-    per_bucket = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    table = targets(per_bucket.groupBy("source").agg(F.sum("words").alias("source_size")), weights, epochs)
-    table = table.withColumn("ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
-    # a ratio a rounding error below a whole number is that number
-    whole = F.floor(F.col("ratio") + 1e-9)
-    table = table.withColumn("whole", whole.cast("int")).withColumn("wanted", F.greatest(F.lit(0.0), (F.col("ratio") - whole) * F.col("source_size")))
-    inside = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    named = table.select(F.col("source").alias("name"), "source_size", "target", "whole", "wanted")
-    plan = per_bucket.withColumn("before", F.coalesce(F.sum("words").over(inside), F.lit(0)))
-    plan = plan.join(named, plan["source"].eqNullSafe(named["name"])).select(
-        F.col("name"), F.col("bucket").alias("at"), "before", "words", "source_size", "target", "whole", "wanted")
-    joined = rows.join(plan, rows["source"].eqNullSafe(plan["name"]) & (rows["bucket"] == plan["at"])).drop("name", "at")
-    # a document is taken once more if the middle of its words lies before the border: the error is at most half a document
-    border = joined.where("before < wanted and before + words > wanted")
-    other = joined.where("not (before < wanted and before + words > wanted)").withColumn(
-        "extra", F.when(F.col("before") + F.col("words") <= F.col("wanted"), F.lit(1)).otherwise(F.lit(0)))
-    running = Window.partitionBy("source").orderBy("draw", "size").rowsBetween(Window.unboundedPreceding, -1)
-    border = border.withColumn("done", F.col("before") + F.coalesce(F.sum("size").over(running), F.lit(0))).withColumn(
-        "extra", F.when(F.col("done") + F.col("size") / 2 <= F.col("wanted"), F.lit(1)).otherwise(F.lit(0))).drop("done")
-    both = other.unionByName(border)
-    return both.withColumn("copies", F.least(F.col("whole") + F.col("extra"), F.lit(int(epochs))))
+def cuts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``name, cut, reached``: rows of a source with ``draw < cut`` have ``reached`` words, near the ``wanted`` ones.
+
+    ``rows`` has ``source, size, draw``, ``wanted`` has ``name, wanted``.
+    """
+    prefixed = rows.withColumn("prefix", F.substring("draw", 1, PREFIX))
+    sums = prefixed.groupBy("source", "prefix").agg(F.sum("size").alias("words"))
+    inside = Window.partitionBy("source").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("before", F.coalesce(F.sum("words").over(inside), F.lit(0)))
+    sums = sums.join(wanted, sums["source"].eqNullSafe(wanted["name"]))
+    fits = F.col("before") + F.col("words") <= F.col("wanted")
+    end = F.concat(F.col("prefix"), F.lit("g"))  # above every hash with this prefix
+    whole = sums.where(fits).groupBy("name").agg(F.max(end).alias("cut"), F.max(F.col("before") + F.col("words")).alias("reached"))
+    border = sums.where(~fits & (F.col("before") < F.col("wanted"))).select("name", F.col("prefix").alias("at"), "before", "wanted")
+    running = Window.partitionBy("name").orderBy("draw", "size").rowsBetween(Window.unboundedPreceding, -1)
+    near = prefixed.join(border, prefixed["source"].eqNullSafe(border["name"]) & (prefixed["prefix"] == border["at"]))
+    near = near.withColumn("done", F.col("before") + F.coalesce(F.sum("size").over(running), F.lit(0)))
+    # a document is taken if the middle of its words lies before the border
+    taken = near.where(F.col("done") + F.col("size") / 2 <= F.col("wanted")).groupBy("name").agg(
+        F.max(F.concat("draw", F.lit("0"))).alias("cut"), F.max(F.col("done") + F.col("size")).alias("reached"))
+    return whole.unionByName(taken).groupBy("name").agg(F.max("cut").alias("cut"), F.max("reached").alias("reached"))
+
+
+def plan(rows: DataFrame, weights=WEIGHTS, epochs: float = EPOCHS) -> DataFrame:
+    """One row per source: ``name, source_size, target, mean, whole, large_cut, small_cut``."""
+    per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.avg("size").alias("mean"))
+    means = per_source.select(F.col("source").alias("name"), "mean")
+    table = targets(per_source.select("source", "source_size"), weights, epochs).withColumnRenamed("source", "mixed")
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    whole = F.floor(ratio + 1e-9)  # a ratio a rounding error below a whole number is that number
+    table = stage(table.join(means, F.col("mixed").eqNullSafe(F.col("name"))).select(
+        "name", "source_size", "target", "mean", whole.cast("int").alias("whole"), F.greatest(F.lit(0.0), ratio - whole).alias("part")), "mixture-targets")
+    marked = rows.join(table, rows["source"].eqNullSafe(table["name"])).select("source", "size", "draw", (F.col("size") > F.col("mean")).alias("large"))
+    large, small = (marked.where(F.col("large") == flag).select("source", "size", "draw") for flag in (True, False))
+    share = large.groupBy("source").agg(F.sum("size").alias("words"))
+    wanted = share.join(table, share["source"].eqNullSafe(table["name"])).select("name", (F.col("part") * F.col("words")).alias("wanted"))
+    first = stage(cuts(large, wanted).select(F.col("name").alias("first"), F.col("cut").alias("large_cut"), "reached"), "mixture-cuts")
+    rest = table.join(first, table["name"].eqNullSafe(first["first"]), "left").drop("first")
+    missing = F.col("part") * F.col("source_size") - F.coalesce("reached", F.lit(0))
+    second = cuts(small, rest.select("name", missing.alias("wanted"))).select(F.col("name").alias("second"), F.col("cut").alias("small_cut"))
+    return stage(rest.join(second, rest["name"].eqNullSafe(second["second"]), "left").select(
+        "name", "source_size", "target", "mean", "whole", "large_cut", "small_cut"), "mixture-plan")
+
+
+def _copies(epochs: float) -> F.col:
+    cut = F.when(F.col("size") > F.col("mean"), F.col("large_cut")).otherwise(F.col("small_cut"))
+    return F.least(F.col("whole") + F.when(F.col("draw") < cut, F.lit(1)).otherwise(F.lit(0)), F.lit(int(epochs)))
 
 
 def mixture(docs: DataFrame, weights=WEIGHTS, epochs: float = EPOCHS) -> DataFrame:
     """Per row: size, its source's size and target, and the words that the mix takes of it."""
-    rows = _mixed(sizes(docs), weights, epochs)
-    return rows.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+    rows = sizes(docs)
+    table = plan(rows, weights, epochs)
+    return rows.join(table, rows["source"].eqNullSafe(table["name"])).select(
+        "doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * _copies(epochs)).cast("long").alias("taken"))
 
 
 def sampled(docs: DataFrame, weights=WEIGHTS, epochs: float = EPOCHS) -> DataFrame:
     """The mix itself: every row as often as it is taken."""
+    table = plan(sizes(docs), weights, epochs)
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row_in"), F.col("source").cast("string").alias("source"),
-                       F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), drawn(F.col("doc_id")).alias("draw"))
-    taken = _mixed(rows, weights, epochs).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return taken.select(*[F.col("row_in")[c].alias(c) for c in docs.columns])
+                       size_of().alias("size"), drawn().alias("draw"))
+    taken = rows.join(table, rows["source"].eqNullSafe(table["name"])).select("row_in", _copies(epochs).alias("copies")).where("copies > 0")
+    return taken.select("row_in", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col("row_in")[c].alias(c) for c in docs.columns])
