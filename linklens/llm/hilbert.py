@@ -14,50 +14,45 @@ different slots; an empty table gives no row; ``shard_rows`` keeps all columns,
 
 from __future__ import annotations
 
-import functools
+import os
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linklens.session import stage
+
 BITS = 4
 PARTS = 4096
 
 
-def text_key(value: Column, prefix: Column, length: int = 7) -> Column:
+def text_key(value: Column, prefix: str, length: int = 7) -> Column:
     """A number that keeps the order of texts: the first bytes after a common prefix."""
-    rest = F.substring(value.cast("binary"), F.length(prefix.cast("binary")) + 1, F.lit(length))
+    rest = F.substring(value.cast("binary"), len(prefix.encode()) + 1, length)
     return F.conv(F.rpad(F.hex(rest), 2 * length, "0"), 16, 10).cast("long")
 
 
-def common_prefix(low: Column, high: Column) -> Column:
-    """What the smallest and the largest text begin with."""
-    same = F.filter(F.sequence(F.lit(0), F.least(F.length(low), F.length(high))),
-                    lambda n: F.substring(low, F.lit(1), n) == F.substring(high, F.lit(1), n))
-    return F.substring(low, F.lit(1), F.coalesce(F.array_max(same), F.lit(0)))
-
-
 def metadata(docs: DataFrame) -> dict[str, Column]:
     """The dimensions of documents: source, language and size."""
     return {"source": F.col("source").cast("string"), "lang": F.col("lang").cast("string"), "size": F.octet_length("text").cast("long")}
 
 
-def steps(rows: DataFrame, dimensions: Mapping[str, str], bits: int) -> DataFrame:
-    """One row of arrays of cut values, by the names ``cuts_<dimension>``; ``dimensions`` gives column types."""
+def quantised(rows: DataFrame, dimensions: Mapping[str, str], bits: int) -> Column:
+    """A row's cell: its step in each dimension, written one after the other.
+
+    The cuts are approximate quantiles, a fixed number of values that come to the driver; ``dimensions`` gives column types.
+    """
     texts = [d for d, kind in dimensions.items() if kind == "string"]
-    base = rows.agg(F.count("*").alias("rows_in"), *[f(d).alias(f"{k}_{d}") for d in texts for k, f in (("low", F.min), ("high", F.max))])
-    prefixes = base.select(*[F.coalesce(common_prefix(F.col(f"low_{d}"), F.col(f"high_{d}")), F.lit("")).alias(f"prefix_{d}") for d in texts],
-                           F.lit(1).alias("one"))
+    ends = rows.agg(F.count(F.lit(1)), *[f(d) for d in texts for f in (F.min, F.max)]).first()[1:]
+    prefix = {d: os.path.commonprefix([ends[2 * i] or "", ends[2 * i + 1] or ""]) for i, d in enumerate(texts)}
+    keys = {d: text_key(F.col(d), prefix[d]) if d in prefix else F.col(d).cast("long") for d in dimensions}
     levels = F.array(*[F.lit(i / (1 << bits)) for i in range(1, 1 << bits)])
-    keyed = with_keys(rows, prefixes, dimensions)
-    cuts = keyed.agg(*[F.percentile_approx(f"key_{d}", levels, F.lit(10_000)).alias(f"cuts_{d}") for d in dimensions])
-    return cuts.select("*", F.lit(1).alias("one")).join(prefixes, "one")
-
-
-def with_keys(rows: DataFrame, prefixes: DataFrame, dimensions: Mapping[str, str]) -> DataFrame:
-    """Numeric keys of the dimensions; ``prefixes`` is one row."""
-    joined = rows.withColumn("one", F.lit(1)).join(F.broadcast(prefixes), "one")  # one row: an aggregate without keys
-    return joined.withColumns({f"key_{d}": text_key(F.col(d), F.col(f"prefix_{d}")) if kind == "string" else F.col(d) for d, kind in dimensions.items()})
+    cuts = rows.agg(*[F.percentile_approx(key, levels, F.lit(10_000)) for key in keys.values()]).first()
+    number = F.lit(0)
+    for key, borders in zip(keys.values(), cuts):
+        step = sum((F.coalesce(key > F.lit(c), F.lit(False)).cast("int") for c in borders or []), F.lit(0))
+        number = number * (1 << bits) + step
+    return number
 
 
 def hilbert_index(point: Column, dimensions: int, bits: int) -> Column:
@@ -89,16 +84,11 @@ def hilbert_index(point: Column, dimensions: int, bits: int) -> Column:
     return F.element_at(woven, 1)
 
 
-def _ordered(rows: DataFrame, dimensions: Mapping[str, str], bits: int, tie: Column) -> DataFrame:
-    """``rows`` with ``place`` (0 to rows - 1 in curve order) and ``total``."""
-    borders = steps(rows, dimensions, bits)
-    joined = rows.withColumn("one", F.lit(1)).join(F.broadcast(borders), "one")  # one row
-    keys = {d: text_key(F.col(d), F.col(f"prefix_{d}")) if kind == "string" else F.col(d) for d, kind in dimensions.items()}
-    cells = {d: F.coalesce(F.size(F.filter(F.col(f"cuts_{d}"), lambda c, key=key: c < key)), F.lit(0)) for d, key in keys.items()}
-    number = functools.reduce(lambda out, d: out * (1 << bits) + F.when(F.col(d).isNull(), F.lit(0)).otherwise(F.greatest(cells[d], F.lit(0))), dimensions, F.lit(0))
-    placed = joined.withColumn("cell", number).withColumn("part", F.pmod(tie, F.lit(PARTS)).cast("int")).drop(
-        "one", *[f"cuts_{d}" for d in dimensions], *[f"prefix_{d}" for d, kind in dimensions.items() if kind == "string"])
-
+def _ordered(rows: DataFrame, dimensions: Mapping[str, str], bits: int, tie: Column, narrow: bool) -> DataFrame:
+    """``rows`` with ``place`` (0 to rows - 1 in curve order) and ``total``; ``narrow`` rows are staged, since they are read twice."""
+    placed = rows.withColumn("cell", quantised(rows, dimensions, bits)).withColumn("part", F.pmod(tie, F.lit(PARTS)).cast("int"))
+    if narrow:
+        placed = stage(placed, "curve-cells")
     counts = placed.groupBy("cell", "part").agg(F.count("*").alias("n"))
     per_cell = counts.groupBy("cell").agg(F.sum("n").alias("n"))
     n = len(dimensions)
@@ -117,9 +107,9 @@ def _ordered(rows: DataFrame, dimensions: Mapping[str, str], bits: int, tie: Col
 ORDER = ("tie", "order_id", "order_text")
 
 
-def assign(rows: DataFrame, dimensions: Mapping[str, str], shards: int = 16, bits: int = BITS) -> DataFrame:
+def assign(rows: DataFrame, dimensions: Mapping[str, str], shards: int = 16, bits: int = BITS, narrow: bool = False) -> DataFrame:
     """``rows`` with ``shard`` and gapless ``slot``; ``order_id`` and ``order_text`` order rows of one cell."""
-    ordered = _ordered(rows.withColumn("tie", F.xxhash64("order_id", "order_text")), dimensions, bits, F.col("tie"))
+    ordered = _ordered(rows.withColumn("tie", F.xxhash64("order_id", "order_text")), dimensions, bits, F.col("tie"), narrow)
     # shard s begins at ceil(s * total / shards)
     shard = F.expr(f"cast((place * {shards}L) div total as int)")
     first = F.expr(f"cast(shard as bigint) * total div {shards} + if(cast(shard as bigint) * total % {shards} = 0, 0, 1)")
@@ -131,7 +121,7 @@ def shard_digest(docs: DataFrame, shards: int = 16, bits: int = BITS) -> DataFra
     dims = metadata(docs)
     narrow = docs.select(F.col("doc_id").alias("order_id"), F.crc32(F.col("text").cast("binary")).alias("order_text"),
                          (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size_out"), *[v.alias(k) for k, v in dims.items()])
-    placed = assign(narrow, {"source": "string", "lang": "string", "size": "long"}, shards, bits)
+    placed = assign(narrow, {"source": "string", "lang": "string", "size": "long"}, shards, bits, narrow=True)
     return placed.select(F.col("order_id").alias("doc_id"), F.col("size_out").alias("size"), F.col("order_text").alias("text_crc32"), F.lit("rows").alias("law"),
                          "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
