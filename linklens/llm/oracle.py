@@ -1,3 +1,118 @@
-"""DuckDB statements of the queries that SQL can express."""
+"""DuckDB statements of the queries that SQL can express, over whole tables.
 
-STATEMENTS: dict[str, str] = {}
+Without one: encoded tokens (1, 4, 7), fitted scores (8), approximate neighbours (6), quantised curves (9) and the pipeline; tests/llm
+compares those with plain versions.
+"""
+
+from __future__ import annotations
+
+WORD = r"[^\x20\x09-\x0D]+"
+
+EXACT_SEARCH = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: greatest(-16777216, least(16777216, floor(256 * CAST(x AS DOUBLE))))) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  WHERE a.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored
+QUALIFY rank <= 5"""
+
+
+def secret_scan() -> str:
+    from linklens.llm.secrets import RULES
+
+    def quoted(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    parts = []
+    for order, rule in enumerate(RULES):
+        pattern = quoted(rule.java)
+        parts.append(f"""
+  SELECT doc_id, text_no, {order} AS rule, '{rule.kind}' AS kind, regexp_extract_all(text, {pattern}, 0) AS m,
+         regexp_extract_all(text, {pattern}, {rule.group}) AS v, string_split_regex(text, {pattern}) AS g, {rule.least} AS least FROM t""")
+    counts = ", ".join(f"coalesce(count(*) FILTER (WHERE kind = '{r.kind}'), 0) AS n_{r.kind}" for r in RULES)
+    return f"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS text_no, coalesce(text, '') AS text FROM documents),
+hits AS ({" UNION ALL ".join(parts)}),
+placed AS (
+  SELECT doc_id, text_no, rule, kind, least, unnest(range(1, len(m) + 1)) AS i, m, v, g FROM hits WHERE len(m) > 0),
+spans AS (
+  SELECT text_no, rule, kind,
+         CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS first,
+         length(m[i]) AS size
+  FROM placed WHERE length(v[i]) >= least),
+lists AS (
+  SELECT text_no, {counts}, string_agg(kind || ':' || first || ':' || (first + size), ',' ORDER BY first, rule) AS spans
+  FROM spans GROUP BY text_no)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in RULES)},
+       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN lists USING (text_no)"""
+
+
+NEAR_DUPLICATES = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS ws
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS s
+  FROM w),
+members AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM members a JOIN members b ON a.x = b.x AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, other) AS (
+  SELECT a, b FROM both_ways
+  UNION SELECT r.doc_id, l.b FROM reach r JOIN both_ways l ON r.other = l.a),
+least AS (SELECT doc_id, min(other) AS other FROM reach GROUP BY doc_id)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(l.other, s.doc_id)) AS component_id,
+       s.doc_id = least(s.doc_id, coalesce(l.other, s.doc_id)) AS kept
+FROM sets s LEFT JOIN least l USING (doc_id)"""
+
+MIXTURE = rf"""
+WITH r AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS size,
+         md5('13:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, 'null'))) AS draw
+  FROM documents),
+src AS (
+  SELECT source, sum(size) AS source_size, avg(size) AS mean,
+         CAST([5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS DOUBLE) AS weight
+  FROM r GROUP BY source),
+capped AS (SELECT *, 3.0::DOUBLE * source_size AS cap, 3.0::DOUBLE * source_size / weight AS ratio FROM src),
+levels AS (
+  SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE)
+             - coalesce(sum(cap) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM capped),
+shared AS (SELECT arg_min(level, ratio) AS level FROM levels WHERE ratio >= level),
+plan AS (
+  SELECT l.source, l.source_size, l.mean, least(l.cap, l.weight * coalesce(s.level, 0)) AS target FROM levels l, shared s),
+parts AS (
+  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS f, floor(f + 1e-9) AS whole, greatest(0, f - whole) AS part FROM plan),
+marked AS (
+  SELECT r.*, p.source_size, p.target, p.whole, p.part, r.size > p.mean AS large
+  FROM r JOIN parts p ON r.source IS NOT DISTINCT FROM p.source),
+running AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source, large ORDER BY draw, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done,
+         sum(size) OVER (PARTITION BY source, large) AS words
+  FROM marked),
+first AS (
+  SELECT source, max(draw) AS cut, max(done + size) AS reached FROM running
+  WHERE large AND done + size / 2 <= part * words GROUP BY source),
+second AS (
+  SELECT m.source, max(m.draw) AS cut FROM running m LEFT JOIN first f ON m.source IS NOT DISTINCT FROM f.source
+  WHERE NOT m.large AND m.done + m.size / 2 <= m.part * m.source_size - coalesce(f.reached, 0) GROUP BY m.source)
+SELECT m.doc_id, m.size, CAST(m.source_size AS BIGINT) AS source_size, round(m.target, 6) AS target,
+       CAST(m.size * least(m.whole + CASE WHEN m.draw <= CASE WHEN m.large THEN f.cut ELSE s.cut END THEN 1 ELSE 0 END, 3) AS BIGINT) AS taken
+FROM running m LEFT JOIN first f ON m.source IS NOT DISTINCT FROM f.source LEFT JOIN second s ON m.source IS NOT DISTINCT FROM s.source"""
+
+STATEMENTS: dict[str, str] = {
+    "op2_exact_search": EXACT_SEARCH.strip(), "op3_secret_scan": secret_scan().strip(),
+    "op5_near_duplicates": NEAR_DUPLICATES.strip(), "op10_mixture": MIXTURE.strip(),
+}

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linklens.llm.words import raw_texts, slices
+from linklens.llm.words import raw_texts, slices, unused_name
 from linklens.session import stage
 
 STATISTICS = ("log_bytes", "log_words", "word_length", "word_spread", "distinct_words", "top_word", "repeated_next", "repeated_pairs", "upper", "digits",
@@ -212,10 +212,10 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored(docs, labels).select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def _keep(model: Model, columns: list[str]):
+def _keep(model: Model, columns: list[str], given: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text_in"):
-            stats = np.array([statistics(t) for t in raw_texts(batch, "text_in")], np.float64).reshape(batch.num_rows, len(STATISTICS))
+        for batch in slices(batches, given):
+            stats = np.array([statistics(t) for t in raw_texts(batch, given)], np.float64).reshape(batch.num_rows, len(STATISTICS))
             yield batch.select(columns).filter(pa.array(model.score(stats) >= 0.5))
     return run
 
@@ -224,5 +224,6 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` with a predicted label of 1; decided in one pass over the texts, without a join."""
     wanted = labels.select(F.col("doc_id").alias("label_id")).where(F.col("label_id").isNotNull()).where(fold(F.col("label_id")) != 1).distinct()
     model = fit(measured(docs.join(wanted, F.col("doc_id") == F.col("label_id"), "left_semi")), labels)
-    source = docs.select("*", F.col("text").cast("string").alias("text_in"))
-    return source.mapInArrow(_keep(model, docs.columns), docs.schema)
+    given = unused_name(docs.columns, "text_in")
+    source = docs.select("*", F.col("text").cast("string").alias(given))
+    return source.mapInArrow(_keep(model, docs.columns, given), docs.schema)

@@ -7,7 +7,8 @@ become merges ordered by the score of the merged piece. Encoding and decoding ru
 No piece reaches over the border between a character and a following white-space marker, nor over a line break that no piece holds,
 so a normalised text is cut there, each distinct segment is encoded once, and the ids are put together
 (``Model.cuts`` checks that condition for the model at hand; without it whole texts are encoded). Each new segment is decoded
-again, and its ids are compared with those of the sentencepiece library.
+again, and its ids are compared with those of the sentencepiece library: ``parity`` says whether both agree; where they don't (splits of
+equal score in long runs of blanks), the library's ids are given.
 
 Defined cases: null and empty texts have no ids, count as round trips and have parity; null ids and repeated rows stay; other
 columns are kept by ``encode_rows`` and not read by ``digest``; an empty table gives no row.
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linklens.llm.words import WordCache, file_bytes, slices
+from linklens.llm.words import WordCache, file_bytes, slices, unused_name
 
 MARK = "▁"
 # Fixed values of the model format: kinds of pieces and of models.
@@ -92,9 +93,9 @@ class Model:
         if self.charsmap or self.squeeze or not self.escape or any(p[2] == USER_DEFINED for p in self.pieces):
             return None
         texts = [p[0] for p in self.pieces if p[2] == NORMAL]
-        if any(MARK in t.lstrip(MARK) for t in texts):
+        if any(MARK in t.lstrip(MARK) or "\n" in t for t in texts):
             return None
-        return re.compile(r" *[^ ]+| +" if any("\n" in t for t in texts) else r"\n| *[^ \n]+| +")
+        return re.compile(r"\n|[ ▁]*[^ ▁\n]+|[ ▁]+")
 
     def normalizer(self, prefix: bool = True):
         from tokenizers import Regex, normalizers as n
@@ -154,20 +155,24 @@ ROUND_TRIP, PARITY = 1, 2
 @functools.lru_cache(maxsize=2)
 def _segment_cache(data: bytes) -> WordCache:
     import sentencepiece
-    tokenizer = load_model(data).tokenizer(prefix=False)
+    model = load_model(data)
+    tokenizer, blank = model.tokenizer(prefix=False), model.dummy_prefix
     plain = sentencepiece.SentencePieceProcessor(model_proto=data)
 
+    lead = plain.encode("\n")
+
     def evaluate(segments: list[str]) -> Iterator[tuple[bytes, int]]:
         for first in range(0, len(segments), 50_000):
             block = segments[first:first + 50_000]
             ids = [e.ids for e in tokenizer.encode_batch_fast(block, add_special_tokens=False)]
             back = tokenizer.decode_batch(ids, skip_special_tokens=False)
-            # the library puts its own blank before a text, so a segment that begins with one is given without it
-            asked = [s[1:] for s in block if s[0] == " " and len(s) > 1]
-            checks = iter(plain.encode(asked, num_threads=1))
-            for segment, found, text in zip(block, ids, back):
-                same = next(checks) == found if segment[0] == " " and len(segment) > 1 else True
-                yield np.array(found, "<u4").tobytes(), ROUND_TRIP * (text == segment) + PARITY * same
+            # The library puts its own blank before a text: a segment that begins with one is given without it, any other
+            # follows a line break, whose ids are then cut off.
+            asked = [s[1:] if blank and s[0] == " " and len(s) > 1 else "\n" + s for s in block]
+            for segment, given, found, text, check in zip(block, asked, ids, back, plain.encode(asked, num_threads=1)):
+                check = check[len(lead):] if given[0] == "\n" and given[1:] == segment else check
+                # Equal scores of one piece's splits are no ranks: where the merges differ from the library, its ids count.
+                yield np.array(check, "<u4").tobytes(), ROUND_TRIP * (text == segment) + PARITY * (check == found)
     return WordCache(evaluate)
 
 
@@ -180,7 +185,7 @@ def encode_texts(data: bytes, texts: list[str]) -> tuple[list[bytes], list[int]]
         ids = [e.ids if t else [] for t, e in zip(texts, tokenizer.encode_batch_fast(texts, add_special_tokens=False))]
         back = tokenizer.decode_batch(ids, skip_special_tokens=False)
         checks = plain.encode(texts, num_threads=1)
-        return ([np.array(i, "<u4").tobytes() for i in ids],
+        return ([np.array(i, "<u4").tobytes() for i in checks],
                 [ROUND_TRIP * (b == t) + PARITY * (i == c) for t, i, b, c in zip(texts, ids, back, checks)])
     cut = model.cuts.findall
     split = [cut((" " if model.dummy_prefix else "") + t) if t else [] for t in texts]
@@ -216,11 +221,12 @@ def encode_rows(docs: DataFrame, model: str, columns: tuple[str, ...] | None = N
     data = file_bytes(model)
     new = ("n_tokens", "token_ids", "round_trip", "parity")
     keep = [c for c in (columns or docs.columns) if c not in new]
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("text_in"))
+    given = unused_name(docs.columns, "text_in")
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias(given))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text_in"):
-            codes, marks = encode_texts(data, _texts(batch, "text_in"))
+        for batch in slices(batches, given):
+            codes, marks = encode_texts(data, _texts(batch, given))
             sizes = np.array([len(c) // 4 for c in codes], np.int64)
             ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()),
                                            pa.array(np.frombuffer(b"".join(codes), "<u4").astype(np.int32)))

@@ -34,6 +34,14 @@ def load_tokenizer(spec: str):
     return Tokenizer.from_str(spec)
 
 
+def unused_name(columns: Iterable[str], name: str) -> str:
+    """``name`` or the first longer one that no column has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class WordCache:
     """Value of each distinct word; unknown words are evaluated once a slice.
 
