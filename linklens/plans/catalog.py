@@ -340,10 +340,32 @@ def _(spark, sf):
     return cells.select("event_id", G.cell_type(F.col("cell")).alias("cell_type"))
 
 
+SUMMARY_KEYS = {"interface_summary": ["run_id", "interface"], "probe_summary": ["run_id", "target"], "events": ["run_id", "event_id"],
+                "correlations": ["run_id", "relation_id"], "findings": ["run_id", "finding_id"], "fingerprints": ["run_id", "event_id"]}
+
+
+def replay(spark, sf, parts):
+    """The six summary tables of a run, written and read back; the samples come in ``parts`` shuffled pieces."""
+    iface = Q.processed_interface(fx.iface(spark, sf).repartition(parts), fx.runs(spark, sf), fx.COUNTER_MAX)
+    st = E.EventStages(iface, Q.processed_probes(fx.probes(spark, sf).repartition(parts)), THRESHOLDS)
+    st.load()
+    linked = K.CorrelationStages(st.interface, st.probes, fx.host(spark, sf).repartition(parts), CORRELATION)
+    refs = stage(V.top_correlations(V.event_correlations(st.events, st.targets, linked.correlations)), "references")
+    lines = P.fingerprint_trace(P.loss_baseline(st.evidence, st.probe_base))
+    tables = {"interface_summary": Q.interface_summary(st.interface), "probe_summary": Q.probe_summary(st.probes), "events": st.events,
+              "correlations": linked.correlations, "findings": V.findings(st.events, st.targets, refs),
+              "fingerprints": P.fingerprints(st.events, st.targets, lines)}
+    return {name: stage(table, name) for name, table in tables.items()}
+
+
 @query("reproducibility")
 def _(spark, sf):
-    left, right = Q.probe_summary(probes(spark, sf)), Q.probe_summary(probes(spark, sf))
-    return G.check_reproducibility({"probe_summary": left}, {"probe_summary": right}, {"probe_summary": ["run_id", "target"]})
+    """Two whole runs, the second from input dealt otherwise, and one table with a seeded drift that must be found."""
+    first, second = replay(spark, sf, 3), replay(spark, sf, 7)
+    odd = F.pmod(F.substring("run_id", 5, 9).cast("int"), F.lit(2)) == 1
+    first["drifted"] = first["probe_summary"]
+    second["drifted"] = second["probe_summary"].withColumn("samples", F.col("samples") + F.when(odd, 1).otherwise(0))
+    return G.check_reproducibility(first, second, {**SUMMARY_KEYS, "drifted": SUMMARY_KEYS["probe_summary"]})
 
 
 def sample_files(spark, sf):
@@ -375,6 +397,7 @@ def audit(spark, sf):
 query("headline_metrics")(lambda s, d: audit(s, d).headline)
 query("dedupe_limitations")(lambda s, d: joined(R.dedupe_limitations(gate(s, d).gate), "limitations"))
 query("chart_series")(lambda s, d: R.chart_series(interface(s, d), probes(s, d), fx.host(s, d)))
+query("chart_windows")(lambda s, d: R.chart_windows(R.chart_series(interface(s, d), probes(s, d), fx.host(s, d))))
 query("run_report")(lambda s, d: audit(s, d).report.select(
     "run_id", "section", "item_no", (F.get_json_object("payload", "$").isNotNull()).alias("valid_payload"),
     F.length("payload_sha256").alias("digest_length")))
@@ -437,6 +460,20 @@ def _(spark, sf):
     return S.read_events(spark, path)[1].drop("reachability")
 
 
+@query("invalid_events")
+def _(spark, sf):
+    """Event documents with missing fields, negative durations and repeated ids, written and read back."""
+    st = stages(spark, sf)
+    n = F.substring("event_id", 7, 9).cast("int")
+    broken = st.events.withColumns({"severity": F.when(n % 3 != 0, F.col("severity")),
+                                    "duration_seconds": F.when(n % 5 == 0, F.lit(-1.0)).otherwise(F.col("duration_seconds"))})
+    headers = broken.unionByName(broken.where(n % 4 == 0)).select(
+        "run_id", "event_id", "start", "end", "duration_seconds", "metrics_changed", "severity", "confidence", F.lit(0).cast("long").alias("part_no"),
+        F.struct("bucket_seconds", "anomalous_buckets").alias("evidence"))
+    path = W.write_table(headers, scratch_dir(spark, "broken-events"), "json")
+    return joined(S.invalid_events(S.read_events(spark, path)[0]).select("run_id", "event_id", "problems"), "problems")
+
+
 @query("scan_correlations_json")
 def _(spark, sf):
     path = W.write_table(relations(spark, sf).correlations, scratch_dir(spark, "correlations"), "json")
@@ -446,8 +483,11 @@ def _(spark, sf):
 @query("scan_files_sha256")
 def _(spark, sf):
     root = scratch_dir(spark, "files")
-    fx.files(spark, sf).select("run_id", F.col("content").alias("value")).write.partitionBy("run_id").text(root)
-    return G.file_hashes(S.read_run_files(spark, root)).select("run_id", F.length("sha256").alias("digest_length"))
+    rows = fx.files(spark, sf).select(F.concat_ws("-", "run_id", F.floor(F.col("doc_id") / 50).cast("string")).alias("run_id"),
+                                      F.col("content").alias("value"), "doc_id")
+    (rows.repartition("run_id").sortWithinPartitions("run_id", "doc_id").drop("doc_id")  # one file of at most fifty texts a run
+     .write.partitionBy("run_id").text(root))
+    return G.file_hashes(S.read_run_files(spark, root)).select("run_id", "sha256")
 
 
 def sizes(spark, paths):
@@ -527,6 +567,48 @@ def _(spark, sf):
     return sizes(spark, W.write_report_tables(scratch_dir(spark, "out"), report, R.analysis_manifest(report)))
 
 
+# The same sinks by their cells: what was written, read back and compared with the statement of its source.
+
+@query("read_back_history")
+def _(spark, sf):
+    df = links(spark, sf)
+    core = stage(H.link_core(df), "core")
+    return spark.read.parquet(W.write_history(scratch_dir(spark, "out"), H.summarize(core), H.link_alerts(core), H.daily_link(df), H.hourly_link(df), df,
+                                              I.rejected_rows(checked(spark, sf)))["summary"])
+
+
+@query("read_back_processed")
+def _(spark, sf):
+    path = W.write_link_audit(scratch_dir(spark, "out"), H.link_audit(links(spark, sf)), links(spark, sf), H.link_audit_meta(links(spark, sf)))["processed"]
+    return spark.read.parquet(path).select("row_no", "link_id", "timestamp", "rx_utilization", "tx_utilization", "utilization", "hour")
+
+
+@query("read_back_quality")
+def _(spark, sf):
+    st = stages(spark, sf)
+    return spark.read.parquet(W.write_quality(scratch_dir(spark, "out"), Q.interface_summary(st.interface), Q.probe_summary(st.probes), st.interface,
+                                              st.probes, Q.source_overlap(st.interface, st.probes))["probe_summary"])
+
+
+@query("read_back_events")
+def _(spark, sf):
+    st = stages(spark, sf)
+    return spark.read.parquet(W.write_events(scratch_dir(spark, "out"), st.events, st.evidence, st.timeline)["summary"]).drop("event_no", "bucket_seconds")
+
+
+@query("read_back_correlations")
+def _(spark, sf):
+    found = relations(spark, sf)
+    return spark.read.parquet(W.write_correlations(scratch_dir(spark, "out"), found.correlations, found.aligned)["summary"])
+
+
+@query("read_back_evidence")
+def _(spark, sf):
+    st, refs = references(spark, sf)
+    found = stage(V.findings(st.events, st.targets, refs), "findings")
+    return spark.read.parquet(W.write_evidence(scratch_dir(spark, "out"), found, V.evidence_trace(found, refs))["summary"]).drop("bucket_seconds")
+
+
 # --- streams: the whole table lands in two parts, the second run resumes the first --
 
 def opened(df):

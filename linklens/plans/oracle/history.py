@@ -206,6 +206,9 @@ statement("rejected_rows", f"""SELECT row_no, link_id, "timestamp", {r6(HIST_FLO
 WHERE rejection_reason IS NOT NULL""")
 statement("accepted_rows", f"""SELECT row_no, trim(link_id) AS link_id, "timestamp", {r6(HIST_FLOATS)} FROM hist_checked
 WHERE rejection_reason IS NULL""")
+statement("read_back_processed", """SELECT row_no, link_id, "timestamp", round(rx_mbps / capacity_mbps, 6) AS rx_utilization,
+  round(tx_mbps / capacity_mbps, 6) AS tx_utilization, round(greatest(rx_mbps / capacity_mbps, tx_mbps / capacity_mbps), 6) AS utilization,
+  CAST(EXTRACT(HOUR FROM "timestamp") AS INTEGER) AS "hour" FROM hist""")
 statement("derive_utilization", f"""SELECT row_no, trim(link_id) AS link_id, "timestamp", {r6(HIST_FLOATS)},
   round(rx_mbps / capacity_mbps, 6) AS rx_utilization, round(tx_mbps / capacity_mbps, 6) AS tx_utilization,
   round(greatest(rx_mbps, tx_mbps), 6) AS traffic_mbps,

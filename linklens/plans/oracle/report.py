@@ -41,7 +41,9 @@ statement("table_diff", "SELECT * FROM diff_t")
 statement("diff_limit", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY artifact ORDER BY o_orderkey, "column") AS diff_no FROM diff_t)
 WHERE diff_no <= 100""")
 statement("cell_type", """SELECT event_id, CASE k % 5 WHEN 0 THEN 'null' WHEN 1 THEN 'bool' WHEN 2 THEN 'int' WHEN 3 THEN 'float' ELSE 'text' END AS cell_type FROM ev""")
-statement("reproducibility", "SELECT 'probe_summary' AS artifact, CAST(0 AS BIGINT) AS difference_count, TRUE AS reproducible")
+statement("reproducibility", """SELECT artifact, CAST(0 AS BIGINT) AS difference_count, TRUE AS reproducible
+FROM (VALUES ('interface_summary'), ('probe_summary'), ('events'), ('correlations'), ('findings'), ('fingerprints')) v(artifact)
+UNION ALL SELECT 'drifted', count(*), count(*) = 0 FROM probe_sum WHERE CAST(substr(run_id, 5) AS INTEGER) % 2 = 1""")
 cte("fprof_t", """
 SELECT run_id, 'interface_samples' AS file, count(*) AS rows, count(*) FILTER (NOT ok) AS failed_rows, 'sample_status' AS status_source,
   min("timestamp") AS first_timestamp, max("timestamp") AS last_timestamp, 'eth0' AS interfaces, '' AS targets FROM iface_t GROUP BY run_id
@@ -101,6 +103,7 @@ UNION ALL SELECT run_id, 'rtt', target, "timestamp", rtt_ms FROM probe_p
 UNION ALL SELECT run_id, 'delay', target, "timestamp", delay_variation_ms FROM probe_p
 UNION ALL SELECT run_id, 'cpu', 'CPU', "timestamp", cpu_percent FROM host_t""")
 statement("chart_series", 'SELECT run_id, chart, series, "timestamp", round(value, 6) AS value FROM series_t WHERE value IS NOT NULL')
+statement("chart_windows", 'SELECT run_id, min("timestamp") AS global_start, max("timestamp") AS global_end FROM series_t WHERE value IS NOT NULL GROUP BY run_id')
 statement("analysis_manifest", """SELECT run_id, CASE WHEN safe_for_conclusions THEN event_count ELSE 0 END AS event_count,
   CASE WHEN safe_for_conclusions THEN event_count ELSE 0 END AS finding_count, CASE WHEN safe_for_conclusions THEN event_count ELSE 0 END AS fingerprint_count,
   18 AS check_count, safe_for_conclusions AS analysis_executed, FALSE AS causal_inference_performed FROM gate_t JOIN head_t USING (run_id)""")
@@ -121,7 +124,15 @@ statement("runs_dim", """SELECT run_id, expected_interface, capacity_mbps, durat
   32 AS payload_bytes, 10 AS count_per_target, target_count, 't1|t0|t2' AS configured_targets, 't1' AS primary_target FROM runs_t""")
 statement("run_targets", """SELECT run_id, target, concat('10.0.0.', substr(target, 2)) AS address,
   CASE WHEN target = 't0' THEN 'internal' ELSE 'unspecified' END AS role FROM runs_t, (VALUES ('t0'), ('t1'), ('t2')) v(target)""")
-for copy, original in (("scan_events_json", "event_evidence"), ("scan_correlations_json", "correlations")):
+statement("scan_files_sha256", """SELECT 'run-' || lang || '-' || CAST(doc_id // 50 AS VARCHAR) AS run_id, sha256(string_agg(text, chr(10) ORDER BY doc_id) || chr(10)) AS sha256
+FROM documents GROUP BY lang, doc_id // 50""")
+statement("invalid_events", """SELECT run_id, event_id, array_to_string(list_filter(['' || CASE WHEN n % 3 = 0 THEN 'missing severity' END,
+    CASE WHEN n % 5 = 0 THEN 'negative duration' END, CASE WHEN n % 4 = 0 THEN 'duplicate' END], lambda p: p IS NOT NULL), '|') AS problems
+FROM (SELECT *, CAST(substr(event_id, 7) AS INTEGER) AS n FROM events_t), (VALUES (1), (2)) c(copy)
+WHERE (n % 3 = 0 OR n % 5 = 0 OR n % 4 = 0) AND (copy = 1 OR n % 4 = 0)""")
+for copy, original in (("scan_events_json", "event_evidence"), ("scan_correlations_json", "correlations"), ("read_back_history", "link_summary"),
+                       ("read_back_quality", "probe_summary"), ("read_back_events", "events_rollup"), ("read_back_correlations", "correlations"),
+                       ("read_back_evidence", "findings")):
     STATEMENTS[copy] = STATEMENTS[original]
 
 

@@ -88,11 +88,29 @@ def read_events(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return headers, evidence
 
 
+REQUIRED_EVENT = ("run_id", "event_id", "start", "end", "duration_seconds", "metrics_changed", "severity", "confidence", "anomalous_buckets")
+
+
+def event_problems(headers: DataFrame) -> DataFrame:
+    """``headers`` with ``problems``: missing fields, a negative duration, or another event of the same run and id."""
+    copies = headers.groupBy("run_id", "event_id").agg(F.count(F.lit(1)).alias("_copies"))
+    counted = headers.join(copies.select(F.col("run_id").alias("_run"), F.col("event_id").alias("_event"), "_copies"),
+                           F.col("run_id").eqNullSafe(F.col("_run")) & F.col("event_id").eqNullSafe(F.col("_event")))
+    found = [F.when(F.col(c).isNull(), F.lit(f"missing {c}")) for c in REQUIRED_EVENT]
+    found += [F.when(F.col("duration_seconds") < 0, F.lit("negative duration")), F.when(F.col("_copies") > 1, F.lit("duplicate"))]
+    return counted.withColumn("problems", F.array_compact(F.array(*found))).drop("_run", "_event", "_copies")
+
+
 def invalid_events(headers: DataFrame) -> DataFrame:
-    """Events with missing required fields or a negative duration."""
-    required = ("event_id", "start", "end", "duration_seconds", "metrics_changed", "severity", "confidence", "anomalous_buckets")
-    missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in required]))
-    return headers.withColumn("missing", missing).where((F.size("missing") > 0) | (F.col("duration_seconds") < 0))
+    """Events that may not be analysed, with the reasons in ``problems``."""
+    return event_problems(headers).where(F.size("problems") > 0)
+
+
+def require_valid_events(headers: DataFrame) -> DataFrame:
+    """``headers``; any invalid event fails the load, whichever columns are read."""
+    checked = event_problems(headers)
+    failure = F.raise_error(F.concat(F.lit("invalid event: "), F.array_join("problems", ", "))).cast("boolean")
+    return checked.where(F.when(F.size("problems") > 0, failure).otherwise(F.lit(True))).drop("problems")
 
 
 def read_correlations(spark: SparkSession, path: str) -> DataFrame:

@@ -28,10 +28,17 @@ def read_landed(spark: SparkSession, path: str, like: DataFrame, max_files: int
     return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
-def run_available(stream: DataFrame, sink: str, checkpoint: str) -> None:
-    """Process everything that has landed, append to a parquet table, stop."""
-    (stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
-     .option("path", sink).trigger(availableNow=True).start().awaitTermination())
+def run_available(stream: DataFrame, sink: str, checkpoint: str) -> dict[str, int]:
+    """Process everything that has landed, append to a parquet table, stop.
+
+    Returns the rows read and the rows that came too late for the watermark, which Spark drops.
+    """
+    query = (stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
+             .option("path", sink).trigger(availableNow=True).start())
+    query.awaitTermination()
+    steps = query.recentProgress
+    return {"input_rows": sum(p.numInputRows for p in steps),
+            "dropped_by_watermark": sum(op.numRowsDroppedByWatermark for p in steps for op in p.stateOperators)}
 
 
 def land_and_run(slices: Sequence[DataFrame], build: Callable[[DataFrame], DataFrame]) -> DataFrame:
