@@ -27,13 +27,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linklens.llm.vectors import best, matrix, usable_vectors, widest
-from linklens.session import scratch_dir, stage
+from linklens.session import stage
 
 SAMPLE, PIVOTS, RINGS, BLOCK, QUERY_CHUNK = 4096, 32, 8, 2048, 256
 # Annuli that a query visits before its bound is tightened.
 FIRST_RINGS = 8
 LIMIT = 1 << 24
-BLOCK_SCHEMA = "pivot int, ring int, low double, high double, n int, ids binary, vecs binary, top int"
+BLOCK_SCHEMA = "pivot int, ring int, low double, high double, n int, ids binary, vecs binary"
 
 
 def quantised(vecs: np.ndarray, scale: float = 256.0) -> np.ndarray:
@@ -100,17 +100,17 @@ def _key(index: Pivots, width: int):
     return run
 
 
-def _blocks(width: int, every: int, k: int, block: int):
-    """Runs of one annulus as blocks, and the first scores of the queries among their rows."""
+def _blocks(block: int):
+    """Runs of one annulus as blocks."""
     def close(pivot, ring, rows):
         ids = np.array([r[0] for r in rows], "<i8")
         vecs = b"".join(r[2] for r in rows)
-        return [pivot, ring, rows[0][1], rows[-1][1], len(rows), ids.tobytes(), vecs, k]
+        return [pivot, ring, rows[0][1], rows[-1][1], len(rows), ids.tobytes(), vecs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows, out = None, [], []
-        names = ["pivot", "ring", "low", "high", "n", "ids", "vecs", "top"]
-        types = [pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.binary(), pa.binary(), pa.int32()]
+        names = ["pivot", "ring", "low", "high", "n", "ids", "vecs"]
+        types = [pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.binary(), pa.binary()]
         emit = lambda row: pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names)
         for batch in batches:
             for vec_id, pivot, ring, away, vec in zip(*(batch.column(c).to_pylist() for c in ("vec_id", "pivot", "ring", "away", "vec"))):
@@ -141,7 +141,7 @@ def _scores(numbers, vecs, own, queries, least, k):
     return at[pick], numbers[col[pick]], score[at[pick], col[pick]]
 
 
-def _first(index: Pivots, width: int, every: int, k: int):
+def _first(width: int, every: int, k: int):
     """Queries of each block with the k-th score that their own block gives (null: fewer than k)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,10 +227,10 @@ def top_products(table: DataFrame, every: int = 50, k: int = 5, pivots: int = PI
     keyed = rows.mapInArrow(_key(index, width), "vec_id long, pivot int, ring int, away double, vec binary")
     order = ["pivot", "ring", "away", "vec_id"]
     blocks = stage(keyed.repartitionByRange(*order).sortWithinPartitions(*order)
-                   .mapInArrow(_blocks(width, every, k, block), BLOCK_SCHEMA), "pivot-blocks")
+                   .mapInArrow(_blocks(block), BLOCK_SCHEMA), "pivot-blocks")
     directory = [tuple(r) for r in blocks.groupBy("pivot", "ring").agg(F.min("low"), F.max("high")).orderBy("pivot", "ring").collect()]
 
-    queries = stage(blocks.select("ids", "vecs").mapInArrow(_first(index, width, every, k), "query_id long, query binary, least long")
+    queries = stage(blocks.select("ids", "vecs").mapInArrow(_first(width, every, k), "query_id long, query binary, least long")
                     .groupBy("query_id", "query").agg(F.max("least").alias("least")), "pivot-queries")
     chunk = "pivot int, ring int, own binary, least binary, queries binary"
 
