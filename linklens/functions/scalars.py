@@ -156,8 +156,8 @@ def flag_list(pairs: list[tuple[Column, str]]) -> Column:
 
 
 def shown(c: Column, digits: int) -> Column:
-    """A number as text with fixed digits, half up."""
-    return F.round(c, digits).cast(f"decimal(20,{digits})").cast("string")
+    """A number as text with fixed digits, half up; what lies beyond nine decimals is arithmetic noise."""
+    return F.round(F.round(c, 9).cast("decimal(28,9)"), digits).cast(f"decimal(20,{digits})").cast("string")
 
 
 # For comparisons only: measured decimals often sit exactly on a rounding border; a fixed nudge far

@@ -52,4 +52,4 @@ def _nudged(text: str) -> str:
 
 
 def num(expr: str, digits: int) -> str:
-    return f"CAST(CAST(round({expr}, {digits}) AS DECIMAL(20,{digits})) AS VARCHAR)"
+    return f"CAST(CAST(round(CAST(round({expr}, 9) AS DECIMAL(28,9)), {digits}) AS DECIMAL(20,{digits})) AS VARCHAR)"

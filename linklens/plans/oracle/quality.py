@@ -103,7 +103,7 @@ UNION ALL SELECT run_id, source || '.timestamps', CASE WHEN invalid_timestamps >
     WHEN out_of_order + duplicates + outside_run_window > 0 THEN 'WARN' ELSE 'PASS' END, invalid_timestamps > 0,
   'inválidos=' || invalid_timestamps || ', fuera_de_orden=' || out_of_order || ', duplicados=' || duplicates || ', fuera_de_ventana=' || outside_run_window FROM clean_prof
 UNION ALL SELECT run_id, source || '.gaps', CASE WHEN gaps > 0 THEN 'WARN' ELSE 'PASS' END, FALSE,
-  'huecos=' || gaps || '; máximo=' || coalesce(CAST(CAST(round(max_gap_seconds, 3) AS DECIMAL(20,3)) AS VARCHAR), 'N/D') FROM clean_prof
+  'huecos=' || gaps || '; máximo=' || coalesce(CAST(CAST(round(CAST(round(max_gap_seconds, 9) AS DECIMAL(28,9)), 3) AS DECIMAL(20,3)) AS VARCHAR), 'N/D') FROM clean_prof
 UNION ALL SELECT run_id, 'integrity.strict', 'PASS', TRUE, 'SHA-256' FROM facts_t
 UNION ALL SELECT run_id, 'interface.expected', CASE WHEN interface_match THEN 'PASS' ELSE 'FAIL' END, TRUE,
   'esperada=' || expected_interface || '; observada=' || coalesce(observed_interface, 'N/D') FROM facts_t
