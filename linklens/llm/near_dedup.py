@@ -2,14 +2,15 @@
 
 1. ``profiles``: the shingle set of each text (64-bit hashes of word runs), its 128-bit fingerprint and its signature. Texts with equal sets are
    one class from here on; a class is a node.
-2. Bands of the signatures name buckets. In each bucket every node is compared with the smallest and the largest node only
-   (``stars``): their number grows with the nodes, not with the square of a bucket.
+2. Bands of the signatures name buckets. In each bucket every node is compared with the smallest node only (``stars``): their
+   number grows with the nodes, not with the square of a bucket.
 3. ``verify_signatures`` compares signatures batch by batch. With a uniform prior the similarity after m matches of n is
    Beta(m + 1, n - m + 1); a pair is dropped as soon as the probability that it reaches the threshold is below ``MISS``.
 4. Survivors are checked on full sets: first the best partner of each node, then only pairs whose nodes are in different
    components, since a link inside a component changes nothing.
 5. Buckets that still hold several components have all their pairs across components compared: small ones by a join of members, larger
-   ones block by block inside tasks, which return only the pairs that pass.
+   ones block by block inside tasks. There signatures and full sets are compared in place, and a task returns the links that join
+   components, fewer than it has nodes. Large buckets that share nodes are compared at once where that is less work than one by one.
 
 Defined cases: letters A-Z are lowered, words are runs of bytes other than ASCII white space; a text with fewer words than a shingle has its
 whole sequence as its only shingle; a text without words, or null, has an empty set and no link. Null ids take part, but a component's id is
@@ -19,6 +20,7 @@ and kept by ``keep_one``. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Iterator
@@ -39,8 +41,8 @@ HASHES = BANDS * ROWS
 BATCH = 25
 # Probability at which a pair that may reach the threshold is given up.
 MISS = 1e-6
-# Buckets up to this size are joined, larger ones are compared in blocks of this size.
-BLOCK = 64
+# Buckets up to this size are joined, larger ones are compared in blocks of BLOCK nodes.
+SMALL, BLOCK = 64, 512
 
 
 @dataclass(frozen=True)
@@ -217,7 +219,7 @@ def _exact(part: int, whole: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for left, right in zip(batch.column("set_a"), batch.column("set_b")):
+            for left, right in zip(batch.column("set_a"), batch.column("set_b")):  # views on the batch, not copies
                 x, y = (np.frombuffer(v.as_buffer(), "<u8") for v in (left, right))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(whole * both >= part * (len(x) + len(y) - both))
@@ -228,16 +230,20 @@ def _exact(part: int, whole: int):
 def verify_sets(pairs: DataFrame, docs: DataFrame, reps: DataFrame, like: Likeness) -> DataFrame:
     """``a, b`` of the pairs whose full sets are alike; sets are built only for the nodes at hand."""
     pairs = pairs.select("a", "b")
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    place = reps.join(nodes, "node", "left_semi").select("node", F.col("place.doc_id").alias("at_id"), F.col("place.text_key").alias("at_key"))
-    texts = _texts(docs)
-    found = texts.join(place, texts["doc_id"].eqNullSafe(place["at_id"]) & (texts["text_key"] == place["at_key"])).select("node", "text")
-    sets = stage(found.mapInArrow(_sets(like.words), "node binary, members binary").dropDuplicates(["node"]), "shingle-sets")
+    sets = node_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), docs, reps, like)
     a = sets.select(F.col("node").alias("a"), F.col("members").alias("set_a"))
     b = sets.select(F.col("node").alias("b"), F.col("members").alias("set_b"))
     return pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_exact(like.part, like.whole), "a binary, b binary")
 
 
+def node_sets(nodes: DataFrame, docs: DataFrame, reps: DataFrame, like: Likeness) -> DataFrame:
+    """``node, members``: the shingle sets of ``nodes``, staged."""
+    place = reps.join(nodes, "node", "left_semi").select("node", F.col("place.doc_id").alias("at_id"), F.col("place.text_key").alias("at_key"))
+    texts = _texts(docs)
+    found = texts.join(place, texts["doc_id"].eqNullSafe(place["at_id"]) & (texts["text_key"] == place["at_key"])).select("node", "text")
+    return stage(found.mapInArrow(_sets(like.words), "node binary, members binary").dropDuplicates(["node"]), "shingle-sets")
+
+
 # --- candidates ----------------------------------------------------------------
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,50 +258,109 @@ def ordered_pair(x, y):
 
 
 def stars(members: DataFrame) -> DataFrame:
-    """Pairs of each node with the smallest and the largest node of its buckets."""
-    ends = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high")
-    rows = members.join(ends, "bucket").select("node", F.explode(F.array("low", "high")).alias("centre")).where("node != centre")
-    return rows.select(*ordered_pair("node", "centre")).distinct()
+    """Pairs of each node with the smallest node of its buckets."""
+    centre = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("size")).where("size > 1").drop("size")
+    return members.join(centre, "bucket").where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def overlaps(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the pairs ``sets[x], sets[y]``."""
+    if len(x) <= 4 * len(sets):
+        return np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(x, y)], np.int64)
+    # many pairs: rows of a membership matrix over the members that several sets share, some columns at a time
+    owner = np.repeat(np.arange(len(sets)), list(map(len, sets)))
+    _, place, copies = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = copies[place] > 1
+    owner, place = owner[shared], np.unique(place[shared], return_inverse=True)[1]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for first in range(0, int(place.max()) + 1 if len(place) else 0, 4096):
+        part = (place >= first) & (place < first + 4096)
+        matrix = np.zeros((len(sets), 4096), np.float32)
+        matrix[owner[part], place[part] - first] = 1
+        both += matrix @ matrix.T
+    return np.rint(both[x, y]).astype(np.int64)
+
+
+def _block_links(like: Likeness):
+    """Links between components among the nodes of two blocks (or inside one): Bayesian decisions, exact check, a spanning forest."""
+    least = least_matches(like.threshold)
 
-
-def _block_pairs(least: list[int]):
     def run(table: pa.Table) -> pa.Table:
-        sides = [np.flatnonzero(np.array(table.column("side").to_pylist()) == s) for s in (0, 1)]
         node, root = table.column("node").to_pylist(), table.column("root").to_pylist()
-        number = {r: i for i, r in enumerate(set(root))}
+        side = np.array(table.column("side").to_pylist())
+        sets = [np.frombuffer(v, "<u8") for v in table.column("members").to_pylist()]
+        signs, sizes = signatures(sets), np.array(list(map(len, sets)))
+        number = {r: i for i, r in enumerate(dict.fromkeys(root))}
         roots = np.array([number[r] for r in root])
-        signs = _signs(table.column("signature").to_pylist())
-        left, right = sides if len(sides[1]) else (sides[0], sides[0])
-        x, y = (g.ravel() for g in np.meshgrid(left, right, indexing="ij"))
-        cross = roots[x] != roots[y]
-        x, y = x[cross], y[cross]
-        alive, _ = sequential(signs[x], signs[y], least)
-        pairs = sorted({(min(node[i], node[j]), max(node[i], node[j])) for i, j in zip(x[alive], y[alive])})
-        return pa.table({"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())})
+        left = np.flatnonzero(side == 0)
+        right = np.flatnonzero(side == 1) if (side == 1).any() else left
+        passed: list[tuple[np.ndarray, np.ndarray]] = []
+        for first in range(0, len(left), 64):  # some rows at a time
+            x, y = (g.ravel() for g in np.meshgrid(left[first:first + 64], right, indexing="ij"))
+            small, large = np.minimum(sizes[x], sizes[y]), np.maximum(sizes[x], sizes[y])
+            open_ = (roots[x] != roots[y]) & (like.whole * small >= like.part * large)
+            x, y = x[open_], y[open_]
+            alive, _ = sequential(signs[x], signs[y], least)
+            passed.append((x[alive], y[alive]))
+        x, y = (np.concatenate([p[i] for p in passed]) if passed else np.zeros(0, int) for i in (0, 1))
+        both = overlaps(sets, x, y)
+        linked = like.whole * both >= like.part * (sizes[x] + sizes[y] - both)
+        parent, links = list(range(len(number))), []
+
+        def find(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        for i, j in zip(x[linked].tolist(), y[linked].tolist()):
+            a, b = find(roots[i]), find(roots[j])
+            if a != b:
+                parent[a] = b
+                links.append((node[i], node[j]))
+        return pa.table({"a": pa.array([k[0] for k in links], pa.binary()), "b": pa.array([k[1] for k in links], pa.binary())})
     return run
 
 
-def across(members: DataFrame, roots: DataFrame, reps: DataFrame, like: Likeness) -> DataFrame:
-    """Pairs of one bucket in different components that survive the Bayesian decisions."""
+def open_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``bucket, node, root, size`` of the buckets that hold several components."""
     placed = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    open_ = (placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
-             .where("low != high").select("bucket", "size"))
-    rows = stage(placed.join(open_, "bucket"), "open-buckets")
-    small = rows.where(F.col("size") <= BLOCK)
+    several = (placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
+               .where("low != high").select("bucket", "size"))
+    return stage(placed.join(several, "bucket"), "open-buckets")
+
+
+def small_pairs(opened: DataFrame) -> DataFrame:
+    """Pairs of different components in buckets of at most ``SMALL`` nodes."""
+    small = opened.where(F.col("size") <= SMALL)
     other = small.select("bucket", F.col("node").alias("other"), F.col("root").alias("other_root"))
-    near = small.join(other, "bucket").where("node < other and root != other_root").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
-    passed = verify_signatures(near, reps, like).select("a", "b")
-    large = rows.where(F.col("size") > BLOCK)
-    if large.isEmpty():
-        return passed
+    return small.join(other, "bucket").where("node < other and root != other_root").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+
+
+def large_links(large: DataFrame, docs: DataFrame, reps: DataFrame, like: Likeness) -> DataFrame:
+    """Links between components in larger buckets.
+
+    Buckets are gathered under a label, the smallest node that a bucket of one of their nodes holds; the buckets of one crowd of copies
+    mostly share it. All nodes under a label are compared as one group if the square of their number is at most the sum of the
+    squares of its buckets, otherwise each bucket is a group: two nodes of one bucket meet either way. Groups are cut into
+    blocks of ``BLOCK`` nodes; every two blocks meet in a task.
+    """
+    nearest = large.join(large.groupBy("bucket").agg(F.min("node").alias("centre")), "bucket").groupBy("node").agg(F.min("centre").alias("centre"))
+    labels = large.join(nearest, "node").groupBy("bucket").agg(F.min("centre").alias("label"))
+    labelled = stage(large.join(labels, "bucket"), "labelled")
+    work = labelled.groupBy("label").agg(F.sum(F.col("size").cast("double")).alias("apart"))  # a row of each of its nodes adds the size once
+    nodes = labelled.select("label", "node").distinct().groupBy("label").agg(F.count("*").alias("nodes"))
+    gathered = work.join(nodes, "label").select("label", "nodes", (F.col("nodes").cast("double") * F.col("nodes") <= F.col("apart")).alias("at_once"))
+    rows = (labelled.join(gathered, "label")
+            .select("node", "root", F.when(F.col("at_once"), F.col("label")).otherwise(F.col("bucket").cast("string").cast("binary")).alias("group"),
+                    F.when(F.col("at_once"), F.col("nodes")).otherwise(F.col("size")).alias("size")).distinct())
+    sets = node_sets(large.select("node").distinct(), docs, reps, like)
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    dealt = (large.join(reps.select("node", "signature"), "node").withColumn("own", own)
+    dealt = (rows.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
              .withColumn("partner", F.explode(F.sequence(F.lit(0), blocks - 1)))
-             .select("bucket", F.least("own", "partner").alias("i"), F.greatest("own", "partner").alias("j"),
-                     F.when(F.col("own") <= F.col("partner"), 0).otherwise(1).alias("side"), "node", "root", "signature"))
-    inside = dealt.groupBy("bucket", "i", "j").applyInArrow(_block_pairs(least_matches(like.threshold)), "a binary, b binary")
-    return passed.unionByName(inside).distinct()
+             .select("group", F.least("own", "partner").alias("i"), F.greatest("own", "partner").alias("j"),
+                     F.when(F.col("own") <= F.col("partner"), 0).otherwise(1).alias("side"), "node", "root").join(sets, "node"))
+    return dealt.groupBy("group", "i", "j").applyInArrow(_block_links(like), "a binary, b binary")
 
 
 # --- the operator ---------------------------------------------------------------
@@ -309,7 +374,10 @@ def linked_profiles(docs: DataFrame, like: Likeness) -> DataFrame:
     members = stage(reps.select("node", "signature").mapInArrow(_members, "bucket long, node binary"), "bucket-members")
     pairs = stage(verify_signatures(stars(members), reps, like), "star-pairs")
     both = pairs.select("a", "b", "matches").union(pairs.select("b", "a", "matches"))
-    best = both.groupBy("a").agg(F.max(F.struct("matches", "b")).alias("best")).select(*ordered_pair(F.col("a"), F.col("best.b"))).distinct()
+    # a partner that is clearly alike, the smallest of these: they hang on few nodes; otherwise the most alike
+    clear = F.col("matches") >= (like.threshold + 0.03) * HASHES
+    best = (both.groupBy("a").agg(F.min(F.when(clear, F.col("b"))).alias("clear"), F.max(F.struct("matches", "b")).alias("best"))
+            .select(*ordered_pair(F.col("a"), F.coalesce("clear", "best.b"))).distinct())
     links = stage(verify_sets(best, docs, reps, like), "links")
     roots = stage(components(links), "roots")
 
@@ -318,10 +386,17 @@ def linked_profiles(docs: DataFrame, like: Likeness) -> DataFrame:
 
     rest = (pairs.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
             .where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
-    later = stage(rest.unionByName(across(members, roots, reps, like)).distinct(), "later-pairs")
+    opened = open_buckets(members, roots)
+    near = verify_signatures(small_pairs(opened), reps, like).select("a", "b")
+    later = stage(rest.unionByName(near).distinct(), "later-pairs")
+    more = []
     if not later.isEmpty():
-        more = stage(verify_sets(later, docs, reps, like), "links")
-        roots = stage(components(links.unionByName(more)), "roots")
+        more.append(stage(verify_sets(later, docs, reps, like), "links"))
+    large = opened.where(F.col("size") > SMALL)
+    if not large.isEmpty():
+        more.append(stage(large_links(large, docs, reps, like), "links"))
+    if more:
+        roots = stage(merged(roots, functools.reduce(DataFrame.unionByName, more)), "roots")
 
     classes = reps.select("node", "least_id").join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
     tops = classes.groupBy("root").agg(F.min("least_id").alias("component_id"))
@@ -331,6 +406,17 @@ def linked_profiles(docs: DataFrame, like: Likeness) -> DataFrame:
                     F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
 
 
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, root`` after further links: only the roots at their ends are connected anew."""
+    def end(side: str) -> DataFrame:
+        return roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+
+    ends = links.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    tops = stage(components(ends), "tops").select(F.col("node").alias("top"), F.col("root").alias("new_root"))
+    known = roots.unionByName(tops.select(F.col("top").alias("node"), F.col("top").alias("root"))).distinct()
+    return known.join(tops, known["root"] == tops["top"], "left").select("node", F.coalesce("new_root", "root").alias("root"))
+
+
 def components_of(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     """Per row: set size, component and whether the row has the component's id."""
     return linked_profiles(docs, like).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

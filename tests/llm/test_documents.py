@@ -105,20 +105,38 @@ def test_small_table_components(small, small_rows):
     assert got == sorted(brute.near(small_rows, 3, 85, 100))
 
 
-def test_crowded_buckets_lose_no_link(spark):
-    """Buckets above the block size whose smallest node is an outlier: links between the others come from the block comparison."""
-    rng = np.random.default_rng(9)
-    like = ND.Likeness(3, 85)
-    count = 150
-    nodes = [i.to_bytes(16, "big") for i in range(count)]
-    signs = rng.integers(0, 1 << 32, (count, ND.HASHES), dtype=np.uint64).astype("<u4")
-    for a in range(1, count - 1, 2):
-        signs[a + 1] = signs[a]
-    reps = spark.createDataFrame([(n, bytearray(s.tobytes())) for n, s in zip(nodes, signs)], "node binary, signature binary")
-    members = reps.select(F.lit(1).cast("long").alias("bucket"), "node")
-    roots = spark.createDataFrame([], "node binary, root binary")
-    got = {(bytes(r.a), bytes(r.b)) for r in ND.across(members, roots, reps, like).collect()}
-    assert got == {(nodes[a], nodes[a + 1]) for a in range(1, count - 1, 2)}
+@pytest.mark.parametrize("linked", [False, True])
+def test_crowded_buckets_lose_no_link(spark, monkeypatch, linked):
+    """Many texts of one origin, each a little too far from the others: only a few pairs are links, and blocks must find them."""
+    monkeypatch.setattr(ND, "SMALL", 4)
+    monkeypatch.setattr(ND, "BLOCK", 16)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base, rows = [word() for _ in range(200)], []
+    for _ in range(120):
+        copy = list(base)
+        for at in rng.sample(range(0, 200, 4), 7):  # pairs of these are alike by about 0.65
+            copy[at] = word()
+        rows.append((len(rows), " ".join(copy)))
+    for i in range(0, 60, 3) if linked else ():
+        rows.append((len(rows), rows[i][1] + " " + word()))
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ND.components_of(docs_frame(spark, rows), ND.Likeness(3, 70)).collect())
+    assert got == sorted(brute.near(rows, 3, 70, 100))
+    members = stage_members(spark, rows)
+    assert members.groupBy("bucket").count().agg(F.max("count")).first()[0] > 16  # blocks were needed
+
+
+def stage_members(spark, rows):
+    reps = ND.profiles(docs_frame(spark, rows), ND.Likeness(3, 70)).select("node", "signature")
+    return reps.mapInArrow(ND._members, "bucket long, node binary")
+
+
+def test_overlaps_either_way():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 400, 150).astype(np.uint64)) for _ in range(20)]
+    x, y = np.triu_indices(20, 1)
+    want = [len(np.intersect1d(sets[i], sets[j])) for i, j in zip(x, y)]
+    assert ND.overlaps(sets, x, y).tolist() == want and ND.overlaps(sets, x[:9], y[:9]).tolist() == want[:9]
 
 
 def test_least_matches_keep_the_chosen_miss_probability():
