@@ -148,6 +148,8 @@ def whole_tokenizer(data: bytes):
 
 # --- encoding ----------------------------------------------------------------
 
+# Segments that a worker keeps; a worker that did other work before has less room than the cache of op1's words needs.
+CACHE_SEGMENTS = 120_000
 # Marks of a segment's value, before its ids.
 ROUND_TRIP, PARITY = 1, 2
 
@@ -162,8 +164,8 @@ def _segment_cache(data: bytes) -> WordCache:
     lead = plain.encode("\n")
 
     def evaluate(segments: list[str]) -> Iterator[tuple[bytes, int]]:
-        for first in range(0, len(segments), 50_000):
-            block = segments[first:first + 50_000]
+        for first in range(0, len(segments), 10_000):
+            block = segments[first:first + 10_000]
             ids = [e.ids for e in tokenizer.encode_batch_fast(block, add_special_tokens=False)]
             back = tokenizer.decode_batch(ids, skip_special_tokens=False)
             # The library puts its own blank before a text: a segment that begins with one is given without it, any other
@@ -173,7 +175,7 @@ def _segment_cache(data: bytes) -> WordCache:
                 check = check[len(lead):] if given[0] == "\n" and given[1:] == segment else check
                 # Equal scores of one piece's splits are no ranks: where the merges differ from the library, its ids count.
                 yield np.array(check, "<u4").tobytes(), ROUND_TRIP * (text == segment) + PARITY * (check == found)
-    return WordCache(evaluate)
+    return WordCache(evaluate, CACHE_SEGMENTS)
 
 
 def encode_texts(data: bytes, texts: list[str]) -> tuple[list[bytes], list[int]]:
@@ -225,7 +227,7 @@ def encode_rows(docs: DataFrame, model: str, columns: tuple[str, ...] | None = N
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias(given))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, given):
+        for batch in slices(batches, given, most=4 << 20):
             codes, marks = encode_texts(data, _texts(batch, given))
             sizes = np.array([len(c) // 4 for c in codes], np.int64)
             ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()),
@@ -245,7 +247,7 @@ def digest(docs: DataFrame, model: str) -> DataFrame:
     data = file_bytes(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=4 << 20):
             codes, marks = encode_texts(data, _texts(batch, "text"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(c) // 4 for c in codes], pa.int64()), pa.array([zlib.crc32(c) for c in codes], pa.int64()),
