@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 
 from linklens.config import (
