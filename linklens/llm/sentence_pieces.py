@@ -16,6 +16,7 @@ columns are kept by ``encode_rows`` and not read by ``digest``; an empty table g
 
 from __future__ import annotations
 
+import array
 import functools
 import os
 import re
@@ -149,13 +150,14 @@ def whole_tokenizer(data: bytes):
 # --- encoding ----------------------------------------------------------------
 
 # Segments that a worker keeps; a worker that did other work before has less room than the cache of op1's words needs.
-CACHE_SEGMENTS = 120_000
+CACHE_SEGMENTS = 300_000
 # Marks of a segment's value, before its ids.
 ROUND_TRIP, PARITY = 1, 2
 
 
 @functools.lru_cache(maxsize=2)
-def _segment_cache(data: bytes) -> WordCache:
+def _segment_cache(data: bytes) -> tuple[WordCache, dict[str, int]]:
+    """Ids of each segment, and the marks of the few segments that lack one."""
     import sentencepiece
     model = load_model(data)
     tokenizer, blank = model.tokenizer(prefix=False), model.dummy_prefix
@@ -163,7 +165,9 @@ def _segment_cache(data: bytes) -> WordCache:
 
     lead = plain.encode("\n")
 
-    def evaluate(segments: list[str]) -> Iterator[tuple[bytes, int]]:
+    odd: dict[str, int] = {}
+
+    def evaluate(segments: list[str]) -> Iterator[bytes]:
         for first in range(0, len(segments), 10_000):
             block = segments[first:first + 10_000]
             ids = [e.ids for e in tokenizer.encode_batch_fast(block, add_special_tokens=False)]
@@ -174,8 +178,10 @@ def _segment_cache(data: bytes) -> WordCache:
             for segment, given, found, text, check in zip(block, asked, ids, back, plain.encode(asked, num_threads=1)):
                 check = check[len(lead):] if given[0] == "\n" and given[1:] == segment else check
                 # Equal scores of one piece's splits are no ranks: where the merges differ from the library, its ids count.
-                yield np.array(check, "<u4").tobytes(), ROUND_TRIP * (text == segment) + PARITY * (check == found)
-    return WordCache(evaluate, CACHE_SEGMENTS)
+                if text != segment or check != found:
+                    odd[segment] = ROUND_TRIP * (text == segment) + PARITY * (check == found)
+                yield array.array("I", check).tobytes()
+    return WordCache(evaluate, CACHE_SEGMENTS), odd
 
 
 def encode_texts(data: bytes, texts: list[str]) -> tuple[list[bytes], list[int]]:
@@ -194,15 +200,14 @@ def encode_texts(data: bytes, texts: list[str]) -> tuple[list[bytes], list[int]]
     fresh: set[str] = set()
     for segments in split:
         fresh.update(segments)
-    get = _segment_cache(data).lookup(fresh)
-    out, marks = [], []
-    for segments in split:
-        found = [get(s) for s in segments]
-        out.append(b"".join([f[0] for f in found]))
-        mark = ROUND_TRIP | PARITY
-        for f in found:
-            mark &= f[1]
-        marks.append(mark)
+    cache, odd = _segment_cache(data)
+    get = cache.lookup(fresh)
+    out = [b"".join(map(get, segments)) for segments in split]
+    marks = [ROUND_TRIP | PARITY] * len(texts)
+    if not odd.keys().isdisjoint(fresh):
+        for i, segments in enumerate(split):
+            for mark in {odd[s] for s in segments if s in odd}:
+                marks[i] &= mark
     return out, marks
 
 
