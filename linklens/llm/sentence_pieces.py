@@ -208,6 +208,8 @@ def encode_texts(data: bytes, texts: list[str]) -> tuple[list[bytes], list[int]]
         for i, segments in enumerate(split):
             for mark in {odd[s] for s in segments if s in odd}:
                 marks[i] &= mark
+    for segment in [s for s in odd if s not in cache.known]:  # no more of these than cached segments
+        del odd[segment]
     return out, marks
 
 
