@@ -236,7 +236,8 @@ def top_products(table: DataFrame, every: int = 50, k: int = 5, pivots: int = PI
 
     def visit(asked: DataFrame, first: int, last: int | None) -> DataFrame:
         wanted = asked.mapInArrow(_expand(index, directory, width, first, last), chunk)
-        pairs = blocks.select("pivot", "ring", "ids", "vecs").join(wanted, ["pivot", "ring"])
+        # both sides grow with the table and the chunks' size can't be estimated: never broadcast
+        pairs = wanted.hint("merge").join(blocks.select("pivot", "ring", "ids", "vecs"), ["pivot", "ring"])
         return ranked(pairs.select("ids", "vecs", "own", "least", "queries").mapInArrow(_search(width, k), FOUND), k).drop("rank")
 
     near = stage(visit(queries, 0, FIRST_RINGS), "pivot-near")
