@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linklens.llm import bit_search, hilbert, mixing, near_dedup, pivot_search, quality, secrets, sentence_pieces, token_counts, token_files
+from linklens.llm import bit_search, context_mixing, hilbert, mixing, near_dedup, pivot_search, quality, secrets, sentence_pieces, token_counts, token_files
 from linklens.llm.words import tokenizer_path
 
 
@@ -52,5 +52,9 @@ def op10_mixture(spark, sf_dir):
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
 
+def op11_context_mixing(spark, sf_dir):
+    return context_mixing.scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_token_codes, op2_exact_search, op3_secret_scan, op4_sentence_pieces, op5_near_duplicates,
-                                   op6_nearest_neighbours, op7_token_counts, op8_quality, op9_hilbert_shards, op10_mixture)}
+                                   op6_nearest_neighbours, op7_token_counts, op8_quality, op9_hilbert_shards, op10_mixture, op11_context_mixing)}
