@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linklens.llm import bit_search, context_mixing, hilbert, mixing, near_dedup, pivot_search, quality, secrets, sentence_pieces, token_counts, token_files
+from linklens.llm import bit_search, collocations, context_mixing, hilbert, importance, mixing, near_dedup, pivot_search, quality, secrets, sentence_pieces, token_counts, token_files
 from linklens.llm.words import tokenizer_path
 
 
@@ -56,5 +56,13 @@ def op11_context_mixing(spark, sf_dir):
     return context_mixing.scores(table(spark, sf_dir, "documents"))
 
 
+def op12_importance_resampling(spark, sf_dir):
+    return importance.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_token_codes, op2_exact_search, op3_secret_scan, op4_sentence_pieces, op5_near_duplicates,
-                                   op6_nearest_neighbours, op7_token_counts, op8_quality, op9_hilbert_shards, op10_mixture, op11_context_mixing)}
+                                   op6_nearest_neighbours, op7_token_counts, op8_quality, op9_hilbert_shards, op10_mixture, op11_context_mixing, op12_importance_resampling, op13_collocations)}

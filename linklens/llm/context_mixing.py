@@ -46,7 +46,7 @@ PRIOR = 0.4
 STEPS = (1, 3, 8, 32, 256)  # contexts seen less often share a gate
 GATES = (len(STEPS) + 1) ** 2
 HEAD = 2
-BLOCK, RATE, START = 32, 0.03, (0.0, 1.0, -1.0)  # bits, known words, the text so far
+BLOCK, RATE, START = 32, 0.1, (1.5, 0.5, -1.0)  # bits, known words, the text so far
 REPEATS = 8
 ROWS, LEARN_ROWS = 4096, 1024
 SUM_BLOCK = 1 << 16

@@ -1,6 +1,6 @@
 """DuckDB statements of the queries that SQL can express, over whole tables.
 
-Without one: encoded tokens (1, 4, 7), fitted scores (8), approximate neighbours (6), quantised curves (9) and the pipeline; tests/llm
+Without one: encoded tokens (1, 4, 7), fitted scores (8, 11), approximate neighbours (6), quantised curves (9) and the pipeline; tests/llm
 compares those with plain versions.
 """
 
@@ -112,7 +112,76 @@ SELECT m.doc_id, m.size, CAST(m.source_size AS BIGINT) AS source_size, round(m.t
        CAST(m.size * least(m.whole + CASE WHEN m.draw <= CASE WHEN m.large THEN f.cut ELSE s.cut END THEN 1 ELSE 0 END, 3) AS BIGINT) AS taken
 FROM running m LEFT JOIN first f ON m.source IS NOT DISTINCT FROM f.source LEFT JOIN second s ON m.source IS NOT DISTINCT FROM s.source"""
 
+# DuckDB has no crc32: the table of one byte, then word for word over distinct words.
+IMPORTANCE = r"""
+WITH RECURSIVE steps(b, c, k) AS (
+  SELECT CAST(range AS BIGINT), CAST(range AS BIGINT), 0 FROM range(256)
+  UNION ALL SELECT b, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY b) AS t FROM steps WHERE k = 8),
+texts AS (
+  SELECT 'd' AS side, row_number() OVER () AS no, doc_id, text FROM documents
+  UNION ALL SELECT 't', row_number() OVER (), NULL, text FROM benchmark),
+words AS (
+  SELECT side, no, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM texts),
+found AS (SELECT side, no, word, count(*) AS n FROM words GROUP BY ALL),
+spelled AS (SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM found)),
+bytes AS (
+  SELECT word, list_transform(range(0, length(h) // 2), lambda i: 16 * (strpos('0123456789ABCDEF', h[2 * i + 1]) - 1) + strpos('0123456789ABCDEF', h[2 * i + 2]) - 1) AS b
+  FROM spelled),
+buckets AS (
+  SELECT word, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[xor(c, x) % 256 + 1]), CAST(4294967295 AS BIGINT)), 4294967295) % 10000 AS bucket
+  FROM bytes, crc_table),
+placed AS (SELECT side, no, bucket, sum(n) AS n FROM found JOIN buckets USING (word) GROUP BY ALL),
+counts AS (
+  SELECT bucket, coalesce(sum(n) FILTER (WHERE side = 'd'), 0) AS s, coalesce(sum(n) FILTER (WHERE side = 't'), 0) AS t FROM placed GROUP BY bucket),
+sums AS (SELECT coalesce(sum(s), 0) AS ss, coalesce(sum(t), 0) AS tt FROM counts),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((CAST(t + 1 AS DOUBLE) * CAST(ss + 10000 AS DOUBLE)) / (CAST(s + 1 AS DOUBLE) * CAST(tt + 10000 AS DOUBLE)))) AS BIGINT) AS gain
+  FROM counts, sums),
+weights AS (
+  SELECT no, CAST(sum(n) AS BIGINT) AS n_features, CAST(floor(CAST(sum(n * gain) AS DOUBLE) / sum(n)) AS BIGINT) AS weight
+  FROM placed JOIN gains USING (bucket) WHERE side = 'd' GROUP BY no),
+scored AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         CAST('0x' || sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), 'null'))[1:8] AS BIGINT) AS h
+  FROM texts LEFT JOIN weights USING (no) WHERE side = 'd'),
+noisy AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM scored),
+placed_rows AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS FIRST) AS place,
+         count(*) FILTER (WHERE n_features >= 20) OVER () AS able FROM noisy)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= able * 10 // 100 THEN place END AS rank FROM placed_rows"""
+
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+lists AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+widths AS (SELECT lang, w, unnest([1, 2, 3, 4]) AS k FROM lists),
+runs AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM widths WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM runs GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k >= 2 AND a >= 30),
+inner_runs AS (
+  SELECT lang, a, w, k, unnest(range(2, k)) AS width FROM candidates WHERE k > 2),
+inner_phrases AS (
+  SELECT lang, a, unnest(list_transform(range(1, k - width + 2), lambda i: array_to_string(w[i:i + width - 1], ' '))) AS phrase FROM inner_runs),
+most AS (SELECT lang, phrase, max(a) AS most FROM inner_phrases GROUP BY ALL),
+kept AS (SELECT c.* FROM candidates c LEFT JOIN most m USING (lang, phrase) WHERE m.most IS NULL OR 100 * m.most < 80 * c.a),
+cuts AS (
+  SELECT lang, phrase, a, cut, array_to_string(w[1:cut], ' ') AS lp, array_to_string(w[cut + 1:], ' ') AS rp
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM kept)),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.cut, l.a AS l, r.a AS r, CAST((2000000::HUGEINT * c.a) // (l.a + r.a) AS BIGINT) AS score
+  FROM cuts c JOIN f l ON c.lang = l.lang AND c.lp = l.phrase JOIN f r ON c.lang = r.lang AND c.rp = r.phrase),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM weakest JOIN totals USING (lang) QUALIFY rank <= 2000"""
+
 STATEMENTS: dict[str, str] = {
     "op2_exact_search": EXACT_SEARCH.strip(), "op3_secret_scan": secret_scan().strip(),
     "op5_near_duplicates": NEAR_DUPLICATES.strip(), "op10_mixture": MIXTURE.strip(),
+    "op12_importance_resampling": IMPORTANCE.strip(), "op13_collocations": COLLOCATIONS.strip(),
 }
