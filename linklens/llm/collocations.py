@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from linklens.llm.word_slices import encoded, ints, opened_ids, word_rows
+from linklens.llm.word_slices import VALUES, bin_count, bin_rows, encoded, merged, opened_ids, received, sent_back, table, unpacked
 from linklens.session import stage
 
 LEAST, LONGEST, PART, FIRST, FACTOR = 30, 4, 80, 2000, 2_000_000
 PIECE, GROUP = 1_000_000, 2_000_000
-NUMBERING, SALTS = 1024, 64
+SALTS = 64
 
 # Piece ends become line feeds, tabs blanks, A-Z lower case.
 _ENDS = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -50,28 +50,57 @@ STRIPES = "slice long, bin int, prefixes binary, sizes binary, suffixes binary,
 MERGED = "slice long, id long, prefix long, suffix long, f long, back binary"
 
 
-def _table(schema: str, columns: list) -> pa.Table:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
-    fields = [c.split() for c in schema.split(", ")]
-    return pa.table({name: pa.array(values, kinds[kind]) for values, (name, kind) in zip(columns, fields)})
-
-
 def _pieces(f: np.ndarray) -> np.ndarray:
     return np.minimum(-(-f // PIECE), 1 << 30).astype("<i4")
 
 
-def _frequent_words(sliced: pa.Table, values: pa.Table) -> pa.Table:
-    """The first level of a slice from its token ids and the numbers of its frequent words."""
-    if not sliced.num_rows or not values.num_rows:
-        return _table(PLACED, [[]] * 4)
-    ids = opened_ids(sliced.column("ids")[0].as_py())
-    pos = ints(values.column("pos"))
-    size = int(max(ids.max(initial=-1), pos.max())) + 1
-    number, pieces = np.full(size + 1, -1, np.int64), np.ones(size + 1, np.int32)
-    number[pos], pieces[pos] = ints(values.column("id")), _pieces(ints(values.column("f")))
-    at = np.flatnonzero(number[ids] >= 0)  # fixed tokens fall on the last, unused place
-    kept = ids[at]
-    return _table(PLACED, [[sliced.column("slice")[0].as_py()], [at.astype("<i4").tobytes()], [number[kept].astype("<i8").tobytes()], [pieces[kept].tobytes()]])
+_VALUE = np.dtype([("id", "<i8"), ("pieces", "<i4")])
+WORDS = "id long, part string, word binary, f long"
+
+
+def _ids(bin_number: int, counts: np.ndarray, least: int) -> np.ndarray:
+    """Ids of a bin's frequent words, -1 for others."""
+    kept = counts >= least
+    return np.where(kept, (np.int64(bin_number) << 32) + np.cumsum(kept) - 1, -1)
+
+
+def _frequent(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, words, counts in bin_rows(batches):
+            ids, of = _ids(row["bin"], counts, least), np.frombuffer(row["part_of"], "<i4")
+            kept = np.flatnonzero(ids >= 0)
+            yield from table(WORDS, [ids[kept], [row["parts"][of[i]] for i in kept], [words[i] for i in kept], counts[kept]]).to_batches()
+    return run
+
+
+def _part_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for row, _, counts in bin_rows(batches):
+        sums = np.bincount(np.frombuffer(row["part_of"], "<i4"), counts, len(row["parts"])).astype(np.int64)
+        yield from table("part string, n long", [row["parts"], sums]).to_batches()
+
+
+def _numbers(least: int):
+    """To every slice: the ids of its frequent words, and in how many pieces their stripes are cut."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, words, counts in bin_rows(batches):
+            values = np.empty(len(words), _VALUE)
+            values["id"], values["pieces"] = _ids(row["bin"], counts, least), _pieces(counts)
+            yield sent_back(row, values)
+    return run
+
+
+def _frequent_words(bins: int):
+    """The first level of a slice from its token ids and the ids of its words."""
+    def run(sliced: pa.Table, values: pa.Table) -> pa.Table:
+        if not sliced.num_rows or not values.num_rows:
+            return table(PLACED, [[]] * 4)
+        row = {c: sliced.column(c)[0].as_py() for c in sliced.column_names}
+        got = received(values, unpacked(row["words"], row["n_words"]), row["part"], bins, _VALUE)
+        ids = opened_ids(row["ids"], row["ends"][-1])
+        number = np.append(got["id"], -1)[ids]  # fixed tokens fall on the last
+        at = np.flatnonzero(number >= 0)
+        return table(PLACED, [[row["slice"]], [at.astype("<i4").tobytes()], [number[at].tobytes()], [got["pieces"][ids[at]].tobytes()]])
+    return run
 
 
 def _pairs(places: bytes, ids: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -111,7 +140,7 @@ def _stripes(bins: int):
                     new = np.flatnonzero(np.concatenate([[True], prefix[1:] != prefix[:-1]]))
                     row = [[number], [b], [known[prefix[new]].tobytes()], [np.diff(np.append(new, len(own))).astype("<i4").tobytes()],
                            [known[right[own]].tobytes()], [counts[own].astype("<i4").tobytes()]]
-                    yield _table(STRIPES, row).to_batches()[0]
+                    yield table(STRIPES, row).to_batches()[0]
     return run
 
 
@@ -130,7 +159,7 @@ def _merger(least: int, back: bool):
         number = np.full(len(keys), -1, np.int64)
         number[kept] = (np.int64(stripes.column("bin")[0].as_py()) << 32) + np.arange(len(kept))
         grams = [[None] * len(kept), number[kept], starts[keys[kept] // len(ends)], ends[keys[kept] % len(ends)], total[kept], [None] * len(kept)]
-        out = [_table(MERGED, grams)]
+        out = [table(MERGED, grams)]
         if back and len(kept):
             place = 0
             for slice_id, (p, s, _) in zip(stripes.column("slice").to_pylist(), opened):
@@ -139,7 +168,7 @@ def _merger(least: int, back: bool):
                 hit = np.flatnonzero(number[mine] >= 0)
                 if len(hit):
                     packed = np.stack([p[hit], s[hit], number[mine[hit]], total[mine[hit]]]).astype("<i8").tobytes()
-                    out.append(_table(MERGED, [[slice_id], [None], [None], [None], [None], [packed]]))
+                    out.append(table(MERGED, [[slice_id], [None], [None], [None], [None], [packed]]))
         return pa.concat_tables(out)
     return run
 
@@ -147,7 +176,7 @@ def _merger(least: int, back: bool):
 def _longer(placed: pa.Table, back: pa.Table) -> pa.Table:
     """The next level of a slice from what came back to it."""
     if not placed.num_rows or not back.num_rows:
-        return _table(PLACED, [[]] * 4)
+        return table(PLACED, [[]] * 4)
     at, first, known, left, right = _pairs(placed.column("places")[0].as_py(), placed.column("ids")[0].as_py())
     prefix, suffix, number, f = np.concatenate([np.frombuffer(b, "<i8").reshape(4, -1) for b in back.column("back").to_pylist()], axis=1)
     keys = np.searchsorted(known, prefix) * np.int64(len(known)) + np.searchsorted(known, suffix)
@@ -157,21 +186,11 @@ def _longer(placed: pa.Table, back: pa.Table) -> pa.Table:
     found = order[place]
     hit = np.flatnonzero(keys[found] == mine)
     found = found[hit]
-    return _table(PLACED, [[placed.column("slice")[0].as_py()], [at[first[hit]].astype("<i4").tobytes()], [number[found].tobytes()], [_pieces(f[found]).tobytes()]])
+    return table(PLACED, [[placed.column("slice")[0].as_py()], [at[first[hit]].astype("<i4").tobytes()], [number[found].tobytes()], [_pieces(f[found]).tobytes()]])
 
 
 # -- levels ----------------------------------------------------------------------------------------------------------------------------
 
-def numbered(words: DataFrame) -> DataFrame:
-    """``words`` with dense ids from 0: numbers inside a hash bucket after the words of the buckets before."""
-    bucket = words.withColumn("bucket", F.pmod(F.xxhash64("part", "word"), F.lit(NUMBERING)).cast("int"))
-    starts = bucket.groupBy("bucket").agg(F.count("*").alias("n"))
-    before = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)  # NUMBERING rows
-    starts = starts.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = F.row_number().over(W.partitionBy("bucket").orderBy("part", "word"))
-    return bucket.join(F.broadcast(starts), "bucket").select("part", "word", "f", (F.col("start") + inside - 1).alias("id"))
-
-
 def level(placed: DataFrame, bins: int, least: int, last: bool) -> DataFrame:
     """Staged phrases of one more word (``slice`` null), and what goes back to each slice."""
     stripes = placed.mapInArrow(_stripes(bins), STRIPES)
@@ -186,26 +205,27 @@ def phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tupl
     rows = docs.select(F.lit(None).cast("long").alias("doc_id"), F.lit(False).alias("mark"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("part"),
                        F.col("text").cast("string").alias("text"))
     sliced = encoded(rows, split, _FIXED)
-    words = word_rows(sliced)
-    counts = stage(words.groupBy("part", "word").agg(F.sum("n").alias("f")), "words")
-    totals = counts.groupBy("part").agg(F.sum("f").alias("n"))
+    word_bins = bin_count(sliced)
+    words = merged(sliced, word_bins)
+    totals = stage(words.mapInArrow(_part_totals, "part string, n long").groupBy("part").agg(F.sum("n").alias("n")).where("n > 0"), "totals")
     whole = totals.agg(F.sum("n")).first()[0] or 0
-    frequent = stage(numbered(counts.where(F.col("f") >= least)), "frequent")
+    frequent = stage(words.mapInArrow(_frequent(least), WORDS), "frequent")
     text = F.col("word").cast("string")
     grams = [frequent.select("id", "part", text.alias("phrase"), text.alias("last"), F.col("f").alias("a"), F.array("f").alias("lefts"), F.array("f").alias("rights"),
                              F.lit(None).cast("long").alias("prefix"), F.lit(None).cast("long").alias("suffix"))]
-    values = words.join(frequent, ["part", "word"]).select(F.col("slice").alias("of_slice"), "pos", "id", "f")
-    placed = stage(sliced.select("slice", "ids").groupBy("slice").cogroup(values.groupBy("of_slice")).applyInArrow(_frequent_words, PLACED), "places")
+    values = words.mapInArrow(_numbers(least), VALUES)
+    placed = stage(sliced.select("slice", "part", "words", "n_words", "ids", "ends").groupBy("slice").cogroup(values.groupBy("of_slice")).applyInArrow(
+        _frequent_words(word_bins), PLACED), "places")
     bins = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), whole // GROUP + 1)
     for n in range(2, longest + 1):
-        merged = level(placed, bins, least, n == longest)
+        found = level(placed, bins, least, n == longest)
         p, s = (grams[-1].select(*[F.col(c).alias(f"{side}_{c}") for c in ("id", "part", "phrase", "last", "lefts", "rights")]) for side in ("p", "s"))
-        grown = merged.where("slice is null").select("id", "prefix", "suffix", "f").join(p, F.col("prefix") == F.col("p_id")).join(s, F.col("suffix") == F.col("s_id"))
+        grown = found.where("slice is null").select("id", "prefix", "suffix", "f").join(p, F.col("prefix") == F.col("p_id")).join(s, F.col("suffix") == F.col("s_id"))
         grams.append(stage(grown.select("id", F.col("p_part").alias("part"), F.concat_ws(" ", "p_phrase", "s_last").alias("phrase"), F.col("s_last").alias("last"),
                                         F.col("f").alias("a"), F.concat("p_lefts", F.array("f")).alias("lefts"), F.concat("s_rights", F.array("f")).alias("rights"),
                                         "prefix", "suffix"), "phrases"))
         if n < longest:
-            back = merged.where("slice is not null").select(F.col("slice").alias("of_slice"), "back")
+            back = found.where("slice is not null").select(F.col("slice").alias("of_slice"), "back")
             placed = stage(placed.groupBy("slice").cogroup(back.groupBy("of_slice")).applyInArrow(_longer, PLACED), "places")
     return totals, grams
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linklens.llm.word_slices import LOWER, encoded, ints, opened_ids, word_rows
+from linklens.llm.word_slices import LOWER, VALUES, bin_count, bin_rows, encoded, merged, opened_ids, received, sent_back, table, unpacked
 from linklens.session import stage
 
 FOLDS, HELD = 7, 2
@@ -161,10 +161,21 @@ def bits_of(rows: list[bytes], own: int, tree: tuple[np.ndarray, np.ndarray, np.
 
 # -- training ------------------------------------------------------------------------------------------------------------------------
 
-def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    """Rows and counts in runs of at most ``most`` rows and about 64 bytes a row; a longer row is a run of its own."""
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """The words of training documents, with the space that ends them, and their counts, from bins."""
+    for _, words, counts in bin_rows(batches):
+        used = np.flatnonzero(counts)
+        yield [words[i] + b" " for i in used], counts[used]
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray]]:
     for batch in batches:
-        rows, counts = batch.column("row").to_pylist(), batch.column("c").to_numpy()
+        yield batch.column("row").to_pylist(), batch.column("c").to_numpy()
+
+
+def _chunks(tables: Iterator[tuple[list[bytes], np.ndarray]], most: int) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """Rows and counts in runs of at most ``most`` rows and about 64 bytes a row; a longer row is a run of its own."""
+    for rows, counts in tables:
         first = total = 0
         for i, row in enumerate(rows):
             if i > first and (i - first >= most or total + len(row) > 64 * most):
@@ -176,17 +187,19 @@ def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list
 
 
 def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(256)
-    for rows, counts in _chunks(batches, ROWS):
-        total += np.bincount(np.frombuffer(b"".join(rows), np.uint8), np.repeat(counts, [len(r) for r in rows]), 256)
-    yield pa.RecordBatch.from_arrays([pa.array(range(256), pa.int32()), pa.array(total)], ["byte", "n"])
+    """Bytes as spelled, the number of words (at 256) and of distinct words (at 257)."""
+    total = np.zeros(258)
+    for rows, counts in _chunks(_words(batches), ROWS):
+        total[:256] += np.bincount(np.frombuffer(b"".join(rows), np.uint8), np.repeat(counts, [len(r) for r in rows]), 256)
+        total[256:] += counts.sum(), len(rows)
+    yield pa.RecordBatch.from_arrays([pa.array(range(258), pa.int32()), pa.array(total)], ["byte", "n"])
 
 
-def _count(tree, own: int):
+def _count(tree, own: int, opened):
     """The counters of one task, as the used entries of each block of ``SUM_BLOCK``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [np.zeros(2 << b) for b in SLOT_BITS]
-        for rows, counts in _chunks(batches, ROWS):
+        for rows, counts in _chunks(opened(batches), ROWS):
             b = bits_of(rows, own, tree)
             weight = np.repeat(counts.astype(float), b.number)
             for table, slot in zip(tables, b.slots):
@@ -252,12 +265,12 @@ class Mixer:
         return np.concatenate(parts)
 
 
-def _learn(shared):
+def _learn(shared, opened):
     """Online Newton steps over one task's rows: each run of rows is predicted first, then moves the weights by its slope, measured in the curvature so far."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixer = shared.value
         weights, curve = mixer.weights.copy(), np.tile(np.eye(ORDERS + 1) * 20.0, (GATES, 1, 1))
-        for rows, counts in _chunks(batches, LEARN_ROWS):
+        for rows, counts in _chunks(opened(batches), LEARN_ROWS):
             b = bits_of(rows, mixer.own, mixer.tree)
             odds, gate = mixer.look_up(b, without_own=True)
             share = np.repeat(np.minimum(counts, 64).astype(float), b.number)
@@ -281,16 +294,17 @@ def joined_weights(sums: np.ndarray) -> np.ndarray:
     return np.linalg.solve(sums[:n * n].reshape(n, n), sums[n * n:])
 
 
-def byte_tree(words: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    counts = np.zeros(256)
+def totals(words: DataFrame) -> tuple[np.ndarray, int, int]:
+    """How often each byte is spelled in training documents, their words and distinct words."""
+    counts = np.zeros(258)
     for row in words.mapInArrow(_histogram, "byte int, n double").groupBy("byte").agg(F.sum("n").alias("n")).collect():
         counts[row["byte"]] = row["n"]
-    return code_tree(counts)
+    return counts[:256], int(counts[256]), int(counts[257])
 
 
-def fit(rows: DataFrame, own: int, tree) -> Mixer:
-    """Counters and weights from a table of counted rows (``row, c``, c > 0)."""
-    parts = rows.mapInArrow(_count(tree, own), "order int, block int, used binary, counts binary")
+def fit(rows: DataFrame, own: int, tree, opened) -> Mixer:
+    """Counters and weights from a table that ``opened`` reads as rows and their counts above 0."""
+    parts = rows.mapInArrow(_count(tree, own, opened), "order int, block int, used binary, counts binary")
     blocks = parts.repartition("order", "block").mapInArrow(_sum_blocks, "order int, block int, codes binary").collect()
     tables = [np.zeros(1 << b, np.uint16) for b in SLOT_BITS]
     half = SUM_BLOCK // 2
@@ -298,7 +312,7 @@ def fit(rows: DataFrame, own: int, tree) -> Mixer:
         tables[row["order"]][row["block"] * half:(row["block"] + 1) * half] = np.frombuffer(bytes(row["codes"]), "<u2")
     mixer = Mixer(own, tree, tables)
     shared = rows.sparkSession.sparkContext.broadcast(mixer)
-    learned = rows.mapInArrow(_learn(shared), "gate int, sums array<double>")
+    learned = rows.mapInArrow(_learn(shared, opened), "gate int, sums array<double>")
     width = (ORDERS + 1) * (ORDERS + 2)
     for row in learned.groupBy("gate").agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(width)]).collect():
         mixer.weights[row["gate"]] = joined_weights(np.array(row[1:]))
@@ -387,15 +401,20 @@ class Slice:
 
 
 def opened(row) -> Slice:
-    return Slice(row["words"].as_py(), opened_ids(row["ids"].as_py()).astype(np.int64), row["ends"].values.to_numpy())
+    ends = row["ends"].values.to_numpy()
+    return Slice(unpacked(row["words"].as_py(), row["n_words"].as_py()), opened_ids(row["ids"].as_py(), int(ends[-1])), ends)
+
+
+def head_codes(words: list[bytes]) -> np.ndarray:
+    """The head of each word as a number of two bytes; the end's second is 0."""
+    return np.frombuffer(b"".join([(w[:HEAD] + b" \0")[:HEAD] for w in words]), ">u2").astype(np.int64)
 
 
 def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of heads in the training texts of each slice, and of guesses made and right by their run."""
     for batch in batches:
         for i in range(batch.num_rows):
-            row = {c: batch.column(c)[i] for c in ("words", "ids", "ends")}
-            one = opened(row)
+            one = opened({c: batch.column(c)[i] for c in ("words", "n_words", "ids", "ends")})
             trained = ~np.array(batch.column("marks")[i].as_py(), bool)[one.text]
             rows, of = one.heads()
             counts = np.bincount(of[trained], minlength=len(rows))
@@ -446,32 +465,44 @@ def refined(one: Slice, head: np.ndarray, tail: np.ndarray, known: np.ndarray, t
     return out
 
 
+_VALUE = np.dtype([("c", "<i8"), ("tail", "<f4")])
+
+
 def _tails(shared):
-    """``row, c`` and the natural log of the tail's probability."""
+    """Count and natural log of the tail's probability of each word, sent to the slices that have it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("c"), pa.array(shared.value.scores(batch.column("row").to_pylist()))], ["row", "c", "tail"])
+        for row, words, counts in bin_rows(batches):
+            values = np.empty(len(words), _VALUE)
+            values["c"], values["tail"] = counts, shared.value.scores([w + b" " for w in words])
+            yield sent_back(row, values)
     return run
 
 
+def _head_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1 << 16)
+    for rows, counts in _chunks(_words(batches), ROWS):
+        total += np.bincount(head_codes([r[:-1] for r in rows]), counts, 1 << 16)
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["head", "n"])
+
+
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
 
-def _scorer(shared, trust: np.ndarray, total: int, distinct: int):
+def _scorer(shared, trust: np.ndarray, total: int, distinct: int, bins: int):
     def run(sliced: pa.Table, values: pa.Table) -> pa.Table:
-        names = [c.split()[0] for c in RESULT.split(", ")]
-        one = opened({c: sliced.column(c)[0] for c in ("words", "ids", "ends")})
-        counts, tails, shares = np.zeros(len(one.words), np.int64), np.zeros(len(one.words)), np.zeros(len(one.words))
-        at = ints(values.column("pos"))
-        counts[at], tails[at], shares[at] = (ints(values.column(c)) for c in ("c", "tail", "share"))
+        one = opened({c: sliced.column(c)[0] for c in ("words", "n_words", "ids", "ends")})
+        got = received(values, one.words, None, bins, _VALUE)
+        counts = got["c"]
+        mixer, begun = shared.value
+        share = counts / np.maximum(begun[head_codes(one.words)], 1)
         base = np.add.reduceat(np.log10((counts + 1) / (total + distinct + 1))[one.ids], one.starts)
         known = np.add.reduceat((counts > 0)[one.ids].astype(np.int64), one.starts)
         rows, of = one.heads()
-        score = refined(one, shared.value.scores(rows)[of], tails[one.ids], shares[one.ids], trust)
+        score = refined(one, mixer.scores(rows)[of], got["tail"].astype(float)[one.ids], share[one.ids], trust)
         spelled = np.add.reduceat((np.fromiter(map(len, one.words), np.int64, len(one.words)) + 1)[one.ids], one.starts)
-        out = [sliced.column("doc_ids")[0].values, sliced.column("marks")[0].values, one.sizes, known, np.full(len(known), total, np.int64), base,
-               score / np.log(10), -score / np.log(2) / spelled]
-        return pa.Table.from_arrays([pa.array(v) for v in out], names)
+        return table(RESULT, [sliced.column("doc_ids")[0].values, sliced.column("marks")[0].values, one.sizes, known, np.full(len(known), total, np.int64), base,
+                              score / np.log(10), -score / np.log(2) / spelled])
     return run
 
 
@@ -481,21 +512,21 @@ def scores(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held(F.col("doc_id")).alias("mark"), F.lit(None).cast("string").alias("part"),
                        F.col("text").cast("string").alias("text"))
     sliced = encoded(rows, split)
-    words = word_rows(sliced)
-    totals = stage(words.groupBy("word").agg(F.sum("n").alias("c")).select(F.concat("word", F.lit(b" ")).alias("row"), "c")
-                   .repartition("row").sortWithinPartitions(F.xxhash64("row"), "row"), "words")
-    trained = totals.where("c > 0")
-    size = trained.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    tree = byte_tree(trained)
-    counted = stage(sliced.select("words", "ids", "ends", "marks").mapInArrow(_heads, "row binary, c long").groupBy(
+    bins = bin_count(sliced)
+    words = merged(sliced, bins)
+    trained = words.select("words", "n_words", "counts")
+    spelled, total, distinct = totals(trained)
+    tree = code_tree(spelled)
+    begun = np.zeros(1 << 16)  # one number for each possible head
+    for head, n in trained.mapInArrow(_head_totals, "head long, n double").groupBy("head").agg(F.sum("n")).collect():
+        begun[head] = n
+    counted = stage(sliced.select("words", "n_words", "ids", "ends", "marks").mapInArrow(_heads, "row binary, c long").groupBy(
         "row", (F.col("c") < 0).alias("guesses")).agg(F.sum("c").alias("c"), F.count("*").alias("n")), "heads")
     guesses = {int(bytes(r["row"])): -r["c"] - r["n"] for r in counted.where("guesses").collect()}
     made, right = (np.array([guesses.get(k + REPEATS * side, 0) for k in range(REPEATS)], float) for side in (0, 1))
-    heads = spark.sparkContext.broadcast(fit(counted.where("not guesses").select("row", "c").repartition("row").sortWithinPartitions(F.xxhash64("row"), "row"), HEAD, tree))
-    tails = spark.sparkContext.broadcast(fit(trained, 0, tree))
-    begun = trained.groupBy(F.substring("row", 1, HEAD).alias("head")).agg(F.sum("c").alias("begun"))  # at most 256^HEAD rows
-    valued = totals.mapInArrow(_tails(tails), "row binary, c long, tail double").withColumn("head", F.substring("row", 1, HEAD)).join(
-        F.broadcast(begun), "head", "left").select("row", "c", "tail", (F.col("c") / F.greatest(F.coalesce("begun", F.lit(0)), F.lit(1))).alias("share"))
-    values = words.withColumn("row", F.concat("word", F.lit(b" "))).join(valued, "row").select(F.col("slice").alias("of_slice"), "pos", "c", "tail", "share")
-    return sliced.select("slice", "doc_ids", "marks", "ends", "words", "ids").groupBy("slice").cogroup(values.groupBy("of_slice")).applyInArrow(
-        _scorer(heads, (right + 0.5) / (made + 1.5), size["n"] or 0, size["v"]), RESULT)
+    rows = counted.where("not guesses").select("row", "c").repartition("row").sortWithinPartitions(F.xxhash64("row"), "row")
+    heads = spark.sparkContext.broadcast((fit(rows, HEAD, tree, _counted), begun))
+    tails = spark.sparkContext.broadcast(fit(trained, 0, tree, _words))
+    values = words.mapInArrow(_tails(tails), VALUES)
+    return sliced.select("slice", "doc_ids", "marks", "ends", "words", "n_words", "ids").groupBy("slice").cogroup(values.groupBy("of_slice")).applyInArrow(
+        _scorer(heads, (right + 0.5) / (made + 1.5), total, distinct, bins), RESULT)
