@@ -18,6 +18,7 @@ from linklens.operators.profile import assess_dataset_quality  # noqa: F401
 from linklens.operators.report import analysis_manifest
 from linklens.plans.audit import RunAudit
 from linklens.session import stage
+from linklens.sources import files as run_files
 from linklens.sources import readers, sinks
 
 
@@ -51,13 +52,13 @@ def analyze_quality(interface: DataFrame, probes: DataFrame, runs: DataFrame | N
 def finalize_integrity(spark: SparkSession, root: str, out_dir: str, profiles: DataFrame,
                        configured: DataFrame | None = None) -> dict[str, str]:
     """Hash every file below ``root/run_id=<id>/`` and write manifests and run metadata."""
-    hashes = integrity.file_hashes(readers.read_run_files(spark, root))
+    hashes = integrity.file_hashes(run_files.read_run_hashes(spark, root))
     return sinks.write_checksums(out_dir, integrity.run_metadata(profiles, configured), integrity.manifest_lines(hashes))
 
 
 def verify_integrity(spark: SparkSession, root: str, manifests: str, strict_untracked: bool = False) -> dict[str, DataFrame]:
     """Check the present files against their manifests: one row per file, one verdict per run."""
-    hashes = stage(integrity.file_hashes(readers.read_run_files(spark, root)), "hashes")
+    hashes = stage(integrity.file_hashes(run_files.read_run_hashes(spark, root)), "hashes")
     entries = stage(integrity.parse_manifest(readers.read_manifests(spark, manifests)), "entries")
     files = stage(integrity.verify_manifest(entries, hashes), "verified")
     return {"files": files, "summary": integrity.integrity_summary(files, strict_untracked)}

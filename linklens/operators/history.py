@@ -110,13 +110,20 @@ def load_cuts(df: DataFrame, cfg: HistoryConfig = HistoryConfig()) -> DataFrame:
 
 def load_delta(df: DataFrame, cfg: HistoryConfig = HistoryConfig(), ranked: DataFrame | None = None,
                cuts: DataFrame | None = None) -> DataFrame:
-    """``link_id, metric, delta``: mean metric under high load minus under low load."""
+    """``link_id, metric, delta``: mean metric under high load minus under low load; null below the minimum of pairs and of distinct values.
+
+    Pairs and distinct values are counted from the metric's own values; ``ranked`` gives both where the correlation is known.
+    """
     keys = ["link_id", "metric"]
     cuts = stage(load_cuts(df, cfg), "cuts") if cuts is None else cuts
     means = _load_pairs(df).join(cuts, keys).groupBy(*keys).agg(
         (F.avg(F.when(F.col("x") >= F.col("_high"), F.col("y")))
          - F.avg(F.when(F.col("x") <= F.col("_low"), F.col("y")))).alias("delta"))
-    size = (load_spearman(df) if ranked is None else ranked).select(*keys, "pair_count", "y_distinct")
+    if ranked is None:
+        copies = _load_pairs(df).groupBy(*keys, "y").agg(F.count(F.lit(1)).alias("_c"))
+        size = copies.groupBy(*keys).agg(F.sum("_c").alias("pair_count"), F.count(F.lit(1)).alias("y_distinct"))
+    else:
+        size = ranked.select(*keys, "pair_count", "y_distinct")
     enough = (F.col("pair_count") >= MIN_PAIRS) & (F.col("y_distinct") >= MIN_DISTINCT)
     return means.join(size, keys).select(*keys, F.when(enough, F.col("delta")).alias("delta"))
 

@@ -20,9 +20,10 @@ DIFF_SLICES = 256
 
 
 def file_hashes(files: DataFrame) -> DataFrame:
-    """``run_id, path, sha256`` of ``run_id, path, content``; self-generated files are left out."""
+    """``run_id, path, sha256`` of files with a ``content`` or a ``sha256`` taken where they lie; self-generated files are left out."""
     name = F.element_at(F.split("path", "/"), -1)
-    return files.where(~name.isin(*SELF_GENERATED)).select("run_id", "path", F.sha2("content", 256).alias("sha256"))
+    digest = F.col("sha256") if "sha256" in files.columns else F.sha2("content", 256)
+    return files.where(~name.isin(*SELF_GENERATED)).select("run_id", "path", digest.alias("sha256"))
 
 
 def manifest_lines(hashes: DataFrame) -> DataFrame:

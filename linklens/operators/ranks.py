@@ -1,7 +1,8 @@
 """Average ranks and rank correlation.
 
 As with quantiles the way depends on what a key means: ``bounded_spearman`` ranks by windows over whole groups (series
-of buckets of one run), ``spearman`` cuts the values of a group into bins at the quantiles of its own values.
+of buckets of one run), ``spearman`` deals all distinct values by range of key and value, so that a key that holds most rows is spread over
+all tasks; values are counted inside a range and shifted by one offset per range and key.
 """
 
 from __future__ import annotations
@@ -13,49 +14,40 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linklens.operators.quantiles import number
+from linklens.session import stage
 
-# A group's distinct values are dealt into COARSE * FINE bins at their own quantiles, so a bin holds about one thousandth of
-# them wherever they lie. One comparison with each coarse cut and each fine cut of one stretch finds the bin.
-COARSE, FINE = 32, 32
+def dealt_by_range(values: DataFrame, keys: Sequence[str], value: str = "_v", weight: str | None = None, ranges: int | None = None) -> DataFrame:
+    """Copies of a value collapse before they move: staged ``keys, value, _c`` and the number ``_range`` of its range.
 
-
-def _bin(value: Column, cuts: Column) -> Column:
-    coarse = F.size(F.filter(F.transform(F.sequence(F.lit(1), F.lit(COARSE - 1)), lambda i: F.get(cuts, i * FINE - 1)), lambda c: c < value))
-    fine = F.size(F.filter(F.slice(cuts, coarse * FINE + 1, F.lit(FINE)), lambda c: c < value))
-    return coarse * FINE + fine
-
-
-def frequencies(values: DataFrame, keys: Sequence[str], value: str = "_v", weight: str | None = None) -> DataFrame:
-    """Copies of a value collapse before they move: ``keys, value, _c`` and the bin ``_b``."""
+    Ranges follow the order of (keys, value); they are drawn by sampling, so the table is written once and every reader sees the same cut.
+    """
     keys = list(keys)
     counted = F.sum(weight) if weight else F.count(F.lit(1))
     freq = values.groupBy(*keys, value).agg(counted.alias("_c"))
-    steps = COARSE * FINE
-    levels = F.array(*[F.lit(i / steps) for i in range(1, steps)])
-    cuts = freq.groupBy(*keys).agg(F.percentile_approx(value, levels, F.lit(4 * steps)).alias("_cuts"))
-    return freq.join(cuts, keys).withColumn("_b", _bin(F.col(value), F.col("_cuts"))).drop("_cuts")
+    order = [*keys, value]
+    spread = freq.repartitionByRange(ranges, *order) if ranges else freq.repartitionByRange(*order)
+    return stage(spread.withColumn("_range", F.spark_partition_id()), "ranges")
 
 
-def bin_offsets(freq: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows below each bin and per group: ``keys, _b, _below, _n, _distinct``; at most COARSE * FINE rows a group."""
-    bins = freq.groupBy(*keys, "_b").agg(F.sum("_c").alias("_rows"), F.count(F.lit(1)).alias("_values"))
+def range_offsets(dealt: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows below each range of a key and in all of them: ``keys, _range, _below, _n, _distinct``; a key has at most as many rows as there are ranges."""
+    parts = dealt.groupBy(*keys, "_range").agg(F.sum("_c").alias("_rows"), F.count(F.lit(1)).alias("_values"))
     group = W.partitionBy(*keys)
-    upto = group.orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return bins.select(*keys, "_b", (F.sum("_rows").over(upto) - F.col("_rows")).alias("_below"),
-                       F.sum("_rows").over(group).alias("_n"), F.sum("_values").over(group).alias("_distinct"))
+    before = group.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    return parts.select(*keys, "_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_below"),
+                        F.sum("_rows").over(group).alias("_n"), F.sum("_values").over(group).alias("_distinct"))
 
 
-def average_ranks(values: DataFrame, keys: Sequence[str], value: str = "_v", weight: str | None = None) -> DataFrame:
+def average_ranks(values: DataFrame, keys: Sequence[str], value: str = "_v", weight: str | None = None, ranges: int | None = None) -> DataFrame:
     """One row per distinct value: ``keys, value, avg_rank, tie_count, n, distinct_values``.
 
-    Ties share the mean of the ranks they cover. Each bin is ordered on its own and shifted by the rows below it.
+    Ties share the mean of the ranks they cover. Each range is ordered on its own and shifted by the rows below it.
     """
     keys = list(keys)
-    freq = frequencies(values.where(F.col(value).isNotNull()), keys, value, weight)
-    upto = W.partitionBy(*keys, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return (freq.join(bin_offsets(freq, keys), keys + ["_b"])
-            .withColumn("_end", F.col("_below") + F.sum("_c").over(upto))
-            .select(*keys, value, (F.col("_end") - (F.col("_c") - 1) / 2.0).alias("avg_rank"),
+    dealt = dealt_by_range(values.where(F.col(value).isNotNull()), keys, value, weight, ranges)
+    upto = W.partitionBy(*keys, "_range").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return (dealt.withColumn("_end", F.sum("_c").over(upto)).join(range_offsets(dealt, keys), keys + ["_range"])
+            .select(*keys, value, (F.col("_below") + F.col("_end") - (F.col("_c") - 1) / 2.0).alias("avg_rank"),
                     F.col("_c").alias("tie_count"), F.col("_n").alias("n"), F.col("_distinct").alias("distinct_values")))
 
 
@@ -87,24 +79,25 @@ def bounded_spearman(pairs: DataFrame, keys: Sequence[str], x: str = "x", y: str
 def spearman(pairs: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
     """``keys, pair_count, x_distinct, y_distinct, rho`` over complete pairs; ``rho`` is null when a side is constant.
 
-    For groups of any size. Copies of a pair collapse first. The centred ranks of ``x`` are summed per ``y`` value before
-    the ranks of ``y`` are joined, so ties in ``y`` move as one row.
+    For groups of any size. Copies of a pair collapse first; both sides are ranked in one pass, as values of two keys. The centred ranks of
+    ``x`` are summed per ``y`` value before the ranks of ``y`` are joined, so ties in ``y`` move as one row.
     """
     keys = list(keys)
-    copies = complete_pairs(pairs, keys, x, y).groupBy(*keys, "x", "y").agg(F.count(F.lit(1)).alias("_w"))
+    copies = stage(complete_pairs(pairs, keys, x, y).groupBy(*keys, "x", "y").agg(F.count(F.lit(1)).alias("_w")), "pairs")
+    sides = copies.select(*keys, "_w", F.explode(F.array(*[F.struct(F.lit(c).alias("_side"), F.col(c).cast("double").alias("_v")) for c in ("x", "y")])).alias("_s")).select(
+        *keys, "_w", "_s._side", "_s._v")
+    ranks = average_ranks(sides, [*keys, "_side"], "_v", "_w").select(
+        *keys, "_side", "_v", (F.col("avg_rank") - (F.col("n") + 1) / 2.0).alias("_r"), F.col("tie_count").alias("_t"), "n", "distinct_values")
 
-    def centred(c: str) -> DataFrame:
-        return average_ranks(copies, keys, c, "_w").select(
-            *keys, c, (F.col("avg_rank") - (F.col("n") + 1) / 2.0).alias(f"_r{c}"),
-            F.col("tie_count").alias(f"_c{c}"), F.col("n").alias(f"_n{c}"), F.col("distinct_values").alias(f"_d{c}"))
+    def side(c: str) -> DataFrame:
+        return ranks.where(F.col("_side") == c).select(*keys, F.col("_v").alias(c), F.col("_r").alias(f"_r{c}"), F.col("_t").alias(f"_c{c}"),
+                                                       F.col("n").alias(f"_n{c}"), F.col("distinct_values").alias(f"_d{c}"))
 
-    rank_x, rank_y = centred("x"), centred("y")
+    rank_x, rank_y = side("x"), side("y")
     by_y = (copies.join(rank_x, keys + ["x"]).groupBy(*keys, "y")
-            .agg(F.sum(F.col("_w") * F.col("_rx")).alias("_srx"), F.max("_dx").alias("_dx")))
+            .agg(F.sum(F.col("_w") * F.col("_rx")).alias("_srx"), F.sum(F.col("_w") * F.col("_rx") * F.col("_rx")).alias("_sxx"), F.max("_dx").alias("_dx")))
     cross = (by_y.join(rank_y, keys + ["y"]).groupBy(*keys)
              .agg(F.max("_ny").alias("pair_count"), F.max("_dx").alias("x_distinct"), F.max("_dy").alias("y_distinct"),
-                  F.sum(F.col("_srx") * F.col("_ry")).alias("_xy"),
+                  F.sum(F.col("_srx") * F.col("_ry")).alias("_xy"), F.sum("_sxx").alias("_xx"),
                   F.sum(F.col("_cy") * F.col("_ry") * F.col("_ry")).alias("_yy")))
-    spread_x = rank_x.groupBy(*keys).agg(F.sum(F.col("_cx") * F.col("_rx") * F.col("_rx")).alias("_xx"))
-    return cross.join(spread_x, keys).select(
-        *keys, "pair_count", "x_distinct", "y_distinct", _clamped(F.col("_xy"), F.col("_xx"), F.col("_yy")).alias("rho"))
+    return cross.select(*keys, "pair_count", "x_distinct", "y_distinct", _clamped(F.col("_xy"), F.col("_xx"), F.col("_yy")).alias("rho"))

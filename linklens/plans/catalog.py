@@ -24,6 +24,7 @@ from linklens.operators import report as R
 from linklens.plans import fixtures as fx
 from linklens.plans.audit import RunAudit
 from linklens.session import scratch_dir, stage, together
+from linklens.sources import files as X
 from linklens.sources import readers as S
 from linklens.sources import sinks as W
 from linklens.streaming import pipelines as T
@@ -480,14 +481,19 @@ def _(spark, sf):
     return S.read_correlations(spark, path)
 
 
+def odd_run_files(spark, sf):
+    """The documents as files: every fifth hidden, every seventh in a hidden folder, every eleventh empty."""
+    n = F.col("doc_id")
+    name = F.concat(F.when(n % 5 == 0, ".").otherwise(""), F.lit("doc "), n.cast("string"), F.lit(".txt"))
+    folder = F.when(n % 7 == 0, "_staging/.old/").when(n % 3 == 0, "docs/").otherwise("")
+    return fx.files(spark, sf).select("run_id", F.concat(folder, name).alias("path"), F.when(n % 11 == 0, "").otherwise(F.col("content")).alias("content"))
+
+
 @query("scan_files_sha256")
 def _(spark, sf):
     root = scratch_dir(spark, "files")
-    rows = fx.files(spark, sf).select(F.concat_ws("-", "run_id", F.floor(F.col("doc_id") / 50).cast("string")).alias("run_id"),
-                                      F.col("content").alias("value"), "doc_id")
-    (rows.repartition("run_id").sortWithinPartitions("run_id", "doc_id").drop("doc_id")  # one file of at most fifty texts a run
-     .write.partitionBy("run_id").text(root))
-    return G.file_hashes(S.read_run_files(spark, root)).select("run_id", "sha256")
+    X.write_run_files(odd_run_files(spark, sf), root).count()
+    return G.file_hashes(X.read_run_hashes(spark, root))
 
 
 def sizes(spark, paths):

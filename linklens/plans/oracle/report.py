@@ -124,8 +124,10 @@ statement("runs_dim", """SELECT run_id, expected_interface, capacity_mbps, durat
   32 AS payload_bytes, 10 AS count_per_target, target_count, 't1|t0|t2' AS configured_targets, 't1' AS primary_target FROM runs_t""")
 statement("run_targets", """SELECT run_id, target, concat('10.0.0.', substr(target, 2)) AS address,
   CASE WHEN target = 't0' THEN 'internal' ELSE 'unspecified' END AS role FROM runs_t, (VALUES ('t0'), ('t1'), ('t2')) v(target)""")
-statement("scan_files_sha256", """SELECT 'run-' || lang || '-' || CAST(doc_id // 50 AS VARCHAR) AS run_id, sha256(string_agg(text, chr(10) ORDER BY doc_id) || chr(10)) AS sha256
-FROM documents GROUP BY lang, doc_id // 50""")
+statement("scan_files_sha256", """SELECT 'run-' || lang AS run_id,
+  CASE WHEN doc_id % 7 = 0 THEN '_staging/.old/' WHEN doc_id % 3 = 0 THEN 'docs/' ELSE '' END || CASE WHEN doc_id % 5 = 0 THEN '.' ELSE '' END
+    || 'doc ' || CAST(doc_id AS VARCHAR) || '.txt' AS path, sha256(CASE WHEN doc_id % 11 = 0 THEN '' ELSE text END) AS sha256
+FROM documents""")
 statement("invalid_events", """SELECT run_id, event_id, array_to_string(list_filter(['' || CASE WHEN n % 3 = 0 THEN 'missing severity' END,
     CASE WHEN n % 5 = 0 THEN 'negative duration' END, CASE WHEN n % 4 = 0 THEN 'duplicate' END], lambda p: p IS NOT NULL), '|') AS problems
 FROM (SELECT *, CAST(substr(event_id, 7) AS INTEGER) AS n FROM events_t), (VALUES (1), (2)) c(copy)

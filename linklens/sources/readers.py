@@ -154,43 +154,6 @@ def url_decoded(text: Column) -> Column:
     return F.url_decode(kept)
 
 
-def odd_files(spark: SparkSession, root: str) -> tuple[list[str], list[str]]:
-    """``(hidden, empty)`` files below ``root``, by the store's own listing: those that Spark's readers pass over.
-
-    Hidden names begin with a dot or an underscore. Markers and checksums that the file system's writers leave are no content.
-    """
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    top = hadoop.Path(root)
-    files = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(top, True)
-    base, hidden, empty = top.toUri().getPath().rstrip("/"), [], []
-    while files.hasNext():
-        status = files.next()
-        path, name = status.getPath().toUri().getPath(), status.getPath().getName()
-        below = path[path.index(base) + len(base):].lstrip("/")
-        if name == "_SUCCESS" or (name.startswith(".") and name.endswith(".crc")):
-            continue
-        if any(part[:1] in "._" for part in below.split("/")):
-            hidden.append(below)
-        elif status.getLen() == 0:
-            empty.append("/" + below)
-    return sorted(hidden), sorted(empty)
-
-
-def read_run_files(spark: SparkSession, root: str) -> DataFrame:
-    """``run_id, path, content`` of every file below ``root/run_id=<id>/``, empty ones too.
-
-    Spark's readers can't see hidden files. Since a check that skips files would pass over planted ones, such files are an
-    error. A file arrives whole, so one file must stay below two gigabytes.
-    """
-    hidden, empty = odd_files(spark, root)
-    if hidden:
-        raise ValueError(f"hidden files can't be hashed: {', '.join(hidden[:10])}")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content")
-    if empty:
-        files = files.unionByName(spark.createDataFrame([(p, bytearray()) for p in empty], "path string, content binary"))
-    return files.select(run_of(F.col("path")).alias("run_id"), F.regexp_extract("path", r"/run_id=[^/]+/(.+)$", 1).alias("path"), "content")
-
-
 def read_manifests(spark: SparkSession, root: str) -> DataFrame:
     """Manifest lines with their run; ``line_no`` grows along each file."""
     lines = spark.read.text(root, recursiveFileLookup=True)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linklens.operators import integrity as G
+from linklens.sources import files as X
 from linklens.sources import readers as S
 from linklens.sources import sinks as W
 
@@ -34,7 +35,7 @@ def test_manifest_round_trip_on_disk(spark, tmp_path):
         folder = tmp_path / "runs" / f"run_id={run}" / "sub"
         folder.mkdir(parents=True)
         (folder / "data.csv").write_text(text)
-    hashes = G.file_hashes(S.read_run_files(spark, root))
+    hashes = G.file_hashes(X.read_run_hashes(spark, root))
     assert {(r.run_id, r.path, r.sha256) for r in hashes.collect()} == {
         ("R1", "sub/data.csv", sha("alpha")), ("R2", "sub/data.csv", sha("beta"))}
     paths = W.write_checksums(str(tmp_path / "out"), hashes.select("run_id").distinct(), G.manifest_lines(hashes))
@@ -51,22 +52,66 @@ def test_run_ids_keep_their_characters_on_both_sides(spark, tmp_path):
         folder = tmp_path / "runs" / f"run_id={name}"
         folder.mkdir(parents=True)
         (folder / "x.csv").write_text("x")
-    assert {r.run_id for r in S.read_run_files(spark, str(tmp_path / "runs")).collect()} == {"r 2", "b+c", "año"}
-
-
-def test_empty_files_count_and_hidden_files_are_an_error(spark, tmp_path):
-    folder = tmp_path / "runs" / "run_id=R1"
-    folder.mkdir(parents=True)
-    (folder / "empty.csv").write_text("")
-    (folder / "a.csv").write_text("a")
-    hashes = G.file_hashes(S.read_run_files(spark, str(tmp_path / "runs")))
-    assert {(r.path, r.sha256) for r in hashes.collect()} == {("empty.csv", sha("")), ("a.csv", sha("a"))}
-    for name in (".hid", "_planted"):
-        (folder / name).write_text("x")
-        assert S.odd_files(spark, str(tmp_path / "runs")) == ([f"run_id=R1/{name}"], ["/run_id=R1/empty.csv"])
-        with pytest.raises(ValueError, match="hidden"):
-            S.read_run_files(spark, str(tmp_path / "runs"))
-        (folder / name).unlink()
+    assert {r.run_id for r in X.read_run_hashes(spark, str(tmp_path / "runs")).collect()} == {"r 2", "b+c", "año"}
+
+
+def planted(tmp_path, run="R1", **files):
+    folder = tmp_path / "runs" / f"run_id={run}"
+    folder.mkdir(parents=True, exist_ok=True)
+    for name, text in files.items():
+        (folder / name).parent.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_text(text)
+    return folder
+
+
+def test_hidden_and_empty_files_are_untracked_for_their_own_run(spark, tmp_path):
+    odd = {".hid": "x", "_planted": "y", "_sub/.deep/a.csv": "z", "empty.csv": "", ".alone.crc": "c"}
+    planted(tmp_path, "R1", **{"a.csv": "a", ".a.csv.crc": "left by a writer", "_SUCCESS": "", **odd})
+    planted(tmp_path, "R2", **{"a.csv": "a"})
+    hashes = G.file_hashes(X.read_run_hashes(spark, str(tmp_path / "runs"), shares=3))
+    assert {(r.run_id, r.path, r.sha256) for r in hashes.collect()} == {
+        ("R2", "a.csv", sha("a")), ("R1", "a.csv", sha("a")), *(("R1", path, sha(text)) for path, text in odd.items())}
+    entries = G.parse_manifest(spark.createDataFrame([(run, 1, f"{sha('a')}  a.csv") for run in ("R1", "R2")], LINES))
+    verified = G.verify_manifest(entries, hashes)
+    assert {(r.run_id, r.path) for r in verified.where("status = 'untracked'").collect()} == {("R1", path) for path in odd}
+    assert {r.run_id: r.integrity_valid for r in G.integrity_summary(verified, True).collect()} == {"R1": False, "R2": True}
+
+
+def test_links_and_line_breaks_are_refused(spark, tmp_path):
+    folder = planted(tmp_path, "R1", **{"a.csv": "a"})
+    (folder / "link.csv").symlink_to(folder / "a.csv")
+    with pytest.raises(Exception, match="symbolic links"):
+        X.read_run_hashes(spark, str(tmp_path / "runs")).collect()
+    other = tmp_path / "other"
+    planted(other, "R1", **{"a\nb.csv": "a"})
+    with pytest.raises(Exception, match="line breaks"):
+        X.read_run_hashes(spark, str(other / "runs")).collect()
+
+
+def test_files_beyond_two_gigabytes_are_hashed_in_pieces(spark, tmp_path):
+    folder = planted(tmp_path, "R1", **{"a.csv": "a"})
+    size = (2 << 30) + 5
+    with open(folder / "big.bin", "wb") as file:
+        file.truncate(size)
+    want = hashlib.sha256()
+    for _ in range(2048):
+        want.update(bytes(1 << 20))
+    want.update(bytes(5))
+    got = {r.path: (r.size, r.sha256) for r in X.read_run_hashes(spark, str(tmp_path / "runs")).collect()}
+    assert got == {"a.csv": (1, sha("a")), "big.bin": (size, want.hexdigest())}
+
+
+def test_the_driver_plans_shares_and_lists_nothing(spark, tmp_path):
+    reader = X.RunFilesReader(str(tmp_path / "not there"), 5)
+    assert [p.value for p in reader.partitions()] == [(i, 5) for i in range(5)]
+    empty = tmp_path / "none"
+    empty.mkdir()
+    assert X.read_run_hashes(spark, str(empty)).count() == 0
+    for i in range(20):
+        planted(tmp_path, f"R{i}", **{f"f{k}.csv": str(k) for k in range(3)})
+    listed = X.list_run_files(spark, str(tmp_path / "runs"), shares=4).withColumn("share", F.spark_partition_id())
+    assert listed.select("run_id").distinct().count() == 20 and listed.count() == 60
+    assert listed.select("share").distinct().count() > 1 and listed.groupBy("run_id").agg(F.countDistinct("share").alias("n")).where("n > 1").isEmpty()
 
 
 def test_a_run_without_a_manifest_is_invalid(spark):

@@ -9,7 +9,7 @@ from linklens.operators import history as H
 from linklens.operators import ingest as I
 from linklens.operators.ordered import previous_valid, row_chunk, row_numbers, time_chunk
 from linklens.operators.quantiles import bounded_quantiles, exact_quantiles
-from linklens.operators.ranks import average_ranks, bounded_spearman, frequencies, spearman
+from linklens.operators.ranks import average_ranks, bounded_spearman, dealt_by_range, range_offsets, spearman
 from linklens.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -49,11 +49,17 @@ def test_values_in_a_narrow_range_are_selected_exactly(spark):
         assert got[name] == pytest.approx(frame.v.quantile(q), abs=1e-18)
 
 
-def test_rank_bins_stay_even_in_a_narrow_range(spark):
+def test_one_key_is_dealt_over_all_ranges(spark):
     rng = np.random.default_rng(6)
-    frame = spark.createDataFrame(pd.DataFrame({"k": 1, "v": 0.0005 + rng.random(50_000) * 1e-7}))
-    sizes = frequencies(frame, ["k"], "v").groupBy("_b").count().toPandas()["count"]
-    assert len(sizes) > 900 and sizes.max() < 250
+    values = pd.DataFrame({"k": 1, "v": (0.0005 + rng.random(50_000) * 1e-7).round(11)})
+    frame = spark.createDataFrame(values)
+    dealt = dealt_by_range(frame, ["k"], "v", ranges=16)
+    sizes = dealt.groupBy("_range").count().toPandas()["count"]
+    assert len(sizes) == 16 and sizes.max() < 3 * sizes.mean()
+    assert range_offsets(dealt, ["k"]).count() == 16
+    got = average_ranks(frame, ["k"], "v", ranges=16).toPandas().set_index("v").avg_rank
+    want = values.assign(r=values.v.rank()).groupby("v").r.first()
+    assert np.allclose(got.sort_index(), want, atol=0)
 
 
 @pytest.mark.parametrize("way", [spearman, bounded_spearman])
