@@ -28,7 +28,7 @@ from linklens.llm.word_slices import VALUES, bin_count, bin_rows, encoded, merge
 from linklens.session import stage
 
 LEAST, LONGEST, PART, FIRST, FACTOR = 30, 4, 80, 2000, 2_000_000
-PIECE, GROUP = 1_000_000, 2_000_000
+PIECE, GROUP = 1_000_000, 1_000_000
 SALTS = 64
 
 # Piece ends become line feeds, tabs blanks, A-Z lower case.
@@ -50,8 +50,8 @@ STRIPES = "slice long, bin int, prefixes binary, sizes binary, suffixes binary,
 MERGED = "slice long, id long, prefix long, suffix long, f long, back binary"
 
 
-def _pieces(f: np.ndarray) -> np.ndarray:
-    return np.minimum(-(-f // PIECE), 1 << 30).astype("<i4")
+def _pieces(f: np.ndarray, piece: int) -> np.ndarray:
+    return np.minimum(-(-f // piece), 1 << 30).astype("<i4")
 
 
 _VALUE = np.dtype([("id", "<i8"), ("pieces", "<i4")])
@@ -79,12 +79,12 @@ def _part_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from table("part string, n long", [row["parts"], sums]).to_batches()
 
 
-def _numbers(least: int):
+def _numbers(least: int, piece: int):
     """To every slice: the ids of its frequent words, and in how many pieces their stripes are cut."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, words, counts in bin_rows(batches):
             values = np.empty(len(words), _VALUE)
-            values["id"], values["pieces"] = _ids(row["bin"], counts, least), _pieces(counts)
+            values["id"], values["pieces"] = _ids(row["bin"], counts, least), _pieces(counts, piece)
             yield sent_back(row, values)
     return run
 
@@ -173,20 +173,22 @@ def _merger(least: int, back: bool):
     return run
 
 
-def _longer(placed: pa.Table, back: pa.Table) -> pa.Table:
+def _longer(piece: int):
     """The next level of a slice from what came back to it."""
-    if not placed.num_rows or not back.num_rows:
-        return table(PLACED, [[]] * 4)
-    at, first, known, left, right = _pairs(placed.column("places")[0].as_py(), placed.column("ids")[0].as_py())
-    prefix, suffix, number, f = np.concatenate([np.frombuffer(b, "<i8").reshape(4, -1) for b in back.column("back").to_pylist()], axis=1)
-    keys = np.searchsorted(known, prefix) * np.int64(len(known)) + np.searchsorted(known, suffix)
-    order = np.argsort(keys)
-    mine = left * np.int64(len(known)) + right
-    place = np.minimum(np.searchsorted(keys, mine, sorter=order), len(keys) - 1)
-    found = order[place]
-    hit = np.flatnonzero(keys[found] == mine)
-    found = found[hit]
-    return table(PLACED, [[placed.column("slice")[0].as_py()], [at[first[hit]].astype("<i4").tobytes()], [number[found].tobytes()], [_pieces(f[found]).tobytes()]])
+    def run(placed: pa.Table, back: pa.Table) -> pa.Table:
+        if not placed.num_rows or not back.num_rows:
+            return table(PLACED, [[]] * 4)
+        at, first, known, left, right = _pairs(placed.column("places")[0].as_py(), placed.column("ids")[0].as_py())
+        prefix, suffix, number, f = np.concatenate([np.frombuffer(b, "<i8").reshape(4, -1) for b in back.column("back").to_pylist()], axis=1)
+        keys = np.searchsorted(known, prefix) * np.int64(len(known)) + np.searchsorted(known, suffix)
+        order = np.argsort(keys)
+        mine = left * np.int64(len(known)) + right
+        place = np.minimum(np.searchsorted(keys, mine, sorter=order), len(keys) - 1)
+        found = order[place]
+        hit = np.flatnonzero(keys[found] == mine)
+        found = found[hit]
+        return table(PLACED, [[placed.column("slice")[0].as_py()], [at[first[hit]].astype("<i4").tobytes()], [number[found].tobytes()], [_pieces(f[found], piece).tobytes()]])
+    return run
 
 
 # -- levels ----------------------------------------------------------------------------------------------------------------------------
@@ -197,7 +199,7 @@ def level(placed: DataFrame, bins: int, least: int, last: bool) -> DataFrame:
     return stage(stripes.groupBy("bin").applyInArrow(_merger(least, not last), MERGED), "stripes")
 
 
-def phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tuple[DataFrame, list[DataFrame]]:
+def phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, piece: int = PIECE) -> tuple[DataFrame, list[DataFrame]]:
     """Word occurrences per ``part``, and per length from 1 the frequent phrases: ``id, part, phrase, last, a, lefts, rights, prefix, suffix``.
 
     ``lefts`` and ``rights`` have the frequencies of the phrase's beginnings and ends by their length; the phrase itself is the last.
@@ -213,7 +215,7 @@ def phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tupl
     text = F.col("word").cast("string")
     grams = [frequent.select("id", "part", text.alias("phrase"), text.alias("last"), F.col("f").alias("a"), F.array("f").alias("lefts"), F.array("f").alias("rights"),
                              F.lit(None).cast("long").alias("prefix"), F.lit(None).cast("long").alias("suffix"))]
-    values = words.mapInArrow(_numbers(least), VALUES)
+    values = words.mapInArrow(_numbers(least, piece), VALUES)
     placed = stage(sliced.select("slice", "part", "words", "n_words", "ids", "ends").groupBy("slice").cogroup(values.groupBy("of_slice")).applyInArrow(
         _frequent_words(word_bins), PLACED), "places")
     bins = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), whole // GROUP + 1)
@@ -226,13 +228,14 @@ def phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tupl
                                         "prefix", "suffix"), "phrases"))
         if n < longest:
             back = found.where("slice is not null").select(F.col("slice").alias("of_slice"), "back")
-            placed = stage(placed.groupBy("slice").cogroup(back.groupBy("of_slice")).applyInArrow(_longer, PLACED), "places")
+            placed = stage(placed.groupBy("slice").cogroup(back.groupBy("of_slice")).applyInArrow(_longer(piece), PLACED), "places")
     return totals, grams
 
 
-def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, part: int = PART, first: int = FIRST, factor: int = FACTOR) -> DataFrame:
+def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, part: int = PART, first: int = FIRST, factor: int = FACTOR,
+                 piece: int = PIECE) -> DataFrame:
     """Per language the ``first`` phrases by their weakest cut, without those that a longer candidate explains."""
-    totals, grams = phrases(docs, longest, least)
+    totals, grams = phrases(docs, longest, least, piece)
     kept = None
     for n in range(2, longest + 1):
         rows = grams[n - 1]

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from linklens.llm.words import raw_texts, slices
 from linklens.session import stage
 
-SLICE_BYTES = 14 << 20
-BIN_WORDS = 400_000
+SLICE_BYTES = 7 << 20
+BIN_WORDS = 300_000
 SCHEMA = "slice long, part string, doc_ids array<long>, marks array<boolean>, ends array<long>, words binary, counts binary, ids binary, n_words long"
 PIECES = "bin int, slice long, part string, words binary, counts binary, n_words long"
 MERGED = "bin int, parts array<string>, part_of binary, words binary, counts binary, n_words long, slices array<long>, sizes array<int>, index binary"
@@ -87,7 +87,7 @@ def _encoder(split: Callable[[bytes], list[bytes]], fixed: dict[bytes, int], mos
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         number, total, opened = TaskContext.get().partitionId() << 32, 0, {}
-        for batch in slices(batches):
+        for batch in slices(batches, most=2 << 20):
             for doc, mark, part, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "mark", "part")), raw_texts(batch)):
                 one = opened.get(part)
                 if one is None:
@@ -111,13 +111,13 @@ def _encoder(split: Callable[[bytes], list[bytes]], fixed: dict[bytes, int], mos
     return run
 
 
-def encoded(rows: DataFrame, split: Callable[[bytes], list[bytes]], fixed: dict[bytes, int] | None = None, most: int = SLICE_BYTES) -> DataFrame:
+def encoded(rows: DataFrame, split: Callable[[bytes], list[bytes]], fixed: dict[bytes, int] | None = None, most: int | None = None) -> DataFrame:
     """Staged slices of ``rows`` (``doc_id, mark, part, text``); documents of one ``part`` share slices.
 
     ``split`` gives a text's tokens. ``fixed`` numbers below zero stand for tokens that are no words; the least, if below -1, is dropped.
     ``counts`` leaves marked documents out.
     """
-    return stage(rows.select("doc_id", "mark", "part", "text").mapInArrow(_encoder(split, fixed or {}, most), SCHEMA), "slices")
+    return stage(rows.select("doc_id", "mark", "part", "text").mapInArrow(_encoder(split, fixed or {}, most or SLICE_BYTES), SCHEMA), "slices")
 
 
 def bin_count(sliced: DataFrame) -> int:

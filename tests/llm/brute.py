@@ -105,3 +105,71 @@ def fill(per_source, weights=(5, 2, 1), epochs=3):
         left -= sum(out[s] for s in over)
         free -= over
     return out
+
+
+def unigram(rows, folds=7, held=2):
+    """``doc_id -> (held, tokens, known, N, base)`` of rows with distinct ids."""
+    texts = {d: [*(t or "").encode().translate(LOWER).split(), b""] for d, t in rows}
+    out = {d: zlib.crc32(str(d).encode()) % folds == held if d is not None else False for d in texts}
+    counts = defaultdict(int)
+    for d, words in texts.items():
+        for w in words if not out[d] else ():
+            counts[w] += 1
+    total = sum(counts.values())
+    return {d: (out[d], len(words), sum(counts.get(w, 0) > 0 for w in words), total,
+                sum(math.log10((counts.get(w, 0) + 1) / (total + len(counts) + 1)) for w in words)) for d, words in texts.items()}
+
+
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+FEATURE = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def runs(text, longest):
+    words = FEATURE.findall((text or "").encode().translate(LOWER))
+    return len(words), [zlib.crc32(b" ".join(words[i:i + n])) for n in range(1, longest + 1) for i in range(len(words) - n + 1)]
+
+
+def drawn(rows, target, buckets, longest, least, percent):
+    """``doc_id -> (features, weight, score, rank)`` of rows with distinct ids."""
+    own = {d: runs(t, longest) for d, t in rows}
+    s, t = defaultdict(int), defaultdict(int)
+    for counts, texts in ((s, (f for _, f in own.values())), (t, (runs(x, longest)[1] for x in target))):
+        for crcs in texts:
+            for c in crcs:
+                counts[c % buckets] += 1
+    ss, tt = sum(s.values()), sum(t.values())
+    gain = lambda b: math.floor(1000 * math.log((t[b] + 1) * (ss + buckets) / ((s[b] + 1) * (tt + buckets))))
+    out = {}
+    for d, (_, crcs) in own.items():
+        weight = sum(gain(c % buckets) for c in crcs) // len(crcs) if crcs else 0
+        h = int(hashlib.sha256(f"2024:{'null' if d is None else d}".encode()).hexdigest()[:8], 16)
+        out[d] = [len(crcs), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None]
+    able = sorted((d for d in out if own[d][0] >= least), key=lambda d: (-out[d][2], d is not None, d or 0))
+    for rank, d in enumerate(able[:percent * len(able) // 100], 1):
+        out[d][3] = rank
+    return out
+
+
+def phrases(rows, least, part, first, longest=4, factor=2_000_000):
+    """Rows of ``(lang, rank, phrase, a, l, r, n, score)`` from ``(text, lang)``."""
+    f, n = defaultdict(int), defaultdict(int)
+    for text, lang in rows:
+        lang = lang or "und"
+        for piece in re.split(rb"[.,;:!?\x0A-\x0D]", (text or "").encode().translate(LOWER)):
+            words = re.findall(rb"[^\x20\x09]+", piece)
+            n[lang] += len(words)
+            for k in range(1, longest + 1):
+                for i in range(len(words) - k + 1):
+                    f[lang, tuple(words[i:i + k])] += 1
+    found = {key: a for key, a in f.items() if len(key[1]) >= 2 and a >= least}
+    inner = defaultdict(int)
+    for (lang, words), a in found.items():
+        for k in range(2, len(words)):
+            for i in range(len(words) - k + 1):
+                inner[lang, words[i:i + k]] = max(inner[lang, words[i:i + k]], a)
+    by_lang = defaultdict(list)
+    for (lang, words), a in found.items():
+        if 100 * inner[lang, words] < part * a:
+            score, k = min((factor * a // (f[lang, words[:k]] + f[lang, words[k:]]), k) for k in range(1, len(words)))
+            by_lang[lang].append((-score, -a, b" ".join(words), f[lang, words[:k]], f[lang, words[k:]]))
+    return sorted((lang, rank, p.decode(), -a, l, r, n[lang], -s) for lang, rows in by_lang.items() for rank, (s, a, p, l, r) in enumerate(sorted(rows)[:first], 1))
