@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from linklens.llm.word_slices import VALUES, bin_count, bin_rows, encoded, merged, opened_ids, received, sent_back, table, unpacked
+from linklens.llm.word_slices import VALUES, bin_count, bin_rows, encoded, merged, opened_ids, opened_short, received, sent_back, short, table, unpacked
 from linklens.session import stage
 
 LEAST, LONGEST, PART, FIRST, FACTOR = 30, 4, 80, 2000, 2_000_000
@@ -45,7 +45,7 @@ def split(text: bytes) -> list[bytes]:
 
 # -- slices: places and ids of frequent phrases ---------------------------------------------------------------------------------------
 
-PLACED = "slice long, places binary, ids binary, pieces binary"
+PLACED = "slice long, n long, gaps binary, local binary, known binary, pieces binary"
 STRIPES = "slice long, bin int, prefixes binary, sizes binary, suffixes binary, counts binary"
 MERGED = "slice long, id long, prefix long, suffix long, f long, back binary"
 
@@ -93,22 +93,29 @@ def _frequent_words(bins: int):
     """The first level of a slice from its token ids and the ids of its words."""
     def run(sliced: pa.Table, values: pa.Table) -> pa.Table:
         if not sliced.num_rows or not values.num_rows:
-            return table(PLACED, [[]] * 4)
+            return table(PLACED, [[]] * 6)
         row = {c: sliced.column(c)[0].as_py() for c in sliced.column_names}
         got = received(values, unpacked(row["words"], row["n_words"]), row["part"], bins, _VALUE)
         ids = opened_ids(row["ids"], row["ends"][-1])
         number = np.append(got["id"], -1)[ids]  # fixed tokens fall on the last
         at = np.flatnonzero(number >= 0)
-        return table(PLACED, [[row["slice"]], [at.astype("<i4").tobytes()], [number[at].tobytes()], [got["pieces"][ids[at]].tobytes()]])
+        known = np.flatnonzero(got["id"] >= 0)  # the most frequent words of the slice come first
+        rank = np.zeros(len(got), np.int64)
+        rank[known] = np.arange(len(known))
+        return _placed(row["slice"], at, rank[ids[at]], got["id"][known], got["pieces"][known])
     return run
 
 
-def _pairs(places: bytes, ids: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Where a phrase begins one place before another: its index, the distinct ids, and local numbers of both."""
-    at, ids = np.frombuffer(places, "<i4"), np.frombuffer(ids, "<i8")
+def _placed(number: int, at: np.ndarray, local: np.ndarray, known: np.ndarray, pieces: np.ndarray) -> pa.Table:
+    """A slice's frequent phrases: where they begin, as gaps, and which they are, as numbers into ``known`` ids and their pieces."""
+    return table(PLACED, [[number], [len(at)], [short(np.diff(at, prepend=0))], [short(local)], [known.astype("<i8").tobytes()], [pieces.astype("<i4").tobytes()]])
+
+
+def _pairs(n: int, gaps: bytes, local: bytes, known: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where phrases begin; the indexes of those that begin one place before another; the known ids and the numbers of both phrases."""
+    at, local = np.cumsum(opened_short(gaps, n)), opened_short(local, n)
     first = np.flatnonzero(at[1:] == at[:-1] + 1)
-    known, local = np.unique(ids, return_inverse=True)
-    return at, first, known, local[first], local[first + 1]
+    return at, first, np.frombuffer(known, "<i8"), local[first], local[first + 1]
 
 
 def _mixed(value: np.ndarray) -> np.ndarray:
@@ -120,16 +127,15 @@ def _stripes(bins: int):
     """Per slice and bin: prefixes in order, the size of each stripe, and its suffixes and counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, places, ids, pieces in zip(*(batch.column(c).to_pylist() for c in ("slice", "places", "ids", "pieces"))):
-                _, first, known, left, right = _pairs(places, ids)
+            for number, n, gaps, local, known, pieces in zip(*(batch.column(c).to_pylist() for c in ("slice", "n", "gaps", "local", "known", "pieces"))):
+                _, first, known, left, right = _pairs(n, gaps, local, known)
                 if not len(first):
                     continue
                 keys = np.sort(left * np.int64(len(known)) + right)
                 begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
                 counts, keys = np.diff(np.append(begin, len(keys))), keys[begin]
                 left, right = keys // len(known), keys % len(known)
-                cut = np.ones(len(known), np.int64)
-                cut[np.searchsorted(known, np.frombuffer(ids, "<i8"))] = np.frombuffer(pieces, "<i4")
+                cut = np.frombuffer(pieces, "<i4")
                 piece = _mixed(known[right]) % cut[left].astype(np.uint64)
                 bin_of = (_mixed(known[left] + piece.astype(np.int64) * np.int64(0x632BE5AB)) % np.uint64(bins)).astype(np.int64)
                 order = np.argsort(bin_of, kind="stable")
@@ -177,17 +183,18 @@ def _longer(piece: int):
     """The next level of a slice from what came back to it."""
     def run(placed: pa.Table, back: pa.Table) -> pa.Table:
         if not placed.num_rows or not back.num_rows:
-            return table(PLACED, [[]] * 4)
-        at, first, known, left, right = _pairs(placed.column("places")[0].as_py(), placed.column("ids")[0].as_py())
+            return table(PLACED, [[]] * 6)
+        at, first, known, left, right = _pairs(*(placed.column(c)[0].as_py() for c in ("n", "gaps", "local", "known")))
         prefix, suffix, number, f = np.concatenate([np.frombuffer(b, "<i8").reshape(4, -1) for b in back.column("back").to_pylist()], axis=1)
-        keys = np.searchsorted(known, prefix) * np.int64(len(known)) + np.searchsorted(known, suffix)
+        sorted_ids = np.argsort(known)
+        keys = sorted_ids[np.searchsorted(known, prefix, sorter=sorted_ids)] * np.int64(len(known)) + sorted_ids[np.searchsorted(known, suffix, sorter=sorted_ids)]
         order = np.argsort(keys)
         mine = left * np.int64(len(known)) + right
         place = np.minimum(np.searchsorted(keys, mine, sorter=order), len(keys) - 1)
         found = order[place]
         hit = np.flatnonzero(keys[found] == mine)
-        found = found[hit]
-        return table(PLACED, [[placed.column("slice")[0].as_py()], [at[first[hit]].astype("<i4").tobytes()], [number[found].tobytes()], [_pieces(f[found], piece).tobytes()]])
+        used, local = np.unique(found[hit], return_inverse=True)
+        return _placed(placed.column("slice")[0].as_py(), at[first[hit]], local, number[used], _pieces(f[used], piece))
     return run
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from linklens.llm.words import raw_texts, slices
 from linklens.session import stage
 
-SLICE_BYTES = 7 << 20
+SLICE_BYTES = 3 << 18  # rows of about half a megabyte travel well
 BIN_WORDS = 300_000
 SCHEMA = "slice long, part string, doc_ids array<long>, marks array<boolean>, ends array<long>, words binary, counts binary, ids binary, n_words long"
 PIECES = "bin int, slice long, part string, words binary, counts binary, n_words long"
@@ -68,17 +68,25 @@ def _close(number: int, part: str | None, one: _Open, fixed: int) -> pa.RecordBa
     ids = rank[ids]
     counted = ids[np.repeat(~np.array(one.marks, bool), sizes)]
     counts = np.bincount(counted[counted >= 0], minlength=len(words))
-    packed = np.minimum(ids + 1, 0xFFFF).astype("<u2").tobytes() + (ids[ids + 1 >= 0xFFFF]).astype("<u4").tobytes()
     return table(SCHEMA, [[number], [part], [one.docs], [one.marks], [np.cumsum(sizes)], [b" ".join([words[i] for i in order])], [counts.astype("<i8").tobytes()],
-                          [packed], [len(words)]]).to_batches()[0]
+                          [short(ids + 1)], [len(words)]]).to_batches()[0]
+
+
+def short(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 in two bytes each; the few from 65,535 on take four more at the end."""
+    return np.minimum(numbers, 0xFFFF).astype("<u2").tobytes() + numbers[numbers >= 0xFFFF].astype("<u4").tobytes()
+
+
+def opened_short(value: bytes, number: int) -> np.ndarray:
+    low = np.frombuffer(value, "<u2", number)
+    out = low.astype(np.int64)
+    out[low == 0xFFFF] = np.frombuffer(value, "<u4", offset=2 * number)
+    return out
 
 
 def opened_ids(value: bytes, number: int) -> np.ndarray:
     """The ``number`` token ids of a slice; -1 is a fixed token."""
-    short = np.frombuffer(value, "<u2", number)
-    ids = short.astype(np.int64) - 1
-    ids[short == 0xFFFF] = np.frombuffer(value, "<u4", offset=2 * number)
-    return ids
+    return opened_short(value, number) - 1
 
 
 def _encoder(split: Callable[[bytes], list[bytes]], fixed: dict[bytes, int], most: int):
@@ -87,7 +95,7 @@ def _encoder(split: Callable[[bytes], list[bytes]], fixed: dict[bytes, int], mos
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         number, total, opened = TaskContext.get().partitionId() << 32, 0, {}
-        for batch in slices(batches, most=2 << 20):
+        for batch in slices(batches, most=1 << 20):
             for doc, mark, part, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "mark", "part")), raw_texts(batch)):
                 one = opened.get(part)
                 if one is None:

@@ -116,7 +116,7 @@ def test_slices_keep_tokens_and_words(spark):
         texts = [[words[i] for i in ids[a:b]] for a, b in zip([0, *r.ends], r.ends)]
         assert texts == [context_mixing.split(f"w{d} w{d % 3} ".encode() * 5) for d in r.doc_ids]
     wide = np.concatenate([np.arange(70_000), [5]])
-    packed = np.minimum(wide + 1, 0xFFFF).astype("<u2").tobytes() + wide[wide + 1 >= 0xFFFF].astype("<u4").tobytes()
+    packed = word_slices.short(wide + 1)
     assert (word_slices.opened_ids(packed, len(wide)) == wide).all()
 
 
