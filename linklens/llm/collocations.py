@@ -46,8 +46,8 @@ def split(text: bytes) -> list[bytes]:
 # -- slices: places and ids of frequent phrases ---------------------------------------------------------------------------------------
 
 PLACED = "slice long, n long, gaps binary, local binary, known binary, pieces binary"
-STRIPES = "slice long, bin int, prefixes binary, sizes binary, suffixes binary, counts binary"
-MERGED = "slice long, id long, prefix long, suffix long, f long, back binary"
+STRIPES = "slice long, bin int, prefixes binary, sizes binary, suffixes binary, counts binary, n_prefixes long, n long"
+MERGED = "slice long, bin int, id long, prefix long, suffix long, f long, back binary"
 
 
 def _pieces(f: np.ndarray, piece: int) -> np.ndarray:
@@ -58,16 +58,36 @@ _VALUE = np.dtype([("id", "<i8"), ("pieces", "<i4")])
 WORDS = "id long, part string, word binary, f long"
 
 
-def _ids(bin_number: int, counts: np.ndarray, least: int) -> np.ndarray:
-    """Ids of a bin's frequent words, -1 for others."""
-    kept = counts >= least
-    return np.where(kept, (np.int64(bin_number) << 32) + np.cumsum(kept) - 1, -1)
+def _ids(bin_number: int, bins: int, kept: np.ndarray) -> np.ndarray:
+    """Ids of what a bin keeps, no bin's like another's and small as long as there are few; -1 for the rest."""
+    return np.where(kept, bin_number + np.int64(bins) * (np.cumsum(kept) - 1), -1)
 
 
-def _frequent(least: int):
+def _narrow(numbers: np.ndarray) -> bytes:
+    """Four bytes a number, eight if one needs them."""
+    return numbers.astype("<u4" if numbers.max(initial=0) < 1 << 32 else "<i8").tobytes()
+
+
+def _opened_narrow(value: bytes, number: int) -> np.ndarray:
+    return np.frombuffer(value, "<u4" if len(value) == 4 * number else "<i8").astype(np.int64)
+
+
+def _small(numbers: np.ndarray) -> bytes:
+    """One byte a number, four more at the end for those from 255 on."""
+    return np.minimum(numbers, 255).astype("u1").tobytes() + numbers[numbers >= 255].astype("<u4").tobytes()
+
+
+def _opened_small(value: bytes, number: int) -> np.ndarray:
+    low = np.frombuffer(value, "u1", number)
+    out = low.astype(np.int64)
+    out[low == 255] = np.frombuffer(value, "<u4", offset=number)
+    return out
+
+
+def _frequent(least: int, bins: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, words, counts in bin_rows(batches):
-            ids, of = _ids(row["bin"], counts, least), np.frombuffer(row["part_of"], "<i4")
+            ids, of = _ids(row["bin"], bins, counts >= least), np.frombuffer(row["part_of"], "<i4")
             kept = np.flatnonzero(ids >= 0)
             yield from table(WORDS, [ids[kept], [row["parts"][of[i]] for i in kept], [words[i] for i in kept], counts[kept]]).to_batches()
     return run
@@ -79,12 +99,12 @@ def _part_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from table("part string, n long", [row["parts"], sums]).to_batches()
 
 
-def _numbers(least: int, piece: int):
+def _numbers(least: int, piece: int, bins: int):
     """To every slice: the ids of its frequent words, and in how many pieces their stripes are cut."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, words, counts in bin_rows(batches):
             values = np.empty(len(words), _VALUE)
-            values["id"], values["pieces"] = _ids(row["bin"], counts, least), _pieces(counts, piece)
+            values["id"], values["pieces"] = _ids(row["bin"], bins, counts >= least), _pieces(counts, piece)
             yield sent_back(row, values)
     return run
 
@@ -111,90 +131,115 @@ def _placed(number: int, at: np.ndarray, local: np.ndarray, known: np.ndarray, p
     return table(PLACED, [[number], [len(at)], [short(np.diff(at, prepend=0))], [short(local)], [known.astype("<i8").tobytes()], [pieces.astype("<i4").tobytes()]])
 
 
-def _pairs(n: int, gaps: bytes, local: bytes, known: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Where phrases begin; the indexes of those that begin one place before another; the known ids and the numbers of both phrases."""
-    at, local = np.cumsum(opened_short(gaps, n)), opened_short(local, n)
-    first = np.flatnonzero(at[1:] == at[:-1] + 1)
-    return at, first, np.frombuffer(known, "<i8"), local[first], local[first + 1]
-
-
 def _mixed(value: np.ndarray) -> np.ndarray:
     value = value.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return value ^ value >> np.uint64(31)
 
 
+class _Pairs:
+    """Pairs of phrases that begin one word apart in a slice, each once, in order of their bin."""
+
+    def __init__(self, row: dict, bins: int):
+        self.at, local = np.cumsum(opened_short(row["gaps"], row["n"])), opened_short(row["local"], row["n"])
+        self.first = np.flatnonzero(self.at[1:] == self.at[:-1] + 1)
+        known, pieces = np.frombuffer(row["known"], "<i8"), np.frombuffer(row["pieces"], "<i4")
+        self.mine = local[self.first] * np.int64(len(known)) + local[self.first + 1]
+        every = np.sort(self.mine)
+        begin = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
+        self.counts, self.keys = np.diff(np.append(begin, len(every))), every[begin]
+        left, right = self.keys // max(1, len(known)), self.keys % max(1, len(known))
+        piece = (_mixed(known[right]) % pieces[left].astype(np.uint64)).astype(np.int64)
+        bin_of = (_mixed(known[left] + piece * np.int64(0x632BE5AB)) % np.uint64(bins)).astype(np.int64)
+        self.order = np.argsort(bin_of, kind="stable")
+        self.ends = np.cumsum(np.bincount(bin_of, minlength=bins))
+        self.prefix, self.suffix = known[left], known[right]
+
+    def of_bin(self, b: int) -> np.ndarray:
+        return self.order[self.ends[b - 1] if b else 0:self.ends[b]]
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        yield from batch.to_pylist()
+
+
 def _stripes(bins: int):
     """Per slice and bin: prefixes in order, the size of each stripe, and its suffixes and counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, n, gaps, local, known, pieces in zip(*(batch.column(c).to_pylist() for c in ("slice", "n", "gaps", "local", "known", "pieces"))):
-                _, first, known, left, right = _pairs(n, gaps, local, known)
-                if not len(first):
-                    continue
-                keys = np.sort(left * np.int64(len(known)) + right)
-                begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-                counts, keys = np.diff(np.append(begin, len(keys))), keys[begin]
-                left, right = keys // len(known), keys % len(known)
-                cut = np.frombuffer(pieces, "<i4")
-                piece = _mixed(known[right]) % cut[left].astype(np.uint64)
-                bin_of = (_mixed(known[left] + piece.astype(np.int64) * np.int64(0x632BE5AB)) % np.uint64(bins)).astype(np.int64)
-                order = np.argsort(bin_of, kind="stable")
-                ends = np.cumsum(np.bincount(bin_of, minlength=bins))
-                for b in np.unique(bin_of).tolist():
-                    own = order[ends[b - 1] if b else 0:ends[b]]
-                    prefix = left[own]
-                    new = np.flatnonzero(np.concatenate([[True], prefix[1:] != prefix[:-1]]))
-                    row = [[number], [b], [known[prefix[new]].tobytes()], [np.diff(np.append(new, len(own))).astype("<i4").tobytes()],
-                           [known[right[own]].tobytes()], [counts[own].astype("<i4").tobytes()]]
-                    yield table(STRIPES, row).to_batches()[0]
+        for row in _rows(batches):
+            pairs, columns = _Pairs(row, bins), []
+            for b in np.flatnonzero(np.diff(pairs.ends, prepend=0)).tolist():
+                own = pairs.of_bin(b)
+                prefix = pairs.prefix[own]
+                new = np.flatnonzero(np.concatenate([[True], prefix[1:] != prefix[:-1]]))
+                columns.append((row["slice"], b, _narrow(prefix[new]), _small(np.diff(np.append(new, len(own)))), _narrow(pairs.suffix[own]), _small(pairs.counts[own]),
+                                len(new), len(own)))
+            if columns:
+                yield table(STRIPES, list(zip(*columns))).to_batches()[0]
     return run
 
 
-def _merger(least: int, back: bool):
-    """Merges the stripes of one bin elementwise: its frequent phrases with new ids and, per slice, those that it holds."""
+def _merger(least: int, bins: int, back: bool):
+    """Merges the stripes of one bin elementwise: its frequent phrases with new ids and, per slice, the ids and frequencies of the pairs it sent."""
     def run(stripes: pa.Table) -> pa.Table:
-        opened = []
-        for prefixes, sizes, suffixes, counts in zip(*(stripes.column(c).to_pylist() for c in ("prefixes", "sizes", "suffixes", "counts"))):
-            opened.append((np.repeat(np.frombuffer(prefixes, "<i8"), np.frombuffer(sizes, "<i4")), np.frombuffer(suffixes, "<i8"), np.frombuffer(counts, "<i4")))
-        prefix, suffix, count = (np.concatenate(x) for x in zip(*opened))
-        starts, left = np.unique(prefix, return_inverse=True)
-        ends, right = np.unique(suffix, return_inverse=True)
-        keys, of = np.unique(left * np.int64(len(ends)) + right, return_inverse=True)
+        rows, number = stripes.to_pylist(), stripes.column("bin")[0].as_py()
+        prefix = np.concatenate([np.repeat(_opened_narrow(r["prefixes"], r["n_prefixes"]), _opened_small(r["sizes"], r["n_prefixes"])) for r in rows])
+        suffix = np.concatenate([_opened_narrow(r["suffixes"], r["n"]) for r in rows])
+        count = np.concatenate([_opened_small(r["counts"], r["n"]) for r in rows])
+        if max(prefix.max(), suffix.max()) < 1 << 31:
+            keys, of = np.unique(prefix << 32 | suffix, return_inverse=True)
+            prefix, suffix = keys >> 32, keys & 0xFFFFFFFF
+        else:
+            starts, left = np.unique(prefix, return_inverse=True)
+            ends, right = np.unique(suffix, return_inverse=True)
+            keys, of = np.unique(left * np.int64(len(ends)) + right, return_inverse=True)
+            prefix, suffix = starts[keys // len(ends)], ends[keys % len(ends)]
         total = np.bincount(of, count, len(keys)).astype(np.int64)  # exact below 2^53
-        kept = np.flatnonzero(total >= least)
-        number = np.full(len(keys), -1, np.int64)
-        number[kept] = (np.int64(stripes.column("bin")[0].as_py()) << 32) + np.arange(len(kept))
-        grams = [[None] * len(kept), number[kept], starts[keys[kept] // len(ends)], ends[keys[kept] % len(ends)], total[kept], [None] * len(kept)]
-        out = [table(MERGED, grams)]
+        ids = _ids(number, bins, total >= least)
+        kept = np.flatnonzero(ids >= 0)
+        none = [None] * len(kept)
+        out = [table(MERGED, [none, none, ids[kept], prefix[kept], suffix[kept], total[kept], none])]
         if back and len(kept):
-            place = 0
-            for slice_id, (p, s, _) in zip(stripes.column("slice").to_pylist(), opened):
-                mine = of[place:place + len(p)]
-                place += len(p)
-                hit = np.flatnonzero(number[mine] >= 0)
-                if len(hit):
-                    packed = np.stack([p[hit], s[hit], number[mine[hit]], total[mine[hit]]]).astype("<i8").tobytes()
-                    out.append(table(MERGED, [[slice_id], [None], [None], [None], [None], [packed]]))
+            ends = np.cumsum([r["n"] for r in rows])
+            sent = [of[e - r["n"]:e] for e, r in zip(ends, rows)]
+            hit = [i for i, own in enumerate(sent) if (ids[own] >= 0).any()]
+            none = [None] * len(hit)
+            out.append(table(MERGED, [[rows[i]["slice"] for i in hit], [number] * len(hit), none, none, none, none,
+                                      [_back(ids[sent[i]], total[sent[i]]) for i in hit]]))
         return pa.concat_tables(out)
     return run
 
 
-def _longer(piece: int):
+def _back(ids: np.ndarray, total: np.ndarray) -> bytes:
+    packed = _narrow(ids + 1)
+    return bytes([len(packed) // len(ids)]) + packed + _narrow(total[ids >= 0])
+
+
+def _opened_back(value: bytes, number: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids (-1: not frequent) of a slice's pairs in one bin, and the frequencies of the frequent ones; the first byte has the ids' width."""
+    end = 1 + value[0] * number
+    ids = _opened_narrow(value[1:end], number) - 1
+    return ids, _opened_narrow(value[end:], int((ids >= 0).sum()))
+
+
+def _longer(piece: int, bins: int):
     """The next level of a slice from what came back to it."""
     def run(placed: pa.Table, back: pa.Table) -> pa.Table:
         if not placed.num_rows or not back.num_rows:
             return table(PLACED, [[]] * 6)
-        at, first, known, left, right = _pairs(*(placed.column(c)[0].as_py() for c in ("n", "gaps", "local", "known")))
-        prefix, suffix, number, f = np.concatenate([np.frombuffer(b, "<i8").reshape(4, -1) for b in back.column("back").to_pylist()], axis=1)
-        sorted_ids = np.argsort(known)
-        keys = sorted_ids[np.searchsorted(known, prefix, sorter=sorted_ids)] * np.int64(len(known)) + sorted_ids[np.searchsorted(known, suffix, sorter=sorted_ids)]
-        order = np.argsort(keys)
-        mine = left * np.int64(len(known)) + right
-        place = np.minimum(np.searchsorted(keys, mine, sorter=order), len(keys) - 1)
-        found = order[place]
-        hit = np.flatnonzero(keys[found] == mine)
-        used, local = np.unique(found[hit], return_inverse=True)
-        return _placed(placed.column("slice")[0].as_py(), at[first[hit]], local, number[used], _pieces(f[used], piece))
+        row = placed.to_pylist()[0]
+        pairs = _Pairs(row, bins)
+        ids, f = np.full(len(pairs.keys), -1, np.int64), np.zeros(len(pairs.keys), np.int64)
+        for b, value in zip(back.column("bin").to_pylist(), back.column("back").to_pylist()):
+            own = pairs.of_bin(b)
+            ids[own], frequent = _opened_back(value, len(own))
+            f[own[ids[own] >= 0]] = frequent
+        kept = np.flatnonzero(ids >= 0)
+        rank = np.full(len(ids), -1, np.int64)
+        rank[kept] = np.arange(len(kept))
+        local = rank[np.searchsorted(pairs.keys, pairs.mine)]
+        hit = np.flatnonzero(local >= 0)
+        return _placed(row["slice"], pairs.at[pairs.first[hit]], local[hit], ids[kept], _pieces(f[kept], piece))
     return run
 
 
@@ -203,7 +248,7 @@ def _longer(piece: int):
 def level(placed: DataFrame, bins: int, least: int, last: bool) -> DataFrame:
     """Staged phrases of one more word (``slice`` null), and what goes back to each slice."""
     stripes = placed.mapInArrow(_stripes(bins), STRIPES)
-    return stage(stripes.groupBy("bin").applyInArrow(_merger(least, not last), MERGED), "stripes")
+    return stage(stripes.groupBy("bin").applyInArrow(_merger(least, bins, not last), MERGED), "stripes")
 
 
 def phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, piece: int = PIECE) -> tuple[DataFrame, list[DataFrame]]:
@@ -218,11 +263,11 @@ def phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, piece:
     words = merged(sliced, word_bins)
     totals = stage(words.mapInArrow(_part_totals, "part string, n long").groupBy("part").agg(F.sum("n").alias("n")).where("n > 0"), "totals")
     whole = totals.agg(F.sum("n")).first()[0] or 0
-    frequent = stage(words.mapInArrow(_frequent(least), WORDS), "frequent")
+    frequent = stage(words.mapInArrow(_frequent(least, word_bins), WORDS), "frequent")
     text = F.col("word").cast("string")
     grams = [frequent.select("id", "part", text.alias("phrase"), text.alias("last"), F.col("f").alias("a"), F.array("f").alias("lefts"), F.array("f").alias("rights"),
                              F.lit(None).cast("long").alias("prefix"), F.lit(None).cast("long").alias("suffix"))]
-    values = words.mapInArrow(_numbers(least, piece), VALUES)
+    values = words.mapInArrow(_numbers(least, piece, word_bins), VALUES)
     placed = stage(sliced.select("slice", "part", "words", "n_words", "ids", "ends").groupBy("slice").cogroup(values.groupBy("of_slice")).applyInArrow(
         _frequent_words(word_bins), PLACED), "places")
     bins = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), whole // GROUP + 1)
@@ -234,8 +279,8 @@ def phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, piece:
                                         F.col("f").alias("a"), F.concat("p_lefts", F.array("f")).alias("lefts"), F.concat("s_rights", F.array("f")).alias("rights"),
                                         "prefix", "suffix"), "phrases"))
         if n < longest:
-            back = found.where("slice is not null").select(F.col("slice").alias("of_slice"), "back")
-            placed = stage(placed.groupBy("slice").cogroup(back.groupBy("of_slice")).applyInArrow(_longer(piece), PLACED), "places")
+            back = found.where("slice is not null").select(F.col("slice").alias("of_slice"), "bin", "back")
+            placed = stage(placed.groupBy("slice").cogroup(back.groupBy("of_slice")).applyInArrow(_longer(piece, bins), PLACED), "places")
     return totals, grams
 
 
