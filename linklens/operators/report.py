@@ -145,14 +145,26 @@ def run_report(runs: DataFrame, gate: DataFrame, checks: DataFrame, profile: Dat
 
 
 def analysis_manifest(report: DataFrame) -> DataFrame:
-    """One row per run: section sizes, whether the analysis ran, and a hash over all payloads.
-
-    The hash folds the row hashes with an order-free sum, so no run is collected.
-    """
+    """One row per run: section sizes, whether the analysis ran, and the root of a hash tree over all payloads."""
     count = lambda name: F.count_if(F.col("section") == name)
-    digest = F.sum(F.conv(F.substring("payload_sha256", 1, 15), 16, 10).cast("decimal(38,0)"))
-    return report.groupBy("run_id").agg(
+    counts = report.groupBy("run_id").agg(
         count("event").alias("event_count"), count("finding").alias("finding_count"),
         count("fingerprint").alias("fingerprint_count"), count("check").alias("check_count"),
-        (count("headline_metrics") > 0).alias("analysis_executed"),
-        F.sha2(digest.cast("string"), 256).alias("report_sha256")).withColumn("causal_inference_performed", F.lit(False))
+        (count("headline_metrics") > 0).alias("analysis_executed"))
+    return counts.join(report_digest(report), "run_id").withColumn("causal_inference_performed", F.lit(False))
+
+
+LEAF_DIGITS = 2
+
+
+def report_digest(report: DataFrame) -> DataFrame:
+    """``run_id, report_sha256``: leaves hash their items in order, the root hashes the leaves in order; every digest has its full 256 bits.
+
+    An item falls on the leaf of the first hex digits of its address's hash, so a run's items are spread over ``16 ** LEAF_DIGITS`` leaves and
+    only leaf digests meet in one group. A line names its address, so payloads that change places change the root.
+    """
+    address = F.concat_ws("\x1f", "section", "item_no")
+    lines = report.select("run_id", F.substring(F.sha2(address, 256), 1, LEAF_DIGITS).alias("leaf"), F.concat_ws("\x1f", address, "payload_sha256").alias("line"))
+    joined = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\n"), 256)
+    leaves = lines.groupBy("run_id", "leaf").agg(joined("line").alias("digest"))
+    return leaves.groupBy("run_id").agg(joined(F.concat_ws(":", "leaf", "digest")).alias("report_sha256"))

@@ -171,3 +171,26 @@ def test_event_documents_come_back_whole(spark, tmp_path):
     assert spark.read.json(path).count() == 3  # parts of at most 1000 buckets
     assert headers.count() == 1 and S.invalid_events(headers).count() == 0
     assert back.exceptAll(evidence.select(back.columns)).count() == 0 and back.count() == 2500
+
+
+def test_report_digest_sees_every_change(spark):
+    """The root is recomputed here; swapped, compensating and moved payloads all change it."""
+    from linklens.operators.report import report_digest
+
+    def table(rows):
+        return spark.createDataFrame([("R", s, i, sha(p)) for s, i, p in rows], "run_id string, section string, item_no string, payload_sha256 string")
+
+    def root(rows):
+        leaves = {}
+        for s, i, p in rows:
+            leaves.setdefault(sha(f"{s}\x1f{i}")[:2], []).append(f"{s}\x1f{i}\x1f{sha(p)}")
+        return sha("\n".join(sorted(f"{k}:{sha(chr(10).join(sorted(v)))}" for k, v in leaves.items())))
+
+    rows = [("event", str(i), f"payload {i}") for i in range(600)] + [("run", "", "head")]
+    want = root(rows)
+    assert [r.report_sha256 for r in report_digest(table(rows)).collect()] == [want]
+    assert report_digest(table(rows[::-1])).first().report_sha256 == want
+    swapped = [("event", "0", "payload 1"), ("event", "1", "payload 0"), *rows[2:]]
+    for other in (swapped, rows[1:], rows + [rows[0]], [("finding", "0", "payload 0"), *rows[1:]]):
+        assert report_digest(table(other)).first().report_sha256 not in (want, None)
+    assert report_digest(table([])).count() == 0
