@@ -10,12 +10,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 EXACT_SEARCH = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: greatest(-16777216, least(16777216, floor(256 * CAST(x AS DOUBLE))))) AS q
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS HUGEINT)) AS q
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
-  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
   FROM v a JOIN v b ON a.vec_id <> b.vec_id
   WHERE a.vec_id % 50 = 0)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score

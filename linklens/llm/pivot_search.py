@@ -12,8 +12,11 @@ best bound down and stops below its k-th score so far.
   all rows share is spread over tasks, and joins see block rows, never pairs of vectors.
 * Queries are rows of the index: their first k-th score comes from the block in which they lie.
 
-Defined cases: components are floor(256 x), held within +-2^24; shorter vectors are padded with zeros; rows that
-``usable_vectors`` leaves out take no part; a repeated vec_id counts as several candidates and its copies as one query each
+* Arithmetic is exact at any size: doubles while every product stays below 2^53, 64-bit integers below 2^63, whole numbers of any length
+  beyond. Blocks hold components as 32-bit integers, or as doubles if the table has a component outside that range.
+
+Defined cases: components are floor(256 x), of any size; a score that is asked for and lies beyond +-(2^63 - 1) is an error; shorter vectors
+are padded with zeros; rows that ``usable_vectors`` leaves out take no part; a repeated vec_id counts as several candidates and its copies as one query each
 only if their vectors differ; a query's own row is every row with its vec_id; empty tables give no row.
 """
 
@@ -32,19 +35,33 @@ from linklens.session import stage
 SAMPLE, PIVOTS, RINGS, BLOCK, QUERY_CHUNK = 4096, 32, 8, 2048, 256
 # Annuli that a query visits before its bound is tightened.
 FIRST_RINGS = 8
-LIMIT = 1 << 24
+LONGEST, NONE = np.iinfo(np.int64).max, np.iinfo(np.int64).min
 BLOCK_SCHEMA = "pivot int, ring int, low double, high double, n int, ids binary, vecs binary"
 
 
 def quantised(vecs: np.ndarray, scale: float = 256.0) -> np.ndarray:
-    return np.clip(np.floor(vecs * scale), -LIMIT, LIMIT).astype(np.int64)
+    """Whole components, as doubles: exact, because the scale is a power of two."""
+    return np.floor(vecs * scale)
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer products of the rows of ``a`` and ``b``."""
-    if len(a) and len(b) and float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < 2.0 ** 53:
+    """Exact products of the rows of ``a`` and ``b``, whole numbers: 64-bit integers where all fit, else Python's."""
+    bound = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
+    if bound < 2.0 ** 53:
         return np.rint(a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+    if bound < 2.0 ** 62:
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    whole = np.frompyfunc(int, 1, 1)
+    return np.dot(whole(a), whole(b).T)
+
+
+def as_longs(score: np.ndarray, allowed: np.ndarray) -> np.ndarray:
+    """Scores as 64-bit integers; ``NONE`` stands for all that are too small, an allowed one that is too large is an error."""
+    if score.dtype != object:
+        return score
+    if (allowed & (score > LONGEST)).any():
+        raise OverflowError("a score lies beyond 64 bits")
+    return np.clip(score, NONE, LONGEST).astype(np.int64)
 
 
 class Pivots:
@@ -84,11 +101,11 @@ class Pivots:
         low, high = (np.array([r[i] for r in rings]) for i in (2, 3))
         least = np.maximum(0.0, np.maximum(low - away, away - high))
         squares = (points ** 2).sum(1)[:, None]
-        slack = 1e-7 * (squares + self.square + 1)  # far above the rounding of the distances
+        slack = 1e-6 * (squares + self.square + 1)  # far above the rounding of the distances
         return (squares + self.square - least ** 2) / 2 + slack
 
 
-def _key(index: Pivots, width: int):
+def _key(index: Pivots, width: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vecs = quantised(matrix(batch.column("vec"), width))
@@ -96,7 +113,7 @@ def _key(index: Pivots, width: int):
             ring = np.array([np.searchsorted(index.cuts[p], d) for p, d in zip(pivot, away)], np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("vec_id"), pa.array(pivot, pa.int32()), pa.array(ring, pa.int32()), pa.array(away, pa.float64()),
-                 pa.array([v.tobytes() for v in vecs.astype("<i4")], pa.binary())], ["vec_id", "pivot", "ring", "away", "vec"])
+                 pa.array([v.tobytes() for v in vecs.astype(kind)], pa.binary())], ["vec_id", "pivot", "ring", "away", "vec"])
     return run
 
 
@@ -124,44 +141,45 @@ def _blocks(block: int):
     return run
 
 
-def _unpack(ids: bytes, vecs: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+def _unpack(ids: bytes, vecs: bytes, width: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
     numbers = np.frombuffer(ids, "<i8")
-    return numbers, np.frombuffer(vecs, "<i4").reshape(len(numbers), width).astype(np.int64)
+    return numbers, np.frombuffer(vecs, kind).reshape(len(numbers), width).astype(np.float64)
 
 
 def _scores(numbers, vecs, own, queries, least, k):
     """The best candidates of each query in one block: positions of queries, ids and scores."""
-    score = products(queries, vecs)
-    allowed = (numbers[None] != own[:, None]) & (score >= least[:, None])
+    other = numbers[None] != own[:, None]
+    score = as_longs(products(queries, vecs), other)
+    allowed = other & (score >= least[:, None])
     if len(numbers) > 4 * k:  # only what reaches the k-th best of the block
-        kept = np.where(allowed, score, np.iinfo(np.int64).min)
+        kept = np.where(allowed, score, NONE)
         allowed &= score >= np.partition(kept, len(numbers) - k, axis=1)[:, len(numbers) - k][:, None]
     at, col = np.nonzero(allowed)
     pick = best(at, numbers[col], score[at, col], k)
     return at[pick], numbers[col[pick]], score[at[pick], col[pick]]
 
 
-def _first(width: int, every: int, k: int):
+def _first(width: int, every: int, k: int, kind: str):
     """Queries of each block with the k-th score that their own block gives (null: fewer than k)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, packed in zip(batch.column("ids").to_pylist(), batch.column("vecs").to_pylist()):
-                numbers, vecs = _unpack(ids, packed, width)
+                numbers, vecs = _unpack(ids, packed, width, kind)
                 chosen = np.flatnonzero(numbers % every == 0)
                 for first in range(0, len(chosen), QUERY_CHUNK):
                     part = chosen[first:first + QUERY_CHUNK]
-                    at, _, score = _scores(numbers, vecs, numbers[part], vecs[part], np.full(len(part), np.iinfo(np.int64).min), k)
-                    kth = np.full(len(part), np.iinfo(np.int64).min)
+                    at, _, score = _scores(numbers, vecs, numbers[part], vecs[part], np.full(len(part), NONE), k)
+                    kth = np.full(len(part), NONE)
                     counts = np.bincount(at, minlength=len(part))
-                    np.minimum.at(low := np.full(len(part), np.iinfo(np.int64).max), at, score)
+                    np.minimum.at(low := np.full(len(part), LONGEST), at, score)
                     kth[counts >= k] = low[counts >= k]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(numbers[part]), pa.array([v.tobytes() for v in vecs[part].astype("<i4")], pa.binary()),
+                        [pa.array(numbers[part]), pa.array([v.tobytes() for v in vecs[part].astype(kind)], pa.binary()),
                          pa.array(kth)], ["query_id", "query", "least"])
     return run
 
 
-def _expand(index: Pivots, rings: list[tuple[int, int, float, float]], width: int, first: int, last: int | None):
+def _expand(index: Pivots, rings: list[tuple[int, int, float, float]], width: int, kind: str, first: int, last: int | None):
     """The annuli ``first`` to before ``last`` of each query in falling order of their bounds, as chunks of queries an annulus."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,33 +187,33 @@ def _expand(index: Pivots, rings: list[tuple[int, int, float, float]], width: in
                 continue
             own = np.array(batch.column("query_id").to_pylist(), np.int64)
             least = np.array(batch.column("least").to_pylist(), np.int64)
-            queries = np.frombuffer(b"".join(batch.column("query").to_pylist()), "<i4").reshape(len(own), width).astype(np.int64)
+            queries = np.frombuffer(b"".join(batch.column("query").to_pylist()), kind).reshape(len(own), width).astype(np.float64)
             for start in range(0, len(own), QUERY_CHUNK):
                 cut = slice(start, start + QUERY_CHUNK)
                 bounds = index.bounds(queries[cut], rings)
                 wanted = np.zeros(bounds.shape, bool)
                 order = np.argsort(-bounds, axis=1, kind="stable")[:, first:last]
                 np.put_along_axis(wanted, order, True, axis=1)
-                wanted &= bounds >= least[cut][:, None]
+                wanted &= (bounds >= least[cut][:, None]) | (least[cut] == NONE)[:, None]  # without k scores nothing is ruled out
                 for r in np.flatnonzero(wanted.any(0)):
                     who = np.flatnonzero(wanted[:, r])
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([rings[r][0]], pa.int32()), pa.array([rings[r][1]], pa.int32()),
                          pa.array([own[cut][who].astype("<i8").tobytes()]), pa.array([least[cut][who].astype("<i8").tobytes()]),
-                         pa.array([queries[cut][who].astype("<i4").tobytes()])], ["pivot", "ring", "own", "least", "queries"])
+                         pa.array([queries[cut][who].astype(kind).tobytes()])], ["pivot", "ring", "own", "least", "queries"])
     return run
 
 
-def _search(width: int, k: int):
+def _search(width: int, k: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, packed, own, least, packed_queries in zip(*(batch.column(c).to_pylist() for c in ("ids", "vecs", "own", "least", "queries"))):
-                numbers, vecs = _unpack(ids, packed, width)
-                who, queries = _unpack(own, packed_queries, width)
+                numbers, vecs = _unpack(ids, packed, width, kind)
+                who, queries = _unpack(own, packed_queries, width, kind)
                 at, found, score = _scores(numbers, vecs, who, queries, np.frombuffer(least, "<i8"), k)
                 # the query's vector tells apart rows that share an id
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(who[at]), pa.array([queries[i].astype("<i4").tobytes() for i in at], pa.binary()), pa.array(found), pa.array(score)],
+                    [pa.array(who[at]), pa.array([queries[i].astype(kind).tobytes() for i in at], pa.binary()), pa.array(found), pa.array(score)],
                     ["query_id", "query", "vec_id", "score"])
     return run
 
@@ -218,31 +236,37 @@ def top_products(table: DataFrame, every: int = 50, k: int = 5, pivots: int = PI
         if rows.isEmpty():
             return empty
         width = 1
-    square = rows.select(F.aggregate(F.transform("vec", lambda x: F.least(F.greatest(F.floor(x * 256).cast("double"), F.lit(-float(LIMIT))), F.lit(float(LIMIT)))),
-                                     F.lit(0.0), lambda s, x: s + x * x).alias("s")).agg(F.max("s")).first()[0]
+    # doubles from 2^53 on are whole numbers already, and floor() gives a long
+    whole = F.transform("vec", lambda x: F.when(F.abs(x * 256) < 2.0 ** 53, F.floor(x * 256).cast("double")).otherwise(x * 256))
+    square, largest = rows.select(whole.alias("q")).select(
+        F.aggregate("q", F.lit(0.0), lambda s, x: s + x * x).alias("s"), F.array_max(F.transform("q", F.abs)).alias("m")).agg(F.max("s"), F.max("m")).first()
+    if not np.isfinite(square):
+        raise OverflowError("a vector's length lies beyond the range of doubles")
+    kind = "<i4" if largest < 2.0 ** 31 else "<f8"
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "vec").limit(SAMPLE).toPandas()["vec"]
     points = quantised(np.array([np.pad(np.asarray(v, float), (0, width - len(v))) for v in sample]).reshape(-1, width))
     index = Pivots(points, float(square) * (1 + 1e-12), pivots, rings)
 
-    keyed = rows.mapInArrow(_key(index, width), "vec_id long, pivot int, ring int, away double, vec binary")
+    keyed = rows.mapInArrow(_key(index, width, kind), "vec_id long, pivot int, ring int, away double, vec binary")
     order = ["pivot", "ring", "away", "vec_id"]
     blocks = stage(keyed.repartitionByRange(*order).sortWithinPartitions(*order)
                    .mapInArrow(_blocks(block), BLOCK_SCHEMA), "pivot-blocks")
     directory = [tuple(r) for r in blocks.groupBy("pivot", "ring").agg(F.min("low"), F.max("high")).orderBy("pivot", "ring").collect()]
 
-    queries = stage(blocks.select("ids", "vecs").mapInArrow(_first(width, every, k), "query_id long, query binary, least long")
+    queries = stage(blocks.select("ids", "vecs").mapInArrow(_first(width, every, k, kind), "query_id long, query binary, least long")
                     .groupBy("query_id", "query").agg(F.max("least").alias("least")), "pivot-queries")
     chunk = "pivot int, ring int, own binary, least binary, queries binary"
 
     def visit(asked: DataFrame, first: int, last: int | None) -> DataFrame:
-        wanted = asked.mapInArrow(_expand(index, directory, width, first, last), chunk)
+        wanted = asked.mapInArrow(_expand(index, directory, width, kind, first, last), chunk)
         # both sides grow with the table and the chunks' size can't be estimated: never broadcast
         pairs = wanted.hint("merge").join(blocks.select("pivot", "ring", "ids", "vecs"), ["pivot", "ring"])
-        return ranked(pairs.select("ids", "vecs", "own", "least", "queries").mapInArrow(_search(width, k), FOUND), k).drop("rank")
+        return ranked(pairs.select("ids", "vecs", "own", "least", "queries").mapInArrow(_search(width, k, kind), FOUND), k).drop("rank")
 
     near = stage(visit(queries, 0, FIRST_RINGS), "pivot-near")
     kth = near.groupBy("query_id", "query").agg(F.count("*").alias("n"), F.min("score").alias("kth"))
     tightened = (queries.join(kth, ["query_id", "query"], "left")
                  .select("query_id", "query", F.when(F.col("n") >= k, F.greatest("least", "kth")).otherwise(F.col("least")).alias("least")))
     found = ranked(near.unionByName(visit(tightened, FIRST_RINGS, None)), k)
-    return found.select("query_id", "rank", "vec_id", "score")
+    beyond = F.raise_error(F.lit("a score lies beyond 64 bits")).cast("long")
+    return found.select("query_id", "rank", "vec_id", F.when(F.col("score") == int(NONE), beyond).otherwise(F.col("score")).alias("score"))

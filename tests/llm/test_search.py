@@ -53,10 +53,37 @@ def test_bounds_hold_for_every_pair():
     assert (index.bounds(vecs[:50], rings) >= vecs[:50] @ vecs.T).all()
 
 
-def test_large_components_are_held(spark):
+@pytest.mark.parametrize("size", [1e5, 3e7, 2e9])
+def test_large_components_are_exact(spark, size):
+    """Products beyond 2^53, and components beyond 32 and 53 bits, against whole numbers of any length."""
+    rng = np.random.default_rng(7)
+    vecs = [(rng.integers(-1000, 1000, 3) / 512 + [0.0, 0.0, size * (i % 3 == 0)]).tolist() for i in range(120)]
+    vecs[50] = [1.25, -3.5, size]
+    vecs[100] = [0.003, 7.5, 2.0 ** 40 / size]
+    whole = [[int(np.floor(256 * x)) for x in v] for v in vecs]
+    rows = spark.createDataFrame(list(enumerate(vecs)), "vec_id long, embedding array<double>")
+    want = {q: sorted(((sum(a * b for a, b in zip(whole[q], whole[j])), -j) for j in range(120) if j != q), reverse=True)[:5] for q in (0, 50, 100)}
+    if max(s for top in want.values() for s, _ in top) >= 2 ** 63:
+        with pytest.raises(Exception, match="beyond 64 bits"):
+            P.top_products(rows, block=32).collect()
+        return
+    assert answers(P.top_products(rows, block=32)) == {q: [(r, -j, s) for r, (s, j) in enumerate(top, 1)] for q, top in want.items()}
+
+
+def test_products_of_any_length():
+    big = np.array([[2.0 ** 70, 3.0], [-(2.0 ** 70), 5.0]])
+    assert P.products(big, np.array([[1.0, 2.0 ** 60]])).tolist() == [[2 ** 70 + 3 * 2 ** 60], [-(2 ** 70) + 5 * 2 ** 60]]
+    assert P.products(np.array([[2.0 ** 30, 1.0]]), np.array([[2.0 ** 28, 1.0]])).tolist() == [[2 ** 58 + 1]]
+
+
+def test_scores_beyond_a_long_are_errors(spark):
     rows = [(50, [1e30, 1.0]), (1, [1e30, 0.0]), (2, [-1e30, 3.0])]
-    got = answers(P.top_products(frame(spark, rows), every=50, k=5))
-    assert [g[1] for g in got[50]] == [1, 2] and got[50][0][2] == P.LIMIT ** 2
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        P.top_products(frame(spark, rows)).collect()
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        P.top_products(frame(spark, [(50, [1e30, 1.0]), (2, [-1e30, 3.0])])).collect()
+    far = [(50, [1e30, 1.0]), (3, [-1e30, 3.0]), *[(i, [0.0, float(i)]) for i in range(4, 10)]]
+    assert [g[1] for g in answers(P.top_products(frame(spark, far)))[50]] == [9, 8, 7, 6, 5]  # what nobody asks for is no error
 
 
 def test_bit_search_finds_the_nearest(spark, hot):
