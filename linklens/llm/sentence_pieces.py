@@ -7,8 +7,11 @@ become merges ordered by the score of the merged piece. Encoding and decoding ru
 No piece reaches over the border between a character and a following white-space marker, nor over a line break that no piece holds,
 so a normalised text is cut there, each distinct segment is encoded once, and the ids are put together
 (``Model.cuts`` checks that condition for the model at hand; without it whole texts are encoded). Each new segment is decoded
-again, and its ids are compared with those of the sentencepiece library: ``parity`` says whether both agree; where they don't (splits of
-equal score in long runs of blanks), the library's ids are given.
+again, and its ids are compared with those of the sentencepiece library: ``parity`` says whether both agree. The library decides nothing else:
+ids come from the rebuilt tokenizer.
+
+All splits of one BPE piece share its score, and the model joins the leftmost pair of the best score, while the backend ranks pairs. This matters
+where pieces overlap themselves, in runs of the white-space marker: segments with such a run (``Model.runs``) are merged here by score and place.
 
 Defined cases: null and empty texts have no ids, count as round trips and have parity; null ids and repeated rows stay; other
 columns are kept by ``encode_rows`` and not read by ``digest``; an empty table gives no row.
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 import array
 import functools
+import heapq
 import os
 import re
 import struct
@@ -98,6 +102,49 @@ class Model:
             return None
         return re.compile(r"\n|[ ▁]*[^ ▁\n]+|[ ▁]+")
 
+    @functools.cached_property
+    def runs(self) -> re.Pattern | None:
+        """Segments whose merges meet equal scores; None where ranks alone decide."""
+        plain = self.kind == BPE and self.cuts is not None and self.byte_fallback and not any(p[2] == UNUSED for p in self.pieces)
+        return re.compile(r"[ ▁]{2}") if plain else None
+
+    @functools.cached_property
+    def places(self) -> dict[str, int]:
+        """Ids of the pieces that merges may make."""
+        return {text: i for i, (text, _, kind) in enumerate(self.pieces) if kind == NORMAL}
+
+    def merged(self, segment: str) -> list[int]:
+        """Ids of one segment: adjacent symbols join in order of score, then from the left."""
+        symbols: list[str | None] = list(segment.replace(" ", MARK))
+        after = [*range(1, len(symbols)), -1]
+        before = [*range(-1, len(symbols) - 1)]
+        waiting: list[tuple[float, int, str]] = []
+
+        def offer(left: int) -> None:
+            if left >= 0 and after[left] >= 0:
+                text = symbols[left] + symbols[after[left]]
+                if text in self.places:
+                    heapq.heappush(waiting, (-self.pieces[self.places[text]][1], left, text))
+
+        for i in range(len(symbols) - 1):
+            offer(i)
+        while waiting:
+            _, left, text = heapq.heappop(waiting)
+            right = after[left]
+            if symbols[left] is None or right < 0 or symbols[left] + symbols[right] != text:
+                continue  # one of the two has joined another symbol since
+            symbols[left], symbols[right], after[left] = text, None, after[right]
+            if after[right] >= 0:
+                before[after[right]] = left
+            offer(before[left])
+            offer(left)
+        return [i for s in symbols if s is not None
+                for i in ((self.places[s],) if s in self.places else (self.byte_ids[b] for b in s.encode()))]
+
+    @functools.cached_property
+    def byte_ids(self) -> dict[int, int]:
+        return {int(text[1:-1], 16): i for i, (text, _, kind) in enumerate(self.pieces) if kind == BYTE}
+
     def normalizer(self, prefix: bool = True):
         from tokenizers import Regex, normalizers as n
         steps = [n.Precompiled(self.charsmap)] if self.charsmap else []
@@ -160,7 +207,7 @@ def _segment_cache(data: bytes) -> tuple[WordCache, dict[str, int]]:
     """Ids of each segment, and the marks of the few segments that lack one."""
     import sentencepiece
     model = load_model(data)
-    tokenizer, blank = model.tokenizer(prefix=False), model.dummy_prefix
+    tokenizer, blank, runs = model.tokenizer(prefix=False), model.dummy_prefix, model.runs
     plain = sentencepiece.SentencePieceProcessor(model_proto=data)
 
     lead = plain.encode("\n")
@@ -170,17 +217,17 @@ def _segment_cache(data: bytes) -> tuple[WordCache, dict[str, int]]:
     def evaluate(segments: list[str]) -> Iterator[bytes]:
         for first in range(0, len(segments), 10_000):
             block = segments[first:first + 10_000]
-            ids = [e.ids for e in tokenizer.encode_batch_fast(block, add_special_tokens=False)]
+            ids = [model.merged(s) if runs is not None and runs.search(s) else e.ids
+                   for s, e in zip(block, tokenizer.encode_batch_fast(block, add_special_tokens=False))]
             back = tokenizer.decode_batch(ids, skip_special_tokens=False)
             # The library puts its own blank before a text: a segment that begins with one is given without it, any other
             # follows a line break, whose ids are then cut off.
             asked = [s[1:] if blank and s[0] == " " and len(s) > 1 else "\n" + s for s in block]
             for segment, given, found, text, check in zip(block, asked, ids, back, plain.encode(asked, num_threads=1)):
                 check = check[len(lead):] if given[0] == "\n" and given[1:] == segment else check
-                # Equal scores of one piece's splits are no ranks: where the merges differ from the library, its ids count.
                 if text != segment or check != found:
                     odd[segment] = ROUND_TRIP * (text == segment) + PARITY * (check == found)
-                yield array.array("I", check).tobytes()
+                yield array.array("I", found).tobytes()
     return WordCache(evaluate, CACHE_SEGMENTS), odd
 
 
@@ -193,7 +240,7 @@ def encode_texts(data: bytes, texts: list[str]) -> tuple[list[bytes], list[int]]
         ids = [e.ids if t else [] for t, e in zip(texts, tokenizer.encode_batch_fast(texts, add_special_tokens=False))]
         back = tokenizer.decode_batch(ids, skip_special_tokens=False)
         checks = plain.encode(texts, num_threads=1)
-        return ([np.array(i, "<u4").tobytes() for i in checks],
+        return ([np.array(i, "<u4").tobytes() for i in ids],
                 [ROUND_TRIP * (b == t) + PARITY * (i == c) for t, i, b, c in zip(texts, ids, back, checks)])
     cut = model.cuts.findall
     split = [cut((" " if model.dummy_prefix else "") + t) if t else [] for t in texts]
