@@ -6,18 +6,19 @@ level that the sources from i on would share lies above its own. Whole repetitio
 target / size; the rest is a seeded sample: documents in the order of a hash until the fraction of the source's words is reached.
 
 The sample is cut twice per source, so that one long document at the border does not leave the source far from its target: first the documents above
-the mean size, by their share, then the others, by what is still missing. A cut is a place in hash order. To find it, words per (source, hash
-prefix) are added up, prefixes below the border count whole, and only the border prefix of each source is ordered row by row. No task
-sees a whole source, and what is joined to the documents is one row per source.
+the mean size, by their share, then the others, by what is still missing. A cut is a place in hash order, and the number of copies that are
+taken of the draw at that place. To find it, words per (source, hash prefix) are added up, prefixes below the border count whole, and
+only the border prefix of each source is ordered, after its equal draws have collapsed to one row each. No task sees a whole source or all copies of a row,
+and what is joined to the documents is one row per source. Copies of the one draw at a border are numbered by scan partition and offset.
 
 Defined cases: null texts have size 0; a null source is the last source; rows of size 0 are taken 0 words; sources of size 0 have target 0 and take
-nothing; null ids and repeated rows are rows of their own; rows with equal id, text and source are taken equally often; an empty table gives no
-row. Reruns give the same rows.
+nothing; null ids and repeated rows are rows of their own; rows with equal id, text and source are copies of one draw: a border may lie between
+them, and which of them are taken is open where they differ in other columns; an empty table gives no row. Reruns give the same rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linklens.session import stage
@@ -47,24 +48,37 @@ def sizes(docs: DataFrame) -> DataFrame:
                              drawn().alias("draw")), "mixture-sizes")
 
 
+def before_each(rows: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
+    """``rows`` with the sum of each of ``sums`` over the rows before, in ``order``.
+
+    Rows are dealt by range and staged; running sums stay inside a range and are shifted by those of the ranges below, one row a range.
+    """
+    dealt = stage(rows.repartitionByRange(*order).withColumn("lot", F.spark_partition_id()), "mixture-ranges")
+    lots = dealt.groupBy("lot").agg(*[F.sum(c).alias(f"all_{n}") for n, c in sums.items()])
+    below = Window.orderBy("lot").rowsBetween(Window.unboundedPreceding, -1)
+    lots = lots.select("lot", *[F.coalesce(F.sum(f"all_{n}").over(below), F.lit(0)).alias(f"below_{n}") for n in sums])
+    inside = Window.partitionBy("lot").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return dealt.withColumns({f"in_{n}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()}).join(lots, "lot").select(
+        *rows.columns, *[(F.col(f"below_{n}") + F.col(f"in_{n}")).alias(n) for n in sums])
+
+
 def targets(per_source: DataFrame, weights=WEIGHTS, epochs: float = EPOCHS) -> DataFrame:
-    """``source, source_size, target`` from ``source, source_size``: one row per source, so windows over all of them are small."""
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
+    """``source, source_size, target`` from ``source, source_size``; sources may be as many as there are documents."""
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    rows = per_source.withColumn("weight", F.element_at(cycle, ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")))
+    placed = before_each(per_source.select("source", "source_size"), [F.col("source").asc_nulls_last()], place=F.lit(1))
+    rows = placed.select("source", "source_size", F.element_at(cycle, (F.col("place") % len(weights) + 1).cast("int")).alias("weight"))
     rows = rows.withColumn("cap", F.lit(float(epochs)) * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("weight"))
-    order = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    onward = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    total = F.sum("source_size").over(Window.partitionBy()).cast("double")
-    rows = rows.withColumn("level", (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(onward))
-    # the first source whose cap is not below its share sets the level of all that follow
-    level = F.min(F.when(F.col("ratio") >= F.col("level"), F.struct("ratio", "level"))).over(Window.partitionBy())["level"]
-    return rows.withColumn("shared", level).select("source", "source_size", F.least("cap", F.col("weight") * F.coalesce("shared", F.lit(0.0))).alias("target"))
+    rows = before_each(rows, [F.col("ratio"), F.col("source").asc_nulls_last()], capped=F.col("cap"), passed=F.col("weight"))
+    total, weight = rows.agg(F.sum("source_size").cast("double"), F.sum("weight")).first()
+    level = (F.lit(total) - F.col("capped")) / (F.lit(weight) - F.col("passed"))
+    # the first source whose cap is not below its share sets the level of all that follow; of equal ratios the first has the highest level
+    shared = rows.select("ratio", level.alias("level")).where("ratio >= level").agg(
+        (-F.min(F.struct("ratio", (-F.col("level")).alias("below")))["below"]).alias("shared")).first()[0] or 0.0
+    return rows.select("source", "source_size", F.least("cap", F.col("weight") * shared).alias("target"))
 
 
 def cuts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``name, cut, reached``: rows of a source with ``draw < cut`` have ``reached`` words, near the ``wanted`` ones.
+    """``name, cut, edge, reached``: rows of a source with ``draw < cut`` and ``edge.n`` copies of ``edge.draw`` have ``reached`` words, near the ``wanted`` ones.
 
     ``rows`` has ``source, size, draw``, ``wanted`` has ``name, wanted``.
     """
@@ -75,19 +89,24 @@ def cuts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     sums = sums.join(wanted, sums["source"].eqNullSafe(wanted["name"]))
     fits = F.col("before") + F.col("words") <= F.col("wanted")
     end = F.concat(F.col("prefix"), F.lit("g"))  # above every hash with this prefix
-    whole = sums.where(fits).groupBy("name").agg(F.max(end).alias("cut"), F.max(F.col("before") + F.col("words")).alias("reached"))
+    no_edge = F.lit(None).cast("struct<draw: string, n: bigint>")
+    whole = sums.where(fits).groupBy("name").agg(F.max(end).alias("cut"), F.first(no_edge).alias("edge"), F.max(F.col("before") + F.col("words")).alias("reached"))
     border = sums.where(~fits & (F.col("before") < F.col("wanted"))).select("name", F.col("prefix").alias("at"), "before", "wanted")
-    running = Window.partitionBy("name").orderBy("draw", "size").rowsBetween(Window.unboundedPreceding, -1)
     near = prefixed.join(border, prefixed["source"].eqNullSafe(border["name"]) & (prefixed["prefix"] == border["at"]))
-    near = near.withColumn("done", F.col("before") + F.coalesce(F.sum("size").over(running), F.lit(0)))
-    # a document is taken if the middle of its words lies before the border
-    taken = near.where(F.col("done") + F.col("size") / 2 <= F.col("wanted")).groupBy("name").agg(
-        F.max(F.concat("draw", F.lit("0"))).alias("cut"), F.max(F.col("done") + F.col("size")).alias("reached"))
-    return whole.unionByName(taken).groupBy("name").agg(F.max("cut").alias("cut"), F.max("reached").alias("reached"))
+    near = near.groupBy("name", "before", "wanted", "draw", "size").agg(F.count(F.lit(1)).alias("copies"))
+    running = Window.partitionBy("name").orderBy("draw", "size").rowsBetween(Window.unboundedPreceding, -1)
+    near = near.withColumn("done", F.col("before") + F.coalesce(F.sum(F.col("size") * F.col("copies")).over(running), F.lit(0)))
+    # a copy is taken if the middle of its words lies before the border
+    fitting = F.floor((F.col("wanted") - F.col("done")) / F.col("size") + 0.5)
+    near = near.withColumn("n", F.when(F.col("size") > 0, F.greatest(F.lit(0), F.least(fitting, F.col("copies")))).otherwise(F.col("copies")))
+    taken = near.where("n > 0").groupBy("name").agg(
+        F.max(F.when(F.col("n") == F.col("copies"), F.concat("draw", F.lit("0")))).alias("cut"),
+        F.max(F.when(F.col("n") < F.col("copies"), F.struct("draw", "n"))).alias("edge"), F.max(F.col("done") + F.col("n") * F.col("size")).alias("reached"))
+    return whole.unionByName(taken).groupBy("name").agg(F.max("cut").alias("cut"), F.max("edge").alias("edge"), F.max("reached").alias("reached"))
 
 
 def plan(rows: DataFrame, weights=WEIGHTS, epochs: float = EPOCHS) -> DataFrame:
-    """One row per source: ``name, source_size, target, mean, whole, large_cut, small_cut``."""
+    """One row per source: ``name, source_size, target, mean, whole`` and for large and small rows ``cut, edge``."""
     per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.avg("size").alias("mean"))
     means = per_source.select(F.col("source").alias("name"), "mean")
     table = targets(per_source.select("source", "source_size"), weights, epochs).withColumnRenamed("source", "mixed")
@@ -99,25 +118,38 @@ def plan(rows: DataFrame, weights=WEIGHTS, epochs: float = EPOCHS) -> DataFrame:
     large, small = (marked.where(F.col("large") == flag).select("source", "size", "draw") for flag in (True, False))
     share = large.groupBy("source").agg(F.sum("size").alias("words"))
     wanted = share.join(table, share["source"].eqNullSafe(table["name"])).select("name", (F.col("part") * F.col("words")).alias("wanted"))
-    first = stage(cuts(large, wanted).select(F.col("name").alias("first"), F.col("cut").alias("large_cut"), "reached"), "mixture-cuts")
+    first = stage(cuts(large, wanted).select(F.col("name").alias("first"), F.struct("cut", "edge").alias("large"), "reached"), "mixture-cuts")
     rest = table.join(first, table["name"].eqNullSafe(first["first"]), "left").drop("first")
     missing = F.col("part") * F.col("source_size") - F.coalesce("reached", F.lit(0))
-    second = cuts(small, rest.select("name", missing.alias("wanted"))).select(F.col("name").alias("second"), F.col("cut").alias("small_cut"))
+    second = cuts(small, rest.select("name", missing.alias("wanted"))).select(F.col("name").alias("second"), F.struct("cut", "edge").alias("small"))
     return stage(rest.join(second, rest["name"].eqNullSafe(second["second"]), "left").select(
-        "name", "source_size", "target", "mean", "whole", "large_cut", "small_cut"), "mixture-plan")
-
-
-def _copies(epochs: float) -> F.col:
-    cut = F.when(F.col("size") > F.col("mean"), F.col("large_cut")).otherwise(F.col("small_cut"))
-    return F.least(F.col("whole") + F.when(F.col("draw") < cut, F.lit(1)).otherwise(F.lit(0)), F.lit(int(epochs)))
+        "name", "source_size", "target", "mean", "whole", "large", "small"), "mixture-plan")
+
+
+def repeated(rows: DataFrame, table: DataFrame, epochs: float) -> DataFrame:
+    """``rows`` (with ``source, size, draw``) of the planned sources with ``source_size, target`` and ``copies``, how often each is taken."""
+    planned = rows.join(table, rows["source"].eqNullSafe(table["name"])).withColumn(
+        "border", F.when(F.col("size") > F.col("mean"), F.col("large")).otherwise(F.col("small")))
+    out = [*rows.columns, "source_size", "target"]
+    times = lambda more: F.least(F.col("whole") + more.cast("int"), F.lit(int(epochs))).alias("copies")
+    at_edge = F.coalesce(F.col("draw") == F.col("border.edge.draw"), F.lit(False))
+    plain = planned.where(~at_edge).select(*out, times(F.coalesce(F.col("draw") < F.col("border.cut"), F.lit(False))))
+    # staged with their scan partition: the copies of an edge are numbered inside it and shifted by one offset a partition
+    edge = stage(planned.where(at_edge).select(*out, "name", "whole", F.col("border.edge.n").alias("n"), F.spark_partition_id().alias("lot")), "mixture-edges")
+    lots = edge.groupBy("name", "draw", "lot").agg(F.count(F.lit(1)).alias("rows"))
+    below = Window.partitionBy("name", "draw").orderBy("lot").rowsBetween(Window.unboundedPreceding, -1)
+    lots = lots.select(F.col("name").alias("of"), F.col("draw").alias("with"), F.col("lot").alias("in"), F.coalesce(F.sum("rows").over(below), F.lit(0)).alias("below"))
+    number = F.row_number().over(Window.partitionBy("name", "draw", "lot").orderBy(F.lit(0)))
+    numbered = edge.withColumn("number", number).join(
+        lots, F.col("name").eqNullSafe(F.col("of")) & (F.col("draw") == F.col("with")) & (F.col("lot") == F.col("in")))
+    return plain.unionByName(numbered.select(*out, times(F.col("below") + F.col("number") <= F.col("n"))))
 
 
 def mixture(docs: DataFrame, weights=WEIGHTS, epochs: float = EPOCHS) -> DataFrame:
     """Per row: size, its source's size and target, and the words that the mix takes of it."""
     rows = sizes(docs)
-    table = plan(rows, weights, epochs)
-    return rows.join(table, rows["source"].eqNullSafe(table["name"])).select(
-        "doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * _copies(epochs)).cast("long").alias("taken"))
+    return repeated(rows, plan(rows, weights, epochs), epochs).select(
+        "doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
 def sampled(docs: DataFrame, weights=WEIGHTS, epochs: float = EPOCHS) -> DataFrame:
@@ -125,5 +157,5 @@ def sampled(docs: DataFrame, weights=WEIGHTS, epochs: float = EPOCHS) -> DataFra
     table = plan(sizes(docs), weights, epochs)
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row_in"), F.col("source").cast("string").alias("source"),
                        size_of().alias("size"), drawn().alias("draw"))
-    taken = rows.join(table, rows["source"].eqNullSafe(table["name"])).select("row_in", _copies(epochs).alias("copies")).where("copies > 0")
+    taken = repeated(rows, table, epochs).where("copies > 0")
     return taken.select("row_in", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col("row_in")[c].alias(c) for c in docs.columns])

@@ -90,7 +90,7 @@ levels AS (
              - coalesce(sum(cap) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
             / sum(weight) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM capped),
-shared AS (SELECT arg_min(level, ratio) AS level FROM levels WHERE ratio >= level),
+shared AS (SELECT (SELECT level FROM levels WHERE ratio >= level ORDER BY ratio, level DESC LIMIT 1) AS level),
 plan AS (
   SELECT l.source, l.source_size, l.mean, least(l.cap, l.weight * coalesce(s.level, 0)) AS target FROM levels l, shared s),
 parts AS (
@@ -103,14 +103,12 @@ running AS (
          sum(size) OVER (PARTITION BY source, large) AS words
   FROM marked),
 first AS (
-  SELECT source, max(draw) AS cut, max(done + size) AS reached FROM running
-  WHERE large AND done + size / 2 <= part * words GROUP BY source),
-second AS (
-  SELECT m.source, max(m.draw) AS cut FROM running m LEFT JOIN first f ON m.source IS NOT DISTINCT FROM f.source
-  WHERE NOT m.large AND m.done + m.size / 2 <= m.part * m.source_size - coalesce(f.reached, 0) GROUP BY m.source)
+  SELECT source, max(done + size) AS reached FROM running
+  WHERE large AND done + size / 2 <= part * words GROUP BY source)
 SELECT m.doc_id, m.size, CAST(m.source_size AS BIGINT) AS source_size, round(m.target, 6) AS target,
-       CAST(m.size * least(m.whole + CASE WHEN m.draw <= CASE WHEN m.large THEN f.cut ELSE s.cut END THEN 1 ELSE 0 END, 3) AS BIGINT) AS taken
-FROM running m LEFT JOIN first f ON m.source IS NOT DISTINCT FROM f.source LEFT JOIN second s ON m.source IS NOT DISTINCT FROM s.source"""
+       CAST(m.size * least(m.whole + CASE WHEN m.done + m.size / 2 <= CASE WHEN m.large THEN m.part * m.words ELSE m.part * m.source_size - coalesce(f.reached, 0) END
+                                      THEN 1 ELSE 0 END, 3) AS BIGINT) AS taken
+FROM running m LEFT JOIN first f ON m.source IS NOT DISTINCT FROM f.source"""
 
 # DuckDB has no crc32: the table of one byte, then word for word over distinct words.
 IMPORTANCE = r"""

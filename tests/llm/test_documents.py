@@ -281,6 +281,26 @@ def test_mixture_comes_near_its_targets(spark):
     assert {r.doc_id: r.taken // r.size for r in got if r.taken} == copies
 
 
+def test_copies_of_a_row_are_cut_inside_their_group(spark):
+    """A source of repeated rows meets its target too, in the same way at any partitioning."""
+    rows = [(None, "a b c d e", "copies")] * 1000 + [(i, "w " * 5, "many") for i in range(500)] + [(7, "x y", None)] * 40
+    df = docs_frame(spark, rows)
+    got = mixing.mixture(df.repartition(9)).collect()
+    want = brute.fill({"copies": 5000, "many": 2500, None: 80})
+    for source, size in (("copies", 5000), ("many", 2500), (None, 80)):
+        mine = [r for r in got if r.source_size == size]
+        assert mine[0].target == pytest.approx(want[source]) and abs(sum(r.taken for r in mine) - want[source]) <= 5
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mixture(df.coalesce(1)).collect()))
+    assert mixing.sampled(df).count() == sum(r.taken // r.size for r in got)
+
+
+def test_targets_of_many_sources(spark):
+    rng = random.Random(4)
+    sizes = {f"host{rng.randrange(10 ** 6)}": rng.choice([0, 1, 5, 900]) for _ in range(2000)}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(6)
+    assert {r.source: r.target for r in mixing.targets(df).collect()} == pytest.approx(brute.fill(sizes))
+
+
 def test_mixing_edge_cases(edge, empty):
     rows = mixing.mixture(edge).collect()
     assert len(rows) == len(EDGE) and all(r.taken <= 3 * r.size for r in rows)
