@@ -658,8 +658,17 @@ def _(spark, sf):
 
 @query("stream_dedup")
 def _(spark, sf):
-    typed = I.typed(fx.history_raw(spark, sf)).where(F.col("timestamp").isNotNull()).select("timestamp", "link_id")
-    return T.land_and_run(fx.in_slices(typed), lambda s: T.stream_dedup(s))
+    typed = I.typed(fx.history_raw(spark, sf)).where(F.col("timestamp").isNotNull()).select("timestamp", "link_id", F.lit(1).alias("landing"))
+    # the early half lands again with everything: its first copies stay
+    landings = [fx.in_slices(typed)[0], typed.withColumn("landing", F.lit(2))]
+    return T.land_and_run(landings, lambda s: T.stream_dedup(s, "60 days"))
+
+
+@query("stream_dropped_rows")
+def _(spark, sf):
+    early, late = (piece.repartition(8) for piece in fx.in_slices(fx.host(spark, sf).select("run_id", "timestamp", F.col("run_id").alias("link_id"))))
+    return T.land_and_count([late, early], T.stream_dedup).groupBy("landing").agg(
+        F.sum("input_rows").alias("input_rows"), F.sum("dropped_by_watermark").alias("dropped_by_watermark"))
 
 
 @query("stream_late_rows")

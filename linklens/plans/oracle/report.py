@@ -176,6 +176,11 @@ statement("stream_probe_buckets", """SELECT run_id, time_bucket(INTERVAL '3600 s
 FROM probe_p WHERE sample_status = 'ok' GROUP BY ALL""")
 statement("stream_events", """SELECT run_id, start, "end", round(duration_seconds, 6) AS duration_seconds, metrics_changed, max_metrics, severity, confidence,
   anomalous_buckets FROM events_t""")
-statement("stream_dedup", 'SELECT DISTINCT "timestamp", link_id FROM hist_raw WHERE "timestamp" IS NOT NULL')
+statement("stream_dedup", """SELECT DISTINCT "timestamp", link_id, CASE WHEN "timestamp" < TIMESTAMP '2024-01-16' THEN 1 ELSE 2 END AS landing
+FROM hist_raw WHERE "timestamp" IS NOT NULL""")
+statement("stream_dropped_rows", """SELECT CASE WHEN late THEN 1 ELSE 2 END AS landing, CAST(count(*) AS BIGINT) AS input_rows,
+       CAST(count(*) FILTER (WHERE NOT late AND seen <= latest - INTERVAL 1 HOUR) AS BIGINT) AS dropped_by_watermark
+FROM (SELECT "timestamp" AS seen, "timestamp" >= TIMESTAMP '2024-01-16' AS late, max("timestamp") OVER () AS latest FROM host_t WHERE "timestamp" IS NOT NULL)
+GROUP BY late""")
 statement("stream_late_rows", """SELECT run_id, row_no, "timestamp" FROM host_t
 WHERE "timestamp" < TIMESTAMP '2024-01-02 23:59:55' OR "timestamp" > TIMESTAMP '2024-01-31 00:00:05'""")

@@ -28,17 +28,36 @@ def read_landed(spark: SparkSession, path: str, like: DataFrame, max_files: int
     return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
-def run_available(stream: DataFrame, sink: str, checkpoint: str) -> dict[str, int]:
+# Seconds between two looks at a running query's progress, of which Spark keeps only the latest updates.
+LOOK = 0.2
+
+
+def run_available(stream: DataFrame, sink: str, checkpoint: str, progress: str | None = None) -> dict[str, int]:
     """Process everything that has landed, append to a parquet table, stop.
 
-    Returns the rows read and the rows that came too late for the watermark, which Spark drops.
+    Returns the rows read and the rows that came too late for the watermark, which Spark drops, over all micro-batches of the run; ``progress``
+    names a table that gets one row for each. A micro-batch whose numbers were missed is an error, never a smaller sum.
     """
     query = (stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
              .option("path", sink).trigger(availableNow=True).start())
-    query.awaitTermination()
-    steps = query.recentProgress
-    return {"input_rows": sum(p.numInputRows for p in steps),
-            "dropped_by_watermark": sum(op.numRowsDroppedByWatermark for p in steps for op in p.stateOperators)}
+    seen: dict[int, tuple[int, int]] = {}
+
+    def look() -> None:
+        for step in query.recentProgress:
+            batch = (step.numInputRows, sum(op.numRowsDroppedByWatermark for op in step.stateOperators))
+            seen[step.batchId] = max(seen.get(step.batchId, batch), batch)
+
+    while not query.awaitTermination(LOOK):
+        look()
+    look()
+    if seen and len(seen) != max(seen) - min(seen) + 1:
+        raise RuntimeError("progress of a micro-batch was missed; raise spark.sql.streaming.numRecentProgressUpdates")
+    if progress is not None:
+        stream.sparkSession.createDataFrame([(batch, *numbers) for batch, numbers in sorted(seen.items())], PROGRESS).write.mode("append").parquet(progress)
+    return {"input_rows": sum(n for n, _ in seen.values()), "dropped_by_watermark": sum(n for _, n in seen.values())}
+
+
+PROGRESS = "batch_id long, input_rows long, dropped_by_watermark long"
 
 
 def land_and_run(slices: Sequence[DataFrame], build: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -47,26 +66,31 @@ def land_and_run(slices: Sequence[DataFrame], build: Callable[[DataFrame], DataF
     Every run resumes from the checkpoint of the one before, so state, offsets
     and sink commits are carried across restarts.
     """
+    return _land_and_run(slices, build)[0]
+
+
+def land_and_count(slices: Sequence[DataFrame], build: Callable[[DataFrame], DataFrame], max_files: int = MAX_FILES) -> DataFrame:
+    """As ``land_and_run``, but returns what each micro-batch read and dropped: ``landing`` (from 1) and the columns of ``PROGRESS``."""
+    return _land_and_run(slices, build, max_files)[1]
+
+
+def _land_and_run(slices: Sequence[DataFrame], build: Callable[[DataFrame], DataFrame], max_files: int = MAX_FILES) -> tuple[DataFrame, DataFrame]:
     spark = slices[0].sparkSession
     provider = spark.conf.get(PROVIDER, None)
     spark.conf.set(PROVIDER, ROCKSDB)  # keyed state needs it; the session's own choice comes back afterwards
     try:
-        return _land_and_run(spark, slices, build)
+        landing, sink, checkpoint, progress = (scratch_dir(spark, part) for part in ("landing", "sink", "offsets", "progress"))
+        out = None
+        for number, piece in enumerate(slices, 1):
+            piece.write.mode("append").parquet(landing)
+            out = build(read_landed(spark, landing, slices[0], max_files))
+            run_available(out, sink, checkpoint, f"{progress}/landing={number}")
     finally:
         if provider is None:
             spark.conf.unset(PROVIDER)
         else:
             spark.conf.set(PROVIDER, provider)
-
-
-def _land_and_run(spark: SparkSession, slices: Sequence[DataFrame], build: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    landing, sink, checkpoint = (scratch_dir(spark, part) for part in ("landing", "sink", "offsets"))
-    out = None
-    for piece in slices:
-        piece.write.mode("append").parquet(landing)
-        out = build(read_landed(spark, landing, slices[0]))
-        run_available(out, sink, checkpoint)
-    return spark.read.schema(out.schema).parquet(sink)
+    return spark.read.schema(out.schema).parquet(sink), spark.read.schema(f"{PROGRESS}, landing int").parquet(progress)
 
 
 def watermarked(stream: DataFrame, lateness: str) -> DataFrame:

@@ -67,6 +67,27 @@ def test_dedup_keeps_one_row_per_link_and_instant(spark, copies):
     same(T.land_and_run([many], T.stream_dedup), df)
 
 
+def test_the_first_copy_stays_with_its_other_columns(spark):
+    schema = "link_id string, timestamp timestamp_ntz, value long"
+    slices = [spark.createDataFrame(rows, schema) for rows in ([("a", at(0), 1), ("b", at(0), 2)], [("a", at(0), 9), ("b", at(5), 3), ("b", at(0), 8)])]
+    got = T.land_and_run(slices, T.stream_dedup)
+    assert sorted((r.link_id, r.value) for r in got.collect()) == [("a", 1), ("b", 2), ("b", 3)]
+
+
+def test_dropped_rows_are_counted_over_all_batches(spark):
+    """More micro-batches than Spark keeps in its recent progress."""
+    schema = "link_id string, timestamp timestamp_ntz"
+    new = spark.createDataFrame([("a", at(86400))], schema)
+    old = spark.createDataFrame([(f"l{i}", at(i)) for i in range(24)], schema).repartition(8)
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "3")
+    try:
+        got = T.land_and_count([new, old], T.stream_dedup, max_files=1).collect()
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+    assert sum(r.input_rows for r in got) == 25 and sum(r.dropped_by_watermark for r in got if r.landing == 2) == 24
+    assert sum(r.dropped_by_watermark for r in got if r.landing == 1) == 0 and len(got) > 6
+
+
 def test_counters_are_exact_and_null_counters_give_null(spark):
     schema = "run_id string, interface string, timestamp timestamp_ntz, row_no long, rx_bytes long, tx_bytes long, sample_status string"
     big = 1 << 60
