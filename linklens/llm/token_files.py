@@ -132,15 +132,44 @@ def open_segment(payload: bytes) -> tuple[list[int | None], np.ndarray, Codes]:
 
 # --- encoding ----------------------------------------------------------------
 
-def _word_values(spec: str):
-    """The ids of each word as bytes, by the tokenizer."""
+def separator(tokenizer) -> tuple[str, int]:
+    """A word that is one token of its own, a late one of the vocabulary, and its id."""
+    suffix = getattr(tokenizer.model, "end_of_word_suffix", None) or ""
+    for token, number in sorted(tokenizer.get_vocab(with_added_tokens=False).items(), key=lambda item: -item[1]):
+        word = token.removesuffix(suffix)
+        if word.isascii() and word.isalnum() and tokenizer.encode(word, add_special_tokens=False).ids == [number]:
+            return word, number
+    raise ValueError("the vocabulary has no word that is one token")
+
+
+def _word_values(spec: str, run: int = 2_000):
+    """The ids of each word as bytes, by the tokenizer.
+
+    Words are encoded in runs with a separator word after each of them. If the separator's id comes exactly as often as it was put in, it marks
+    the ends of the words; otherwise a word of the run holds that id itself, and the run is encoded word by word.
+    """
     tokenizer = load_tokenizer(spec)
+    word, number = separator(tokenizer)
+    between = f" {word} "
+
+    def one_by_one(words: list[bytes]) -> Iterator[bytes]:
+        for encoding in tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False):
+            yield np.array(encoding.ids, "<u4").tobytes()
 
     def evaluate(words: list[bytes]) -> Iterator[bytes]:
-        for first in range(0, len(words), 50_000):
-            block = [w.decode() for w in words[first:first + 50_000]]
-            for encoding in tokenizer.encode_batch_fast(block, add_special_tokens=False):
-                yield np.array(encoding.ids, "<u4").tobytes()
+        for first in range(0, len(words), run * 16):
+            runs = [words[at:at + run] for at in range(first, min(len(words), first + run * 16), run)]
+            texts = [between.join(map(bytes.decode, r)) + between for r in runs]
+            for members, encoding in zip(runs, tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+                ids = np.array(encoding.ids, "<u4")
+                ends = np.flatnonzero(ids == number)
+                if len(ends) != len(members):
+                    yield from one_by_one(members)
+                    continue
+                raw, begin = ids.tobytes(), 0
+                for end in (ends * 4).tolist():
+                    yield raw[begin:end]
+                    begin = end + 4
     return evaluate
 
 
@@ -151,7 +180,7 @@ def splits_at_space(spec: str) -> bool:
     return any(s.get("type") == "Split" and s.get("invert") and s.get("behavior") == "Removed" for s in steps)
 
 
-_CACHES: dict[int, WordCache] = {}
+_CACHES: dict[str, WordCache] = {}
 
 
 def encode_texts(spec: str, texts: list[bytes]) -> list[bytes]:
@@ -164,7 +193,9 @@ def encode_texts(spec: str, texts: list[bytes]) -> list[bytes]:
         tokenizer = load_tokenizer(spec)
         return [np.array(e.ids, "<u4").tobytes()
                 for e in tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
-    cache = _CACHES.setdefault(hash(spec), WordCache(_word_values(spec)))
+    if spec not in _CACHES:
+        _CACHES[spec] = WordCache(_word_values(spec))
+    cache = _CACHES[spec]
     split = [t.split() for t in texts]
     fresh: set[bytes] = set()
     for words in split:

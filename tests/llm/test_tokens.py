@@ -52,6 +52,17 @@ def test_words_encode_as_whole_texts():
     assert got == [e.ids for e in load_tokenizer(spec).encode_batch(texts, add_special_tokens=False)]
 
 
+def test_words_that_hold_the_separator_encode_alone():
+    spec = file_bytes(WORD).decode()
+    tokenizer = load_tokenizer(spec)
+    sign, number = TF.separator(tokenizer)
+    assert tokenizer.encode(f"a {sign} b", add_special_tokens=False).ids.count(number) == 1
+    words = [w.encode() for w in ["plain", sign, f"{sign}-{sign}", "<|endoftext|>", "end", f"x.{sign}", sign.upper(), "日本", "last"]]
+    for run in (1, 2, 100):
+        got = [np.frombuffer(v, "<u4").tolist() for v in TF._word_values(spec, run)(words)]
+        assert got == [tokenizer.encode(w.decode(), add_special_tokens=False).ids for w in words]
+
+
 def test_files_hold_every_document_in_order(spark, small, small_rows, tmp_path):
     want = brute.codes(small_rows, load_tokenizer(file_bytes(WORD).decode()), 2)
     path = TF.write_codes(small.repartition(7), str(tmp_path / "codes"), WORD, 2, segment_ids=5000)
