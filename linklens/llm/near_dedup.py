@@ -43,6 +43,12 @@ BATCH = 25
 MISS = 1e-6
 # Buckets up to this size are joined, larger ones are compared in blocks of BLOCK nodes.
 SMALL, BLOCK = 64, 512
+# Shingles of one block: a task holds about two blocks, or two sets where these are larger.
+BLOCK_SHINGLES = 1 << 21
+# Positions of the bitmap that says which texts are wanted; a full one lets more texts pass.
+BITS = 1 << 23
+# Parts that the rows of one label are dealt to.
+SALTS = 32
 
 
 @dataclass(frozen=True)
@@ -141,7 +147,7 @@ def _profile(width: int):
             signs: list = [None] * len(sets)
             for i, row in zip(full, signatures([sets[i] for i in full])):
                 nodes[i] = hashlib.blake2b(sets[i].astype("<u8").tobytes(), digest_size=16).digest()
-                signs[i] = row.astype("<u4").tobytes()
+                signs[i] = row.astype("<u2").tobytes()  # low 16 bits: different minima agree once in 65,536 times, which only adds candidates
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_key"), pa.array(list(map(len, sets)), pa.int64()), pa.array(nodes, pa.binary()),
                  pa.array(signs, pa.binary())], ["doc_id", "text_key", "n_shingles", "node", "signature"])
@@ -185,7 +191,7 @@ def sequential(left: np.ndarray, right: np.ndarray, least: list[int]) -> tuple[n
 
 
 def _signs(values) -> np.ndarray:
-    return np.frombuffer(b"".join(values), "<u4").reshape(-1, HASHES)
+    return np.frombuffer(b"".join(values), "<u2").reshape(-1, HASHES)
 
 
 def _sequential(least: list[int]):
@@ -236,11 +242,21 @@ def verify_sets(pairs: DataFrame, docs: DataFrame, reps: DataFrame, like: Likene
     return pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_exact(like.part, like.whole), "a binary, b binary")
 
 
+def marked(keys: DataFrame) -> DataFrame:
+    """``mark_word, marks``: a bitmap of ``BITS`` positions, at most BITS / 64 rows at any size of ``keys``; ``place`` gives the positions."""
+    bit = F.expr("shiftleft(1L, cast(place & 63 as int))")
+    return keys.select("place").groupBy(F.shiftright("place", 6).alias("mark_word")).agg(F.bit_or(bit).alias("marks"))
+
+
 def node_sets(nodes: DataFrame, docs: DataFrame, reps: DataFrame, like: Likeness) -> DataFrame:
-    """``node, members``: the shingle sets of ``nodes``, staged."""
-    place = reps.join(nodes, "node", "left_semi").select("node", F.col("place.doc_id").alias("at_id"), F.col("place.text_key").alias("at_key"))
-    texts = _texts(docs)
-    found = texts.join(place, texts["doc_id"].eqNullSafe(place["at_id"]) & (texts["text_key"] == place["at_key"])).select("node", "text")
+    """``node, members``: the shingle sets of ``nodes``, staged. A bitmap of the wanted rows is applied before texts move."""
+    place = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(BITS)).alias("place")
+    wanted = stage(reps.join(nodes, "node", "left_semi").select("node", "place.doc_id", "place.text_key").select(
+        "node", F.col("doc_id").alias("at_id"), F.col("text_key").alias("at_key"), place), "wanted")
+    marks = F.broadcast(marked(wanted))  # BITS / 64 rows at most
+    texts = _texts(docs).withColumn("place", place).withColumn("mark_word", F.shiftright("place", 6))
+    texts = texts.join(marks, "mark_word").where(F.expr("shiftright(marks, cast(place & 63 as int)) & 1L") == 1).select("doc_id", "text_key", "text")
+    found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["at_id"]) & (texts["text_key"] == wanted["at_key"])).select("node", "text")
     return stage(found.mapInArrow(_sets(like.words), "node binary, members binary").dropDuplicates(["node"]), "shingle-sets")
 
 
@@ -249,8 +265,17 @@ def node_sets(nodes: DataFrame, docs: DataFrame, reps: DataFrame, like: Likeness
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         names = buckets(_signs(batch.column("signature").to_pylist())) if batch.num_rows else np.zeros((0, BANDS), np.int64)
-        nodes = batch.column("node").take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS)))
-        yield pa.RecordBatch.from_arrays([pa.array(names.ravel()), nodes], ["bucket", "node"])
+        owner = pa.array(np.repeat(np.arange(batch.num_rows), BANDS))
+        kept = [c for c in batch.schema.names if c != "signature"]
+        yield pa.RecordBatch.from_arrays([pa.array(names.ravel()), *(batch.column(c).take(owner) for c in kept)], ["bucket", *kept])
+
+
+def bucket_members(reps: DataFrame) -> DataFrame:
+    """``bucket, node, n_shingles, centre`` of the buckets that hold several nodes, staged; ``centre`` is the smallest node."""
+    members = reps.select("node", "signature", "n_shingles").mapInArrow(_members, "bucket long, node binary, n_shingles long")
+    centres = (members.groupBy(F.col("bucket").alias("name")).agg(F.min("node").alias("centre"), F.max("node").alias("other"))
+               .where("centre != other").select("name", "centre"))
+    return stage(members.join(centres, members["bucket"] == centres["name"]).drop("name"), "bucket-members")
 
 
 def ordered_pair(x, y):
@@ -259,8 +284,7 @@ def ordered_pair(x, y):
 
 def stars(members: DataFrame) -> DataFrame:
     """Pairs of each node with the smallest node of its buckets."""
-    centre = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("size")).where("size > 1").drop("size")
-    return members.join(centre, "bucket").where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    return members.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
 
 
 def overlaps(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -323,10 +347,11 @@ def _block_links(like: Likeness):
 
 
 def open_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """``bucket, node, root, size`` of the buckets that hold several components."""
-    placed = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    several = (placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
-               .where("low != high").select("bucket", "size"))
+    """``bucket, node, n_shingles, root, size, weight`` of the buckets that hold several components; ``weight`` sums the shingles."""
+    placed = (members.join(roots, "node", "left")
+              .select("bucket", "node", "n_shingles", F.coalesce("root", "node").alias("root")))
+    several = (placed.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("weight"), F.min("root").alias("low"), F.max("root").alias("high"))
+               .where("low != high").select("bucket", "size", "weight"))
     return stage(placed.join(several, "bucket"), "open-buckets")
 
 
@@ -343,19 +368,24 @@ def large_links(large: DataFrame, docs: DataFrame, reps: DataFrame, like: Likene
     Buckets are gathered under a label, the smallest node that a bucket of one of their nodes holds; the buckets of one crowd of copies
     mostly share it. All nodes under a label are compared as one group if the square of their number is at most the sum of the
     squares of its buckets, otherwise each bucket is a group: two nodes of one bucket meet either way. Groups are cut into
-    blocks of ``BLOCK`` nodes; every two blocks meet in a task.
+    blocks of about ``BLOCK`` nodes, or fewer where their sets hold more than ``BLOCK_SHINGLES`` shingles; every two blocks meet in a task.
     """
     nearest = large.join(large.groupBy("bucket").agg(F.min("node").alias("centre")), "bucket").groupBy("node").agg(F.min("centre").alias("centre"))
     labels = large.join(nearest, "node").groupBy("bucket").agg(F.min("centre").alias("label"))
-    labelled = stage(large.join(labels, "bucket"), "labelled")
+    labelled = stage(large.join(labels, "bucket").withColumn("salt", F.pmod(F.xxhash64("node", "bucket"), F.lit(SALTS))), "labelled")
     work = labelled.groupBy("label").agg(F.sum(F.col("size").cast("double")).alias("apart"))  # a row of each of its nodes adds the size once
-    nodes = labelled.select("label", "node").distinct().groupBy("label").agg(F.count("*").alias("nodes"))
-    gathered = work.join(nodes, "label").select("label", "nodes", (F.col("nodes").cast("double") * F.col("nodes") <= F.col("apart")).alias("at_once"))
-    rows = (labelled.join(gathered, "label")
+    nodes = (labelled.select("label", "node", "n_shingles").distinct().groupBy("label")
+             .agg(F.count("*").alias("nodes"), F.sum("n_shingles").alias("shingles")))
+    # a label has more than SMALL nodes, so its SALTS copies are fewer than its rows
+    gathered = work.join(nodes, "label").select(
+        F.col("label").alias("of"), "nodes", "shingles", (F.col("nodes").cast("double") * F.col("nodes") <= F.col("apart")).alias("at_once"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("part"))
+    rows = (labelled.join(gathered, (labelled["label"] == gathered["of"]) & (labelled["salt"] == gathered["part"]))
             .select("node", "root", F.when(F.col("at_once"), F.col("label")).otherwise(F.col("bucket").cast("string").cast("binary")).alias("group"),
-                    F.when(F.col("at_once"), F.col("nodes")).otherwise(F.col("size")).alias("size")).distinct())
+                    F.when(F.col("at_once"), F.col("nodes")).otherwise(F.col("size")).alias("size"),
+                    F.when(F.col("at_once"), F.col("shingles")).otherwise(F.col("weight")).alias("weight")).distinct())
     sets = node_sets(large.select("node").distinct(), docs, reps, like)
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
     dealt = (rows.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
              .withColumn("partner", F.explode(F.sequence(F.lit(0), blocks - 1)))
              .select("group", F.least("own", "partner").alias("i"), F.greatest("own", "partner").alias("j"),
@@ -370,8 +400,8 @@ def linked_profiles(docs: DataFrame, like: Likeness) -> DataFrame:
     rows = stage(profiles(docs, like), "profiles")
     place = F.min(F.struct("doc_id", "text_key")).alias("place")
     reps = stage(rows.where("node is not null").groupBy("node").agg(
-        place, F.min("doc_id").alias("least_id"), F.first("signature").alias("signature")), "classes")
-    members = stage(reps.select("node", "signature").mapInArrow(_members, "bucket long, node binary"), "bucket-members")
+        place, F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "classes")
+    members = bucket_members(reps)
     pairs = stage(verify_signatures(stars(members), reps, like), "star-pairs")
     both = pairs.select("a", "b", "matches").union(pairs.select("b", "a", "matches"))
     # a partner that is clearly alike, the smallest of these: they hang on few nodes; otherwise the most alike

@@ -105,11 +105,12 @@ def test_small_table_components(small, small_rows):
     assert got == sorted(brute.near(small_rows, 3, 85, 100))
 
 
-@pytest.mark.parametrize("linked", [False, True])
-def test_crowded_buckets_lose_no_link(spark, monkeypatch, linked):
-    """Many texts of one origin, each a little too far from the others: only a few pairs are links, and blocks must find them."""
+@pytest.mark.parametrize("linked, block, shingles", [(False, 16, 1 << 21), (True, 16, 1 << 21), (True, 512, 3000)])
+def test_crowded_buckets_lose_no_link(spark, monkeypatch, linked, block, shingles):
+    """Many texts of one origin, each a little too far from the others: only a few pairs are links, and blocks (cut by number or by shingles) must find them."""
     monkeypatch.setattr(ND, "SMALL", 4)
-    monkeypatch.setattr(ND, "BLOCK", 16)
+    monkeypatch.setattr(ND, "BLOCK", block)
+    monkeypatch.setattr(ND, "BLOCK_SHINGLES", shingles)
     rng = random.Random(12)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
     base, rows = [word() for _ in range(200)], []
