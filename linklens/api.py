@@ -7,10 +7,10 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linklens.config import HistoryConfig
+from linklens.config import EvidenceConfig, FingerprintConfig, HistoryConfig
 from linklens.operators import history, ingest, integrity, quality
 from linklens.operators.correlation import analyze_correlations  # noqa: F401
-from linklens.operators.events import analyze_events  # noqa: F401
+from linklens.operators.events import analyze_events, event_targets  # noqa: F401
 from linklens.operators.evidence import analyze_evidence  # noqa: F401
 from linklens.operators.fingerprint import analyze_fingerprints  # noqa: F401
 from linklens.operators.integrity import check_reproducibility  # noqa: F401
@@ -71,6 +71,24 @@ def with_integrity(runs: DataFrame, summary: DataFrame) -> DataFrame:
         "integrity_valid", F.coalesce("integrity_valid", F.lit(False)))
 
 
+def load_events(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Events, their evidence and their targets from event documents; one invalid event fails the load before anything is analysed."""
+    events, evidence = readers.read_events(spark, path)
+    return stage(readers.require_valid_events(events), "valid-events"), evidence, event_targets(evidence)
+
+
+def fingerprints_from_documents(spark: SparkSession, events_path: str, cfg: FingerprintConfig = FingerprintConfig()) -> DataFrame:
+    """Fingerprints of landed event documents."""
+    events, evidence, targets = load_events(spark, events_path)
+    return analyze_fingerprints(events, targets, evidence, cfg=cfg)
+
+
+def findings_from_documents(spark: SparkSession, events_path: str, correlations_path: str, cfg: EvidenceConfig = EvidenceConfig()) -> DataFrame:
+    """Findings of landed event and correlation documents."""
+    events, _, targets = load_events(spark, events_path)
+    return analyze_evidence(events, targets, readers.read_correlations(spark, correlations_path), cfg)
+
+
 def generate_report(interface: DataFrame, probes: DataFrame, host: DataFrame, runs: DataFrame, out_dir: str,
                     **configs) -> dict[str, str]:
     """Run the whole audit and write every table and document it produces."""

@@ -1,8 +1,10 @@
 import hashlib
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
+from linklens import api
 from linklens.operators import integrity as G
 from linklens.sources import files as X
 from linklens.sources import readers as S
@@ -173,6 +175,33 @@ def test_event_documents_come_back_whole(spark, tmp_path):
     assert back.exceptAll(evidence.select(back.columns)).count() == 0 and back.count() == 2500
 
 
+def event_line(number, **changes):
+    signals = [{"metric": "rtt", "target": "t", "observed": 30.0, "baseline": 10.0, "threshold": 20.0}]
+    event = {"run_id": "R", "event_id": f"EVENT-{number:03d}", "start": "2026-01-01T00:00:00", "end": "2026-01-01T00:00:10", "duration_seconds": 10.0,
+             "metrics_changed": ["rtt"], "severity": "low", "confidence": "MEDIA", "part_no": 0,
+             "evidence": {"bucket_seconds": 5, "anomalous_buckets": 2, "buckets": [{"timestamp": "2026-01-01T00:00:05", "signals": signals}]}}
+    return json.dumps({**event, **changes})
+
+
+def test_landed_documents_are_analysed_only_if_every_event_is_valid(spark, tmp_path):
+    relation = {"run_id": "R", "relation_id": "C1", "x_metric": "utilization_pct", "y_metric": "rtt_ms", "target": "t"}
+    (tmp_path / "related.json").write_text(json.dumps(relation) + "\n")
+    (tmp_path / "good.json").write_text("\n".join(map(event_line, (1, 2))) + "\n")
+    vectors = api.fingerprints_from_documents(spark, str(tmp_path / "good.json")).orderBy("event_id").collect()
+    assert [(r.event_id, r.targets, r.delta_rtt_pct, len(r.fingerprint_sha256)) for r in vectors] == [
+        (f"EVENT-00{i}", ["t"], 200.0, 64) for i in (1, 2)]
+    found = api.findings_from_documents(spark, str(tmp_path / "good.json"), str(tmp_path / "related.json")).collect()
+    assert sorted((r.finding_id, r.anomalous_buckets) for r in found) == [("FINDING-001", 2), ("FINDING-002", 2)]
+    bad = {"missing severity": event_line(3, severity=None), "negative duration": event_line(3, duration_seconds=-1.0), "duplicate": event_line(1)}
+    for reason, line in bad.items():
+        path = tmp_path / f"{reason}.json"
+        path.write_text("\n".join([event_line(1), event_line(2), line]) + "\n")
+        with pytest.raises(Exception, match=reason):
+            api.fingerprints_from_documents(spark, str(path))
+        with pytest.raises(Exception, match=reason):
+            api.findings_from_documents(spark, str(path), str(tmp_path / "related.json"))
+
+
 def test_report_digest_sees_every_change(spark):
     """The root is recomputed here; swapped, compensating and moved payloads all change it."""
     from linklens.operators.report import report_digest
