@@ -335,3 +335,11 @@ def test_pipeline_stages_take_edge_cases(spark, edge, empty):
     for name, step in corpus_pipeline.STAGES:
         assert step(spark, empty, SF).count() == 0
         assert step(spark, edge, SF).count() >= 0
+    rows, bare = edge.count(), F.trim(F.coalesce("text", F.lit(""))) == ""
+    steps = dict(corpus_pipeline.STAGES)
+    kept = steps["near_duplicates"](spark, edge, SF)
+    assert kept.columns == edge.columns and kept.where(bare).count() == edge.where(bare).count()
+    assert kept.exceptAll(edge).count() == 0  # rows as they came, none twice
+    masked = steps["secrets"](spark, edge, SF)
+    assert masked.columns == edge.columns and masked.count() == rows and masked.where("text is null").count() == edge.where("text is null").count()
+    assert steps["encode"](spark, edge, SF).count() == rows
