@@ -1,4 +1,9 @@
-"""From raw documents to token ids: quality, near-duplicates, secrets, mixture, SentencePiece."""
+"""From raw documents to token ids: quality, near-duplicates, secrets, mixture, SentencePiece.
+
+Defined cases: a null text counts as empty. Texts without words are no one's copies, so the near-duplicate stage keeps all of them; a null text
+stays null in the secrets stage and has no token ids. Long texts are taken whole. Each stage takes an empty table and returns an
+empty one. All stages but the last keep the columns of their input.
+"""
 
 from __future__ import annotations
 
