@@ -1,12 +1,13 @@
 """Exact, linearly interpolated quantiles.
 
-Which way is taken depends on what a key means, never on how many rows it has:
+Which way is taken depends on what a key means:
 
 * ``bounded_quantiles`` is for keys with a bounded number of rows by nature (a time bucket, a day of one link): one
   ``percentile`` buffer per group, inside one aggregate.
 * ``exact_quantiles`` is for keys that grow with history (a link, a run, a target). A mergeable sketch brackets the values
   around each wanted rank; copies of values collapse, everything below a bracket collapses to one row, and only the values inside
-  the bracket are ordered.
+  the bracket are ordered. A group of so few rows that its bracket would hold all of them needs no sketch: its values meet in one
+  ``percentile`` buffer, which ``WHOLE`` bounds.
 
 Both ignore nulls and NaN, keep a row for a group without values, and interpolate by the same formula.
 """
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 # Rank error of the sketch is at most rows / ACCURACY; brackets reach MARGIN times as far on either side.
 ACCURACY, MARGIN = 4000, 8
 LOWEST = float("-inf")
+# Below this many rows a bracket spans its whole group.
+WHOLE = 4 * ACCURACY // MARGIN
 
 
 def number(column: str) -> Column:
@@ -45,11 +48,32 @@ def _interpolated(low: Column, high: Column, position: Column) -> Column:
     return F.when(below == above, low).otherwise((above - position) * low + (position - below) * high)
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], specs: Mapping[str, tuple[str, float]]) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], specs: Mapping[str, tuple[str, float]], whole: int = WHOLE) -> DataFrame:
     """``keys`` plus one column per spec ``name -> (value column, q)``; keys must not be null.
 
-    Two reads of the rows and two aggregates with map-side combining. What is ordered per group and spec is the bracket: at
-    most ``2 * MARGIN / ACCURACY`` of the group's rows, or ``4 * ACCURACY / MARGIN`` rows.
+    The keys of groups with ``whole`` rows or more are broadcast: at most one for every ``whole`` rows of the input. Their rows are bracketed,
+    all others meet in one aggregate whose buffers hold fewer than ``whole`` values a column.
+    """
+    keys = list(keys)
+    there = F.lit(True)
+    for k in keys:
+        there = there & F.col(k).isNotNull()
+    columns = list(dict.fromkeys(c for c, _ in specs.values()))
+    long = F.broadcast(df.where(there).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= whole).select(*keys))
+    slim = df.select(*keys, *[F.when(there, number(c)).alias(f"_v{i}") for i, c in enumerate(columns)])
+    at = {c: f"_v{i}" for i, c in enumerate(columns)}
+    levels = {c: list(dict.fromkeys(float(q) for name, q in specs.values() if name == c)) for c in columns}
+    short = slim.join(long, keys, "left_anti").groupBy(*keys).agg(
+        *[F.percentile(at[c], F.array(*map(F.lit, levels[c]))).alias(f"_q{i}") for i, c in enumerate(columns)]).select(
+        *keys, *[F.get(f"_q{columns.index(c)}", F.lit(levels[c].index(float(q)))).alias(name) for name, (c, q) in specs.items()])
+    bracketed = _bracketed(slim.join(long, keys, "left_semi"), keys, {name: (at[c], q) for name, (c, q) in specs.items()})
+    return short.unionByName(bracketed)
+
+
+def _bracketed(df: DataFrame, keys: Sequence[str], specs: Mapping[str, tuple[str, float]]) -> DataFrame:
+    """Two reads of the rows and two aggregates with map-side combining.
+
+    What is ordered per group and spec is the bracket: at most ``2 * MARGIN / ACCURACY`` of the group's rows, or ``4 * ACCURACY / MARGIN`` rows.
     """
     keys, names = list(keys), list(specs)
     columns = list(dict.fromkeys(c for c, _ in specs.values()))
