@@ -314,11 +314,11 @@ class EventStages:
 
     @once
     def evidence(self) -> DataFrame:
-        return event_evidence(self.buckets, self.signals)
+        return stage(event_evidence(self.buckets, self.signals), "evidence")
 
     @once
     def targets(self) -> DataFrame:
-        return event_targets(self.evidence)
+        return stage(event_targets(self.evidence), "targets")
 
 
 def analyze_events(interface: DataFrame, probes: DataFrame, th: EventThresholds = EventThresholds()) -> DataFrame:

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from linklens.functions.scalars import is_ntz, micros
 
-# Ten minutes: a key yields at most 52,560 carried rows per year however many samples it has.
-TIME_CHUNK_SECONDS = 600
+# Six hours: a key yields at most 1,460 carried rows per year however many samples it has. Shorter chunks would carry as many rows as
+# a key with a sample every few minutes has.
+TIME_CHUNK_SECONDS = 21600
 ROW_CHUNK = 1 << 16
 
 
