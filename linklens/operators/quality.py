@@ -28,6 +28,11 @@ def processed_interface(df: DataFrame, runs: DataFrame | None = None,
         rows = elapsed_valid(df.withColumns({c: number_of(df, c) for c in DELTAS if c in df.columns}))
     else:
         rows = counter_delta(df, maxima)
+    return with_rates(rows, runs)
+
+
+def with_rates(rows: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """Adds rates and utilization to samples that carry deltas and ``elapsed_seconds``."""
     rows = rows.withColumns({c: F.lit(None).cast("long") for c in DELTAS if c not in rows.columns})
     if runs is None:
         rows = rows.withColumn("capacity_mbps", F.lit(None).cast("double"))

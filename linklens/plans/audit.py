@@ -13,9 +13,9 @@ from linklens.operators.correlation import CorrelationStages
 from linklens.operators.counters import counter_delta
 from linklens.operators.events import EventStages
 from linklens.operators.evidence import event_correlations, evidence_trace, findings, top_correlations
-from linklens.operators.fingerprint import analyze_fingerprints, fingerprint_trace, loss_baseline
+from linklens.operators.fingerprint import fingerprint_trace, fingerprints, loss_baseline
 from linklens.operators.profile import QualityStages
-from linklens.operators.quality import interface_summary, probe_summary, processed_interface, processed_probes
+from linklens.operators.quality import interface_summary, probe_summary, processed_interface, processed_probes, with_rates
 from linklens.operators.report import executive_summary, headline_metrics, run_report, safe_only
 from linklens.session import once, stage, together
 
@@ -35,9 +35,13 @@ class RunAudit:
                  quality: DatasetQualityConfig = DatasetQualityConfig(), report: ReportConfig = ReportConfig()):
         self.runs, self.host = stage(runs, "runs"), host
         self.evidence_config, self.fingerprint_config, self.report_config = evidence.validate(), fingerprint.validate(), report.validate()
-        raw = interface if "rx_bytes_delta" in interface.columns else counter_delta(interface, counter_maxima)
+        if "rx_bytes_delta" in interface.columns:
+            raw, processed = interface, processed_interface(interface, self.runs, counter_maxima)
+        else:  # deltas are computed once, for the gate and the series
+            raw = stage(counter_delta(interface, counter_maxima), "counted")
+            processed = with_rates(raw, self.runs)
         self.gate_stages = QualityStages(raw, host, probes, self.runs, quality)
-        self.stages = EventStages(processed_interface(interface, self.runs, counter_maxima), processed_probes(probes), thresholds)
+        self.stages = EventStages(processed, processed_probes(probes), thresholds)
         self._correlation = correlation
 
     @once
@@ -60,7 +64,7 @@ class RunAudit:
     @once
     def references(self) -> DataFrame:
         related = self.related
-        _, found = together(lambda: self.stages.events, lambda: related.correlations)
+        _, _, found = together(lambda: self.stages.events, lambda: self.stages.targets, lambda: related.correlations)
         linked = event_correlations(self.stages.events, self.stages.targets, found, self.evidence_config)
         return stage(top_correlations(linked, self.evidence_config), "references")
 
@@ -79,16 +83,16 @@ class RunAudit:
     @once
     def fingerprints(self) -> DataFrame:
         st = self.stages
-        return stage(analyze_fingerprints(st.events, st.targets, st.evidence, st.probe_base, self.fingerprint_config), "fingerprints")
+        return stage(fingerprints(st.events, st.targets, self.fingerprint_trace, self.fingerprint_config), "fingerprints")
 
     @once
     def summary(self) -> DataFrame:
+        together(lambda: self.gate, lambda: self.headline, lambda: self.findings)
         return executive_summary(self.runs, self.gate, self.headline, safe_only(self.findings, self.gate), self.report_config)
 
     @once
     def report(self) -> DataFrame:
-        g, st, related = self.gate_stages, self.stages, self.related
-        together(lambda: st.events, lambda: related.correlations, lambda: g.gate)
-        together(lambda: self.headline, lambda: self.findings, lambda: self.fingerprints)
+        g, st = self.gate_stages, self.stages
+        together(lambda: self.summary, lambda: self.fingerprints)
         return run_report(self.runs, g.gate, g.checks, g.profile, self.headline, self.summary, st.events, self.findings,
                           self.fingerprints, self.report_config)

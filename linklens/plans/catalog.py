@@ -102,8 +102,14 @@ def _(spark, sf):
 THRESHOLDS = EventThresholds(bucket_seconds=fx.BUCKET_SECONDS, merge_gap_seconds=fx.MERGE_GAP_SECONDS)
 
 
+def counters(spark, sf):
+    """The counter view sums over a whole run and is read twice by every step to the sample before: it is written once."""
+    return stage(fx.iface(spark, sf), "counters")
+
+
 def interface(spark, sf):
-    return Q.processed_interface(fx.iface(spark, sf), stage(fx.runs(spark, sf), "runs"), fx.COUNTER_MAX)
+    rows, runs = together(lambda: counters(spark, sf), lambda: stage(fx.runs(spark, sf), "runs"))
+    return Q.processed_interface(rows, runs, fx.COUNTER_MAX)
 
 
 def probes(spark, sf):
@@ -209,7 +215,7 @@ def linked_stages(spark, sf):
     """Events and correlations of the same samples, computed side by side."""
     st = stages(spark, sf)
     linked = relations(spark, sf, st)
-    together(lambda: st.events, lambda: linked.correlations)
+    together(lambda: st.events, lambda: st.targets, lambda: linked.correlations)
     return st, linked
 
 
@@ -347,22 +353,31 @@ SUMMARY_KEYS = {"interface_summary": ["run_id", "interface"], "probe_summary": [
 
 def replay(spark, sf, parts):
     """The six summary tables of a run, written and read back; the samples come in ``parts`` shuffled pieces."""
-    iface = Q.processed_interface(fx.iface(spark, sf).repartition(parts), fx.runs(spark, sf), fx.COUNTER_MAX)
+    rows, runs = together(lambda: stage(fx.iface(spark, sf).repartition(parts), "counters"), lambda: stage(fx.runs(spark, sf), "runs"))
+    iface = Q.processed_interface(rows, runs, fx.COUNTER_MAX)
     st = E.EventStages(iface, Q.processed_probes(fx.probes(spark, sf).repartition(parts)), THRESHOLDS)
     st.load()
     linked = K.CorrelationStages(st.interface, st.probes, fx.host(spark, sf).repartition(parts), CORRELATION)
-    refs = stage(V.top_correlations(V.event_correlations(st.events, st.targets, linked.correlations)), "references")
-    lines = P.fingerprint_trace(P.loss_baseline(st.evidence, st.probe_base))
-    tables = {"interface_summary": Q.interface_summary(st.interface), "probe_summary": Q.probe_summary(st.probes), "events": st.events,
-              "correlations": linked.correlations, "findings": V.findings(st.events, st.targets, refs),
-              "fingerprints": P.fingerprints(st.events, st.targets, lines)}
-    return {name: stage(table, name) for name, table in tables.items()}
+    tables = {"interface_summary": lambda: Q.interface_summary(st.interface), "probe_summary": lambda: Q.probe_summary(st.probes)}
+    *first, _, _ = together(*[lambda n=name, t=table: stage(t(), n) for name, table in tables.items()],
+                            lambda: st.events, lambda: linked.correlations)
+
+    def found():
+        refs = stage(V.top_correlations(V.event_correlations(st.events, st.targets, linked.correlations)), "references")
+        return stage(V.findings(st.events, st.targets, refs), "findings")
+
+    def vectors():
+        lines = stage(P.fingerprint_trace(P.loss_baseline(st.evidence, st.probe_base)), "trace")
+        return stage(P.fingerprints(st.events, st.targets, lines), "fingerprints")
+
+    findings, fingerprints = together(found, vectors)
+    return {**dict(zip(tables, first)), "events": st.events, "correlations": linked.correlations, "findings": findings, "fingerprints": fingerprints}
 
 
 @query("reproducibility")
 def _(spark, sf):
     """Two whole runs, the second from input dealt otherwise, and one table with a seeded drift that must be found."""
-    first, second = replay(spark, sf, 3), replay(spark, sf, 7)
+    first, second = together(lambda: replay(spark, sf, 3), lambda: replay(spark, sf, 7))
     odd = F.pmod(F.substring("run_id", 5, 9).cast("int"), F.lit(2)) == 1
     first["drifted"] = first["probe_summary"]
     second["drifted"] = second["probe_summary"].withColumn("samples", F.col("samples") + F.when(odd, 1).otherwise(0))
@@ -391,7 +406,9 @@ query("known_targets")(lambda s, d: joined(G.run_metadata(sample_files(s, d), co
 # --- report --------------------------------------------------------------------
 
 def audit(spark, sf):
-    return RunAudit(fx.iface(spark, sf), fx.probes(spark, sf), fx.host(spark, sf), fx.runs(spark, sf),
+    interface, probes, host = together(lambda: counters(spark, sf), lambda: stage(fx.probes(spark, sf), "probe_view"),
+                                       lambda: stage(fx.host(spark, sf), "host_view"))
+    return RunAudit(interface, probes, host, fx.runs(spark, sf),
                     counter_maxima=fx.COUNTER_MAX, thresholds=THRESHOLDS, correlation=CORRELATION)
 
 
@@ -414,6 +431,7 @@ def _(spark, sf):
 @query("findings_fingerprints", digits=3)
 def _(spark, sf):
     done = audit(spark, sf)
+    together(lambda: done.findings, lambda: done.fingerprints)
     return R.findings_fingerprints(done.findings, done.fingerprints)
 
 
