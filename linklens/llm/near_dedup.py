@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linklens.llm.graph import components
+from linklens.llm.marks import flagged, place
 from linklens.llm.words import raw_texts, slices
 from linklens.session import stage
 
@@ -45,8 +46,6 @@ MISS = 1e-6
 SMALL, BLOCK = 64, 512
 # Shingles of one block: a task holds about two blocks, or two sets where these are larger.
 BLOCK_SHINGLES = 1 << 21
-# Positions of the bitmap that says which texts are wanted; a full one lets more texts pass.
-BITS = 1 << 23
 # Parts that the rows of one label are dealt to.
 SALTS = 32
 
@@ -242,22 +241,16 @@ def verify_sets(pairs: DataFrame, docs: DataFrame, reps: DataFrame, like: Likene
     return pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_exact(like.part, like.whole), "a binary, b binary")
 
 
-def marked(keys: DataFrame) -> DataFrame:
-    """``mark_word, marks``: a bitmap of ``BITS`` positions, at most BITS / 64 rows at any size of ``keys``; ``place`` gives the positions."""
-    bit = F.expr("shiftleft(1L, cast(place & 63 as int))")
-    return keys.select("place").groupBy(F.shiftright("place", 6).alias("mark_word")).agg(F.bit_or(bit).alias("marks"))
-
-
 def node_sets(nodes: DataFrame, docs: DataFrame, reps: DataFrame, like: Likeness) -> DataFrame:
-    """``node, members``: the shingle sets of ``nodes``, staged. A bitmap of the wanted rows is applied before texts move."""
-    place = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(BITS)).alias("place")
+    """``node, members``: the shingle sets of ``nodes``, staged. A bitmap of the wanted rows is applied before texts move, which they do once."""
+    key = lambda doc_id, text_key: (F.coalesce(doc_id, F.lit(0)).alias("id"), F.col(doc_id).isNull().alias("no_id"), F.col(text_key).alias("key"))
     wanted = stage(reps.join(nodes, "node", "left_semi").select("node", "place.doc_id", "place.text_key").select(
-        "node", F.col("doc_id").alias("at_id"), F.col("text_key").alias("at_key"), place), "wanted")
-    marks = F.broadcast(marked(wanted))  # BITS / 64 rows at most
-    texts = _texts(docs).withColumn("place", place).withColumn("mark_word", F.shiftright("place", 6))
-    texts = texts.join(marks, "mark_word").where(F.expr("shiftright(marks, cast(place & 63 as int)) & 1L") == 1).select("doc_id", "text_key", "text")
-    found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["at_id"]) & (texts["text_key"] == wanted["at_key"])).select("node", "text")
-    return stage(found.mapInArrow(_sets(like.words), "node binary, members binary").dropDuplicates(["node"]), "shingle-sets")
+        "node", *key("doc_id", "text_key"), place("doc_id", "text_key")), "wanted")
+    texts = flagged(_texts(docs).withColumn("place", place("doc_id", "text_key")), wanted, wanted=F.lit(True)).where("wanted")
+    names = ["id", "no_id", "key"]
+    # copies of a row collapse before they move; without nulls in the keys the join finds the texts dealt as it needs them
+    once = texts.select(*key("doc_id", "text_key"), "text").dropDuplicates(names)
+    return stage(once.join(wanted.drop("place"), names).select("node", "text").mapInArrow(_sets(like.words), "node binary, members binary"), "shingle-sets")
 
 
 # --- candidates ----------------------------------------------------------------
@@ -273,9 +266,10 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def bucket_members(reps: DataFrame) -> DataFrame:
     """``bucket, node, n_shingles, centre`` of the buckets that hold several nodes, staged; ``centre`` is the smallest node."""
     members = reps.select("node", "signature", "n_shingles").mapInArrow(_members, "bucket long, node binary, n_shingles long")
-    centres = (members.groupBy(F.col("bucket").alias("name")).agg(F.min("node").alias("centre"), F.max("node").alias("other"))
-               .where("centre != other").select("name", "centre"))
-    return stage(members.join(centres, members["bucket"] == centres["name"]).drop("name"), "bucket-members")
+    # a window deals the members out once; a bucket beyond its buffer is spilled
+    bucket = Window.partitionBy("bucket")
+    several = members.withColumns({"centre": F.min("node").over(bucket), "other": F.max("node").over(bucket)}).where("centre != other")
+    return stage(several.drop("other"), "bucket-members")
 
 
 def ordered_pair(x, y):
@@ -454,13 +448,20 @@ def components_of(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
 
 def keep_one(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     """One row of each component, its smallest id; rows without words all stay."""
-    rows = linked_profiles(docs, like)
-    chosen = (rows.where("node is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("k"))
-              .select(F.col("k.doc_id").alias("kept_id"), F.col("k.text_key").alias("kept_key"), F.lit(1).alias("limit_one"))
-              .unionByName(rows.where("node is null").select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key"), F.lit(0).alias("limit_one")).distinct()))
+    rows = stage(linked_profiles(docs, like).where("node is not null").select("doc_id", "text_key", "root"), "linked")
+    least = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("k"))
+    keys = (rows.select("doc_id", "text_key", F.lit(1).alias("row"), F.lit(0).alias("least"))
+            .unionByName(least.select("k.doc_id", "k.text_key", F.lit(0).alias("row"), F.lit(1).alias("least")))
+            .groupBy("doc_id", "text_key").agg(F.sum("row").alias("rows"), F.max("least").alias("least")))
+    # only rows that go, and copies of one row, are doubtful: a bitmap of them leaves the texts of nearly all others where they lie
+    doubtful = stage(keys.where("least = 0 or rows > 1").select(F.col("doc_id").alias("at_id"), F.col("text_key").alias("at_key"), "least",
+                                                               place("doc_id", "text_key")), "doubtful")
     source = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row_in"), F.col("doc_id").cast("long").alias("key_id"),
                          F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key_text"))
-    joined = source.join(chosen, F.col("key_id").eqNullSafe(F.col("kept_id")) & (F.col("key_text") == F.col("kept_key")))
+    source = flagged(source.withColumn("place", place("key_id", "key_text")), doubtful, doubted=F.lit(True))
+    found = (source.where("doubted").join(doubtful, F.col("key_id").eqNullSafe(F.col("at_id")) & (F.col("key_text") == F.col("at_key")), "left")
+             .where("least is null or least = 1"))
     order = Window.partitionBy("key_id", "key_text").orderBy(F.lit(1))
-    return (joined.withColumn("copy", F.row_number().over(order)).where("limit_one = 0 or copy = 1")
+    kept = found.withColumn("copy", F.row_number().over(order)).where("least is null or copy = 1")
+    return (source.where("not doubted").select("row_in").unionByName(kept.select("row_in"))
             .select(*[F.col("row_in")[c].alias(c) for c in docs.columns]))

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linklens.llm.marks import flagged, place
 from linklens.llm.words import raw_texts, slices, unused_name
 from linklens.session import stage
 
@@ -222,8 +223,10 @@ def _keep(model: Model, columns: list[str], given: str):
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` with a predicted label of 1; decided in one pass over the texts, without a join."""
-    wanted = labels.select(F.col("doc_id").alias("label_id")).where(F.col("label_id").isNotNull()).where(fold(F.col("label_id")) != 1).distinct()
-    model = fit(measured(docs.join(wanted, F.col("doc_id") == F.col("label_id"), "left_semi")), labels)
+    wanted = labels.select(F.col("doc_id").cast("long").alias("label_id")).where(F.col("label_id").isNotNull()).where(fold(F.col("label_id")) != 1)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("place", place("doc_id"))
+    # texts without a label are left out where they lie; the fit joins statistics and labels
+    model = fit(measured(flagged(rows, wanted.select(place("label_id")), labelled=F.lit(True)).where("labelled")), labels)
     given = unused_name(docs.columns, "text_in")
     source = docs.select("*", F.col("text").cast("string").alias(given))
     return source.mapInArrow(_keep(model, docs.columns, given), docs.schema)

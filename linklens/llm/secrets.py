@@ -3,10 +3,11 @@
 Each rule's pattern is read into a Boolean query over trigrams that every match must hold (``trigram_query``). The index
 keeps, for the trigrams of all rules, a posting (trigram, row) per row that holds them, sorted by trigram in each file. Postings are
 intersected per row as a bit mask, the rows whose mask satisfies a rule's query are its candidates, and only candidates are
-verified by the pattern itself. A rule without a mandatory trigram (``hex``) scans every text.
+verified by the pattern itself, where their texts lie: a bitmap of fixed size per rule says which rows they are, and no text is moved.
+A rule without a mandatory trigram (``hex``) scans every text.
 
-Spans are code points with exclusive ends. A row of the index is (id, hash of the text): equal rows share it, and a hash that two
-texts share only adds a candidate. Trigrams are compared in lower case, which can add candidates and never lose one.
+Spans are code points with exclusive ends. A row of the index is (id, hash of the text): equal rows share it, and a hash or a place in
+the bitmap that two texts share only adds a candidate. Trigrams are compared in lower case, which can add candidates and never lose one.
 
 Defined cases: a null or empty text has no span; null ids and repeated rows are kept as they are; other columns are not read by
 ``scan`` and are kept by ``redact``; an empty table gives an empty result; rules with equal spans are all reported, in rule order.
@@ -22,6 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linklens.llm.marks import flagged, place
 from linklens.session import stage
 
 
@@ -161,31 +163,17 @@ def _found(text: Column, rule: Rule, order: int, wanted: Column) -> Column:
     return F.when(wanted & text.rlike(_passing(rule)), spans(text, rule, order)).otherwise(F.expr(f"cast(array() as {SPAN})"))
 
 
-def find(docs: DataFrame, rules=RULES) -> DataFrame:
-    """``doc_id, text_key, found`` (one row a distinct row): all spans in order of start, then rule."""
-    docs = keyed(docs)
-    indexed = [(i, r) for i, r in enumerate(rules) if trigram_query(r)]
-    scanned = [(i, r) for i, r in enumerate(rules) if not trigram_query(r)]
-    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"])
-    parts = []
-    if scanned:
-        parts.append(docs.select("doc_id", "text_key", F.concat(*[_found(F.col("text"), r, i, F.lit(True)) for i, r in scanned]).alias("spans")))
-    if indexed:
-        chosen = candidates(write_index(docs, rules), rules)
-        bit = lambda i: F.col("wanted").bitwiseAND(F.lit(1 << i)) != 0
-        parts.append(docs.join(chosen, same(docs, chosen)).select(
-            docs["doc_id"], docs["text_key"], F.concat(*[_found(docs["text"], r, i, bit(i)) for i, r in indexed]).alias("spans")))
-    both = functools.reduce(DataFrame.unionByName, parts).where(F.size("spans") > 0).distinct()
-    return both.groupBy("doc_id", "text_key").agg(F.array_sort(F.flatten(F.collect_set("spans"))).alias("found"))
-
-
 def with_spans(docs: DataFrame, rules=RULES, column: str = "found") -> DataFrame:
-    """Every row of ``docs`` with its spans."""
+    """Every row of ``docs`` as ``row_in``, with all its spans in order of start, then rule."""
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row_in"), F.col("doc_id").alias("key_id"),
-                       F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key_text"))
-    found = find(docs, rules).select(F.col("doc_id").alias("found_id"), F.col("text_key").alias("found_text"), "found")
-    return (rows.join(found, F.col("key_id").eqNullSafe(F.col("found_id")) & (F.col("key_text") == F.col("found_text")), "left")
-            .select("row_in", F.coalesce("found", F.expr(f"cast(array() as {SPAN})")).alias(column)))
+                       F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    indexed = [i for i, rule in enumerate(rules) if trigram_query(rule)]
+    if indexed:
+        chosen = candidates(write_index(docs, rules), rules).select(place("doc_id", "text_key"), "wanted")
+        bits = {f"rule_{i}": F.col("wanted").bitwiseAND(F.lit(1 << i)) != 0 for i in indexed}
+        rows = flagged(rows.withColumn("text_key", F.xxhash64("text")).withColumn("place", place("key_id", "text_key")), chosen, **bits)
+    found = [_found(F.col("text"), rule, i, F.col(f"rule_{i}") if i in indexed else F.lit(True)) for i, rule in enumerate(rules)]
+    return rows.select("row_in", F.array_sort(F.concat(*found)).alias(column))
 
 
 def joined(found: Column) -> Column:
@@ -194,11 +182,7 @@ def joined(found: Column) -> Column:
 
 def scan(docs: DataFrame, rules=RULES) -> DataFrame:
     """Per row: spans counted by kind, their digest and their list."""
-    narrow = docs.select("doc_id", "text")
-    found = find(narrow, rules).select(F.col("doc_id").alias("found_id"), F.col("text_key").alias("found_text"), "found")
-    keys = keyed(narrow).select("doc_id", "text_key")
-    rows = keys.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("text_key") == F.col("found_text")), "left")
-    rows = rows.select("doc_id", F.coalesce("found", F.expr(f"cast(array() as {SPAN})")).alias("found"))
+    rows = with_spans(docs.select("doc_id", "text"), rules).select(F.col("row_in")["doc_id"].alias("doc_id"), "found")
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
     text = joined(F.col("found"))
     return rows.select("doc_id", *[count(r.kind).alias(f"n_{r.kind}") for r in rules],

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from linklens.llm import graph, hilbert, mixing
+from linklens.llm import graph, hilbert, marks, mixing
 from linklens.llm import near_dedup as ND
 from linklens.llm import quality as Q
 from linklens.llm import secrets as S
@@ -331,6 +331,52 @@ def test_the_pipeline_does_its_stages_in_turn(spark):
     assert corpus_pipeline.run(spark, SF).count() == sizes[-1]
 
 
+@pytest.fixture
+def no_broadcast(spark):
+    """Joins as on large tables: only what a query broadcasts itself is broadcast."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def stage_docs(spark):
+    """120 texts, some with secrets, and 8 copies of the first ones."""
+    rows = [(i, f"text {i} " + " ".join(f"w{i}x{k}" for k in range(20)) + (" token=abcdefgh12" if i % 9 == 0 else "")) for i in range(120)]
+    return docs_frame(spark, rows + [(200 + i, rows[i][1]) for i in range(7)] + [rows[7]])
+
+
+def test_pipeline_stages_move_no_settled_text(spark, no_broadcast, monkeypatch):
+    docs = stage_docs(spark).repartition(5).drop("size").withColumn("size", F.spark_partition_id())
+    moved = lambda df: df.where(F.spark_partition_id() != F.col("size")).count()
+    assert moved(S.redact(docs)) == 0 and S.redact(docs).where("text like '%[SECRET]%'").count() == 15
+    kept = ND.keep_one(docs)
+    assert kept.count() == 120 and moved(kept) <= 1  # of the texts that stay only the repeated row is in doubt
+    seen, real = [], Q.measured
+    monkeypatch.setattr(Q, "measured", lambda rows: seen.append(rows) or real(rows))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    Q.keep_good(docs, labels)
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert {r.doc_id for r in seen[0].collect()} == {i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1}
+
+
+def test_a_full_bitmap_loses_and_adds_nothing(spark, monkeypatch):
+    docs = stage_docs(spark)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    steps = (S.redact, S.scan, ND.keep_one, ND.components_of, lambda d: Q.keep_good(d, labels))
+    want = [sorted(map(str, step(docs).collect())) for step in steps]
+    monkeypatch.setattr(marks, "BITS", 64)
+    assert [sorted(map(str, step(docs).collect())) for step in steps] == want
+
+
+def test_bucket_members_are_dealt_out_once(spark, monkeypatch):
+    plans, real = {}, ND.stage
+    monkeypatch.setattr(ND, "stage", lambda df, label: plans.setdefault(label, df._jdf.queryExecution().executedPlan().toString()) and real(df, label))
+    assert ND.components_of(stage_docs(spark)).where("not kept").count() == 8 - 1
+    assert plans["bucket-members"].count("Exchange") == 1
+
+
 def test_pipeline_stages_take_edge_cases(spark, edge, empty):
     for name, step in corpus_pipeline.STAGES:
         assert step(spark, empty, SF).count() == 0
