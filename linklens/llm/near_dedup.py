@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from linklens.llm.graph import components
 from linklens.llm.marks import flagged, place
-from linklens.llm.words import raw_texts, slices
+from linklens.llm.words import give_back, lean, raw_texts, slices
 from linklens.session import stage
 
 BANDS, ROWS = 40, 5
@@ -159,7 +159,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def profiles(docs: DataFrame, like: Likeness) -> DataFrame:
-    return _texts(docs).mapInArrow(_profile(like.words), "doc_id long, text_key long, n_shingles long, node binary, signature binary")
+    return _texts(docs).mapInArrow(lean(_profile(like.words)), "doc_id long, text_key long, n_shingles long, node binary, signature binary")
 
 
 # --- sequential verification --------------------------------------------------
@@ -207,7 +207,7 @@ def verify_signatures(pairs: DataFrame, reps: DataFrame, like: Likeness) -> Data
     a = reps.select(F.col("node").alias("a"), F.col("signature").alias("sign_a"))
     b = reps.select(F.col("node").alias("b"), F.col("signature").alias("sign_b"))
     return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "sign_a", "sign_b").mapInArrow(
-        _sequential(least_matches(like.threshold)), "a binary, b binary, matches long")
+        lean(_sequential(least_matches(like.threshold))), "a binary, b binary, matches long")
 
 
 # --- exact check --------------------------------------------------------------
@@ -238,7 +238,7 @@ def verify_sets(pairs: DataFrame, docs: DataFrame, reps: DataFrame, like: Likene
     sets = node_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), docs, reps, like)
     a = sets.select(F.col("node").alias("a"), F.col("members").alias("set_a"))
     b = sets.select(F.col("node").alias("b"), F.col("members").alias("set_b"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_exact(like.part, like.whole), "a binary, b binary")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(lean(_exact(like.part, like.whole)), "a binary, b binary")
 
 
 def node_sets(nodes: DataFrame, docs: DataFrame, reps: DataFrame, like: Likeness) -> DataFrame:
@@ -250,7 +250,7 @@ def node_sets(nodes: DataFrame, docs: DataFrame, reps: DataFrame, like: Likeness
     names = ["id", "no_id", "key"]
     # copies of a row collapse before they move; without nulls in the keys the join finds the texts dealt as it needs them
     once = texts.select(*key("doc_id", "text_key"), "text").dropDuplicates(names)
-    return stage(once.join(wanted.drop("place"), names).select("node", "text").mapInArrow(_sets(like.words), "node binary, members binary"), "shingle-sets")
+    return stage(once.join(wanted.drop("place"), names).select("node", "text").mapInArrow(lean(_sets(like.words)), "node binary, members binary"), "shingle-sets")
 
 
 # --- candidates ----------------------------------------------------------------
@@ -265,7 +265,7 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def bucket_members(reps: DataFrame) -> DataFrame:
     """``bucket, node, n_shingles, centre`` of the buckets that hold several nodes, staged; ``centre`` is the smallest node."""
-    members = reps.select("node", "signature", "n_shingles").mapInArrow(_members, "bucket long, node binary, n_shingles long")
+    members = reps.select("node", "signature", "n_shingles").mapInArrow(lean(_members), "bucket long, node binary, n_shingles long")
     # a window deals the members out once; a bucket beyond its buffer is spilled
     bucket = Window.partitionBy("bucket")
     several = members.withColumns({"centre": F.min("node").over(bucket), "other": F.max("node").over(bucket)}).where("centre != other")
@@ -384,7 +384,14 @@ def large_links(large: DataFrame, docs: DataFrame, reps: DataFrame, like: Likene
              .withColumn("partner", F.explode(F.sequence(F.lit(0), blocks - 1)))
              .select("group", F.least("own", "partner").alias("i"), F.greatest("own", "partner").alias("j"),
                      F.when(F.col("own") <= F.col("partner"), 0).otherwise(1).alias("side"), "node", "root").join(sets, "node"))
-    return dealt.groupBy("group", "i", "j").applyInArrow(_block_links(like), "a binary, b binary")
+    compare = _block_links(like)
+
+    def run(table: pa.Table) -> pa.Table:
+        links = compare(table)
+        give_back()  # sets and matrices of two blocks
+        return links
+
+    return dealt.groupBy("group", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
 # --- the operator ---------------------------------------------------------------

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linklens.llm.marks import flagged, place
-from linklens.llm.words import raw_texts, slices, unused_name
+from linklens.llm.words import lean, raw_texts, slices, unused_name
 from linklens.session import stage
 
 STATISTICS = ("log_bytes", "log_words", "word_length", "word_spread", "distinct_words", "top_word", "repeated_next", "repeated_pairs", "upper", "digits",
@@ -72,7 +72,7 @@ def measured(docs: DataFrame) -> DataFrame:
     """``doc_id, text_key, stats`` of every row, staged: two passes of the fit and the scoring read it."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn(
         "text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return stage(rows.mapInArrow(_measure, "doc_id long, text_key long, stats array<double>"), "statistics")
+    return stage(rows.mapInArrow(lean(_measure), "doc_id long, text_key long, stats array<double>"), "statistics")
 
 
 def _lists(column: pa.Array) -> np.ndarray:
@@ -172,7 +172,7 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
     empty = Model(mean, scale, np.zeros(0), np.zeros(1), np.zeros(1), (sums["good"] or 0) / sums["n"] if sums["n"] else 0.5)
     if not sums["n"] or not 0 < sums["good"] < sums["n"]:
         return empty
-    parts = rows.where("fold = 0").select("stats", "quality").mapInArrow(_normal(mean, scale), "part int, sums binary")
+    parts = rows.where("fold = 0").select("stats", "quality").mapInArrow(lean(_normal(mean, scale)), "part int, sums binary")
     added = parts.groupBy("part").applyInArrow(_add, "part int, sums binary").collect()
     total = sum((np.frombuffer(bytes(r["sums"])) for r in added), np.zeros((FEATURES + 2) * (FEATURES + 1))).reshape(FEATURES + 2, FEATURES + 1)
     gram, right = total[:-1], total[-1]
@@ -182,7 +182,7 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
     ridge[0, 0] = 1e-9
     model = Model(mean, scale, np.linalg.solve(gram + ridge, right), np.zeros(1), np.zeros(1), empty.prior)
 
-    raw = rows.where("fold = 2").select("stats", "quality").mapInArrow(_raw_scores(model), "raw double, quality int")
+    raw = rows.where("fold = 2").select("stats", "quality").mapInArrow(lean(_raw_scores(model)), "raw double, quality int")
     place = F.floor(F.least(F.greatest("raw", F.lit(-0.5)), F.lit(1.5)) * (BINS / 2)).cast("int")
     bins = raw.groupBy(place.alias("bin")).agg(F.count("*").alias("n"), F.sum("quality").alias("good"), F.avg("raw").alias("at")).orderBy("bin").collect()
     if not bins:  # no rows to calibrate on: the raw score
@@ -205,7 +205,7 @@ def _score(model: Model):
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, text_key, score`` of every row."""
     stats = measured(docs)
-    return stats.mapInArrow(_score(fit(stats, labels)), "doc_id long, text_key long, score double")
+    return stats.mapInArrow(lean(_score(fit(stats, labels))), "doc_id long, text_key long, score double")
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -229,4 +229,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(measured(flagged(rows, wanted.select(place("label_id")), labelled=F.lit(True)).where("labelled")), labels)
     given = unused_name(docs.columns, "text_in")
     source = docs.select("*", F.col("text").cast("string").alias(given))
-    return source.mapInArrow(_keep(model, docs.columns, given), docs.schema)
+    return source.mapInArrow(lean(_keep(model, docs.columns, given)), docs.schema)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linklens.llm.words import WordCache, file_bytes, slices, unused_name
+from linklens.llm.words import WordCache, file_bytes, frugal, slices, unused_name, worker_cache
 
 MARK = "▁"
 # Fixed values of the model format: kinds of pieces and of models.
@@ -184,12 +184,12 @@ class Model:
         return out
 
 
-@functools.lru_cache(maxsize=2)
+@worker_cache
 def load_model(data: bytes) -> Model:
     return Model(data)
 
 
-@functools.lru_cache(maxsize=2)
+@worker_cache
 def whole_tokenizer(data: bytes):
     return load_model(data).tokenizer()
 
@@ -198,11 +198,13 @@ def whole_tokenizer(data: bytes):
 
 # Segments that a worker keeps; a worker that did other work before has less room than the cache of op1's words needs.
 CACHE_SEGMENTS = 300_000
+# Texts of one slice: all its segments lie in memory at once, each an object of some 60 bytes.
+SLICE_BYTES = 1 << 20
 # Marks of a segment's value, before its ids.
 ROUND_TRIP, PARITY = 1, 2
 
 
-@functools.lru_cache(maxsize=2)
+@worker_cache
 def _segment_cache(data: bytes) -> tuple[WordCache, dict[str, int]]:
     """Ids of each segment, and the marks of the few segments that lack one."""
     import sentencepiece
@@ -281,7 +283,7 @@ def encode_rows(docs: DataFrame, model: str, columns: tuple[str, ...] | None = N
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias(given))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, given, most=4 << 20):
+        for batch in slices(batches, given, most=SLICE_BYTES):
             codes, marks = encode_texts(data, _texts(batch, given))
             sizes = np.array([len(c) // 4 for c in codes], np.int64)
             ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()),
@@ -293,7 +295,7 @@ def encode_rows(docs: DataFrame, model: str, columns: tuple[str, ...] | None = N
     schema = T.StructType([*source.schema.fields[:-1], T.StructField("n_tokens", T.LongType()),
                            T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType()),
                            T.StructField("parity", T.BooleanType())])
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(frugal(run), schema)
 
 
 def digest(docs: DataFrame, model: str) -> DataFrame:
@@ -301,7 +303,7 @@ def digest(docs: DataFrame, model: str) -> DataFrame:
     data = file_bytes(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=4 << 20):
+        for batch in slices(batches, most=SLICE_BYTES):
             codes, marks = encode_texts(data, _texts(batch, "text"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(c) // 4 for c in codes], pa.int64()), pa.array([zlib.crc32(c) for c in codes], pa.int64()),
@@ -309,4 +311,4 @@ def digest(docs: DataFrame, model: str) -> DataFrame:
                 ["doc_id", "n_tokens", "ids_crc32", "round_trip", "parity"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean, parity boolean")
+        frugal(run), "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean, parity boolean")

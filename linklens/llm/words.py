@@ -1,7 +1,8 @@
-"""Tokenizer files and a bounded cache of encoded words, shared by the encoding operators."""
+"""Tokenizer files, a bounded cache of encoded words and what a Python worker holds, shared by the operators."""
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import os
 from collections.abc import Callable, Iterable, Iterator
@@ -42,6 +43,55 @@ def unused_name(columns: Iterable[str], name: str) -> str:
     return name
 
 
+# Caches that live as long as a worker.
+_CACHES: list = []
+
+
+def worker_cache(build: Callable):
+    """``lru_cache`` of two values that stay between the tasks of a worker, until ``lean`` runs there."""
+    found = functools.lru_cache(maxsize=2)(build)
+    _CACHES.append(found)
+    return found
+
+
+def forget() -> None:
+    """Empties every ``worker_cache`` of this process."""
+    held = [cache for cache in _CACHES if cache.cache_info().currsize]
+    for cache in held:
+        cache.cache_clear()
+    if held:
+        give_back()
+
+
+def give_back() -> None:
+    """Freed memory of this process returns to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only where the C library has it
+    if trim is not None:
+        trim(0)
+
+
+def frugal(run: Callable) -> Callable:
+    """``run`` as a function of ``mapInArrow``: what a task has freed is given back at its end.
+
+    Workers outlive their tasks and serve every step of a job in turn, so what they hold adds to the executor's memory in all later steps.
+    """
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+    return task
+
+
+def lean(run: Callable) -> Callable:
+    """``frugal`` for steps that use no ``worker_cache``: what earlier steps cached in this worker goes first."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        yield from frugal(run)(batches)
+    return task
+
+
 class WordCache:
     """Value of each distinct word; unknown words are evaluated once a slice.
 
