@@ -26,6 +26,7 @@ def test_a_step_drops_what_the_encoder_cached(spark, monkeypatch, step):
 
     monkeypatch.setattr(kind, "mapInArrow", noted)
     FIRST[step](docs)
+    words.forget()  # what other tests cached in this process
     SP.encode_texts(words.file_bytes(words.tokenizer_path("piece_bpe_32k.model")), ["some words to keep"])
     assert cached() == [1, 1]
     found = list(given[0](iter([BATCH])))
