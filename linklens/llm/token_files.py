@@ -13,12 +13,15 @@ their text; an empty table gives no segment and no row; other columns are not re
 
 from __future__ import annotations
 
+import functools
+import json
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -173,35 +176,137 @@ def _word_values(spec: str, run: int = 2_000):
     return evaluate
 
 
+@functools.lru_cache(maxsize=4)
 def splits_at_space(spec: str) -> bool:
     """Whether the tokenizer drops white space between words, so that words can be encoded one by one."""
-    import json
     steps = (json.loads(spec).get("pre_tokenizer") or {}).get("pretokenizers") or []
     return any(s.get("type") == "Split" and s.get("invert") and s.get("behavior") == "Removed" for s in steps)
 
 
-_CACHES: dict[str, WordCache] = {}
+# Words of these signs alone are cut into pieces here: printable ASCII and the letters of Latin-1. No two of them compose, and each letter has one lower case.
+PLAIN = "^[!-~À-ÖØ-öø-ÿ]*$"
+# The splitting rule that is known, and the same for plain words in lower case.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PIECE = "('s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^0-9a-zß-öø-ÿ]+)"
+# No piece holds both signs and letters, so this can't be part of one.
+SUFFIX = "</w>"
+NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+
+
+def added_contents(spec: str) -> list[str] | None:
+    """The added tokens of a tokenizer whose rules for plain words are ``PIECE`` and lower case; None for any other tokenizer."""
+    rules = json.loads(spec)
+    model, added = rules["model"], rules.get("added_tokens") or []
+    known = [{"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True},
+             {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+    if (rules.get("normalizer") != {"type": "Sequence", "normalizers": NORMAL} or rules.get("pre_tokenizer") != {"type": "Sequence", "pretokenizers": known}
+            or any(a.get("normalized") for a in added) or model.get("type", "BPE") != "BPE" or model.get("dropout") or model.get("end_of_word_suffix") != SUFFIX):
+        return None
+    return [a["content"] for a in added]
+
+
+def _piece_values(spec: str, run: int = 2_000):
+    """The ids of each piece as bytes, by the tokenizer's model; normal form, lower case and splitting are done.
+
+    Pieces are encoded in runs. The last token of a piece, and no other, has the suffix that ends a word; if a run has as many of them as pieces,
+    they mark the ends, otherwise the run is encoded piece by piece.
+    """
+    rules = json.loads(spec)
+    rules |= {"normalizer": None, "added_tokens": []}
+    rules["pre_tokenizer"]["pretokenizers"][0] = {"type": "WhitespaceSplit"}
+    tokenizer = load_tokenizer(json.dumps(rules))
+    vocabulary = tokenizer.get_vocab()
+    last = np.zeros(max(vocabulary.values()) + 1, bool)
+    last[[number for token, number in vocabulary.items() if token.endswith(SUFFIX)]] = True
+
+    def ids_of(text: str) -> np.ndarray:
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def evaluate(pieces: list[str]) -> Iterator[bytes]:
+        for first in range(0, len(pieces), run):
+            members = pieces[first:first + run]
+            ids = ids_of(" ".join(members))
+            ends = np.flatnonzero(last[ids]) + 1
+            if len(ends) != len(members):
+                yield from (ids_of(piece).tobytes() for piece in members)
+                continue
+            raw, begin = ids.tobytes(), 0
+            for end in (ends * 4).tolist():
+                yield raw[begin:end]
+                begin = end
+    return evaluate
+
+
+class WordIds:
+    """Ids of distinct words, from one bounded cache of pieces (text) and of whole words that aren't cut (bytes)."""
+
+    def __init__(self, spec: str):
+        self.spec, self.added, self.made = spec, added_contents(spec), {}
+        self.cache = WordCache(self._evaluate)
+        self.cache.known[""] = b""  # what lies behind the last piece of a word
+
+    def _evaluate(self, fresh: list) -> Iterator[bytes]:
+        kind = type(fresh[0])
+        if kind not in self.made:
+            self.made[kind] = (_piece_values if kind is str else _word_values)(self.spec)
+        return self.made[kind](fresh)
+
+    def of(self, words: pa.Array) -> pa.Array:
+        """The ids of each of ``words`` as bytes."""
+        if self.added is None:
+            plain = pa.array(np.zeros(len(words), bool))
+        else:
+            plain = pc.match_substring_regex(words, PLAIN)
+            for content in self.added:
+                plain = pc.and_not(plain, pc.match_substring(words, content))
+        lower = pc.utf8_lower(words.filter(plain))
+        cut = pc.split_pattern(pc.replace_substring_regex(lower, PIECE, r"\1 "), " ")
+        pieces = cut.flatten().dictionary_encode()
+        whole = objects(words.filter(pc.invert(plain)).cast(pa.large_binary()))
+        names = objects(pieces.dictionary)
+        values = pa.array([*map(self.cache.lookup(names), names), *map(self.cache.lookup(whole), whole)], pa.large_binary())
+        at = np.concatenate([pieces.indices.to_numpy(), len(names) + np.arange(len(whole))])
+        ends = np.concatenate([cut.offsets.to_numpy(), len(pieces) + 1 + np.arange(len(whole))])
+        joined = regrouped(values.take(pa.array(at)), ends)
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        place = np.empty(len(words), np.int64)
+        place[np.concatenate([np.flatnonzero(is_plain), np.flatnonzero(~is_plain)])] = np.arange(len(words))
+        return joined.take(pa.array(place))
+
+
+def objects(values: pa.Array) -> list:
+    """``to_pylist`` of values without nulls, without a scalar for each."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
+def regrouped(values: pa.Array, ends: np.ndarray) -> pa.Array:
+    """Neighbouring byte strings joined, from each of ``ends`` to the next."""
+    if len(ends) < 2:
+        return pa.array([], pa.large_binary())
+    _, offsets, data = values.buffers()
+    bounds = np.frombuffer(offsets, "<i8")[values.offset:][ends]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), data])
+
+
+_CACHES: dict[str, WordIds] = {}
 
 
 def encode_texts(spec: str, texts: list[bytes]) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit integers.
 
     Where the tokenizer drops white space, each distinct word is encoded once and the texts are put together from them;
-    ASCII white space is in every tokenizer's ``\\s``, and neither normal form nor merges reach over it.
+    ASCII white space is in every tokenizer's ``\\s``, and neither normal form nor merges reach over it. Words of plain signs are cut
+    further by the tokenizer's own rule, so that case and punctuation make no new word.
     """
     if not splits_at_space(spec):
         tokenizer = load_tokenizer(spec)
         return [np.array(e.ids, "<u4").tobytes()
                 for e in tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
     if spec not in _CACHES:
-        _CACHES[spec] = WordCache(_word_values(spec))
-    cache = _CACHES[spec]
-    split = [t.split() for t in texts]
-    fresh: set[bytes] = set()
-    for words in split:
-        fresh.update(words)
-    get = cache.lookup(fresh)
-    return [b"".join(map(get, words)) for words in split]
+        _CACHES[spec] = WordIds(spec)
+    split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+    words = split.flatten().dictionary_encode()
+    return regrouped(_CACHES[spec].of(words.dictionary).take(words.indices), split.offsets.to_numpy()).to_pylist()
 
 
 def _packer(spec: str, end_id: int, segment_ids: int):

@@ -1,5 +1,6 @@
 """Operators 1, 4 and 7 against the tokenizer libraries on whole texts."""
 
+import json
 import random
 import zlib
 
@@ -63,6 +64,42 @@ def test_words_that_hold_the_separator_encode_alone():
         assert got == [tokenizer.encode(w.decode(), add_special_tokens=False).ids for w in words]
 
 
+def test_case_and_punctuation_make_no_new_word(monkeypatch):
+    """The tokenizer sees each lower-case piece once; what can't be cut here it sees as whole words."""
+    monkeypatch.setattr(TF, "_CACHES", {})
+    spec = file_bytes(WORD).decode()
+    texts = ["Word word, WORD! (word) \"Word's\" ÜBER über. x7", "word WORD?! <|endoftext|>. 日本 word... Über,", "  ", ""]
+    got = [np.frombuffer(c, "<u4").tolist() for c in TF.encode_texts(spec, [t.encode() for t in texts])]
+    assert got == [e.ids for e in load_tokenizer(spec).encode_batch(texts, add_special_tokens=False)]
+    assert set(TF._CACHES[spec].cache.known) == {"", "word", ",", "!", "(", ")", '"', "'s", "über", ".", "x", "7", "?!", "...",
+                                                 b"<|endoftext|>.", "日本".encode()}
+
+
+def test_plain_words_are_cut_as_the_library_cuts_them():
+    spec = file_bytes(WORD).decode()
+    rng = random.Random(11)
+    signs = ["abestdmrvlSTREVMLD''''.,!-<>|/w\"0123 \nÉßñÜÿÀÞå", "aeE'sS. ̸̱́ŉĲİſ×÷²½ªµ\x7f\x00\x1c\x85\xa0Σj<h", [chr(c) for c in range(0x250)]]
+    odd = ["<|endoftext|>", "<|ENDOFTEXT|>", "</w>", "'S", "'Re", "'lL", "''"]
+    texts = ["".join(rng.choice(odd if rng.random() < 0.05 else signs[i % 3]) for _ in range(rng.randrange(200))) for i in range(600)]
+    texts += ["a" * 50_000, "." * 50_000, "1" * 9_000, "'" * 500 + "s"]
+    got = [np.frombuffer(c, "<u4").tolist() for c in TF.encode_texts(spec, [t.encode() for t in texts])]
+    assert got == [e.ids for e in load_tokenizer(spec).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_other_rules_and_vocabularies_encode_as_whole_texts():
+    """A rule that isn't known cuts no words; a vocabulary without all signs leaves pieces without an end."""
+    rules = json.loads(file_bytes(WORD))
+    rules["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]+"
+    few = json.loads(file_bytes(WORD))
+    few["model"] |= {"vocab": {"a": 0, "b": 1, "a</w>": 2, "ba</w>": 3}, "merges": [["b", "a</w>"]]}
+    few["added_tokens"] = []
+    texts = ["ab a b ba Ab's 12ab", "b", "don't ABBA aba? a1b2", ""]
+    for spec, known in ((json.dumps(rules), False), (json.dumps(few), True)):
+        assert (TF.added_contents(spec) is not None) == known
+        got = [np.frombuffer(c, "<u4").tolist() for c in TF.encode_texts(spec, [t.encode() for t in texts])]
+        assert got == [e.ids for e in load_tokenizer(spec).encode_batch(texts, add_special_tokens=False)]
+
+
 def test_files_hold_every_document_in_order(spark, small, small_rows, tmp_path):
     want = brute.codes(small_rows, load_tokenizer(file_bytes(WORD).decode()), 2)
     path = TF.write_codes(small.repartition(7), str(tmp_path / "codes"), WORD, 2, segment_ids=5000)
